@@ -367,7 +367,7 @@ def entity_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.value_of(n, n.filter("name = 'c'"), "OPAQUE").select(DOC, F.col("value").alias("word"))
 
 
-@query("SELECT event_id AS doc, epoch(ts)::BIGINT AS seconds FROM events")
+@query("SELECT event_id AS doc, floor(epoch(ts))::BIGINT AS seconds FROM events")
 def custom_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = shred(event_log(spark, sf_dir), options=TIMES)
     return values.value_of(n, find.find_all(n, "at"), "CUSTOM").select(DOC, F.col("value").cast("long").alias("seconds"))
