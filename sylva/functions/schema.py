@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import types as T
 
@@ -44,14 +45,24 @@ class LoadOptions:
     custom_load: Callable[[str], str | None] | None = None
 
 
+class Written(NamedTuple):
+    """What a white space function is told of a node: its type, name (elements only), attributes, depth, and whether it has no children."""
+
+    node_type: str
+    name: str | None
+    attrs: Mapping[str, str]
+    depth: int
+    leaf: bool
+
+
 @dataclass(frozen=True)
 class SaveOptions:
-    """wrap: column after which attributes and values go to a new line, 0 for never. whitespace: (name or text, attributes, place)
-    to the string written at the places 'before_open', 'after_open', 'before_close', 'after_close'. custom_save: the text of a CUSTOM value.
+    """wrap: column after which attributes and values go to a new line, 0 for never. whitespace: (node, place) to the string written
+    at the places 'before_open', 'after_open', 'before_close', 'after_close', or None. custom_save: the text of a CUSTOM value.
     """
 
     wrap: int = 72
-    whitespace: Callable[[str, Mapping[str, str], str], str | None] | None = None
+    whitespace: Callable[[Written, str], str | None] | None = None
     custom_save: Callable[[str], str | None] | None = None
 
 

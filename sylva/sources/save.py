@@ -1,7 +1,7 @@
 """Saving: node tables to text, one row a document, and to files.
 
-The tags of a document are built by Spark, gathered by document in order, and joined by a small function that keeps the
-column for wrapping. Without wrapping or whitespace functions, joining them is built-in too.
+A document's open and close tags are made and put in order by Spark, and joined by a small function that keeps the column
+for wrapping and calls the options' functions.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from sylva.functions.schema import SaveOptions
+from sylva.functions.schema import SaveOptions, Written
 
 TAB = 8
 
@@ -33,7 +33,7 @@ def general(values: pd.Series) -> pd.Series:
 
 
 def _flow(options: SaveOptions):
-    """Joins a document's tokens: (kind, text, name, attrs as written, plain widths)."""
+    """Joins a document's tokens (kind, text, attrs, spaced, leaf, depth), keeping the column."""
 
     def advance(text: str, column: int) -> int:
         cut = max(text.rfind("\n"), text.rfind("\r"))
@@ -61,9 +61,12 @@ def _flow(options: SaveOptions):
             out.append(entity(text))
             column = advance(text, column)  # an entity is as wide as what it stands for
 
-        def space(name: str, attrs: list, place: str) -> None:
-            if options.whitespace and (s := options.whitespace(name, {a["name"]: a["value"] for a in attrs or []}, place)):
-                put(s)
+        def space(t: dict, place: str) -> None:
+            if options.whitespace:
+                element = t["kind"] in ("ELEMENT", "CLOSE")
+                node = Written("ELEMENT" if element else t["kind"], t["text"] if element else None, {a["name"]: a["value"] for a in t["attrs"] or []}, t["depth"], t["leaf"])
+                if s := options.whitespace(node, place):
+                    put(s)
 
         def gap() -> None:
             put("\n" if 0 < options.wrap < column else " ")
@@ -71,11 +74,11 @@ def _flow(options: SaveOptions):
         for t in tokens:
             kind, text, attrs = t["kind"], t["text"], t["attrs"]
             if kind == "CLOSE":
-                space(text, attrs, "before_close")
+                space(t, "before_close")
                 put("</"), escaped(text), put(">")
-                space(text, attrs, "after_close")
+                space(t, "after_close")
             elif kind == "ELEMENT":
-                space(text, attrs, "before_open")
+                space(t, "before_open")
                 put("<"), escaped(text)
                 for a in attrs or []:
                     width = len(a["name"].encode()) + (len(a["value"].encode()) + 3 if a["value"] is not None else 0)
@@ -84,12 +87,12 @@ def _flow(options: SaveOptions):
                     if a["value"] is not None:
                         put('="'), escaped(a["value"]), put('"')
                 put("/>" if t["leaf"] else ">")
-                space(text, attrs, "after_open")
+                space(t, "after_open")
             elif kind in ("CDATA", "COMMENT", "DECLARATION", "DIRECTIVE"):
                 before, after = {"CDATA": ("<![CDATA[", "]]>"), "COMMENT": ("<!--", "-->"), "DECLARATION": ("<!", ">"), "DIRECTIVE": ("<?", "?>")}[kind]
-                space(text, [], "before_open")
+                space(t, "before_open")
                 put(before + text + after)
-                space(text, [], "after_open")
+                space(t, "after_open")
             else:
                 if kind == "CUSTOM":
                     text = options.custom_save(text) if options.custom_save else None
@@ -118,14 +121,14 @@ def to_documents(nodes: DataFrame, options: SaveOptions | None = None) -> DataFr
     text = F.coalesce(F.when(F.col("node_type") == "INTEGER", F.col("int_value").cast("string")), F.when(F.col("node_type") == "REAL", general("real_value")), F.when(F.col("node_type") == "ELEMENT", F.col("name")), "custom", "str_value")
     spaced = F.when(F.col("node_type").isin("INTEGER", "REAL"), F.col("ord") > 0).otherwise(F.coalesce("ws", F.lit(False)))
     leaf = F.col("last_desc") == F.col("node_id")
-    token = lambda place, kind: F.struct(*place, kind.alias("kind"), text.alias("text"), "attrs", spaced.alias("spaced"), leaf.alias("leaf"))
+    token = lambda place, kind: F.struct(*place, kind.alias("kind"), text.alias("text"), "attrs", spaced.alias("spaced"), leaf.alias("leaf"), "depth")
     # A close tag comes after the last descendant, inner ones first.
     opened = token([F.col("node_id").alias("at"), F.lit(0).alias("after"), F.lit(0).cast("long").alias("inner")], F.col("node_type"))
     closed = token([F.col("last_desc").alias("at"), F.lit(1).alias("after"), (-F.col("node_id")).alias("inner")], F.lit("CLOSE"))
     both = F.when((F.col("node_type") == "ELEMENT") & ~leaf, F.array(opened, closed)).otherwise(F.array(opened))
     tokens = nodes.select("doc_id", F.explode(both).alias("t"))
     gathered = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list("t")).alias("tokens"))
-    keep = F.transform("tokens", lambda t: F.struct(t["kind"].alias("kind"), t["text"].alias("text"), t["attrs"].alias("attrs"), t["spaced"].alias("spaced"), t["leaf"].alias("leaf")))
+    keep = F.transform("tokens", lambda t: F.struct(t["kind"].alias("kind"), t["text"].alias("text"), t["attrs"].alias("attrs"), t["spaced"].alias("spaced"), t["leaf"].alias("leaf"), t["depth"].alias("depth")))
     return gathered.select("doc_id", keep.alias("tokens")).mapInArrow(_flow(options), "doc_id string, xml string")
 
 
