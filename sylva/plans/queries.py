@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.functions.schema import LoadOptions
@@ -24,7 +24,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 TYPED = LoadOptions(type_of=order_types)
 OPAQUE = LoadOptions("OPAQUE")
 TIMES = LoadOptions(type_of=event_types, custom_load=load_time)
-DOC = long_id().alias("doc")
+
+
+def doc() -> Column:
+    return long_id().alias("doc")
+
 
 _ITEMS = """items AS (SELECT *, l_orderkey AS doc, 2 + 5 * k AS id FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey
   ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS k FROM lineitem)),
@@ -60,55 +64,55 @@ def _from(n: DataFrame, depth: int) -> DataFrame:
 def returned_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with flag R in each order: the flagship."""
     hits = find.find_all(nodes(spark, sf_dir), "item", "flag", "R")
-    return hits.groupBy(DOC).agg(F.count("*").alias("returned"))
+    return hits.groupBy(doc()).agg(F.count("*").alias("returned"))
 
 
 @query("SELECT doc, 2 + 5 * n AS n_nodes, 1 + 3 * n AS n_elements FROM docs")
 def load_count_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).groupBy(DOC).agg(F.count("*").alias("n_nodes"), F.count_if(F.col("node_type") == "ELEMENT").alias("n_elements"))
+    return nodes(spark, sf_dir).groupBy(doc()).agg(F.count("*").alias("n_nodes"), F.count_if(F.col("node_type") == "ELEMENT").alias("n_elements"))
 
 
 @query("SELECT doc, id AS node_id, id + 4 AS last_desc, k::INTEGER AS ord FROM items")
 def find_all_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(nodes(spark, sf_dir)).select(DOC, "node_id", "last_desc", "ord")
+    return _items(nodes(spark, sf_dir)).select(doc(), "node_id", "last_desc", "ord")
 
 
 @query("SELECT doc, id AS node_id FROM items UNION ALL SELECT doc, 1 FROM docs WHERE FALSE")
 def find_by_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find_all(nodes(spark, sf_dir), attribute="flag").select(DOC, "node_id")
+    return find.find_all(nodes(spark, sf_dir), attribute="flag").select(doc(), "node_id")
 
 
 @query("SELECT doc, id AS node_id FROM items WHERE l_returnflag = 'A'")
 def find_by_attr_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find_all(nodes(spark, sf_dir), "item", "flag", "A").select(DOC, "node_id")
+    return find.find_all(nodes(spark, sf_dir), "item", "flag", "A").select(doc(), "node_id")
 
 
 @query("SELECT docs.doc, min(id) AS node_id FROM docs LEFT JOIN items ON items.doc = docs.doc AND l_returnflag = 'R' GROUP BY 1")
 def find_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
-    return find.find(n, _from(n, 0), "item", "flag", "R", "ALL").select(DOC, F.col("found.node_id").alias("node_id"))
+    return find.find(n, _from(n, 0), "item", "flag", "R", "ALL").select(doc(), F.col("found.node_id").alias("node_id"))
 
 
 @query("SELECT f.doc, min(id) AS node_id FROM (SELECT doc FROM docs WHERE n > 0) f LEFT JOIN items ON items.doc = f.doc AND k > 0 AND l_returnflag = 'N' GROUP BY 1")
 def find_next_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
-    return find.find(n, _from(n, 2), "item", "flag", "N", "NONE").select(DOC, F.col("found.node_id").alias("node_id"))
+    return find.find(n, _from(n, 2), "item", "flag", "N", "NONE").select(doc(), F.col("found.node_id").alias("node_id"))
 
 
 @query("SELECT docs.doc, min(id) AS node_id FROM docs LEFT JOIN items ON items.doc = docs.doc AND l_returnflag = 'N' GROUP BY 1")
 def find_first_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
-    return find.find(n, _from(n, 1), "item", "flag", "N", "FIRST").select(DOC, F.col("found.node_id").alias("node_id"))
+    return find.find(n, _from(n, 1), "item", "flag", "N", "FIRST").select(doc(), F.col("found.node_id").alias("node_id"))
 
 
 @query("SELECT doc, id + 2 AS node_id, l_quantity::BIGINT AS value FROM items WHERE k = 0")
 def path_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find_path(nodes(spark, sf_dir), "order/item/qty").select(DOC, "node_id", F.col("int_value").alias("value"))
+    return find.find_path(nodes(spark, sf_dir), "order/item/qty").select(doc(), "node_id", F.col("int_value").alias("value"))
 
 
 @query("SELECT doc, id + 4 AS node_id, round(l_extendedprice * 100)::BIGINT AS value FROM items WHERE k = 0")
 def path_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find_path(nodes(spark, sf_dir), "*/price").select(DOC, "node_id", F.col("real_value").cast("long").alias("value"))
+    return find.find_path(nodes(spark, sf_dir), "*/price").select(doc(), "node_id", F.col("real_value").cast("long").alias("value"))
 
 
 @query("SELECT doc, CASE WHEN l_returnflag = 'R' THEN id + 5 END AS node_id FROM items WHERE k = 0 AND l_returnflag = 'R'")
@@ -117,102 +121,102 @@ def path_no_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
     marked = find.find_all(n, "item", "flag", "R").groupBy("doc_id").agg(F.min("node_id").alias("node_id"))
     mark = edit.new_node(marked.select("doc_id"), "ELEMENT", F.lit("mark"))
-    return find.find_path(edit.append(n, mark, marked), "order/item/mark").select(DOC, "node_id")
+    return find.find_path(edit.append(n, mark, marked), "order/item/mark").select(doc(), "node_id")
 
 
 @query("SELECT doc, id AS node_id, up AS parent_id, last AS last_desc, (row_number() OVER (PARTITION BY doc ORDER BY id))::INTEGER AS pos FROM tree")
 def walk_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
-    return n.select(DOC, "node_id", "parent_id", "last_desc", (F.col("node_id") + 1).cast("int").alias("pos"))
+    return n.select(doc(), "node_id", "parent_id", "last_desc", (F.col("node_id") + 1).cast("int").alias("pos"))
 
 
 @query("SELECT doc, id AS node_id, lead(id) OVER (PARTITION BY doc ORDER BY id) AS next FROM tree")
 def walk_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_next(nodes(spark, sf_dir)).select(DOC, "node_id", "next")
+    return nav.walk_next(nodes(spark, sf_dir)).select(doc(), "node_id", "next")
 
 
 @query("SELECT tree.doc, id AS node_id, CASE WHEN id > 0 AND last + 1 <= 1 + 5 * n THEN last + 1 END AS next FROM tree JOIN docs ON docs.doc = tree.doc")
 def walk_next_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_next(nodes(spark, sf_dir), "NONE").select(DOC, "node_id", "next")
+    return nav.walk_next(nodes(spark, sf_dir), "NONE").select(doc(), "node_id", "next")
 
 
 @query("SELECT doc, id AS node_id, CASE WHEN id > 1 THEN lag(id) OVER (PARTITION BY doc ORDER BY id) END AS prev FROM tree")
 def walk_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_prev(nodes(spark, sf_dir)).select(DOC, "node_id", "prev")
+    return nav.walk_prev(nodes(spark, sf_dir)).select(doc(), "node_id", "prev")
 
 
 @query("SELECT doc, id AS node_id, CASE WHEN id > 0 THEN coalesce(lag(id) OVER (PARTITION BY doc, up ORDER BY id), CASE WHEN up > 0 THEN up END) END AS prev FROM tree")
 def walk_prev_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_prev(nodes(spark, sf_dir), "NONE").select(DOC, "node_id", "prev")
+    return nav.walk_prev(nodes(spark, sf_dir), "NONE").select(doc(), "node_id", "prev")
 
 
 @query("SELECT doc, id AS node_id, up AS parent, CASE WHEN last > id THEN id + 1 END AS first_child FROM tree")
 def nav_parent_first_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.first_child(nav.parent(nodes(spark, sf_dir))).select(DOC, "node_id", "parent", "first_child")
+    return nav.first_child(nav.parent(nodes(spark, sf_dir))).select(doc(), "node_id", "parent", "first_child")
 
 
 @query("SELECT t.doc, t.id AS node_id, max(c.id) AS last_child FROM tree t LEFT JOIN tree c ON c.doc = t.doc AND c.up = t.id GROUP BY ALL")
 def nav_last_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.last_child(nodes(spark, sf_dir)).select(DOC, "node_id", "last_child")
+    return nav.last_child(nodes(spark, sf_dir)).select(doc(), "node_id", "last_child")
 
 
 @query("SELECT doc, id AS node_id, CASE WHEN up IS NOT NULL THEN lead(id) OVER (PARTITION BY doc, up ORDER BY id) END AS next_sibling, CASE WHEN up IS NOT NULL THEN lag(id) OVER (PARTITION BY doc, up ORDER BY id) END AS prev_sibling FROM tree")
 def nav_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.prev_sibling(nav.next_sibling(nodes(spark, sf_dir))).select(DOC, "node_id", "next_sibling", "prev_sibling")
+    return nav.prev_sibling(nav.next_sibling(nodes(spark, sf_dir))).select(doc(), "node_id", "next_sibling", "prev_sibling")
 
 
 @query("SELECT a.doc, b.id AS node_id, a.id AS ancestor FROM tree a JOIN tree b ON a.doc = b.doc AND b.id > a.id AND b.id <= a.last")
 def nav_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.ancestors(nodes(spark, sf_dir)).select(DOC, "node_id", "ancestor")
+    return nav.ancestors(nodes(spark, sf_dir)).select(doc(), "node_id", "ancestor")
 
 
 @query("SELECT doc, id AS node_id, l_linenumber::VARCHAR AS line, l_partkey::VARCHAR AS part, NULL::VARCHAR AS missing FROM items")
 def attr_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = values.attr_value
-    return _items(nodes(spark, sf_dir)).select(DOC, "node_id", at("line").alias("line"), at("part").alias("part"), at("missing").alias("missing"))
+    return _items(nodes(spark, sf_dir)).select(doc(), "node_id", at("line").alias("line"), at("part").alias("part"), at("missing").alias("missing"))
 
 
 @query("SELECT doc, id AS node_id, 'part' AS name, l_partkey::VARCHAR AS value, NULL::VARCHAR AS beyond FROM items")
 def attr_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, four = values.attr_at(1), values.attr_at(3)
-    return _items(nodes(spark, sf_dir)).select(DOC, "node_id", one["name"].alias("name"), one["value"].alias("value"), four["name"].alias("beyond"))
+    return _items(nodes(spark, sf_dir)).select(doc(), "node_id", one["name"].alias("name"), one["value"].alias("value"), four["name"].alias("beyond"))
 
 
 @query("SELECT doc, sum(CASE WHEN id = 1 THEN 2 WHEN id % 5 = 2 THEN 3 ELSE 0 END)::BIGINT AS n_attrs FROM tree GROUP BY 1")
 def attr_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).groupBy(DOC).agg(F.sum(values.attr_count()).cast("long").alias("n_attrs"))
+    return nodes(spark, sf_dir).groupBy(doc()).agg(F.sum(values.attr_count()).cast("long").alias("n_attrs"))
 
 
 @query("SELECT doc, CASE id WHEN 0 THEN 'DIRECTIVE' ELSE 'ELEMENT' END AS node_type, CASE id WHEN 0 THEN 'xml version=\"1.0\"' END AS directive, CASE id WHEN 1 THEN 'order' END AS element FROM tree WHERE id < 2")
 def value_own(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir).filter("node_id < 2")
-    return n.select(DOC, values.type_of(F.col("node_type")).alias("node_type"), values.own_value("DIRECTIVE").alias("directive"), values.element_name().alias("element"))
+    return n.select(doc(), values.type_of(F.col("node_type")).alias("node_type"), values.own_value("DIRECTIVE").alias("directive"), values.element_name().alias("element"))
 
 
 @query("SELECT doc, id + 1 AS node_id, l_quantity::BIGINT AS value FROM items UNION ALL SELECT doc, id + 3, 0 FROM items")
 def value_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
     of = n.filter(F.col("name").isin("qty", "price"))
-    return values.value_of(n, of, "INTEGER").select(DOC, "node_id", "value")
+    return values.value_of(n, of, "INTEGER").select(doc(), "node_id", "value")
 
 
 @query("SELECT doc, id + 3 AS node_id, round(l_extendedprice * 100)::BIGINT AS cents FROM items")
 def value_real(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
-    return values.value_of(n, find.find_all(n, "price"), "REAL").select(DOC, "node_id", F.col("value").cast("long").alias("cents"))
+    return values.value_of(n, find.find_all(n, "price"), "REAL").select(doc(), "node_id", F.col("value").cast("long").alias("cents"))
 
 
 @query("SELECT doc_id AS doc, text AS value FROM documents WHERE length(text) > 0")
 def value_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = shred(texts(spark, sf_dir), options=OPAQUE)
-    return values.value_of(n, find.find_all(n, "doc"), "OPAQUE").filter("value is not null").select(DOC, "value")
+    return values.value_of(n, find.find_all(n, "doc"), "OPAQUE").filter("value is not null").select(doc(), "value")
 
 
 @query("SELECT doc_id AS doc, coalesce(w[1], '') AS word, regexp_matches(text, '^[ \\t\\r\\n]') AS ws FROM (SELECT *, regexp_extract_all(text, '[^ \\t\\r\\n]+') AS w FROM documents WHERE length(text) > 0)")
 def value_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = shred(texts(spark, sf_dir))
     got = values.value_of(n, find.find_all(n, "doc"), "TEXT").filter("value is not null")
-    return got.select(DOC, F.col("value").alias("word"), F.col("value_ws").alias("ws"))
+    return got.select(doc(), F.col("value").alias("word"), F.col("value_ws").alias("ws"))
 
 
 @query("SELECT doc_id AS doc, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+'))::BIGINT AS n_words, regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', ' ', 'g') AS text FROM documents")
@@ -220,34 +224,34 @@ def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = shred(texts(spark, sf_dir))
     docs = find.find_all(n, "doc")
     count = n.filter("node_type = 'TEXT' and str_value <> ''").groupBy("doc_id").agg(F.count("*").alias("n_words"))
-    return values.words_of(n, docs).join(count, "doc_id", "left").select(DOC, F.coalesce("n_words", F.lit(0)).alias("n_words"), "text")
+    return values.words_of(n, docs).join(count, "doc_id", "left").select(doc(), F.coalesce("n_words", F.lit(0)).alias("n_words"), "text")
 
 
 @query("SELECT doc, pos::INTEGER AS pos, id AS node_id FROM (SELECT doc, id, row_number() OVER (PARTITION BY doc ORDER BY s NULLS FIRST, id) AS pos FROM (SELECT doc, id, CASE WHEN id = 0 THEN NULL WHEN id = 1 THEN 'order' WHEN id % 5 = 2 THEN 'item' WHEN id % 5 = 3 THEN 'qty' ELSE 'price' END AS s FROM tree WHERE id < 2 OR id % 5 IN (2, 3, 0)))")
 def index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.index(nodes(spark, sf_dir)).select(DOC, "pos", "node_id")
+    return index.index(nodes(spark, sf_dir)).select(doc(), "pos", "node_id")
 
 
 @query("SELECT doc, (k + 1)::INTEGER AS pos, id AS node_id FROM items")
 def index_elem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.index_enum(index.index(nodes(spark, sf_dir), "item"), F.col("pos")).select(DOC, "pos", "node_id")
+    return index.index_enum(index.index(nodes(spark, sf_dir), "item"), F.col("pos")).select(doc(), "pos", "node_id")
 
 
 @query("SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY l_partkey::VARCHAR, id))::INTEGER AS pos, id AS node_id, l_partkey::VARCHAR AS value FROM items")
 def index_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.index(nodes(spark, sf_dir), "item", "part").select(DOC, "pos", "node_id", "value")
+    return index.index(nodes(spark, sf_dir), "item", "part").select(doc(), "pos", "node_id", "value")
 
 
 @query("SELECT doc, id AS node_id, (row_number() OVER (PARTITION BY doc ORDER BY id))::INTEGER AS nth FROM items WHERE l_returnflag = 'R'")
 def index_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.index_find(index.index(nodes(spark, sf_dir), "item", "flag"), "item", "R").select(DOC, "node_id", "nth")
+    return index.index_find(index.index(nodes(spark, sf_dir), "item", "flag"), "item", "R").select(doc(), "node_id", "nth")
 
 
 @query("SELECT doc, n, first FROM (SELECT doc, count(*) AS n, arg_min(id, (l_returnflag, id)) AS first FROM items GROUP BY 1)")
 def index_count_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     ind = index.index(nodes(spark, sf_dir), "item", "flag")
     first = index.index_reset(ind).select("doc_id", F.col("node_id").alias("first"))
-    return index.index_count(ind).join(first, "doc_id").select(DOC, "n", "first")
+    return index.index_count(ind).join(first, "doc_id").select(doc(), "n", "first")
 
 
 @query("SELECT 'DIRECTIVE' AS event, count(*) AS n FROM docs UNION ALL SELECT e, sum(1 + 3 * n)::BIGINT FROM docs, (VALUES ('ELEMENT_OPEN'), ('ELEMENT_CLOSE')) v(e) GROUP BY 1 UNION ALL SELECT 'DATA', sum(2 * n)::BIGINT FROM docs")
@@ -260,13 +264,13 @@ def set_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = find.matches("item", "flag", "R")
     n = edit.set_attr(nodes(spark, sf_dir), hit, "late", F.lit("yes"))
     n = edit.set_attr(n, hit, "flag", F.lit("back"))
-    return _items(n).select(DOC, "node_id", *(find.attr(a).alias(a) for a in ("line", "flag", "late")))
+    return _items(n).select(doc(), "node_id", *(find.attr(a).alias(a) for a in ("line", "flag", "late")))
 
 
 @query("SELECT doc, id AS node_id, NULL::VARCHAR AS part, 2 AS n FROM items")
 def clear_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = edit.clear_attr(nodes(spark, sf_dir), F.col("name") == "item", "part")
-    return _items(n).select(DOC, "node_id", find.attr("part").alias("part"), values.attr_count().alias("n"))
+    return _items(n).select(doc(), "node_id", find.attr("part").alias("part"), values.attr_count().alias("n"))
 
 
 @query("SELECT doc, id + 1 AS node_id, 2 * l_quantity::BIGINT AS value FROM items")
@@ -276,13 +280,13 @@ def set_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     qty = find.find_all(n, "qty")
     doubled = values.value_of(n, qty, "INTEGER").select("doc_id", "node_id", (2 * F.col("value")).alias("value"))
     changed = edit.set_value(n, doubled, "INTEGER")
-    return values.value_of(changed, find.find_all(changed, "qty"), "INTEGER").select(DOC, "node_id", "value")
+    return values.value_of(changed, find.find_all(changed, "qty"), "INTEGER").select(doc(), "node_id", "value")
 
 
 @query("SELECT doc, id AS node_id, 'line' AS name FROM items")
 def rename_element(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = edit.set_element(nodes(spark, sf_dir), F.col("name") == "item", F.lit("line"))
-    return find.find_all(n, "line").select(DOC, "node_id", "name")
+    return find.find_all(n, "line").select(doc(), "node_id", "name")
 
 
 def _notes(n: DataFrame) -> DataFrame:
@@ -299,7 +303,7 @@ def add_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = n.filter("node_id = 1").select("doc_id", F.lit(1).cast("long").alias("parent"), F.lit(None).cast("long").alias("child"))
     m = edit.add(n, _notes(n), at, "BEFORE")
     is_note, is_item = F.col("name") == "note", F.col("name") == "item"
-    return m.groupBy(DOC).agg(F.min(F.when(is_note, F.col("node_id"))).cast("int").alias("note_id"), F.max("node_id").alias("last_id"), F.max(F.when(F.col("node_type") == "TEXT", F.col("str_value"))).alias("word"), F.min(F.when(is_item, F.col("node_id"))).cast("int").alias("item_id"))
+    return m.groupBy(doc()).agg(F.min(F.when(is_note, F.col("node_id"))).cast("int").alias("note_id"), F.max("node_id").alias("last_id"), F.max(F.when(F.col("node_type") == "TEXT", F.col("str_value"))).alias("word"), F.min(F.when(is_item, F.col("node_id"))).cast("int").alias("item_id"))
 
 
 @query("SELECT doc, 7 AS note_id, 8 AS word_id, n::INTEGER AS n_items, 3 + 5 * n AS root_last, CASE WHEN n > 1 THEN 9 END AS second FROM docs WHERE n > 0")
@@ -309,14 +313,14 @@ def add_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = n.filter("node_id = 2").select("doc_id", F.lit(1).cast("long").alias("parent"), F.lit(2).cast("long").alias("child"))
     m = edit.add(n, _notes(n), at).join(at.select("doc_id"), "doc_id")
     first = lambda test: F.min(F.when(test, F.col("node_id")))
-    return m.groupBy(DOC).agg(first(F.col("name") == "note").cast("int").alias("note_id"), first(F.col("node_type") == "TEXT").cast("int").alias("word_id"), F.count_if(F.col("name") == "item").cast("int").alias("n_items"), F.max(F.when(F.col("node_id") == 1, F.col("last_desc"))).alias("root_last"), first((F.col("name") == "item") & (F.col("ord") == 2)).cast("int").alias("second"))
+    return m.groupBy(doc()).agg(first(F.col("name") == "note").cast("int").alias("note_id"), first(F.col("node_type") == "TEXT").cast("int").alias("word_id"), F.count_if(F.col("name") == "item").cast("int").alias("n_items"), F.max(F.when(F.col("node_id") == 1, F.col("last_desc"))).alias("root_last"), first((F.col("name") == "item") & (F.col("ord") == 2)).cast("int").alias("second"))
 
 
 @query("SELECT doc, (2 + 5 * (row_number() OVER (PARTITION BY doc ORDER BY id) - 1))::BIGINT AS node_id, (row_number() OVER (PARTITION BY doc ORDER BY id) - 1)::INTEGER AS ord, l_partkey::VARCHAR AS part FROM items WHERE l_returnflag <> 'R'")
 def delete_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
     kept = edit.delete(n, find.find_all(n, "item", "flag", "R"))
-    return _items(kept).select(DOC, "node_id", "ord", find.attr("part").alias("part"))
+    return _items(kept).select(doc(), "node_id", "ord", find.attr("part").alias("part"))
 
 
 @query("SELECT doc, 5 * n - 4 AS rest_last, 4::BIGINT AS cut_last, 0 AS cut_depth, l_quantity::BIGINT AS qty FROM items WHERE k = 0")
@@ -327,7 +331,7 @@ def remove_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = rest.filter("node_id = 1").select("doc_id", F.col("last_desc").alias("rest_last"))
     item = cut.filter("node_id = 0").select("doc_id", F.col("last_desc").alias("cut_last"), F.col("depth").alias("cut_depth"))
     qty = cut.filter("node_id = 2").select("doc_id", F.col("int_value").alias("qty"))
-    return left.join(item, "doc_id").join(qty, "doc_id").select(DOC, "rest_last", "cut_last", "cut_depth", "qty")
+    return left.join(item, "doc_id").join(qty, "doc_id").select(doc(), "rest_last", "cut_last", "cut_depth", "qty")
 
 
 @query("""SELECT docs.doc, '<?xml version="1.0"?><order id="' || docs.doc || '" status="' || any_value(status) || '"' || CASE WHEN count(id) = 0 THEN '/>' ELSE '>' ||
@@ -335,7 +339,7 @@ def remove_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM docs LEFT JOIN items ON items.doc = docs.doc GROUP BY docs.doc""")
 def save_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is loaded and saved is as it was written; prices are read as integers here, as %g keeps six digits only."""
-    return to_documents(nodes(spark, sf_dir, LoadOptions(type_of=whole_types))).select(DOC, "xml")
+    return to_documents(nodes(spark, sf_dir, LoadOptions(type_of=whole_types))).select(doc(), "xml")
 
 
 _ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '''', '&apos;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
@@ -343,20 +347,20 @@ _ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '''', '&a
 
 @query(f"SELECT doc_id AS doc, '<?xml version=\"1.0\"?><doc lang=\"' || lang || '\"' || CASE WHEN length(coalesce(text, '')) = 0 THEN '/>' ELSE '>' || {_ESCAPED.format('text')} || '</doc>' END AS xml FROM documents")
 def save_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_documents(shred(texts(spark, sf_dir), options=OPAQUE)).select(DOC, "xml")
+    return to_documents(shred(texts(spark, sf_dir), options=OPAQUE)).select(doc(), "xml")
 
 
 @query("SELECT p_partkey AS doc, '<?xml version=\"1.0\"?><part>' || printf('%g', p_retailprice) || '</part>' AS xml FROM part")
 def save_real_g(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     made = p.select(F.col("p_partkey").cast("string").alias("doc_id"), F.concat(F.lit('<?xml version="1.0"?><part>'), F.col("p_retailprice").cast("string"), F.lit("</part>")).alias("xml"))
-    return to_documents(shred(made, options=LoadOptions("REAL"))).select(DOC, "xml")
+    return to_documents(shred(made, options=LoadOptions("REAL"))).select(doc(), "xml")
 
 
 @query("SELECT event_id AS doc, props AS note FROM events")
 def entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = shred(event_log(spark, sf_dir), options=OPAQUE)
-    return values.value_of(n, find.find_all(n, "note"), "OPAQUE").select(DOC, F.col("value").alias("note"))
+    return values.value_of(n, find.find_all(n, "note"), "OPAQUE").select(doc(), F.col("value").alias("note"))
 
 
 @query("SELECT c_custkey AS doc, chr(8364) || c_name || chr(169) AS word FROM customer")
@@ -364,20 +368,20 @@ def entity_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     made = c.select(F.col("c_custkey").cast("string").alias("doc_id"), F.concat(F.lit("<c>&cur;"), escape(F.col("c_name")), F.lit("&#xa9;</c>")).alias("xml"))
     n = shred(made, options=LoadOptions("OPAQUE", entities={"cur": 0x20AC}))
-    return values.value_of(n, n.filter("name = 'c'"), "OPAQUE").select(DOC, F.col("value").alias("word"))
+    return values.value_of(n, n.filter("name = 'c'"), "OPAQUE").select(doc(), F.col("value").alias("word"))
 
 
 @query("SELECT event_id AS doc, floor(epoch(ts))::BIGINT AS seconds FROM events")
 def custom_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = shred(event_log(spark, sf_dir), options=TIMES)
-    return values.value_of(n, find.find_all(n, "at"), "CUSTOM").select(DOC, F.col("value").cast("long").alias("seconds"))
+    return values.value_of(n, find.find_all(n, "at"), "CUSTOM").select(doc(), F.col("value").cast("long").alias("seconds"))
 
 
 @query("SELECT page_id AS doc, TRUE AS fatal FROM pages")
 def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages are no such documents: each has tags that stay open, so each load fails."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("html").alias("xml"))
-    return load_errors(pages).filter("fatal").select(DOC, "fatal")
+    return load_errors(pages).filter("fatal").select(doc(), "fatal")
 
 
 def queries() -> dict[str, Query]:

@@ -26,7 +26,7 @@ def rows(table):
 
 @pytest.mark.parametrize("name", queries())
 def test_query(spark, duck, name):
-    assert rows(queries()[name](spark, DIR).toArrow()) == rows(duck.sql(oracle_sql()[name]).fetch_arrow_table())
+    assert rows(queries()[name](spark, DIR).toArrow()) == rows(duck.sql(oracle_sql()[name]).to_arrow_table())
 
 
 def test_entry_without_the_operators_for_training_data():
