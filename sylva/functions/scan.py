@@ -18,6 +18,9 @@ _ENTITY = re.compile("&([A-Za-z0-9#]*)(;?)")
 _TAG_NAME = re.compile("[^ \t\r\n></]*")
 _ATTR_NAME = re.compile("[^ \t\r\n=/>?]*")
 _BARE_VALUE = re.compile("[^ \t\r\n=/>]*")
+_ODD_NAME = re.compile("[\"#$%'()*+,]")  # characters below '0' but for ! - . / &
+_PLAIN_ATTR = re.compile("[ \t\r\n]*([^ \t\r\n=/>?<\"'&]+)=(?:\"([^\"&]*)\"|'([^'&]*)')")
+_SPLIT = re.compile("[ \t\r\n]+")
 _BLANKS = re.compile("[ \t\r\n]*")
 _COMMENT = re.compile(".*?[^-](?=-->)", re.DOTALL)
 _INTEGER = re.compile(r"\s*([+-]?)(0[xX][0-9a-fA-F]+|0[0-7]*|[1-9][0-9]*)")
@@ -164,6 +167,11 @@ class Scanner:
     def _attributes(self, at: int, element: str) -> tuple[list[tuple[str, str]], str, int]:
         """Attributes from `at` on, the character that ended the tag, and the place after it."""
         text, attrs = self.text, []
+        while m := _PLAIN_ATTR.match(text, at):
+            if any(a[0] == m[1] for a in attrs):
+                break
+            attrs.append((m[1], m[2] if m[2] is not None else m[3]))
+            at = m.end()
         while (at := _BLANKS.match(text, at).end()) < len(text):
             c = text[at]
             if c in "/?":
@@ -214,7 +222,7 @@ class Scanner:
             if kind in ("OPAQUE", "CUSTOM"):
                 tokens, trailing = [(run, False)] if run and not last else [], False
             else:
-                parts = re.split("[ \t\r\n]+", run) if run else []
+                parts = _SPLIT.split(run) if run else []
                 trailing = bool(parts) and not parts[-1]
                 tokens = [(p, i > 0) for i, p in enumerate(parts) if p]
                 tokens = tokens[:-1] if last and tokens and not trailing else tokens
@@ -259,7 +267,7 @@ class Scanner:
             name = text[at:end]
             if "<" in text[at : end + 1]:
                 raise Failure("Bare < in a tag", at)
-            if any(c < "0" and c not in "!-./&" for c in re.sub(_ENTITY, "", name)):
+            if _ODD_NAME.search(_ENTITY.sub("", name) if "&" in name else name):
                 raise Failure("", at)
             if name[:1] == "!":
                 close = text.find(">", at)

@@ -99,6 +99,17 @@ def read_files(spark: SparkSession, path: str, options: LoadOptions | None = Loa
     return shred(files, "content", "path", options)
 
 
+def register_sql(spark: SparkSession, name: str = "shred", options: LoadOptions | None = LoadOptions()) -> None:
+    """Make shredding a table function of SQL: SELECT d.*, n.* FROM d, LATERAL shred(d.doc_id, d.xml) n."""
+
+    class Shred:
+        def eval(self, doc_id, xml):  # noqa: ANN001, ANN202
+            if xml is not None:
+                yield from node_rows(str(doc_id), xml, options)
+
+    spark.udtf.register(name, F.udtf(Shred, returnType=NODE))
+
+
 class XmlSource(DataSource):
     """spark.read.format("sylva_xml"): the node table of documents given by a function, as a read callback would give them.
 

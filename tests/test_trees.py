@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sylva.functions.schema import LoadOptions, SaveOptions, type_by_attribute
 from sylva.operators import edit, find, index, nav, values
 from sylva.sources.save import saved_size, to_documents, write_files
-from sylva.sources.xml import XmlSource, events, load_errors, read_files, shred
+from sylva.sources.xml import XmlSource, events, load_errors, read_files, register_sql, shred
 from sylva.streaming.sax import event_counts, retained, stream_files, until_stop
 from tests.documents import OPTIONS, pretty
 
@@ -175,6 +175,13 @@ def test_sources(spark, tmp_path):
     assert sorted((r["doc_id"], r["int_value"]) for r in got.filter("node_type = 'INTEGER'").collect()) == [("p0", 0), ("p1", 1), ("p2", 2)]
 
 
+def test_sql_function(spark):
+    register_sql(spark)
+    frame(spark, "<a x='1'><b>one</b></a>", None).createOrReplaceTempView("held")
+    got = spark.sql("SELECT h.doc_id AS d, n.node_id, n.name, n.str_value FROM held h, LATERAL shred(h.doc_id, h.xml) n ORDER BY node_id").collect()
+    assert [tuple(r) for r in got] == [("d0", 0, "a", None), ("d0", 1, "b", None), ("d0", 2, None, "one")]
+
+
 def some_documents(part, parts):
     yield f"p{part}", b"<a>%d</a>" % part
 
