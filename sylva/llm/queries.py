@@ -81,8 +81,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from corpus_pipeline import ORACLE_SQL as _  # noqa: F401  the pipeline belongs to this subpackage
-
     own = [op1_line_dedup, op2_bpe, op3_packing, op4_near_dedup, op5_chat, op6_substring_dedup, op7_quality, op8_urls, op9_lm_scores, op10_media, pipeline]
     return {f.__name__: f for f in own}
 
