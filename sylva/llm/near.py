@@ -3,8 +3,9 @@
 Documents with one shingle set make up a class; its smallest doc_id stands for it. Signatures of the representatives
 are cut into bands, and a band's bucket proposes pairs with its most central member. A pair's signatures are compared
 batch by batch; it is pruned as soon as the posterior chance that its similarity reaches the threshold is below the miss
-probability, and the survivors are verified exactly on their whole sets. Links make components. Members of a bucket that
-are then still apart are compared with each other in further rounds, until no bucket proposes a pair that is new.
+probability, and the survivors are verified exactly on their whole sets. Links make components. Where members of a bucket are
+then still apart, the buckets that share members are a cluster; its members are dealt into blocks, and every two blocks
+meet in a task that compares those of different components in the same way and reports only links that join some.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from sylva.llm.kernels import Words, mix, runs, slices
 from sylva.llm.shared import Tables
 
 SHINGLE = 5
+#: Members of a block: a sixteenth of a cluster, within these bounds. Two blocks and their sets meet in one task.
+LEAST_BLOCK, MOST_BLOCK = 64, 1024
 
 
 @lru_cache(4)
@@ -147,6 +150,60 @@ def _verify(percent: int):
     return rows
 
 
+def intersections(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set shares with each other one, by products of incidence matrices; a stretch of elements at a time."""
+    values, place = np.unique(np.concatenate([*sets, *others]), return_inverse=True)
+    row = np.repeat(np.arange(len(sets) + len(others)), [len(s) for s in (*sets, *others)])
+    often = np.bincount(place, minlength=len(values)) > 1
+    row, place = row[often[place]], (np.cumsum(often) - 1)[place[often[place]]]
+    out = np.zeros((len(sets), len(others)), np.float32)
+    for low in range(0, int(often.sum()), 4096):
+        part = (place >= low) & (place < low + 4096)
+        held = np.zeros((len(sets) + len(others), 4096), np.float32)
+        held[row[part], place[part] - low] = 1
+        out += held[: len(sets)] @ held[len(sets) :].T
+    return out.astype(np.int64)
+
+
+def _compare(percent: int, miss: float):
+    """Links between the components of two blocks of a cluster (or inside one block): no more than join them."""
+
+    def block(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        at, c = table["block"].to_numpy(), table["c"].to_numpy()
+        x, y = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(len(at), -1)
+        left, right = np.nonzero((c[x][:, None] != c[y]) & ((i != j) | (np.arange(len(x))[:, None] < np.arange(len(y)))))
+        alive = np.zeros(len(left), bool)
+        for k in range(0, len(left), 1 << 15):
+            part = slice(k, k + (1 << 15))
+            alive[part] = survives(sig[x[left[part]]], sig[y[right[part]]], percent / 100, miss)
+        left, right = left[alive], right[alive]
+        joins: list[tuple[int, int]] = []
+        if len(left):
+            rows, columns = np.unique(left), np.unique(right)
+            sets = [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]
+            a, b = [sets[k] for k in x[rows]], [sets[k] for k in y[columns]]
+            common = intersections(a, b)
+            total = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])
+            linked = (100 * common >= percent * (total - common))[np.searchsorted(rows, left), np.searchsorted(columns, right)]
+            up: dict[int, int] = {}
+
+            def root(k: int) -> int:
+                while k in up:
+                    k = up[k]
+                return k
+
+            for p, q in np.unique(np.stack([c[x[left[linked]]], c[y[right[linked]]]], 1), axis=0).tolist():
+                p, q = sorted((root(p), root(q)))
+                if p != q:
+                    up[q] = p
+                    joins.append((q, p))
+        return pa.table({"a": pa.array([p for p, _ in joins], pa.int64()), "b": pa.array([q for _, q in joins], pa.int64())})
+
+    return block
+
+
 def _attach(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """pairs (a, b) with column_a and column_b of values (node, column)."""
     for side in "ab":
@@ -185,31 +242,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85, hashes: int = 128, width
     ordered = [F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")]
     pairs = members.join(pivot, "bucket").filter((F.col("doc_id") != F.col("pivot")) & near_size).select(*ordered).distinct()
 
-    sigs = reps.select(F.col("doc_id").alias("node"), "sig")
+    sigs = tables.keep(reps.select(F.col("doc_id").alias("node"), "sig").join(members.select(F.col("doc_id").alias("node")).distinct(), "node"), "sigs")
+    wanted = sigs.select(F.col("node").alias("doc_id"))
+    sets = tables.keep(text.join(wanted, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets, "node long, set binary"), "sets")
     # Classes that hold rows of one doc_id are one node.
     several = known.join(classes.select("digest", "class_id"), "digest").groupBy("doc_id").agg(F.min("class_id").alias("b"), F.collect_set("class_id").alias("all")).filter(F.size("all") > 1)
-    links = tables.keep(several.select(F.explode("all").alias("a"), "b").filter("a != b"), "links0")
-    component = components(links, tables, "cc0")
-    seen, turn = spark.createDataFrame([], "a long, b long"), 0
-    while True:
-        turn += 1
-        pairs = tables.keep(pairs, f"pairs{turn}")
-        if pairs.isEmpty():
-            break
-        close = tables.keep(_attach(pairs, sigs, "sig").mapInArrow(_prune(percent / 100, miss), "a long, b long"), f"close{turn}")
-        needed = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = text.join(needed, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets, "node long, set binary")
-        found = _attach(close, sets, "set").mapInArrow(_verify(percent), "a long, b long")
-        links = tables.keep(links.unionByName(found), f"links{turn}")
-        seen = seen.unionByName(pairs)
-        component = components(links, tables, f"cc{turn}")
-        # Members of one bucket in different components, not compared yet: those outside its pivot's component with all others.
-        placed = members.join(component, members["doc_id"] == component["node"], "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("c"))
-        placed = tables.keep(placed, f"placed{turn}")
-        main = placed.join(pivot.select("bucket", F.col("pivot").alias("doc_id")), ["bucket", "doc_id"]).select("bucket", F.col("c").alias("main"))
-        rest = placed.join(main, "bucket").filter("c != main").select("bucket", F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("pivot_n"), F.col("c").alias("other"))
-        cross = placed.join(rest, "bucket").filter((F.col("c") != F.col("other")) & near_size)
-        pairs = cross.select(*ordered).distinct().join(seen, ["a", "b"], "left_anti")
+    close = tables.keep(_attach(pairs, sigs, "sig").mapInArrow(_prune(percent / 100, miss), "a long, b long"), "close")
+    links = _attach(close, sets, "set").mapInArrow(_verify(percent), "a long, b long").unionByName(several.select(F.explode("all").alias("a"), "b"))
+    stars = components(links, tables, "stars")
+
+    # Buckets with a pair that is not compared yet and not joined by links: three members or more, in several components.
+    placed = members.filter("n > 2").join(stars, members["doc_id"] == stars["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
+    open_edges = members.join(mixed, "bucket").join(pivot, "bucket").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    cluster = components(open_edges, tables, "open")
+    cluster = tables.keep(cluster.unionByName(cluster.select(F.col("component").alias("node"), "component").distinct()), "clusters")
+    sizes = cluster.groupBy("component").agg(F.ceil(F.count("*") / F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.count("*") / 16)))).alias("blocks"))
+    blocked = cluster.join(sizes, "component").join(stars.withColumnRenamed("component", "c"), "node", "left")
+    blocked = blocked.select(F.col("component").alias("cluster"), "node", F.coalesce("c", "node").alias("c"), F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")
+    dealt = blocked.join(sigs, "node").join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "c", "sig", "set")
+    found = tables.keep(dealt.groupBy("cluster", "i", "j").applyInArrow(_compare(percent, miss), "a long, b long"), "found")
+    joined = components(found, tables, "joined")
+    further = stars.join(joined.select(F.col("node").alias("component"), F.col("component").alias("last")), "component", "left").select("node", F.coalesce("last", "component").alias("component"))
+    heads = joined.join(stars.select("node"), "node", "left_anti")
+    component = further.unionByName(heads)
     member = profile.join(classes.select("digest", "class_id"), "digest", "left")
     member = member.join(component, member["class_id"] == component["node"], "left")
     own = F.coalesce("component", "class_id", "doc_id")

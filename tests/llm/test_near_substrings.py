@@ -99,3 +99,47 @@ def test_windows():
 
 def test_repeats_empty(nothing):
     assert remove_repeats(nothing).collect() == []
+
+
+def test_a_large_cluster(spark, monkeypatch):
+    """Hundreds of near copies at all distances from their origin, in many blocks: every link that joins components is found."""
+    import random
+
+    rng = random.Random(11)
+    origin = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(origin))]
+    for i in range(1, 260):
+        w = list(origin)
+        for _ in range(rng.randint(0, 7)):
+            k = rng.randrange(120)
+            w[k] = f"x{k}" if rng.random() < 0.5 else f"y{rng.randrange(99)}"
+        rows.append((i, " ".join(w)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert Counter(map(tuple, got)) == components(rows, 85)
+
+
+def test_intersections():
+    from sylva.llm.near import intersections
+
+    rng = np.random.default_rng(8)
+    a, b = ([np.unique(rng.integers(0, 9000, rng.integers(1, 6000), dtype=np.uint64)) for _ in range(n)] for n in (5, 7))
+    assert intersections(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+
+
+def test_components(spark):
+    import random
+
+    from sylva.llm.graph import components
+    from sylva.llm.shared import Tables
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(45)] + [(300, 301 + i) for i in range(30)] + [(7, 7), (40, 39)]
+    up = {}
+    for a, b in edges:
+        up.setdefault(a, a), up.setdefault(b, b)
+    for _ in range(100):
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    got = components(spark.createDataFrame(edges, "a long, b long"), Tables(spark, "test")).collect()
+    assert {r["node"]: r["component"] for r in got} == {a: b for a, b in up.items() if a != b} and len(got) == len({r["node"] for r in got})
+    assert components(spark.createDataFrame([], "a long, b long"), Tables(spark, "test")).collect() == []
