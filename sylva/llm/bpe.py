@@ -13,6 +13,7 @@ import hashlib
 import json
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -233,7 +234,7 @@ def _hold(path: str):
                 for x in own or []:
                     chunk = text[x["start"] : x["start"] + x["size"]]
                     a, b = body(chunk)
-                    out.append((x["hash"], x["size"], a, encode(chunk[a:b]), b - a))
+                    out.append((x["hash"], x["size"], a, zlib.compress(encode(chunk[a:b]), 1), b - a))
             yield pa.record_batch([list(c) for c in zip(*out)] if out else [[], [], [], [], []], schema=schema)
 
     return rows
@@ -248,7 +249,8 @@ def _finish(path: str, with_ids: bool):
         for batch in batches:
             out = []
             for k, text, reused in zip(batch["k"].to_pylist(), text_bytes(batch["text"]), batch["reused"].to_pylist()):
-                parts = [(x["start"] + x["lead"], x["start"] + x["lead"] + x["bytes"], x["ids"]) for x in reused or [] if x["bytes"]]
+                at = {x["start"] + x["lead"]: x for x in reused or [] if x["bytes"]}  # repeated rows give a part several times
+                parts = [(start, start + x["bytes"], zlib.decompress(x["ids"])) for start, x in at.items()]
                 ids = repair(e.encode, text, parts) if parts else e.encode(text)
                 decoded = e.decode(ids)
                 own = (None if k == NO_ID else k, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(parts))
@@ -273,6 +275,6 @@ def encode_decode(docs: DataFrame, tokenizer: str, bits: int = 10, with_ids: boo
     texts = keyed(docs)
     held = texts.join(own, ["k", "h"]).select("text", "own").mapInArrow(_hold(tokenizer), "hash binary, size int, lead int, ids binary, bytes int")
     held = held.dropDuplicates(["hash", "size"])  # a repeated row holds its chunks again
-    reused = chunks.distinct().join(held, ["hash", "size"]).groupBy("k", "h").agg(F.collect_list(F.struct("start", "lead", "bytes", "ids")).alias("reused"))
+    reused = chunks.join(held, ["hash", "size"]).groupBy("k", "h").agg(F.collect_list(F.struct("start", "lead", "bytes", "ids")).alias("reused"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chunks_reused long"
     return texts.join(reused, ["k", "h"], "left").select("k", "text", "reused").mapInArrow(_finish(tokenizer, with_ids), schema + (", ids binary, decoded string" if with_ids else ""))
