@@ -14,6 +14,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,8 +48,8 @@ class Encoder:
     text's ids are its words' ids in turn; __init__ refuses a tokenizer of which that isn't known.
     """
 
-    MOST_WORDS = 300_000
-    _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    MOST_WORDS = 600_000
+    _PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")  # without the < of special tokens
     _PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
     def __init__(self, path: str):
@@ -60,36 +61,37 @@ class Encoder:
         form = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
         split = ((form["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-        if steps != NORMALIZER or split.get("pattern") != {"Regex": SPLIT} or form["decoder"] is not None:
+        marked = all("<" in x["content"] for x in form["added_tokens"])
+        if steps != NORMALIZER or split.get("pattern") != {"Regex": SPLIT} or form["decoder"] is not None or not marked:
             raise ValueError(f"{path}: not known to encode words independently of each other")
-        self._special = [x["content"].encode() for x in form["added_tokens"]]
         self._words: dict[bytes, bytes] = {}
         self._parts: dict[str, bytes] = {}
         self._letters = _byte_letters()
         self._names: list[bytes] | None = None
 
     def _part(self, part: str) -> bytes:
-        ids = self._parts.get(part)
-        if ids is None:
-            mapped = part if part.isascii() else "".join(self._letters[b] for b in part.encode())
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self._parts) >= self.MOST_WORDS:
-                self._parts.clear()
-            self._parts[part] = ids
+        mapped = part if part.isascii() else "".join([self._letters[b] for b in part.encode()])
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        if len(self._parts) >= self.MOST_WORDS:
+            self._parts.clear()
+        self._parts[part] = ids
         return ids
 
     def _learn(self, words: set[bytes]) -> None:
-        hard = []
+        hard, known, part = [], self._parts.get, self._part
         for word in words:
             s = word.decode()
-            if self._PLAIN.fullmatch(s) and not any(x in word for x in self._special):
-                self._words[word] = b"".join(map(self._part, self._PARTS.findall(s.lower())))
+            if s.isascii() and s.isalpha():
+                s = s.lower()
+                self._words[word] = known(s) or part(s)
+            elif self._PLAIN.fullmatch(s):
+                self._words[word] = b"".join([known(p) or part(p) for p in self._PARTS.findall(s.lower())])
             else:
                 hard.append(word)
         for k in range(0, len(hard), 1000):
             some = hard[k : k + 1000]
             for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self._words[word] = np.array(e.ids, "<u4").tobytes()
+                self._words[word] = array("I", e.ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """ids of a text in UTF-8, as little-endian unsigned 32-bit integers."""
