@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,20 @@ def nodes(spark: SparkSession, sf_dir: str, options: LoadOptions | None = TYPED)
     return shred(orders(spark, sf_dir), options=options)
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' node table, loaded once for all queries of a session that look at it from several sides.
+
+    It is kept compressed in memory, what doesn't fit on disk; parts of lost executors are loaded again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = nodes(spark, sf_dir)
+    return _stored[key].persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _items(n: DataFrame) -> DataFrame:
     return find.find_all(n, "item")
 
@@ -89,36 +104,36 @@ def find_by_attr_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT docs.doc, min(id) AS node_id FROM docs LEFT JOIN items ON items.doc = docs.doc AND l_returnflag = 'R' GROUP BY 1")
 def find_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = stored(spark, sf_dir)
     return find.find(n, _from(n, 0), "item", "flag", "R", "ALL").select(doc(), F.col("found.node_id").alias("node_id"))
 
 
 @query("SELECT f.doc, min(id) AS node_id FROM (SELECT doc FROM docs WHERE n > 0) f LEFT JOIN items ON items.doc = f.doc AND k > 0 AND l_returnflag = 'N' GROUP BY 1")
 def find_next_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = stored(spark, sf_dir)
     return find.find(n, _from(n, 2), "item", "flag", "N", "NONE").select(doc(), F.col("found.node_id").alias("node_id"))
 
 
 @query("SELECT docs.doc, min(id) AS node_id FROM docs LEFT JOIN items ON items.doc = docs.doc AND l_returnflag = 'N' GROUP BY 1")
 def find_first_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = stored(spark, sf_dir)
     return find.find(n, _from(n, 1), "item", "flag", "N", "FIRST").select(doc(), F.col("found.node_id").alias("node_id"))
 
 
 @query("SELECT doc, id + 2 AS node_id, l_quantity::BIGINT AS value FROM items WHERE k = 0")
 def path_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find_path(nodes(spark, sf_dir), "order/item/qty").select(doc(), "node_id", F.col("int_value").alias("value"))
+    return find.find_path(stored(spark, sf_dir), "order/item/qty").select(doc(), "node_id", F.col("int_value").alias("value"))
 
 
 @query("SELECT doc, id + 4 AS node_id, round(l_extendedprice * 100)::BIGINT AS value FROM items WHERE k = 0")
 def path_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find_path(nodes(spark, sf_dir), "*/price").select(doc(), "node_id", F.col("real_value").cast("long").alias("value"))
+    return find.find_path(stored(spark, sf_dir), "*/price").select(doc(), "node_id", F.col("real_value").cast("long").alias("value"))
 
 
 @query("SELECT doc, CASE WHEN l_returnflag = 'R' THEN id + 5 END AS node_id FROM items WHERE k = 0 AND l_returnflag = 'R'")
 def path_no_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mark under the items with flag R is found only if the first item has it: the first match of a segment is never left again."""
-    n = nodes(spark, sf_dir)
+    n = stored(spark, sf_dir)
     marked = find.find_all(n, "item", "flag", "R").groupBy("doc_id").agg(F.min("node_id").alias("node_id"))
     mark = edit.new_node(marked.select("doc_id"), "ELEMENT", F.lit("mark"))
     return find.find_path(edit.append(n, mark, marked), "order/item/mark").select(doc(), "node_id")
@@ -126,28 +141,28 @@ def path_no_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, id AS node_id, up AS parent_id, last AS last_desc, (row_number() OVER (PARTITION BY doc ORDER BY id))::INTEGER AS pos FROM tree")
 def walk_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = stored(spark, sf_dir)
     return n.select(doc(), "node_id", "parent_id", "last_desc", (F.col("node_id") + 1).cast("int").alias("pos"))
 
 
 @query("SELECT doc, id AS node_id, lead(id) OVER (PARTITION BY doc ORDER BY id) AS next FROM tree")
 def walk_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_next(nodes(spark, sf_dir)).select(doc(), "node_id", "next")
+    return nav.walk_next(stored(spark, sf_dir)).select(doc(), "node_id", "next")
 
 
 @query("SELECT tree.doc, id AS node_id, CASE WHEN id > 0 AND last + 1 <= 1 + 5 * n THEN last + 1 END AS next FROM tree JOIN docs ON docs.doc = tree.doc")
 def walk_next_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_next(nodes(spark, sf_dir), "NONE").select(doc(), "node_id", "next")
+    return nav.walk_next(stored(spark, sf_dir), "NONE").select(doc(), "node_id", "next")
 
 
 @query("SELECT doc, id AS node_id, CASE WHEN id > 1 THEN lag(id) OVER (PARTITION BY doc ORDER BY id) END AS prev FROM tree")
 def walk_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_prev(nodes(spark, sf_dir)).select(doc(), "node_id", "prev")
+    return nav.walk_prev(stored(spark, sf_dir)).select(doc(), "node_id", "prev")
 
 
 @query("SELECT doc, id AS node_id, CASE WHEN id > 0 THEN coalesce(lag(id) OVER (PARTITION BY doc, up ORDER BY id), CASE WHEN up > 0 THEN up END) END AS prev FROM tree")
 def walk_prev_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_prev(nodes(spark, sf_dir), "NONE").select(doc(), "node_id", "prev")
+    return nav.walk_prev(stored(spark, sf_dir), "NONE").select(doc(), "node_id", "prev")
 
 
 @query("SELECT doc, id AS node_id, up AS parent, CASE WHEN last > id THEN id + 1 END AS first_child FROM tree")
@@ -157,7 +172,7 @@ def nav_parent_first_child(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT t.doc, t.id AS node_id, max(c.id) AS last_child FROM tree t LEFT JOIN tree c ON c.doc = t.doc AND c.up = t.id GROUP BY ALL")
 def nav_last_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.last_child(nodes(spark, sf_dir)).select(doc(), "node_id", "last_child")
+    return nav.last_child(stored(spark, sf_dir)).select(doc(), "node_id", "last_child")
 
 
 @query("SELECT doc, id AS node_id, CASE WHEN up IS NOT NULL THEN lead(id) OVER (PARTITION BY doc, up ORDER BY id) END AS next_sibling, CASE WHEN up IS NOT NULL THEN lag(id) OVER (PARTITION BY doc, up ORDER BY id) END AS prev_sibling FROM tree")
@@ -167,7 +182,7 @@ def nav_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT a.doc, b.id AS node_id, a.id AS ancestor FROM tree a JOIN tree b ON a.doc = b.doc AND b.id > a.id AND b.id <= a.last")
 def nav_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.ancestors(nodes(spark, sf_dir)).select(doc(), "node_id", "ancestor")
+    return nav.ancestors(stored(spark, sf_dir)).select(doc(), "node_id", "ancestor")
 
 
 @query("SELECT doc, id AS node_id, l_linenumber::VARCHAR AS line, l_partkey::VARCHAR AS part, NULL::VARCHAR AS missing FROM items")
@@ -195,14 +210,14 @@ def value_own(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, id + 1 AS node_id, l_quantity::BIGINT AS value FROM items UNION ALL SELECT doc, id + 3, 0 FROM items")
 def value_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = stored(spark, sf_dir)
     of = n.filter(F.col("name").isin("qty", "price"))
     return values.value_of(n, of, "INTEGER").select(doc(), "node_id", "value")
 
 
 @query("SELECT doc, id + 3 AS node_id, round(l_extendedprice * 100)::BIGINT AS cents FROM items")
 def value_real(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = stored(spark, sf_dir)
     return values.value_of(n, find.find_all(n, "price"), "REAL").select(doc(), "node_id", F.col("value").cast("long").alias("cents"))
 
 
@@ -276,7 +291,7 @@ def clear_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc, id + 1 AS node_id, 2 * l_quantity::BIGINT AS value FROM items")
 def set_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities doubled through their elements: the setter reaches an element's first child."""
-    n = nodes(spark, sf_dir)
+    n = stored(spark, sf_dir)
     qty = find.find_all(n, "qty")
     doubled = values.value_of(n, qty, "INTEGER").select("doc_id", "node_id", (2 * F.col("value")).alias("value"))
     changed = edit.set_value(n, doubled, "INTEGER")
@@ -299,7 +314,7 @@ def _notes(n: DataFrame) -> DataFrame:
 @query("SELECT doc, 2 AS note_id, 3 + 5 * n AS last_id, 'n' || doc AS word, CASE WHEN n > 0 THEN 4 END AS item_id FROM docs")
 def add_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note as the order's first child."""
-    n = nodes(spark, sf_dir)
+    n = stored(spark, sf_dir)
     at = n.filter("node_id = 1").select("doc_id", F.lit(1).cast("long").alias("parent"), F.lit(None).cast("long").alias("child"))
     m = edit.add(n, _notes(n), at, "BEFORE")
     is_note, is_item = F.col("name") == "note", F.col("name") == "item"
@@ -309,7 +324,7 @@ def add_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc, 7 AS note_id, 8 AS word_id, n::INTEGER AS n_items, 3 + 5 * n AS root_last, CASE WHEN n > 1 THEN 9 END AS second FROM docs WHERE n > 0")
 def add_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note after the order's first item."""
-    n = nodes(spark, sf_dir)
+    n = stored(spark, sf_dir)
     at = n.filter("node_id = 2").select("doc_id", F.lit(1).cast("long").alias("parent"), F.lit(2).cast("long").alias("child"))
     m = edit.add(n, _notes(n), at).join(at.select("doc_id"), "doc_id")
     first = lambda test: F.min(F.when(test, F.col("node_id")))
@@ -318,7 +333,7 @@ def add_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, (2 + 5 * (row_number() OVER (PARTITION BY doc ORDER BY id) - 1))::BIGINT AS node_id, (row_number() OVER (PARTITION BY doc ORDER BY id) - 1)::INTEGER AS ord, l_partkey::VARCHAR AS part FROM items WHERE l_returnflag <> 'R'")
 def delete_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = stored(spark, sf_dir)
     kept = edit.delete(n, find.find_all(n, "item", "flag", "R"))
     return _items(kept).select(doc(), "node_id", "ord", find.attr("part").alias("part"))
 
@@ -326,7 +341,7 @@ def delete_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc, 5 * n - 4 AS rest_last, 4::BIGINT AS cut_last, 0 AS cut_depth, l_quantity::BIGINT AS qty FROM items WHERE k = 0")
 def remove_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's first item taken out as a document of its own."""
-    n = nodes(spark, sf_dir)
+    n = stored(spark, sf_dir)
     rest, cut = edit.remove(n, n.filter("node_id = 2"))
     left = rest.filter("node_id = 1").select("doc_id", F.col("last_desc").alias("rest_last"))
     item = cut.filter("node_id = 0").select("doc_id", F.col("last_desc").alias("cut_last"), F.col("depth").alias("cut_depth"))
