@@ -22,13 +22,17 @@ from sylva.llm.shared import Tables
 UNIT = 1_000_000
 
 
-def _grams(n: int, part: int, parts: int):
-    """Each text's distinct n-grams in one part of the hash space, with their counts in it. context, suffix: its first and last n-1 words; id: its own."""
-    schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("id", pa.int64()), ("context", pa.int64()), ("suffix", pa.int64()), ("tf", pa.int64())])
+def _grams(n: int, part: int, parts: int, columns: list[str]):
+    """n-grams in one part of the hash space with their counts (tf): each text's if the columns have its key (k, h), else those of a slice of texts.
+
+    context, suffix: an n-gram's first and last n-1 words; id: its own. Equal ones are found by sorting on a hash; where hashes
+    of different ones collide, an n-gram may come in several rows, which add up to its count.
+    """
+    schema = pa.schema([(c, pa.int64()) for c in columns])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, h = batch["k"].to_numpy(), batch["h"].to_numpy()
+            keys = {c: batch[c].to_numpy() for c in ("k", "h")}
             for first, data, bounds in slices(batch["text"]):
                 words = Words(data, bounds)
                 hashes = words.hashes()
@@ -38,14 +42,17 @@ def _grams(n: int, part: int, parts: int):
                     continue
                 ids = runs(hashes, n)
                 place = np.flatnonzero((doc[:m] == doc[n - 1 :]) & (ids % np.uint64(parts) == part))
-                order = place[np.lexsort((ids[place], doc[place]))]
+                by = ids[place] + doc[place].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if "k" in columns else ids[place]
+                order = place[np.argsort(by)]
                 new = np.ones(len(order), bool)
-                new[1:] = (ids[order[1:]] != ids[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+                new[1:] = ids[order[1:]] != ids[order[:-1]]
+                if "k" in columns:
+                    new[1:] |= doc[order[1:]] != doc[order[:-1]]
                 at = order[new]
-                tf = np.diff(np.append(np.flatnonzero(new), len(order)))
                 low = runs(hashes, n - 1) if n > 1 else ids
-                d = first + doc[at]
-                yield pa.record_batch([k[d], h[d], ids[at].view(np.int64), low[at].view(np.int64), low[at + (n > 1)].view(np.int64), tf], schema=schema)
+                made = {"id": ids[at].view(np.int64), "context": low[at].view(np.int64), "suffix": low[at + (n > 1)].view(np.int64), "tf": np.diff(np.append(np.flatnonzero(new), len(order)))}
+                made |= {c: v[first + doc[at]] for c, v in keys.items() if c in columns}
+                yield pa.record_batch([made[c] for c in columns], schema=schema)
 
     return rows
 
@@ -70,16 +77,19 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, factor: float = 0
     """
     spark = docs.sparkSession
     tables, texts = Tables(spark, "scoring"), keyed(docs)
-    kind = "k long, h long, id long, context long, suffix long, tf long"
+
+    def grams(n: int, part: int, parts: int, columns: list[str]) -> DataFrame:
+        return texts.mapInArrow(_grams(n, part, parts, columns), ", ".join(f"{c} long" for c in columns))
+
     lengths = tables.keep(texts.mapInArrow(_lengths, "k long, h long, n_words long"), "lengths")
     total = lengths.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
     sums, shorter = None, None
     for n in range(1, order + 1):
         grown = None
-        for p in range(parts):
-            grams = texts.mapInArrow(_grams(n, p, parts), kind)
+        of_n = 1 if n == 1 else parts  # single words are few enough to go at once
+        for p in range(of_n):
             key = ["id"] if n == 1 else ["context", "suffix"] if n == order else ["context", "suffix", "id"]
-            counts = grams.groupBy(*key).agg(F.sum("tf").alias("c"))
+            counts = grams(n, p, of_n, [*key, "tf"]).groupBy(*key).agg(F.sum("tf").alias("c"))
             if n == 1:
                 logp = F.log(F.col("c") / F.lit(total))
                 rated = counts.select("id", "c", logp.alias("logp"), logp.alias("delta"))
@@ -90,7 +100,9 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, factor: float = 0
                 rated = rated.select(*key, "c", logp.alias("logp"), (logp - F.log(F.lit(factor)) - F.col("suffix_logp")).alias("delta"))
             rated = tables.keep(rated, f"counts{n}_{p}")
             join = key[:2]
-            found = grams.select("k", "h", *join, "tf").join(rated.select(*join, F.round(F.col("delta") * UNIT).cast("long").alias("delta")), join)
+            # Hashing the counted side, one row an n-gram, spares sorting the other.
+            delta = rated.select(*join, F.round(F.col("delta") * UNIT).cast("long").alias("delta")).hint("shuffle_hash")
+            found = grams(n, p, of_n, ["k", "h", *join, "tf"]).join(delta, join)
             found = tables.keep(found.groupBy("k", "h").agg(F.sum(F.col("tf") * F.col("delta")).alias("s")), f"sums{n}_{p}")
             sums = found if sums is None else sums.unionByName(found)
             grown = rated if grown is None else grown.unionByName(rated)
