@@ -225,6 +225,13 @@ def _cut(bits: int):
     return rows
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            yield pa.record_batch([part["k"], part["h"], pa.array([zlib.compress(t, 1) for t in text_bytes(part["text"])], pa.binary())], names=["k", "h", "text"])
+
+
 def _hold(path: str):
     schema = pa.schema([("hash", pa.binary()), ("size", pa.int32()), ("lead", pa.int32()), ("ids", pa.binary()), ("bytes", pa.int32())])
 
@@ -232,7 +239,7 @@ def _hold(path: str):
         encode = encoder(path).encode
         for batch in batches:
             out = []
-            for text, own in zip(text_bytes(batch["text"]), batch["own"].to_pylist()):
+            for text, own in zip(map(zlib.decompress, batch["text"].to_pylist()), batch["own"].to_pylist()):
                 for x in own or []:
                     chunk = text[x["start"] : x["start"] + x["size"]]
                     a, b = body(chunk)
@@ -250,7 +257,7 @@ def _finish(path: str, with_ids: bool):
         e = encoder(path)
         for batch in batches:
             out = []
-            for k, text, reused in zip(batch["k"].to_pylist(), text_bytes(batch["text"]), batch["reused"].to_pylist()):
+            for k, text, reused in zip(batch["k"].to_pylist(), map(zlib.decompress, batch["text"].to_pylist()), batch["reused"].to_pylist()):
                 at = {x["start"] + x["lead"]: x for x in reused or [] if x["bytes"]}  # repeated rows give a part several times
                 parts = [(start, start + x["bytes"], zlib.decompress(x["ids"])) for start, x in at.items()]
                 ids = repair(e.encode, text, parts) if parts else e.encode(text)
@@ -267,14 +274,15 @@ def encode_decode(docs: DataFrame, tokenizer: str, bits: int = 10, with_ids: boo
 
     tokenizer: a tokenizers JSON file that all executors can open. bits: chunks average 2**bits bytes. Null text
     counts as empty (0 tokens), null doc_id stays null, repeated rows give repeated rows, other columns are left.
-    The texts are shuffled once; chunk hashes and reused chunks' ids besides.
+    The texts are shuffled once, compressed; chunk hashes and reused chunks' ids besides.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "bpe")
     chunks = tables.keep(keyed(docs).mapInArrow(_cut(bits), "k long, h long, start int, size int, hash binary"), "chunks")
     holder = chunks.groupBy("hash", "size").agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "start")).alias("at")).filter("n > 1")
     own = holder.groupBy("at.k", "at.h").agg(F.collect_list(F.struct("at.start", "size", "hash")).alias("own"))
-    texts = keyed(docs)
+    # Both joins shuffle the same rows, so one exchange serves them; the filter that the inner join needs is given to both.
+    texts = keyed(docs).mapInArrow(_packed, "k long, h long, text binary").filter("k is not null and h is not null")
     held = texts.join(own, ["k", "h"]).select("text", "own").mapInArrow(_hold(tokenizer), "hash binary, size int, lead int, ids binary, bytes int")
     held = held.dropDuplicates(["hash", "size"])  # a repeated row holds its chunks again
     reused = chunks.join(held, ["hash", "size"]).groupBy("k", "h").agg(F.collect_list(F.struct("start", "lead", "bytes", "ids")).alias("reused"))
