@@ -236,10 +236,13 @@ def _hold(path: str):
     schema = pa.schema([("hash", pa.binary()), ("size", pa.int32()), ("lead", pa.int32()), ("ids", pa.binary()), ("bytes", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode, before = encoder(path).encode, None
         for batch in batches:
             out = []
-            for text, own in zip(map(zlib.decompress, batch["text"].to_pylist()), batch["own"].to_pylist()):
+            for k, h, text, own in zip(batch["k"].to_pylist(), batch["h"].to_pylist(), batch["text"].to_pylist(), batch["own"].to_pylist()):
+                if (k, h) == before:  # a repeated row would hold its chunks again; the join brings such rows side by side
+                    continue
+                before, text = (k, h), zlib.decompress(text)
                 for x in own or []:
                     chunk = text[x["start"] : x["start"] + x["size"]]
                     a, b = body(chunk)
@@ -283,8 +286,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, bits: int = 10, with_ids: boo
     own = holder.groupBy("at.k", "at.h").agg(F.collect_list(F.struct("at.start", "size", "hash")).alias("own"))
     # Both joins shuffle the same rows, so one exchange serves them; the filter that the inner join needs is given to both.
     texts = keyed(docs).mapInArrow(_packed, "k long, h long, text binary").filter("k is not null and h is not null")
-    held = texts.join(own, ["k", "h"]).select("text", "own").mapInArrow(_hold(tokenizer), "hash binary, size int, lead int, ids binary, bytes int")
-    held = held.dropDuplicates(["hash", "size"])  # a repeated row holds its chunks again
+    held = texts.join(own, ["k", "h"]).select("k", "h", "text", "own").mapInArrow(_hold(tokenizer), "hash binary, size int, lead int, ids binary, bytes int")
     reused = chunks.join(held, ["hash", "size"]).groupBy("k", "h").agg(F.collect_list(F.struct("start", "lead", "bytes", "ids")).alias("reused"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chunks_reused long"
     return texts.join(reused, ["k", "h"], "left").select("k", "text", "reused").mapInArrow(_finish(tokenizer, with_ids), schema + (", ids binary, decoded string" if with_ids else ""))
