@@ -57,12 +57,6 @@ def _grams(n: int, part: int, parts: int, columns: list[str]):
     return rows
 
 
-def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = [np.diff(Words(data, bounds).first) for _, data, bounds in slices(batch["text"])]
-        yield pa.record_batch([batch["k"], batch["h"], np.concatenate(n) if n else np.zeros(0, np.int64)], names=["k", "h", "n_words"])
-
-
 def score(docs: DataFrame, order: int = 2, min_count: int = 2, factor: float = 0.4, parts: int = 3) -> DataFrame:
     """doc_id, n_words, score_micro (the sum of log scores, in millionths) and mean_score of every row of docs (doc_id, text).
 
@@ -81,8 +75,6 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, factor: float = 0
     def grams(n: int, part: int, parts: int, columns: list[str]) -> DataFrame:
         return texts.mapInArrow(_grams(n, part, parts, columns), ", ".join(f"{c} long" for c in columns))
 
-    lengths = tables.keep(texts.mapInArrow(_lengths, "k long, h long, n_words long"), "lengths")
-    total = lengths.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
     sums, shorter = None, None
     for n in range(1, order + 1):
         grown = None
@@ -91,6 +83,8 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, factor: float = 0
             key = ["id"] if n == 1 else ["context", "suffix"] if n == order else ["context", "suffix", "id"]
             counts = grams(n, p, of_n, [*key, "tf"]).groupBy(*key).agg(F.sum("tf").alias("c"))
             if n == 1:
+                counts = tables.keep(counts, "words")
+                total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()["n"]
                 logp = F.log(F.col("c") / F.lit(total))
                 rated = counts.select("id", "c", logp.alias("logp"), logp.alias("delta"))
             else:
@@ -103,13 +97,14 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, factor: float = 0
             # Hashing the counted side, one row an n-gram, spares sorting the other.
             delta = rated.select(*join, F.round(F.col("delta") * UNIT).cast("long").alias("delta")).hint("shuffle_hash")
             found = grams(n, p, of_n, ["k", "h", *join, "tf"]).join(delta, join)
-            found = tables.keep(found.groupBy("k", "h").agg(F.sum(F.col("tf") * F.col("delta")).alias("s")), f"sums{n}_{p}")
+            found = tables.keep(found.groupBy("k", "h").agg(F.sum(F.col("tf") * F.col("delta")).alias("s"), F.sum(F.col("tf") if n == 1 else F.lit(0)).cast("long").alias("n_words")), f"sums{n}_{p}")
             sums = found if sums is None else sums.unionByName(found)
             grown = rated if grown is None else grown.unionByName(rated)
         shorter = grown
-    # Repeated rows (one k and h) add up in sums, so each takes its share.
-    rows = lengths.groupBy("k", "h").agg(F.first("n_words").alias("n_words"), F.count("*").alias("copies"))
-    each = rows.join(sums.groupBy("k", "h").agg(F.sum("s").alias("s")), ["k", "h"], "left")
+    # Repeated rows (one k and h) add up in sums, so each takes its share. All words are counted, so they give the lengths, too.
+    rows = texts.groupBy("k", "h").agg(F.count("*").alias("copies"))
+    each = rows.join(sums.groupBy("k", "h").agg(F.sum("s").alias("s"), F.sum("n_words").alias("all_words")), ["k", "h"], "left")
+    each = each.withColumn("n_words", F.coalesce(F.expr("all_words div copies"), F.lit(0)))
     # Places with fewer than order-1 words before them allow fewer n-grams.
     steps = F.lit(0)
     for n in range(1, order):
