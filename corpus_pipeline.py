@@ -16,10 +16,12 @@ from sylva.llm.substrings import remove_repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _with_text(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """docs with the texts of cleaned (doc_id, text) and their n_chars; cleaned has one row for each doc_id."""
-    rest = docs.select("doc_id", "lang", "source")
-    return rest.join(cleaned.select("doc_id", "text"), "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+REST = ("lang", "source")
+
+
+def _counted(cleaned: DataFrame) -> DataFrame:
+    """Rows of documents with the n_chars of their texts."""
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +32,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more hold go."""
     lines = LineDedup(spark, min_docs=10, min_chars=1)
-    return _with_text(docs, lines.apply(lines.insert(lines.empty(), docs), docs, with_text=True))
+    return _counted(lines.apply(lines.insert(lines.empty(), docs), docs, with_text=True, carry=REST))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
-    kept = near_duplicates(docs, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """The document with the smallest doc_id of each group of near duplicates, all its rows; rows without doc_id stay."""
+    kept = near_duplicates(docs, percent=80).filter("kept and doc_id is not null").select("doc_id")
+    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
+    return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages of 50 words or more that a document with a smaller doc_id holds go."""
-    return _with_text(docs, remove_repeats(docs, length=50, with_text=True))
+    return _counted(remove_repeats(docs, length=50, with_text=True, carry=REST))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

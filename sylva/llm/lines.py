@@ -175,13 +175,13 @@ class LineDedup:
         filters = state.tables.keep(old.unionByName(changed).groupBy("shard").applyInPandas(_update_filters, "shard int, filter binary"), f"filters{version}")
         return State(refs.filter("n_docs > 0").select("key", "n_docs"), filters, state.tables, version)
 
-    def apply(self, state: State, docs: DataFrame, with_text: bool = False) -> DataFrame:
+    def apply(self, state: State, docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
         """doc_id, n_lines, n_dropped, kept_sha256 of every row of docs (doc_id, text); with_text: also the kept text.
 
-        Null or empty text is one empty line. Padding-only lines have no key and stay. Null doc_ids stay null,
+        carry: columns of docs that each row keeps, after the others. Null or empty text is one empty line. Padding-only lines have no key and stay. Null doc_ids stay null,
         repeated rows give repeated rows, other columns are left. All lines dropped leaves the empty text.
         """
-        texts, shards = keyed(docs), self.shards
+        texts, shards = keyed(docs, *carry), self.shards
         total = state.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0)).alias("n")).first()["n"]
         sent = self.spark.sparkContext.broadcast({r["shard"]: r["filter"] for r in state.filters.collect()}) if total <= BROADCAST_BYTES else None
         min_chars = self.min_chars
@@ -202,11 +202,11 @@ class LineDedup:
                         rows = [rows[i] for i in np.flatnonzero(hit)]
                     yield pa.record_batch([list(c) for c in zip(*rows)] if rows else [[], [], []], schema=schema)
 
-        hits = texts.mapInArrow(probe, "k long, h long, key binary")
+        hits = texts.select("k", "h", "text").mapInArrow(probe, "k long, h long, key binary")
         often = state.refs.filter(F.col("n_docs") >= self.min_docs).select("key")
         gone = hits.join(often, "key").groupBy("k", "h").agg(F.collect_set("key").alias("gone"))
         fields = [("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())] + [("text", pa.string())] * with_text
-        out_schema = pa.schema(fields)
+        out_schema, names = pa.schema(fields), [*(name for name, _ in fields), *carry]
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -220,7 +220,9 @@ class LineDedup:
                         kept = b"\n".join(lines)
                     own = (None if k == NO_ID else k, n, n - len(lines), hashlib.sha256(kept).hexdigest())
                     out.append((*own, kept.decode()) if with_text else own)
-                yield pa.record_batch([list(c) for c in zip(*out)] if out else [[] for _ in out_schema], schema=out_schema)
+                own = pa.record_batch([list(c) for c in zip(*out)] if out else [[] for _ in out_schema], schema=out_schema)
+                yield pa.record_batch([*own.columns, *(batch[c] for c in carry)], names=names)
 
         kind = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text
-        return texts.join(gone, ["k", "h"], "left").select("k", "text", "gone").mapInArrow(clean, kind)
+        kind = ", ".join([kind, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
+        return texts.join(gone, ["k", "h"], "left").select("k", "text", "gone", *carry).mapInArrow(clean, kind)

@@ -106,9 +106,10 @@ def candidates(hashes: np.ndarray, found: np.ndarray, seed: int, length: int, lo
     return np.flatnonzero(here[:n] & here[high - low : high - low + n])
 
 
-def _cover(length: int, with_text: bool):
+def _cover(length: int, with_text: bool, carry: tuple[str, ...]):
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + [("text", pa.string())] * with_text)
+    names = [*schema.names, *carry]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,18 +131,19 @@ def _cover(length: int, with_text: bool):
                             kept = b"".join([text[: start[0]], *(text[s:e] for s, e, g in zip(start, until, gone.tolist()) if not g)])
                     own = (None if k == NO_ID else k, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest())
                     out.append((*own, kept.decode()) if with_text else own)
-                yield pa.record_batch([list(c) for c in zip(*out)] if out else [[] for _ in schema], schema=schema)
+                made = pa.record_batch([list(c) for c in zip(*out)] if out else [[] for _ in schema], schema=schema)
+                yield pa.record_batch([*made.columns, *(part[c] for c in carry)], names=names)
 
     return rows
 
 
-def remove_repeats(docs: DataFrame, length: int = 13, seed: int = 7, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 13, seed: int = 7, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs (doc_id, text).
 
     A word goes if it lies in a window of `length` words that also starts in a document with a smaller doc_id;
     windows are judged on docs, not on what is left. kept_sha256 is that of the kept words joined by a space. with_text: also
     the text that is left; unchanged where nothing is removed, else without the removed words and the blanks after each.
-    Null text has no words. Rows with one doc_id are one document with several texts: they don't make each other's words
+    carry: columns of docs that each row keeps, after the others. Null text has no words. Rows with one doc_id are one document with several texts: they don't make each other's words
     go. A null doc_id counts as smaller than all others. Texts of fewer than `length` words lose nothing; other columns are
     left. The texts are shuffled to their ids once for each level, the first level's hashes twice.
     """
@@ -149,7 +151,8 @@ def remove_repeats(docs: DataFrame, length: int = 13, seed: int = 7, with_text:
         raise ValueError("seed must lie in 1..length")
     tables = Tables(docs.sparkSession, "substrings")
     chain = levels(seed, length)
-    texts = keyed(docs)
+    whole = keyed(docs, *carry)
+    texts = whole.select("k", "h", "text")
     kind = "k long, h long, w long"
     found = texts.mapInArrow(_emit_seeds(seed, length), kind)
     for i, size in enumerate(chain):
@@ -165,4 +168,6 @@ def remove_repeats(docs: DataFrame, length: int = 13, seed: int = 7, with_text:
             break
         higher = texts.join(again, ["k", "h"]).mapInArrow(_emit_windows(seed, length, size, chain[i + 1]), kind)
         found = tables.keep(higher, f"windows{chain[i + 1]}")
-    return texts.join(again, ["k", "h"], "left").select("k", "text", "found").mapInArrow(_cover(length, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
+    out = ", ".join([out, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
+    return whole.join(again, ["k", "h"], "left").select("k", "text", "found", *carry).mapInArrow(_cover(length, with_text, carry), out)

@@ -42,3 +42,38 @@ def test_stages(spark, corpus, tmp_path):
     assert len({r["sequence_id"] for r in packed}) == best_fit([r["length"] for r in packed], 4096)
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r["doc_id"], r["ids_crc32"]) for r in whole) == Counter((r["doc_id"], r["ids_crc32"]) for r in packed)
+
+
+def test_stages_keep_rows_without_id_and_repeated_ids(spark, corpus, tmp_path):
+    """Each stage gives one row for each row that it keeps, with the row's own lang and source."""
+    long = [r[1] for r in corpus if r[1] and 40 < len(WORD.findall(r[1])) < 100][:3]
+    rows = [r[:2] for r in corpus] + [(None, long[0]), (None, long[0]), (None, long[1] + " more of it"), (9000, long[2] + " once"), (9000, " ".join(f"z{i}" for i in range(60)))]
+    rows = [(d, t, f"l{i % 3}", f"s{i}", len(t or "")) for i, (d, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = [tuple(r) for r in stage(spark, docs, str(tmp_path)).collect()]
+        texts = {r[3]: r[1] for r in out}
+        if name == "quality_rules":
+            m = {r[3]: measured(r[1]) for r in rows}
+            kept = [r for r in rows if not (m[r[3]][0] < 10 or m[r[3]][5] * 5 > m[r[3]][0] or 10 * m[r[3]][2] > 3 * m[r[3]][1] or 2 * m[r[3]][4] > m[r[3]][3])]
+            expected = {r[3]: r[1] for r in kept}
+        elif name == "line_dedup":
+            kept = rows
+            n = Counter(k for r in rows for k in {lower(x.strip(PAD)) for x in r[1].split("\n")} if k)
+            expected = {r[3]: "\n".join(x for x in r[1].split("\n") if n[lower(x.strip(PAD))] < 10) for r in rows}
+        elif name == "near_dedup":
+            alone = {c[0] for c in components(rows, 80) if c[3]}
+            kept = [r for r in rows if r[0] in alone]
+            expected = {r[3]: r[1] for r in kept}
+        else:
+            kept, expected = rows, texts
+            left = Counter((r[0], len(WORD.findall(r[1]))) for r in out)
+            assert left == Counter((d, words - gone) for (d, words, gone, _), n in removed(rows, 50).items() for _ in range(n))
+        assert texts == expected
+        assert Counter((d, lang, source) for d, _, lang, source, _ in out) == Counter((d, lang, source) for d, _, lang, source, _ in kept)
+        assert sum(r[0] is None for r in out) == 3 and sum(r[0] == 0 for r in out) == 3 and all(r[4] == len(r[1]) for r in out)
+        stored = str(tmp_path / name)
+        spark.createDataFrame(out, docs.schema).write.parquet(stored)
+        docs, rows = spark.read.parquet(stored), out
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).filter("piece = 0").collect()
+    assert Counter(r["doc_id"] for r in packed) == Counter(r[0] for r in rows)
