@@ -1,6 +1,6 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-Documents with one shingle set make up a class; its smallest doc_id stands for it. Signatures of the representatives
+Documents with one shingle set make up a class, which is a node with a number of its own. Signatures of the classes
 are cut into bands, and a band's bucket proposes pairs with its most central member. A pair's signatures are compared
 batch by batch; it is pruned as soon as the posterior chance that its similarity reaches the threshold is below the miss
 probability, and the survivors are verified exactly on their whole sets. Links make components. Where members of a bucket are
@@ -89,7 +89,7 @@ def survives(a: np.ndarray, b: np.ndarray, threshold: float, miss: float, batch:
 
 
 def _profile(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +99,7 @@ def _profile(n: int):
                     size.append(len(s))
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     sig.append(signature(s, n).tobytes() if len(s) else None)
-                yield pa.record_batch([part["doc_id"], size, digest, sig], schema=schema)
+                yield pa.record_batch([part["doc_id"], part["h"], size, digest, sig], schema=schema)
 
     return rows
 
@@ -108,18 +108,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            yield pa.record_batch([part["doc_id"], pa.array([s.tobytes() for s in shingle_sets(part["text"])], pa.binary())], names=["node", "set"])
+            yield pa.record_batch([part["node"], pa.array([s.tobytes() for s in shingle_sets(part["text"])], pa.binary())], names=["node", "set"])
 
 
 def _bands(bands: int, width: int):
-    schema = pa.schema([("bucket", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64())])
+    schema = pa.schema([("bucket", pa.binary()), ("node", pa.int64()), ("n_shingles", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 keys = [xxhash.xxh3_128_digest(s[4 * width * i : 4 * width * (i + 1)] + bytes([i])) for s in part["sig"].to_pylist() for i in range(bands)]
-                yield pa.record_batch([keys, *(np.repeat(part[c].to_numpy(), bands) for c in ("doc_id", "n_shingles"))], schema=schema)
+                yield pa.record_batch([keys, *(np.repeat(part[c].to_numpy(), bands) for c in ("node", "n_shingles"))], schema=schema)
 
     return rows
 
@@ -217,44 +217,54 @@ def near_duplicates(docs: DataFrame, percent: int = 85, hashes: int = 128, width
     Shingles are SHINGLE words, A-Z lower-cased; documents are linked if 100 * |both| >= percent * |either|. component_id is
     the smallest doc_id that links reach, kept tells whether it is the own. class_id: the smallest doc_id with the
     same set. Without words (or null text): n_shingles 0, linked with nothing, kept. Rows with one doc_id count as one
-    node; null doc_ids are linked with nothing, their component_id is null and they are kept; other columns are left.
+    node, whatever their texts: each text's links are found, and all rows have one component_id; null doc_ids are linked
+    with nothing, their component_id is null and they are kept; other columns are left.
 
     hashes, width: values of a signature, and of each band; a pair of similarity s shares a band but for a chance of
     (1 - s**width) ** (hashes / width), 5e-11 at s = 0.85. miss: bound on the posterior chance at which pairs are pruned.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "near")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    profile = tables.keep(text.mapInArrow(_profile(hashes), "doc_id long, n_shingles long, digest binary, sig binary"), "profile")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    profile = tables.keep(text.mapInArrow(_profile(hashes), "doc_id long, h long, n_shingles long, digest binary, sig binary"), "profile")
     known = profile.filter("digest is not null and doc_id is not null")
-    classes = tables.keep(known.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min_by(F.struct("n_shingles", "sig"), "doc_id").alias("one")), "classes")
-    reps = classes.select(F.col("class_id").alias("doc_id"), "one.n_shingles", "one.sig")
+    # The row with the least doc_id and text hash gives the class's signature and set.
+    own = F.struct("doc_id", "h")
+    classes = known.groupBy("digest").agg(F.min(own).alias("least"), F.min_by(F.struct("n_shingles", "sig"), own).alias("one"))
+    classes = classes.select("digest", F.col("least.doc_id").alias("class_id"), "least.h", "one.n_shingles", "one.sig")
+    classes = tables.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("node", "n_shingles", "sig")
     bands = hashes // width
-    members = tables.keep(reps.mapInArrow(_bands(bands, width), "bucket binary, doc_id long, n_shingles long"), "bands")
+    members = tables.keep(reps.mapInArrow(_bands(bands, width), "bucket binary, node long, n_shingles long"), "bands")
     full = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = tables.keep(members.join(full, "bucket"), "members")
-    central = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    pivot = members.join(central, "doc_id").groupBy("bucket").agg(F.max_by(F.struct("doc_id", "n_shingles"), F.struct("weight", -F.col("doc_id"))).alias("p"))
-    pivot = pivot.select("bucket", F.col("p.doc_id").alias("pivot"), F.col("p.n_shingles").alias("pivot_n"))
+    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    pivot = members.join(central, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n_shingles"), F.struct("weight", -F.col("node"))).alias("p"))
+    pivot = pivot.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n_shingles").alias("pivot_n"))
 
     least, most = F.least("n_shingles", "pivot_n"), F.greatest("n_shingles", "pivot_n")
     near_size = 100 * least >= percent * most
-    ordered = [F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")]
-    pairs = members.join(pivot, "bucket").filter((F.col("doc_id") != F.col("pivot")) & near_size).select(*ordered).distinct()
-
-    sigs = tables.keep(reps.select(F.col("doc_id").alias("node"), "sig").join(members.select(F.col("doc_id").alias("node")).distinct(), "node"), "sigs")
-    wanted = sigs.select(F.col("node").alias("doc_id"))
-    sets = tables.keep(text.join(wanted, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets, "node long, set binary"), "sets")
+    ordered = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
+    pairs = members.join(pivot, "bucket").filter((F.col("node") != F.col("pivot")) & near_size).select(*ordered).distinct()
+
+    sigs = tables.keep(classes.select("node", "sig", F.col("class_id").alias("doc_id"), "h").join(members.select("node").distinct(), "node"), "sigs")
+    wanted, sigs = sigs.select("doc_id", "h", "node"), sigs.select("node", "sig")
+    sets = tables.keep(text.join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("node", "text").mapInArrow(_sets, "node long, set binary"), "sets")
+    member = profile.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "node", "class_id"), "digest", "left")
+    member = tables.keep(member.drop("digest"), "member")
     # Classes that hold rows of one doc_id are one node.
-    several = known.join(classes.select("digest", "class_id"), "digest").groupBy("doc_id").agg(F.min("class_id").alias("b"), F.collect_set("class_id").alias("all")).filter(F.size("all") > 1)
+    placed_ids = member.filter("node is not null and doc_id is not null")
+    several = placed_ids.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high")).filter("b < high").select("doc_id", "b")
+    several = placed_ids.join(several, "doc_id").select(F.col("node").alias("a"), "b")
     close = tables.keep(_attach(pairs, sigs, "sig").mapInArrow(_prune(percent / 100, miss), "a long, b long"), "close")
-    links = _attach(close, sets, "set").mapInArrow(_verify(percent), "a long, b long").unionByName(several.select(F.explode("all").alias("a"), "b"))
+    links = _attach(close, sets, "set").mapInArrow(_verify(percent), "a long, b long").unionByName(several)
     stars = components(links, tables, "stars")
 
     # Buckets with a pair that is not compared yet and not joined by links: three members or more, in several components.
-    placed = members.filter("n > 2").join(stars, members["doc_id"] == stars["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    placed = members.filter("n > 2").join(stars, "node", "left").select("bucket", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
-    open_edges = members.join(mixed, "bucket").join(pivot, "bucket").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    open_edges = members.join(mixed, "bucket").join(pivot, "bucket").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     cluster = components(open_edges, tables, "open")
     cluster = tables.keep(cluster.unionByName(cluster.select(F.col("component").alias("node"), "component").distinct()), "clusters")
     sizes = cluster.groupBy("component").agg(F.ceil(F.count("*") / F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.count("*") / 16)))).alias("blocks"))
@@ -267,8 +277,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, hashes: int = 128, width
     further = stars.join(joined.select(F.col("node").alias("component"), F.col("component").alias("last")), "component", "left").select("node", F.coalesce("last", "component").alias("component"))
     heads = joined.join(stars.select("node"), "node", "left_anti")
     component = further.unionByName(heads)
-    member = profile.join(classes.select("digest", "class_id"), "digest", "left")
-    member = member.join(component, member["class_id"] == component["node"], "left")
-    own = F.coalesce("component", "class_id", "doc_id")
-    own = F.when(F.col("doc_id").isNotNull(), own)
-    return member.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    component = tables.keep(component.unionByName(component.select(F.col("component").alias("node"), "component").distinct()), "component")
+    low = component.join(classes.select("node", "class_id"), "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    component = component.join(low, "component").select("node", "component_id")
+    # A row without words goes with the other rows of its doc_id.
+    bare = F.col("node").isNull() & F.col("doc_id").isNotNull()
+    blank = member.filter(bare).select("doc_id", "n_shingles")
+    stand = placed_ids.join(blank.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.min(F.struct("node", "class_id")).alias("one"))
+    blank = blank.join(stand.select("doc_id", "one.*"), "doc_id", "left")
+    member = member.filter(~bare).unionByName(blank).join(component, "node", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "class_id", "doc_id"))
+    same_set = F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id"))
+    return member.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), same_set.alias("class_id"))

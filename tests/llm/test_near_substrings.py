@@ -39,6 +39,22 @@ def test_near_duplicates(docs, corpus, percent):
     assert Counter(map(tuple, got)) == components(corpus, percent)
 
 
+def test_each_text_of_a_repeated_id_has_its_links(spark):
+    """Links through any text of an id count, whichever row comes first; its rows, also those without words, have one component."""
+    say = lambda k: [f"{k}w{i}" for i in range(150)]
+    near = lambda k: " ".join([*say(k)[:149], "x"])
+    rows = []
+    for i in range(0, 400, 40):  # i+9 has a near copy of each of its texts; i+20 links i+8 and i+21, and has a text without words
+        rows += [(i + 9, " ".join(say(f"{i}{k}"))) for k in "abc"]
+        rows += [(i + 10 + j, near(f"{i}{k}")) for j, k in enumerate("abc")]
+        rows += [(i + 20, near(f"{i}d")), (i + 20, ""), (i + 20, " ".join(say(f"{i}e"))), (i + 8, " ".join(say(f"{i}d"))), (i + 21, near(f"{i}e"))]
+        rows += [(i + 30, " ".join(say(f"{i}f"))), (i + 31, None), (i + 31, " ".join(say(f"{i}f")))]
+    rows += [(None, rows[0][1]), (None, ""), (1, "")]
+    for order in (rows, rows[::-1]):
+        got = near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "kept").collect()
+        assert Counter(map(tuple, got)) == components(rows, 85)
+
+
 def test_a_bucket_whose_members_chain(spark):
     """Neighbours are linked, far members aren't: the star about one member can't find all links."""
     words = [f"w{i}" for i in range(300)]
