@@ -140,16 +140,16 @@ def tiles(media: DataFrame, height: int = 32, width: int = 32, column: str = "me
     return kept.mapInArrow(rows, schema)
 
 
-def text_media(docs: DataFrame, width: int = 64, with_media: bool = False) -> DataFrame:
+def text_media(docs: DataFrame, width: int = 64, with_media: bool = False, with_digest: bool = False) -> DataFrame:
     """Texts as grey images: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
     The text's UTF-8, padded with zero bytes to a positive multiple of `width`, is stored as a binary PGM of that width;
     the other values come from the samples decoded from those bytes, feature is their difference hash. Null text
     counts as empty: one row of zeros. Null doc_ids stay, repeated rows repeat, other columns are left. with_media: also
-    the PGM bytes and their 32 by 32 NPY tile. One pass, no shuffle.
+    the PGM bytes and their 32 by 32 NPY tile; with_digest: also tile_sha256, that of the tile's bytes. One pass, no shuffle.
     """
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-    schema = pa.schema(fields + [("media", pa.binary()), ("tile", pa.binary())] * with_media)
+    schema = pa.schema(fields + [("media", pa.binary()), ("tile", pa.binary())] * with_media + [("tile_sha256", pa.string())] * with_digest)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +160,12 @@ def text_media(docs: DataFrame, width: int = 64, with_media: bool = False) -> Da
                     image = decode(media)
                     payload = image.tobytes()
                     own = (doc, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-width:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image))
-                    out.append((*own, media, npy(resize(image, 32, 32))) if with_media else own)
+                    if with_media or with_digest:
+                        tile = npy(resize(image, 32, 32))
+                        own += (media, tile) * with_media + (hashlib.sha256(tile).hexdigest(),) * with_digest
+                    out.append(own)
                 yield pa.record_batch([list(c) for c in zip(*out)] if out else [[] for _ in schema], schema=schema)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(rows, kind + ", media binary, tile binary" * with_media)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(rows, kind + ", media binary, tile binary" * with_media + ", tile_sha256 string" * with_digest)

@@ -71,7 +71,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_media(table(spark, sf_dir, "documents"))
+    return text_media(table(spark, sf_dir, "documents"), with_digest=True)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

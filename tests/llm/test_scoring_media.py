@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from sylva.llm.media import area_sums, decode, difference_hash, encode_pgm, resize, text_media, tiles
+from sylva.llm.queries import op10_media
 from sylva.llm.scoring import UNIT, score
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -102,3 +103,10 @@ def test_text_media(docs, corpus, nothing):
     assert Counter(tuple(r)[:7] for r in got) == Counter(expected)
     assert all(np.load(io.BytesIO(r["tile"])).shape == (32, 32, 1) for r in got)
     assert text_media(nothing).collect() == []
+
+
+def test_the_media_query_makes_each_tile(spark, docs, tmp_path):
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op10_media(spark, str(tmp_path)).select("media_sha256", "tile_sha256").collect()
+    expected = Counter((r["media_sha256"], hashlib.sha256(r["tile"]).hexdigest()) for r in text_media(docs, with_media=True).collect())
+    assert Counter(map(tuple, got)) == expected
