@@ -7,6 +7,11 @@ import pytest
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k long, h string, found string, key string, line string, n_words string, node long"
 
 
+def pattern(n, a, b):
+    """The first n letters of the Thue-Morse sequence over a and b: those that start with a and with b have equal polynomial hashes modulo 2**64."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
 def rows(seed=5):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 6))) for _ in range(400)]
@@ -31,6 +36,9 @@ def rows(seed=5):
         out.append([600 + j, out[3][1]])
     out += [[700, None], [701, ""], [702, " \n\t "], [703, "one two"], [704, "ONE two"], [705, "one\ttwo\n"], [706, "word " * 9000 + say(3000)]]
     out += [[707, "a b c d e f a b c d e f # $ % & |"], [708, "<|endoftext|> A'll we've İ ﬁ e\u0301 \u00a0 x<|startoftext|>y 中文字 12 3\u2003z"], [709, "x" * 5000], [None, "no id here at all"], [None, None]]
+    for j, n in enumerate((1024, 2048, 4096)):
+        out += [[720 + 2 * j, say(12) + " " + pattern(n, "a", "b")], [721 + 2 * j, pattern(n, "b", "a")]]
+        out += [[730 + 2 * j, out[-2][1].rsplit(" ", 1)[0] + " " + out[-1][1]], [731 + 2 * j, " ".join(pattern(n // 16, "a", "b"))], [740 + j, " ".join(pattern(n // 16, "b", "a"))]]
     out += [list(out[0]), list(out[0]), [out[1][0], "another text under one id " + say(20)]]
     return [(d, t, "en", "s", len(t or ""), 1, "h", "f", "k", "l", "n", 7) for d, t in out]
 
