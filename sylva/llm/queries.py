@@ -67,7 +67,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), order=2).select("doc_id", "n_words", "score_micro")
+    return score(table(spark, sf_dir, "documents"), order=3)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,12 +155,13 @@ found AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_m
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host || path, '(?i)(^|[^0-9a-z])(spam[^0-9a-z]farm|cheap[^0-9a-z]pills|online[^0-9a-z]casino|free[^0-9a-z]viagra|xxx)([^0-9a-z]|$)') THEN 'block' ELSE 'allow' END) AS verdict FROM found"""
 
     scores = f"""
-WITH each AS (SELECT doc_id, word, i, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents))),
-one AS (SELECT word, count(*) AS c, ln(count(*) / (SELECT count(*) FROM each)) AS logp FROM each GROUP BY word),
-two AS (SELECT before, e.word, count(*) AS c FROM each e WHERE before IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
-delta AS (SELECT two.before, two.word, round((ln(two.c / a.c) - ln(0.4::DOUBLE) - b.logp) * 1000000)::BIGINT AS d FROM two JOIN one a ON a.word = before JOIN one b ON b.word = two.word)
-SELECT d.doc_id, count(e.word)::BIGINT AS n_words,
-  (coalesce(sum(round(one.logp * 1000000)::BIGINT + coalesce(delta.d, 0)), 0) + greatest(count(e.word) - 1, 0) * round(ln(0.4::DOUBLE) * 1000000))::BIGINT AS score_micro
-FROM documents d LEFT JOIN each e ON e.doc_id = d.doc_id LEFT JOIN one ON one.word = e.word LEFT JOIN delta ON delta.before = e.before AND delta.word = e.word GROUP BY d.doc_id"""
+WITH words AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+grams AS (SELECT *, lag(w) OVER d AS p, lag(w, 2) OVER d AS q FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+others AS (SELECT doc_id, i, p, q, count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS r0, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS r1,
+  count(*) OVER (PARTITION BY p, w) - count(*) OVER (PARTITION BY doc_id, p, w) AS r2, count(*) OVER (PARTITION BY q, p, w) - count(*) OVER (PARTITION BY doc_id, q, p, w) AS r3 FROM grams),
+places AS (SELECT *, (p IS NOT NULL)::INTEGER + (q IS NOT NULL)::INTEGER AS more, lag(r1) OVER d AS x1, lag(r2) OVER d AS x2 FROM others WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+scored AS (SELECT doc_id, count(*) AS n, sum(round(1000000 * CASE WHEN q IS NOT NULL AND r3 > 0 THEN ln(r3 / x2) WHEN p IS NOT NULL AND r2 > 0 THEN ln(r2 / x1) + (more - 1) * ln(0.4::DOUBLE)
+  WHEN r1 > 0 THEN ln(r1 / r0) + more * ln(0.4::DOUBLE) ELSE ln(1 / greatest(r0, 1)) + (more + 1) * ln(0.4::DOUBLE) END)::BIGINT)::BIGINT AS s FROM places GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(s, 0)::BIGINT AS score_micro, s / n / 1000000 AS mean_score FROM documents d LEFT JOIN scored USING (doc_id)"""
 
     return {"op1_line_dedup": lines, "op4_near_dedup": near, "op5_chat": chat, "op6_substring_dedup": repeats, "op7_quality": quality, "op8_urls": urls, "op9_lm_scores": scores}

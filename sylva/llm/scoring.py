@@ -1,115 +1,173 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-n-gram counts are tables partitioned by hash. A table row holds what its n-gram adds to the score of a place: the
-log ratio of its counts, less the factor and the ratio that the next shorter n-gram gives. A stored n-gram's suffix is stored
-too (it is at least as frequent), so a document's score is the sum, over all its n-grams found in the tables, of those rows.
+Texts are held in slices of bounded size. A slice's distinct n-grams are exploded into rows dealt by hash range, a row for
+each slice and range; grouped by range they make the count table of that part of the hash space, and each row takes the counts
+of its n-grams from it. The counts go back to their slices by a join, and every place of a document is scored
+by what the rest of the corpus says: counts less the document's own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.bpe import NO_ID, keyed
-from sylva.llm.kernels import Words, runs, slices
-from sylva.llm.shared import Tables
+from sylva.llm.kernels import Words, mix, runs, slices
+from sylva.llm.shared import Tables, id_text
 
 #: Scores are added as integers of this fraction of a nat, so that sums don't depend on their order.
 UNIT = 1_000_000
 
 
-def _grams(n: int, part: int, parts: int, columns: list[str]):
-    """n-grams in one part of the hash space with their counts (tf): each text's if the columns have its key (k, h), else those of a slice of texts.
+def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of texts: doc_ids (list), bounds (int64 bytes), data (compressed), n_words."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        for first, data, bounds in slices(batch["text"]):
+            n = len(Words(data, bounds).start)
+            ids = pa.array([batch["doc_id"][first : first + len(bounds) - 1].to_pylist()], pa.list_(pa.int64()))
+            yield pa.record_batch([ids, [bounds.astype("<i8").tobytes()], [pack(data.tobytes())], [n]], schema=_HELD)
 
-    context, suffix: an n-gram's first and last n-1 words; id: its own. Equal ones are found by sorting on a hash; where hashes
-    of different ones collide, an n-gram may come in several rows, which add up to its count.
-    """
-    schema = pa.schema([(c, pa.int64()) for c in columns])
+
+_HELD = pa.schema([("doc_ids", pa.list_(pa.int64())), ("bounds", pa.binary()), ("data", pa.binary()), ("n_words", pa.int64())])
+
+
+class _Grams:
+    """The n-grams of a slice, up to an order. ids[n-1][i]: the hash of the n-gram that ends at word i; whole[n-1][i]: whether one document holds it."""
+
+    def __init__(self, bounds: bytes, data: bytes, order: int):
+        self.bounds = np.frombuffer(bounds, "<i8")
+        words = Words(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), self.bounds)
+        hashes = words.hashes()
+        self.n, self.first = len(hashes), words.first
+        self.doc = np.repeat(np.arange(len(self.bounds) - 1), np.diff(words.first))
+        self.ids, self.whole = [], []
+        for n in range(1, order + 1):
+            ids, whole = np.zeros(self.n, np.uint64), np.zeros(self.n, bool)
+            if self.n >= n:
+                ids[n - 1 :] = mix(runs(hashes, n) ^ np.uint64(n))
+                whole[n - 1 :] = self.doc[: self.n - n + 1] == self.doc[n - 1 :]
+            self.ids.append(ids), self.whole.append(whole)
+
+    def all_ids(self) -> np.ndarray:
+        return np.concatenate([i[w] for i, w in zip(self.ids, self.whole)])
+
+
+def edges(ranges: int) -> np.ndarray:
+    """The least hash of each of so many ranges of the hash space, which follow each other."""
+    return np.array([-(-(k << 64) // ranges) for k in range(ranges)], np.uint64)
+
+
+def _counts(values: np.ndarray) -> bytes:
+    """Counts in the least number of bytes each."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def _explode(order: int, low: int, high: int, ranges: int):
+    """The distinct n-grams of each slice in hash ranges low..high-1: range, slice, ids (sorted), tf."""
+    schema = pa.schema([("range", pa.int64()), ("slice", pa.int64()), ("ids", pa.binary()), ("tf", pa.binary())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_edges = edges(ranges)
+        for batch in batches:
+            for s, bounds, data in zip(batch["slice"].to_pylist(), batch["bounds"], batch["data"]):
+                ids = _Grams(bounds.as_py(), data.as_py(), order).all_ids()
+                inside = ids >= all_edges[low]
+                if high < ranges:
+                    inside &= ids < all_edges[high]
+                ids, tf = np.unique(ids[inside], return_counts=True)
+                cuts = np.append(np.searchsorted(ids, all_edges[low:high]), len(ids)).tolist()
+                made = [(low + k, s, ids[a:b].tobytes(), _counts(tf[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+                yield pa.record_batch([list(c) for c in zip(*made)] if made else [[], [], [], []], schema=schema)
+
+    return rows
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """The count table of a hash range, and what each slice takes from it: slice, range, counts (in the order of its ids)."""
+    ids = [np.frombuffer(x, np.uint64) for x in table["ids"].to_pylist()]
+    tf = [np.frombuffer(x, f"<u{len(x) // len(i)}") for x, i in zip(table["tf"].to_pylist(), ids)]
+    gram, place = np.unique(np.concatenate(ids), return_inverse=True)
+    total = np.bincount(place, np.concatenate(tf), len(gram)).astype(np.int64)
+    at, pack = np.cumsum([0, *map(len, ids)]).tolist(), zstandard.ZstdCompressor(level=1).compress
+    counts = [pack(_counts(total[place[a:b]])) for a, b in zip(at[:-1], at[1:])]
+    return pa.table({"slice": table["slice"], "range": table["range"], "counts": pa.array(counts, pa.binary())})
+
+
+def place_scores(rest: list[np.ndarray], whole: list[np.ndarray], rest_words: np.ndarray, factor: float) -> np.ndarray:
+    """Millionths of a nat at each place, from the counts outside its document (rest[n-1]: of the n-gram that ends there; rest_words: of all words)."""
+    steps = np.zeros(len(rest_words), np.int64)
+    value, done = np.zeros(len(rest_words)), np.zeros(len(rest_words), bool)
+    for n in range(len(rest), 0, -1):
+        hit = ~done & whole[n - 1] & (rest[n - 1] > 0)
+        at = np.flatnonzero(hit)
+        value[at] = np.log(rest[n - 1][at] / (rest_words[at] if n == 1 else rest[n - 2][at - 1])) + steps[at] * log(factor)
+        done |= hit
+        steps += whole[n - 1] & ~done
+    at = np.flatnonzero(~done)
+    value[at] = np.log(1 / np.maximum(rest_words[at], 1)) + steps[at] * log(factor)
+    return np.rint(value * UNIT).astype(np.int64)
+
+
+def _score(order: int, ranges: int, total: int, factor: float):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score_micro", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_edges, unpack = edges(ranges), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            keys = {c: batch[c].to_numpy() for c in ("k", "h")}
-            for first, data, bounds in slices(batch["text"]):
-                words = Words(data, bounds)
-                hashes = words.hashes()
-                doc = np.repeat(np.arange(len(bounds) - 1), np.diff(words.first))
-                m = len(hashes) - n + 1
-                if m <= 0:
-                    continue
-                ids = runs(hashes, n)
-                place = np.flatnonzero((doc[:m] == doc[n - 1 :]) & (ids % np.uint64(parts) == part))
-                by = ids[place] + doc[place].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if "k" in columns else ids[place]
-                order = place[np.argsort(by)]
-                new = np.ones(len(order), bool)
-                new[1:] = ids[order[1:]] != ids[order[:-1]]
-                if "k" in columns:
-                    new[1:] |= doc[order[1:]] != doc[order[:-1]]
-                at = order[new]
-                low = runs(hashes, n - 1) if n > 1 else ids
-                made = {"id": ids[at].view(np.int64), "context": low[at].view(np.int64), "suffix": low[at + (n > 1)].view(np.int64), "tf": np.diff(np.append(np.flatnonzero(new), len(order)))}
-                made |= {c: v[first + doc[at]] for c, v in keys.items() if c in columns}
-                yield pa.record_batch([made[c] for c in columns], schema=schema)
+            for docs, bounds, data, seen in zip(batch["doc_ids"].to_pylist(), batch["bounds"], batch["data"], batch["seen"]):
+                g = _Grams(bounds.as_py(), data.as_py(), order)
+                length = np.diff(g.first)
+                if g.n:
+                    gram, place = np.unique(g.all_ids(), return_inverse=True)
+                    size = np.diff(np.append(np.searchsorted(gram, all_edges), len(gram)))
+                    held = [unpack(x["counts"]) for x in sorted(seen.as_py(), key=lambda x: x["range"])]
+                    held = np.concatenate([np.frombuffer(x, f"<u{len(x) // n}").astype(np.int64) for x, n in zip(held, size[size > 0].tolist())])
+                    rest, at = [], 0
+                    for ids, whole in zip(g.ids, g.whole):
+                        m = int(whole.sum())
+                        mixed, own = mix(ids[whole] + g.doc[whole].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.zeros(g.n, np.int64)
+                        _, twin, often = np.unique(mixed, return_inverse=True, return_counts=True)
+                        own[whole] = held[place[at : at + m]] - often[twin]
+                        rest.append(own)
+                        at += m
+                    micro = place_scores(rest, g.whole, np.repeat(total - length, length), factor)
+                    sums = np.diff(np.append(0, np.cumsum(micro))[g.first])
+                else:
+                    sums = np.zeros(len(docs), np.int64)
+                yield pa.record_batch([pa.array(docs, pa.int64()), length.astype(np.int64), sums], schema=schema)
 
     return rows
 
 
-def score(docs: DataFrame, order: int = 2, min_count: int = 2, factor: float = 0.4, parts: int = 3) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, factor: float = 0.4, parts: int = 4, range_grams: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, score_micro (the sum of log scores, in millionths) and mean_score of every row of docs (doc_id, text).
 
-    Words are runs of other characters than [\\x20\\x09-\\x0D], taken as they are. A word's score is the count of the longest
-    n-gram (n up to `order`) that ends in it and occurs min_count times over all docs, over the count of its first n-1 words,
-    times `factor` for each longer one that its document would have allowed; for single words (all counted) the divisor is
-    the number of words. n-grams don't cross documents. Without words (null, empty): score 0, mean null. Repeated rows count
-    each time; null doc_ids stay null; other columns are left.
+    Words are runs of other characters than [\\x20\\x09-\\x0D], taken as they are. All counts are those of the other documents
+    (rows): the corpus's less the own. A word's score is the count of the longest n-gram (n up to `order`) that ends in it and
+    that another document holds, over the count of its first n-1 words, times `factor` for each longer one that its document
+    would have allowed; for single words the divisor is the number of words, and a word that no other document holds
+    counts once, times `factor` once more. n-grams don't cross documents. Without words (null, empty): score 0, mean
+    null. Repeated rows are documents of their own, so they see each other; null doc_ids stay null; other columns are left.
 
-    parts: the n-grams of one part of the hash space are counted and joined at a time, so the shuffle files of one part
-    are on disk at once; texts are read again for each part.
+    parts: the n-grams of one part of the hash space are dealt and counted at a time, so the shuffle files of one part
+    are on disk at once. range_grams: n-grams in a range, so that the ranges grow in number and not in size. An n-gram
+    has at most one entry a slice, so a frequent one doesn't weigh on its range. A text is scored within one task.
     """
-    spark = docs.sparkSession
-    tables, texts = Tables(spark, "scoring"), keyed(docs)
-
-    def grams(n: int, part: int, parts: int, columns: list[str]) -> DataFrame:
-        return texts.mapInArrow(_grams(n, part, parts, columns), ", ".join(f"{c} long" for c in columns))
-
-    sums, shorter = None, None
-    for n in range(1, order + 1):
-        grown = None
-        of_n = 1 if n == 1 else parts  # single words are few enough to go at once
-        for p in range(of_n):
-            key = ["id"] if n == 1 else ["context", "suffix"] if n == order else ["context", "suffix", "id"]
-            counts = grams(n, p, of_n, [*key, "tf"]).groupBy(*key).agg(F.sum("tf").alias("c"))
-            if n == 1:
-                counts = tables.keep(counts, "words")
-                total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()["n"]
-                logp = F.log(F.col("c") / F.lit(total))
-                rated = counts.select("id", "c", logp.alias("logp"), logp.alias("delta"))
-            else:
-                of = lambda side, *cols: shorter.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in cols))  # noqa: B023, E731
-                logp = F.log(F.col("c") / F.col("context_c"))
-                rated = counts.filter(F.col("c") >= min_count).join(of("context", "c"), "context").join(of("suffix", "logp"), "suffix")
-                rated = rated.select(*key, "c", logp.alias("logp"), (logp - F.log(F.lit(factor)) - F.col("suffix_logp")).alias("delta"))
-            rated = tables.keep(rated, f"counts{n}_{p}")
-            join = key[:2]
-            # Hashing the counted side, one row an n-gram, spares sorting the other.
-            delta = rated.select(*join, F.round(F.col("delta") * UNIT).cast("long").alias("delta")).hint("shuffle_hash")
-            found = grams(n, p, of_n, ["k", "h", *join, "tf"]).join(delta, join)
-            found = tables.keep(found.groupBy("k", "h").agg(F.sum(F.col("tf") * F.col("delta")).alias("s"), F.sum(F.col("tf") if n == 1 else F.lit(0)).cast("long").alias("n_words")), f"sums{n}_{p}")
-            sums = found if sums is None else sums.unionByName(found)
-            grown = rated if grown is None else grown.unionByName(rated)
-        shorter = grown
-    # Repeated rows (one k and h) add up in sums, so each takes its share. All words are counted, so they give the lengths, too.
-    rows = texts.groupBy("k", "h").agg(F.count("*").alias("copies"))
-    each = rows.join(sums.groupBy("k", "h").agg(F.sum("s").alias("s"), F.sum("n_words").alias("all_words")), ["k", "h"], "left")
-    each = each.withColumn("n_words", F.coalesce(F.expr("all_words div copies"), F.lit(0)))
-    # Places with fewer than order-1 words before them allow fewer n-grams.
-    steps = F.lit(0)
-    for n in range(1, order):
-        steps = steps + F.greatest(F.col("n_words") - n, F.lit(0))
-    micro = F.coalesce(F.expr("s div copies"), F.lit(0)) + steps * F.round(F.log(F.lit(factor)) * UNIT).cast("long")
-    each = each.withColumn("score_micro", micro.cast("long"))
-    out = each.select(F.nullif("k", F.lit(NO_ID)).alias("doc_id"), "n_words", "score_micro", F.when(F.col("n_words") > 0, F.col("score_micro") / F.col("n_words") / UNIT).alias("mean_score"), "copies")
-    return out.select("doc_id", "n_words", "score_micro", "mean_score", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    tables = Tables(docs.sparkSession, "scoring")
+    held = tables.keep(id_text(docs).mapInArrow(_hold, "doc_ids array<long>, bounds binary, data binary, n_words long").withColumn("slice", F.monotonically_increasing_id()), "slices")
+    total = held.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
+    each = -(-order * total // (parts * range_grams)) or 1
+    seen = None
+    for p in range(parts):
+        grams = held.select("slice", "bounds", "data").mapInArrow(_explode(order, p * each, (p + 1) * each, parts * each), "range long, slice long, ids binary, tf binary")
+        found = tables.keep(grams.groupBy("range").applyInArrow(_count, "slice long, range long, counts binary"), f"counts{p}")
+        seen = found if seen is None else seen.unionByName(found)
+    gathered = seen.groupBy("slice").agg(F.collect_list(F.struct("range", "counts")).alias("seen"))
+    scored = held.join(gathered, "slice", "left").select("doc_ids", "bounds", "data", "seen").mapInArrow(_score(order, parts * each, total, factor), "doc_id long, n_words long, score_micro long")
+    return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score_micro") / F.col("n_words") / UNIT))

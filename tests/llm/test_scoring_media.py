@@ -16,28 +16,38 @@ from sylva.llm.scoring import UNIT, score
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
-def scores(corpus, order, least):
+def scores(corpus, order):
     texts = [(d, WORD.findall(t or "")) for d, t, *_ in corpus]
-    n = Counter(tuple(w[i : i + k]) for _, w in texts for k in range(1, order + 1) for i in range(len(w) - k + 1))
-    total = sum(len(w) for _, w in texts)
+    grams = lambda w: Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    n, total = Counter(), sum(len(w) for _, w in texts)
+    for _, w in texts:
+        n.update(grams(w))
     out = []
     for d, w in texts:
-        s = 0.0
+        own, s, words = grams(w), 0.0, total - len(w)
         for i in range(len(w)):
             allowed = min(order, i + 1)
-            k = next(k for k in range(allowed, 0, -1) if k == 1 or n[tuple(w[i - k + 1 : i + 1])] >= least)
-            gram = tuple(w[i - k + 1 : i + 1])
-            s += math.log(n[gram] / (n[gram[:-1]] if k > 1 else total)) + (allowed - k) * math.log(0.4)
+            rest = [n[g] - own[g] for g in (tuple(w[i - k + 1 : i + 1]) for k in range(1, allowed + 1))]
+            k = max((k for k in range(1, allowed + 1) if rest[k - 1]), default=0)
+            context = tuple(w[i - k + 1 : i])
+            s += math.log(rest[k - 1] / (n[context] - own[context] if k > 1 else words) if k else 1 / max(words, 1)) + (allowed - k) * math.log(0.4)
         out.append((d, len(w), s))
     return sorted(out, key=lambda x: (x[0] is None, x))
 
 
-@pytest.mark.parametrize("order,parts", [(2, 3), (3, 2), (1, 1)])
-def test_score(docs, corpus, order, parts):
-    got = sorted(((r["doc_id"], r["n_words"], r["score_micro"] / UNIT) for r in score(docs, order, 2, parts=parts).collect()), key=lambda x: (x[0] is None, x))
-    expected = scores(corpus, order, 2)
+@pytest.mark.parametrize("order,parts,size", [(2, 3, 1_000_000), (3, 2, 5_000), (3, 4, 300), (1, 1, 1_000_000)])
+def test_score(docs, corpus, order, parts, size):
+    rows = score(docs, order, parts=parts, range_grams=size).collect()
+    got = sorted(((r["doc_id"], r["n_words"], r["score_micro"] / UNIT) for r in rows), key=lambda x: (x[0] is None, x))
+    expected = scores(corpus, order)
     assert [x[:2] for x in got] == [x[:2] for x in expected]
     assert all(abs(a[2] - b[2]) <= 1e-5 * (1 + a[1]) for a, b in zip(got, expected))
+    assert all(r["mean_score"] == (r["score_micro"] / r["n_words"] / UNIT if r["n_words"] else None) for r in rows)
+
+
+def test_score_of_one_document(spark):
+    rows = spark.createDataFrame([(1, "a b a b"), (2, "")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_words"], r["score_micro"]) for r in score(rows).collect()) == [(1, 4, round(UNIT * math.log(0.4)) + round(2 * UNIT * math.log(0.4)) + 2 * round(3 * UNIT * math.log(0.4))), (2, 0, 0)]
 
 
 def test_score_empty(nothing):
