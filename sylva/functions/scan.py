@@ -322,27 +322,27 @@ class Scanner:
             raise Failure(f"Close tag </{stack[-1][0]}> is missing", at)
 
 
-def nodes(events: Iterator[Event], first_id: int = 0, depth: int = 0) -> list[list]:
+def nodes(events: Iterator[Event], under: bool = False) -> list[list]:
     """Rows [node_id, parent_id, last_desc, depth, ord, node_type, name, attrs, str_value, int_value, real_value, ws, custom] of a document's events.
 
-    The first directive or declaration outside of elements holds what follows it.
+    The first directive or declaration outside of elements holds what follows it, but not in a fragment `under` a node.
     """
     rows: list[list] = []
     open_: list[int] = []
     children: list[int] = [0]
     for e in events:
         if e.event == "ELEMENT_CLOSE":
-            rows[open_.pop()][2] = first_id + len(rows) - 1
+            rows[open_.pop()][2] = len(rows) - 1
             children.pop()
             continue
         if e.node_type is None:
             continue
         i = len(rows)
-        rows.append([first_id + i, first_id + open_[-1] if open_ else None, first_id + i, depth + len(open_), children[-1], e.node_type, e.name, e.attrs, *e[4:]])
+        rows.append([i, open_[-1] if open_ else None, i, len(open_), children[-1], e.node_type, e.name, e.attrs, *e[4:]])
         children[-1] += 1
-        if e.event == "ELEMENT_OPEN" or not open_ and e.event in ("DIRECTIVE", "DECLARATION"):
+        if e.event == "ELEMENT_OPEN" or not under and not open_ and e.event in ("DIRECTIVE", "DECLARATION"):
             open_.append(i)
             children.append(0)
     for i in open_:
-        rows[i][2] = first_id + len(rows) - 1
+        rows[i][2] = len(rows) - 1
     return rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.operators.nav import after_subtree
@@ -36,26 +36,28 @@ def find(n: DataFrame, start: DataFrame, element: str | None = None, attribute:
     """doc_id, cur, found (node, null without a match) for each row of start (doc_id, cur, top): the first match after cur within top.
 
     ALL: anywhere later in pre-order. FIRST: among cur's children; a childless cur goes on as with NONE, unless it is top.
-    NONE: the node after cur's subtree and its later siblings.
+    NONE: the node after cur's subtree and its later siblings. One running value over the nodes of a document, however many
+    starts it has; n is read several times, so store it (sources.store) if loading it is dear.
     """
-    at = n.select("doc_id", F.col("node_id").alias("cur"), F.col("last_desc").alias("cur_last"))
     of = n.select("doc_id", F.col("node_id").alias("top"), F.col("last_desc").alias("top_last"))
-    begun = start.select("doc_id", "cur", "top").distinct().join(at, ["doc_id", "cur"]).join(of, ["doc_id", "top"])
-    hits = n.filter(matches(element, attribute, value)).select("doc_id", *(F.col(c).alias(f"_{c}") for c in NODE_COLUMNS))
-    node = F.col("_node_id")
+    begun = start.select("doc_id", "cur", "top").distinct()
+    hit = F.when(matches(element, attribute, value), F.col("node_id"))
+    later = Window.orderBy(F.desc("node_id")).rowsBetween(Window.unboundedPreceding, 0)
+    # Backwards in pre-order, the last hit met is the next one to come.
     if descend == "ALL":
-        inside = (node > F.col("cur")) & (node <= F.col("top_last"))
+        ahead = F.last(hit, ignorenulls=True).over(later.partitionBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+        at = n.select("doc_id", F.col("node_id").alias("cur"), ahead.alias("hit"))
+        begun = begun.join(at, ["doc_id", "cur"]).join(of, ["doc_id", "top"]).withColumn("hit", F.when(F.col("hit") <= F.col("top_last"), F.col("hit")))
     else:
+        at = n.select("doc_id", F.col("node_id").alias("cur"), F.col("last_desc").alias("cur_last"))
+        begun = begun.join(at, ["doc_id", "cur"]).join(of, ["doc_id", "top"])
         over = after_subtree(F.col("cur"), F.col("cur_last"), F.col("top"), F.col("top_last"))
         child = F.when(F.col("cur_last") > F.col("cur"), F.col("cur") + 1)
         begun = begun.withColumn("s", F.coalesce(child, over) if descend == "FIRST" else over)
-        of_s = n.select("doc_id", F.col("node_id").alias("s"), F.col("parent_id").alias("s_parent"))
-        begun = begun.join(of_s, ["doc_id", "s"], "left")
-        inside = (node >= F.col("s")) & F.col("_parent_id").eqNullSafe(F.col("s_parent"))
-    pairs = begun.join(hits, "doc_id").filter(inside)
-    found = F.struct(*(F.col(f"_{c}").alias(c) for c in NODE_COLUMNS))
-    first = pairs.groupBy("doc_id", "cur", "top").agg(F.min_by(found, "_node_id").alias("found"))
-    return begun.select("doc_id", "cur", "top").join(first, ["doc_id", "cur", "top"], "left").select("doc_id", "cur", "found")
+        among = n.select("doc_id", F.col("node_id").alias("s"), F.last(hit, ignorenulls=True).over(later.partitionBy("doc_id", "parent_id")).alias("hit"))
+        begun = begun.join(among, ["doc_id", "s"], "left")
+    found = n.filter(matches(element, attribute, value)).select("doc_id", F.col("node_id").alias("hit"), F.struct(*NODE_COLUMNS).alias("found"))
+    return begun.select("doc_id", "cur", "hit").join(found, ["doc_id", "hit"], "left").select("doc_id", "cur", "found")
 
 
 def find_path(n: DataFrame, path: str, top: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Value accessors: of the node itself, or of its first child where the reference's accessors look there, too."""
+"""Value accessors: of the node itself, or, for numbers, text and custom values, of an element's first child."""
 
 from __future__ import annotations
 
@@ -21,6 +21,11 @@ def own_value(kind: str) -> Column:
     return F.when(F.col("node_type") == kind, F.col(OWN[kind]))
 
 
+def user_value(key: str) -> Column:
+    """What user_data holds under a key; null without it."""
+    return F.try_element_at("user_data", F.lit(key))
+
+
 def element_name() -> Column:
     return F.when(F.col("node_type") == "ELEMENT", F.col("name"))
 

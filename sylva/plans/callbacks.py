@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime, timezone
 
+from sylva.functions.schema import Written
+
 
 def order_types(name: str, attrs: Mapping[str, str]) -> str:
     return {"qty": "INTEGER", "price": "REAL"}.get(name, "TEXT")
@@ -24,3 +26,28 @@ def load_time(text: str) -> str | None:
 
 def whole_types(name: str, attrs: Mapping[str, str]) -> str:
     return "INTEGER" if name in ("qty", "price") else "TEXT"
+
+
+def customer_types(name: str, attrs: Mapping[str, str]) -> str:
+    return {"balance": "REAL", "segment": "CUSTOM", "comment": "OPAQUE"}.get(name, "TEXT")
+
+
+def named_types(name: str, attrs: Mapping[str, str]) -> str:
+    """The type that an element's `type` attribute or else its name spells."""
+    said = (attrs.get("type") or name).upper()
+    return said if said in ("INTEGER", "REAL", "OPAQUE", "CUSTOM", "IGNORE") else "TEXT"
+
+
+def lower(text: str) -> str | None:
+    return text.lower()
+
+
+def bracketed(text: str) -> str | None:
+    return f"[{text}]"
+
+
+def indented(node: Written, place: str) -> str | None:
+    """Every node but the first on a line of its own, two spaces deeper than its parent; values stay inside their tags."""
+    if place == "before_open" or place == "before_close" and node.name == "customer":
+        return "\n" + "  " * node.depth if node.depth else None
+    return "\n" if place == "after_close" and node.depth == 1 else None

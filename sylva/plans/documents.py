@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, xml: `<?xml?><order id status><item line part flag><qty>..</qty><price>..</price></item>...</order>` of every order.
 
-    Items are gathered by order before the join, which so shuffles one row an order.
+    Items are gathered by order before the join, which so shuffles one row an order. Their size tells nothing of the texts', so the
+    join is one by sorting: a broadcast would hold the items of all orders.
     """
     items = table(spark, sf_dir, "lineitem")
     part = lambda name, value: F.concat(F.lit(f' {name}="'), escape(value.cast("string")), F.lit('"'))
@@ -29,7 +30,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = each.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("i")).alias("all")).select("l_orderkey", F.array_join(F.transform("all", lambda i: i["x"]), "").alias("items"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     head = F.concat(F.lit('<?xml version="1.0"?><order'), part("id", F.col("o_orderkey")), part("status", F.col("o_orderstatus")), F.lit(">"), F.coalesce("items", F.lit("")), F.lit("</order>"))
-    return o.join(held, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").cast("string").alias("doc_id"), head.alias("xml"))
+    return o.join(held.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").cast("string").alias("doc_id"), head.alias("xml"))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,5 +47,59 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").cast("string").alias("doc_id"), xml.alias("xml"))
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, xml: every customer as a document that holds each kind of node:
+
+    `<?xml?><!DOCTYPE customer><customer id nation><!-- name --><![CDATA[segment <&>]]><?seen id?><name>..</name><balance>..</balance><segment>..</segment></customer>`
+    """
+    c = table(spark, sf_dir, "customer")
+    key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    parts = ['<?xml version="1.0"?><!DOCTYPE customer><customer id="', key, '" nation="', nation, '"><!-- ', F.col("c_name"), " --><![CDATA[", F.col("c_mktsegment"), " <&>]]><?seen ", key]
+    parts += ["?><name>", F.col("c_name"), "</name><balance>", F.col("c_acctbal").cast("string"), "</balance><segment>", F.col("c_mktsegment"), "</segment></customer>"]
+    return c.select(key.alias("doc_id"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("xml"))
+
+
+#: One way to break a document for each rule of loading: what comes before the line breaks, what after them, and the errors (message, fatal) of its load.
+BROKEN: list[tuple[str, str, list[tuple[str, bool]]]] = [
+    ("<?xml?>", "<a>&nope;</a>", [("Entity &nope; is not known", True)]),
+    ("<?xml?>", "<a>&amp x</a>", [("Entity &amp is not terminated", True)]),
+    ("<?xml?>", "<a>&" + "n" * 64 + ";</a>", [("Entity name too long", True)]),
+    ("<?xml?>", "<a>&#1;</a>", [("Bad control character 0x01 in an entity", True)]),
+    ("<?xml?>", "<a>&#xD800;</a>", [("Entity &#xD800; is no character", True)]),
+    ("<?xml?>", "<a>\x01</a>", [("Bad control character 0x01", False), ("Close tag </a> is missing", True)]),
+    ("<?xml?>", "<a <c/>", [("Bare < in <a>", True)]),
+    ("<?xml?>", "<a<b/>", [("Bare < in a tag", True)]),
+    ("<?xml?>", "<a+b/>", [("", True)]),
+    ("<?xml?>", "<a><!-- x", [("The text ends in a comment", True)]),
+    ("<?xml?>", "<a><![CDATA[x", [("The text ends in a cdata", True)]),
+    ("<?xml?>", "<a><?x", [("The text ends in a directive", True)]),
+    ("<?xml?>", "<a><!x", [("The text ends in a declaration", True)]),
+    ("<?xml?>", "<a></b>", [("Close tag </b> doesn't match <a>", True)]),
+    ("<?xml?>", "<a/x>", [("'>' expected after <a/", True)]),
+    ("<?xml?>", "<a b='1' /x>", [("'>' expected after '/' in <a>", True)]),
+    ("<?xml?>", "<a><b>", [("Close tag </b> is missing", True)]),
+    ("<?xml?>", "<a b='1' b='2'/>", [("Attribute 'b' of <a> is given twice", True)]),
+    ("<?xml?>", "<a b/>", [("Attribute 'b' of <a> has no value", True)]),
+    ("<?xml?>", "<a 'b'='1'/>", [("An attribute of <a> has no value", True)]),
+    ("<?xml?>", "<custom>x</custom>", [("A value of type CUSTOM can't be added to <custom>", True)]),
+    ("<?xml?>", "<integer>12x</integer>", [("Bad integer value '12x' in <integer>", False), ("Close tag </integer> is missing", True)]),
+    ("<?xml?>", "<real>1.5z</real>", [("Bad real value '1.5z' in <real>", False), ("Close tag </real> is missing", True)]),
+    ("<a/>", "<b/>", [("<b> can't be a second root", True)]),
+    ("<a/>", "<!--xx-->", [("A comment can't be a second root", True)]),
+    ("<a/>", "<![CDATA[x]]>", [("A cdata can't be a second root", True)]),
+    ("<a/>", "<?x?>", [("A directive can't be a second root", True)]),
+    ("<a/>", "<!x>", [("A declaration can't be a second root", True)]),
+    ("<?xml?>", "<a>whole</a>", []),
+]
+
+
+def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, xml: a document for each customer, broken in one of the ways of BROKEN, by turns, after as many line breaks as its nation's key."""
+    c = table(spark, sf_dir, "customer")
+    turn = (F.col("c_custkey") % len(BROKEN)).cast("int")
+    side = lambda i: F.get(F.array(*(F.lit(b[i]) for b in BROKEN)), turn)
+    return c.select(F.col("c_custkey").cast("string").alias("doc_id"), F.concat(side(0), F.repeat(F.lit("\n"), F.col("c_nationkey")), side(1)).alias("xml"))
+
+
 def long_id(c: str = "doc_id") -> Column:
     return F.col(c).cast("long")

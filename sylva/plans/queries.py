@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.functions.schema import LoadOptions
+from sylva.functions.schema import LoadOptions, SaveOptions
 from sylva.operators import edit, find, index, nav, values
-from sylva.plans.callbacks import event_types, load_time, order_types, whole_types
-from sylva.plans.documents import event_log, long_id, orders, table, texts
-from sylva.sources.save import escape, to_documents
-from sylva.sources.xml import events, load_errors, shred
+from sylva.plans.callbacks import bracketed, customer_types, event_types, indented, load_time, lower, named_types, order_types, whole_types
+from sylva.plans.documents import BROKEN, broken, customers, event_log, long_id, orders, table, texts
+from sylva.sources.save import escape, saved_string, to_documents, to_pieces, write_files
+from sylva.sources.store import scratch, stored
+from sylva.sources.xml import events, from_pieces, load_errors, load_under, read_files, shred
+from sylva.streaming.sax import unless_stopped, until_stop, with_parent
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,22 +49,18 @@ def query(sql: str | None) -> Callable[[Query], Query]:
     return put
 
 
-def nodes(spark: SparkSession, sf_dir: str, options: LoadOptions | None = TYPED) -> DataFrame:
-    return shred(orders(spark, sf_dir), options=options)
+def nodes(spark: SparkSession, sf_dir: str, options: LoadOptions | None = TYPED, **only) -> DataFrame:
+    return shred(orders(spark, sf_dir), options=options, **only)
 
 
-_stored: dict[tuple[str, str], DataFrame] = {}
+def kept(spark: SparkSession, sf_dir: str, **only) -> DataFrame:
+    """The orders' node table, written by this query for itself, as it looks at it from several sides."""
+    return stored(nodes(spark, sf_dir, **only))
 
 
-def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders' node table, loaded once for all queries of a session that look at it from several sides.
-
-    It is kept compressed in memory, what doesn't fit on disk; parts of lost executors are loaded again.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
-        _stored[key] = nodes(spark, sf_dir)
-    return _stored[key].persist(StorageLevel.MEMORY_AND_DISK)
+def own(c: str) -> list[str]:
+    """A column of the node table and those that every look at elements needs."""
+    return ["doc_id", "node_id", "parent_id", "last_desc", "depth", "ord", "node_type", "name", "attrs", *([c] if c else [])]
 
 
 def _items(n: DataFrame) -> DataFrame:
@@ -78,13 +75,13 @@ def _from(n: DataFrame, depth: int) -> DataFrame:
 @query("SELECT l_orderkey AS doc, count(*) AS returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
 def returned_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with flag R in each order: the flagship."""
-    hits = find.find_all(nodes(spark, sf_dir), "item", "flag", "R")
+    hits = find.find_all(nodes(spark, sf_dir, columns=["doc_id", "parent_id", "node_type", "name", "attrs"], elements=["item"]), "item", "flag", "R")
     return hits.groupBy(doc()).agg(F.count("*").alias("returned"))
 
 
 @query("SELECT doc, 2 + 5 * n AS n_nodes, 1 + 3 * n AS n_elements FROM docs")
 def load_count_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).groupBy(doc()).agg(F.count("*").alias("n_nodes"), F.count_if(F.col("node_type") == "ELEMENT").alias("n_elements"))
+    return nodes(spark, sf_dir, columns=["doc_id", "node_type"]).groupBy(doc()).agg(F.count("*").alias("n_nodes"), F.count_if(F.col("node_type") == "ELEMENT").alias("n_elements"))
 
 
 @query("SELECT doc, id AS node_id, id + 4 AS last_desc, k::INTEGER AS ord FROM items")
@@ -99,41 +96,41 @@ def find_by_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, id AS node_id FROM items WHERE l_returnflag = 'A'")
 def find_by_attr_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find_all(nodes(spark, sf_dir), "item", "flag", "A").select(doc(), "node_id")
+    return find.find_all(nodes(spark, sf_dir, columns=own(""), elements=["item"]), "item", "flag", "A").select(doc(), "node_id")
 
 
 @query("SELECT docs.doc, min(id) AS node_id FROM docs LEFT JOIN items ON items.doc = docs.doc AND l_returnflag = 'R' GROUP BY 1")
 def find_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = stored(spark, sf_dir)
+    n = kept(spark, sf_dir)
     return find.find(n, _from(n, 0), "item", "flag", "R", "ALL").select(doc(), F.col("found.node_id").alias("node_id"))
 
 
 @query("SELECT f.doc, min(id) AS node_id FROM (SELECT doc FROM docs WHERE n > 0) f LEFT JOIN items ON items.doc = f.doc AND k > 0 AND l_returnflag = 'N' GROUP BY 1")
 def find_next_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = stored(spark, sf_dir)
+    n = kept(spark, sf_dir)
     return find.find(n, _from(n, 2), "item", "flag", "N", "NONE").select(doc(), F.col("found.node_id").alias("node_id"))
 
 
 @query("SELECT docs.doc, min(id) AS node_id FROM docs LEFT JOIN items ON items.doc = docs.doc AND l_returnflag = 'N' GROUP BY 1")
 def find_first_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = stored(spark, sf_dir)
+    n = kept(spark, sf_dir)
     return find.find(n, _from(n, 1), "item", "flag", "N", "FIRST").select(doc(), F.col("found.node_id").alias("node_id"))
 
 
 @query("SELECT doc, id + 2 AS node_id, l_quantity::BIGINT AS value FROM items WHERE k = 0")
 def path_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find_path(stored(spark, sf_dir), "order/item/qty").select(doc(), "node_id", F.col("int_value").alias("value"))
+    return find.find_path(kept(spark, sf_dir), "order/item/qty").select(doc(), "node_id", F.col("int_value").alias("value"))
 
 
 @query("SELECT doc, id + 4 AS node_id, round(l_extendedprice * 100)::BIGINT AS value FROM items WHERE k = 0")
 def path_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find_path(stored(spark, sf_dir), "*/price").select(doc(), "node_id", F.col("real_value").cast("long").alias("value"))
+    return find.find_path(kept(spark, sf_dir), "*/price").select(doc(), "node_id", F.col("real_value").cast("long").alias("value"))
 
 
 @query("SELECT doc, CASE WHEN l_returnflag = 'R' THEN id + 5 END AS node_id FROM items WHERE k = 0 AND l_returnflag = 'R'")
 def path_no_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mark under the items with flag R is found only if the first item has it: the first match of a segment is never left again."""
-    n = stored(spark, sf_dir)
+    n = kept(spark, sf_dir)
     marked = find.find_all(n, "item", "flag", "R").groupBy("doc_id").agg(F.min("node_id").alias("node_id"))
     mark = edit.new_node(marked.select("doc_id"), "ELEMENT", F.lit("mark"))
     return find.find_path(edit.append(n, mark, marked), "order/item/mark").select(doc(), "node_id")
@@ -141,28 +138,28 @@ def path_no_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, id AS node_id, up AS parent_id, last AS last_desc, (row_number() OVER (PARTITION BY doc ORDER BY id))::INTEGER AS pos FROM tree")
 def walk_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = stored(spark, sf_dir)
+    n = kept(spark, sf_dir)
     return n.select(doc(), "node_id", "parent_id", "last_desc", (F.col("node_id") + 1).cast("int").alias("pos"))
 
 
 @query("SELECT doc, id AS node_id, lead(id) OVER (PARTITION BY doc ORDER BY id) AS next FROM tree")
 def walk_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_next(stored(spark, sf_dir)).select(doc(), "node_id", "next")
+    return nav.walk_next(kept(spark, sf_dir)).select(doc(), "node_id", "next")
 
 
 @query("SELECT tree.doc, id AS node_id, CASE WHEN id > 0 AND last + 1 <= 1 + 5 * n THEN last + 1 END AS next FROM tree JOIN docs ON docs.doc = tree.doc")
 def walk_next_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_next(stored(spark, sf_dir), "NONE").select(doc(), "node_id", "next")
+    return nav.walk_next(kept(spark, sf_dir), "NONE").select(doc(), "node_id", "next")
 
 
 @query("SELECT doc, id AS node_id, CASE WHEN id > 1 THEN lag(id) OVER (PARTITION BY doc ORDER BY id) END AS prev FROM tree")
 def walk_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_prev(stored(spark, sf_dir)).select(doc(), "node_id", "prev")
+    return nav.walk_prev(kept(spark, sf_dir)).select(doc(), "node_id", "prev")
 
 
 @query("SELECT doc, id AS node_id, CASE WHEN id > 0 THEN coalesce(lag(id) OVER (PARTITION BY doc, up ORDER BY id), CASE WHEN up > 0 THEN up END) END AS prev FROM tree")
 def walk_prev_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_prev(stored(spark, sf_dir), "NONE").select(doc(), "node_id", "prev")
+    return nav.walk_prev(kept(spark, sf_dir), "NONE").select(doc(), "node_id", "prev")
 
 
 @query("SELECT doc, id AS node_id, up AS parent, CASE WHEN last > id THEN id + 1 END AS first_child FROM tree")
@@ -172,17 +169,20 @@ def nav_parent_first_child(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT t.doc, t.id AS node_id, max(c.id) AS last_child FROM tree t LEFT JOIN tree c ON c.doc = t.doc AND c.up = t.id GROUP BY ALL")
 def nav_last_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.last_child(stored(spark, sf_dir)).select(doc(), "node_id", "last_child")
+    return nav.last_child(kept(spark, sf_dir)).select(doc(), "node_id", "last_child")
 
 
 @query("SELECT doc, id AS node_id, CASE WHEN up IS NOT NULL THEN lead(id) OVER (PARTITION BY doc, up ORDER BY id) END AS next_sibling, CASE WHEN up IS NOT NULL THEN lag(id) OVER (PARTITION BY doc, up ORDER BY id) END AS prev_sibling FROM tree")
 def nav_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.prev_sibling(nav.next_sibling(nodes(spark, sf_dir))).select(doc(), "node_id", "next_sibling", "prev_sibling")
+    return nav.prev_sibling(nav.next_sibling(nodes(spark, sf_dir, columns=["doc_id", "node_id", "parent_id", "ord"]))).select(doc(), "node_id", "next_sibling", "prev_sibling")
 
 
-@query("SELECT a.doc, b.id AS node_id, a.id AS ancestor FROM tree a JOIN tree b ON a.doc = b.doc AND b.id > a.id AND b.id <= a.last")
+@query("""SELECT doc, id AS node_id, up AS ancestor FROM tree WHERE up IS NOT NULL UNION ALL SELECT a.doc, a.id, b.up FROM tree a JOIN tree b ON b.doc = a.doc AND b.id = a.up WHERE b.up IS NOT NULL
+  UNION ALL SELECT a.doc, a.id, c.up FROM tree a JOIN tree b ON b.doc = a.doc AND b.id = a.up JOIN tree c ON c.doc = b.doc AND c.id = b.up WHERE c.up IS NOT NULL
+  UNION ALL SELECT a.doc, a.id, d.up FROM tree a JOIN tree b ON b.doc = a.doc AND b.id = a.up JOIN tree c ON c.doc = b.doc AND c.id = b.up JOIN tree d ON d.doc = c.doc AND d.id = c.up WHERE d.up IS NOT NULL""")
 def nav_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.ancestors(stored(spark, sf_dir)).select(doc(), "node_id", "ancestor")
+    """The SQL goes up one parent at a time; these documents are four levels deep."""
+    return nav.ancestors(nodes(spark, sf_dir, columns=["doc_id", "node_id", "depth"])).select(doc(), "node_id", "ancestor")
 
 
 @query("SELECT doc, id AS node_id, l_linenumber::VARCHAR AS line, l_partkey::VARCHAR AS part, NULL::VARCHAR AS missing FROM items")
@@ -210,14 +210,14 @@ def value_own(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, id + 1 AS node_id, l_quantity::BIGINT AS value FROM items UNION ALL SELECT doc, id + 3, 0 FROM items")
 def value_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = stored(spark, sf_dir)
+    n = kept(spark, sf_dir)
     of = n.filter(F.col("name").isin("qty", "price"))
     return values.value_of(n, of, "INTEGER").select(doc(), "node_id", "value")
 
 
 @query("SELECT doc, id + 3 AS node_id, round(l_extendedprice * 100)::BIGINT AS cents FROM items")
 def value_real(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = stored(spark, sf_dir)
+    n = kept(spark, sf_dir)
     return values.value_of(n, find.find_all(n, "price"), "REAL").select(doc(), "node_id", F.col("value").cast("long").alias("cents"))
 
 
@@ -254,7 +254,7 @@ def index_elem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY l_partkey::VARCHAR, id))::INTEGER AS pos, id AS node_id, l_partkey::VARCHAR AS value FROM items")
 def index_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.index(nodes(spark, sf_dir), "item", "part").select(doc(), "pos", "node_id", "value")
+    return index.index(nodes(spark, sf_dir, columns=own(""), elements=["item"]), "item", "part").select(doc(), "pos", "node_id", "value")
 
 
 @query("SELECT doc, id AS node_id, (row_number() OVER (PARTITION BY doc ORDER BY id))::INTEGER AS nth FROM items WHERE l_returnflag = 'R'")
@@ -271,7 +271,7 @@ def index_count_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'DIRECTIVE' AS event, count(*) AS n FROM docs UNION ALL SELECT e, sum(1 + 3 * n)::BIGINT FROM docs, (VALUES ('ELEMENT_OPEN'), ('ELEMENT_CLOSE')) v(e) GROUP BY 1 UNION ALL SELECT 'DATA', sum(2 * n)::BIGINT FROM docs")
 def sax_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(orders(spark, sf_dir), options=TYPED).groupBy("event").agg(F.count("*").alias("n"))
+    return events(orders(spark, sf_dir), options=TYPED, columns=["event"]).groupBy("event").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc, id AS node_id, l_linenumber::VARCHAR AS line, CASE WHEN l_returnflag = 'R' THEN 'back' ELSE l_returnflag END AS flag, CASE WHEN l_returnflag = 'R' THEN 'yes' END AS late FROM items")
@@ -291,7 +291,7 @@ def clear_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc, id + 1 AS node_id, 2 * l_quantity::BIGINT AS value FROM items")
 def set_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities doubled through their elements: the setter reaches an element's first child."""
-    n = stored(spark, sf_dir)
+    n = kept(spark, sf_dir)
     qty = find.find_all(n, "qty")
     doubled = values.value_of(n, qty, "INTEGER").select("doc_id", "node_id", (2 * F.col("value")).alias("value"))
     changed = edit.set_value(n, doubled, "INTEGER")
@@ -314,7 +314,7 @@ def _notes(n: DataFrame) -> DataFrame:
 @query("SELECT doc, 2 AS note_id, 3 + 5 * n AS last_id, 'n' || doc AS word, CASE WHEN n > 0 THEN 4 END AS item_id FROM docs")
 def add_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note as the order's first child."""
-    n = stored(spark, sf_dir)
+    n = kept(spark, sf_dir)
     at = n.filter("node_id = 1").select("doc_id", F.lit(1).cast("long").alias("parent"), F.lit(None).cast("long").alias("child"))
     m = edit.add(n, _notes(n), at, "BEFORE")
     is_note, is_item = F.col("name") == "note", F.col("name") == "item"
@@ -324,7 +324,7 @@ def add_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc, 7 AS note_id, 8 AS word_id, n::INTEGER AS n_items, 3 + 5 * n AS root_last, CASE WHEN n > 1 THEN 9 END AS second FROM docs WHERE n > 0")
 def add_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note after the order's first item."""
-    n = stored(spark, sf_dir)
+    n = kept(spark, sf_dir)
     at = n.filter("node_id = 2").select("doc_id", F.lit(1).cast("long").alias("parent"), F.lit(2).cast("long").alias("child"))
     m = edit.add(n, _notes(n), at).join(at.select("doc_id"), "doc_id")
     first = lambda test: F.min(F.when(test, F.col("node_id")))
@@ -333,15 +333,15 @@ def add_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, (2 + 5 * (row_number() OVER (PARTITION BY doc ORDER BY id) - 1))::BIGINT AS node_id, (row_number() OVER (PARTITION BY doc ORDER BY id) - 1)::INTEGER AS ord, l_partkey::VARCHAR AS part FROM items WHERE l_returnflag <> 'R'")
 def delete_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = stored(spark, sf_dir)
-    kept = edit.delete(n, find.find_all(n, "item", "flag", "R"))
-    return _items(kept).select(doc(), "node_id", "ord", find.attr("part").alias("part"))
+    n = kept(spark, sf_dir)
+    left = edit.delete(n, find.find_all(n, "item", "flag", "R"))
+    return _items(left).select(doc(), "node_id", "ord", find.attr("part").alias("part"))
 
 
 @query("SELECT doc, 5 * n - 4 AS rest_last, 4::BIGINT AS cut_last, 0 AS cut_depth, l_quantity::BIGINT AS qty FROM items WHERE k = 0")
 def remove_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's first item taken out as a document of its own."""
-    n = stored(spark, sf_dir)
+    n = kept(spark, sf_dir)
     rest, cut = edit.remove(n, n.filter("node_id = 2"))
     left = rest.filter("node_id = 1").select("doc_id", F.col("last_desc").alias("rest_last"))
     item = cut.filter("node_id = 0").select("doc_id", F.col("last_desc").alias("cut_last"), F.col("depth").alias("cut_depth"))
@@ -399,6 +399,266 @@ def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_errors(pages).filter("fatal").select(doc(), "fatal")
 
 
+# --- Documents of the customers: every kind of node -----------------------------------------------------------
+
+KINDS = LoadOptions(type_of=customer_types, custom_load=lower)
+
+
+def accounts(spark: SparkSession, sf_dir: str, **only) -> DataFrame:
+    """The customers' node table. Ranks: 0 the directive, 1 the declaration, 2 the customer with 3 comment, 4 CDATA, 5 directive, 6 name, 8 balance, 10 segment, each of these three with its value after it."""
+    return shred(customers(spark, sf_dir), options=KINDS, **only)
+
+
+def _at(n: DataFrame, node_id: int, value: Column) -> DataFrame:
+    """Targets of a setter: a node of each document, with the value."""
+    return n.filter(F.col("node_id") == node_id).select("doc_id", "node_id", value.alias("value"))
+
+
+_KEY = "c_custkey::VARCHAR"
+_HEAD = f"'<?xml version=\"1.0\"?><!DOCTYPE customer><customer id=\"' || {_KEY} || '\" nation=\"' || c_nationkey || '\">'"
+_BALANCE = "printf('%g', c_acctbal)"
+
+
+@query("""SELECT c_custkey AS doc, id::BIGINT AS node_id, kind, CASE kind WHEN 'COMMENT' THEN ' ' || c_name || ' ' END AS comment, CASE kind WHEN 'CDATA' THEN c_mktsegment || ' <&>' END AS cdata,
+  CASE kind WHEN 'DECLARATION' THEN 'DOCTYPE customer' END AS declaration, CASE id WHEN 0 THEN 'xml version="1.0"' WHEN 5 THEN 'seen ' || c_custkey END AS directive, CASE id WHEN 2 THEN 'customer' WHEN 6 THEN 'name' WHEN 8 THEN 'balance' WHEN 10 THEN 'segment' END AS element
+  FROM customer, (VALUES (0, 'DIRECTIVE'), (1, 'DECLARATION'), (2, 'ELEMENT'), (3, 'COMMENT'), (4, 'CDATA'), (5, 'DIRECTIVE'), (6, 'ELEMENT'), (7, 'TEXT'), (8, 'ELEMENT'), (9, 'REAL'), (10, 'ELEMENT'), (11, 'CUSTOM')) k(id, kind)""")
+def value_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The own value of nodes of each kind: comments, CDATA, declarations and directives, and elements' names."""
+    n, value = accounts(spark, sf_dir), values.own_value
+    return n.select(doc(), "node_id", values.type_of(F.col("node_type")).alias("kind"), *(value(k).alias(k.lower()) for k in ("COMMENT", "CDATA", "DECLARATION", "DIRECTIVE")), values.element_name().alias("element"))
+
+
+@query("SELECT c_custkey AS doc, c_acctbal AS balance, lower(c_mktsegment) AS segment, 0::BIGINT AS whole FROM customer")
+def value_real_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with a fraction, and custom values, through their elements; a value of another type gives the default."""
+    n = stored(accounts(spark, sf_dir))
+    of = lambda name, kind, c: values.value_of(n, find.find_all(n, name), kind, c).select("doc_id", c)
+    joined = of("balance", "REAL", "balance").join(of("segment", "CUSTOM", "segment"), "doc_id").join(of("balance", "INTEGER", "whole"), "doc_id")
+    return joined.select(doc(), "balance", "segment", "whole")
+
+
+@query(f"""SELECT c_custkey AS doc, '<?xml version="1.0"?><!ELEMENT ' || {_KEY} || '><customer id="' || {_KEY} || '" nation="' || c_nationkey || '"><!--new ' || c_nationkey || '--><![CDATA[[' || c_name || ']]]><?gone?><name>' || c_name || '</name><balance>'
+  || {_BALANCE} || '</balance><segment>[' || lower(c_mktsegment) || ']</segment></customer>' AS xml FROM customer""")
+def set_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The setters of comment (through its element), CDATA, declaration and directive, some with printf forms."""
+    n = stored(accounts(spark, sf_dir))
+    nation = find.attr("nation")
+    n2 = edit.set_value(n, _at(n, 2, edit.formatted("COMMENT", "new %s", nation)), "COMMENT")
+    name = values.value_of(n, n.filter("node_id = 6"), "TEXT").select("doc_id", F.lit(4).cast("long").alias("node_id"), edit.formatted("CDATA", "[%s]", F.col("value")).alias("value"))
+    n2 = edit.set_value(n2, name, "CDATA")
+    n2 = edit.set_value(n2, _at(n, 1, edit.formatted("DECLARATION", "ELEMENT %s", F.col("doc_id"))), "DECLARATION")
+    n2 = edit.set_value(n2, _at(n, 5, F.lit("gone")), "DIRECTIVE")
+    n2 = edit.set_value(n2, _at(n, 6, F.lit("no comment")), "COMMENT")  # the name's first child is a word, so nothing changes
+    return to_documents(n2, SaveOptions(0, custom_save=bracketed)).select(doc(), "xml")
+
+
+@query(f"""SELECT c_custkey AS doc, {_HEAD} || '<!-- ' || c_name || ' --><![CDATA[' || c_mktsegment || ' <&>]]><?seen ' || {_KEY} || '?><name> No. ' || lpad({_KEY}, 6, '0') || '</name><balance>' || printf('%g', c_nationkey + 0.25)
+  || '</balance><segment>[custom ' || c_nationkey || ']</segment></customer>' AS xml FROM customer""")
+def set_text_real_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The setters of text (printf form, with white space before it), real and custom values."""
+    n = stored(accounts(spark, sf_dir))
+    text = _at(n, 6, edit.formatted("TEXT", "No. %06d", long_id())).withColumn("space", F.lit(True))
+    n2 = edit.set_value(n, text, "TEXT", ws="space")
+    top = n.filter("node_id = 2").select("doc_id", find.attr("nation").alias("nation"))
+    of = lambda at, value: n.filter(F.col("node_id") == at).select("doc_id", "node_id").join(top, "doc_id").select("doc_id", "node_id", value.alias("value"))
+    n2 = edit.set_value(n2, of(8, F.col("nation").cast("double") + 0.25), "REAL")
+    n2 = edit.set_value(n2, of(11, F.concat(F.lit("custom "), "nation")), "CUSTOM")
+    # The saver puts a space before a spaced word only if something stands before it on its line, as here.
+    return to_documents(n2, SaveOptions(0, custom_save=bracketed)).select(doc(), "xml")
+
+
+@query("SELECT doc_id AS doc, '<?xml version=\"1.0\"?><doc lang=\"' || lang || '\">' || lang || '-' || doc_id || ' &amp; co</doc>' AS xml FROM documents WHERE length(text) > 0")
+def set_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The setter of opaque text in its printf form."""
+    n = stored(shred(texts(spark, sf_dir), options=OPAQUE))
+    said = n.filter("name = 'doc' and last_desc > node_id").select("doc_id", "node_id", edit.formatted("OPAQUE", "%s-%s & co", find.attr("lang"), F.col("doc_id")).alias("value"))
+    return to_documents(edit.set_value(n, said, "OPAQUE")).join(said.select("doc_id"), "doc_id").select(doc(), "xml")
+
+
+@query("SELECT c_custkey AS doc, CASE WHEN c_acctbal < 0 THEN 'owes' END AS mark, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS n FROM customer")
+def user_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User data set on some nodes, and got from all."""
+    n = edit.set_user_data(accounts(spark, sf_dir), (F.col("node_type") == "REAL") & (F.col("real_value") < 0), F.create_map(F.lit("mark"), F.lit("owes")))
+    return n.groupBy(doc()).agg(F.max(values.user_value("mark")).alias("mark"), F.count_if(values.user_value("mark").isNotNull()).cast("int").alias("n"))
+
+
+@query("SELECT c_custkey AS doc, 'nation 0' || lpad(c_nationkey::VARCHAR, 2, '0') AS nation, c_name || '!' AS name, 3 AS n FROM customer")
+def set_attr_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes set in their printf form: one in its place, one at the end."""
+    top = F.col("name") == "customer"
+    n = edit.set_attr(accounts(spark, sf_dir), top, "nation", F.format_string("nation %03d", find.attr("nation").cast("long")))
+    n = edit.set_attr(n, top, "name", edit.formatted("TEXT", "Customer#%09d!", long_id()))
+    return n.filter(top).select(doc(), find.attr("nation").alias("nation"), find.attr("name").alias("name"), values.attr_count().cast("int").alias("n"))
+
+
+@query(f"""SELECT c_custkey AS doc, '<?xml version="1.0" encoding="utf-8"?><all key="' || {_KEY} || '"><![CDATA[' || c_name || ']]><![CDATA[f ' || {_KEY} || ']]><!--' || c_name || '--><!--f ' || {_KEY} || '--><!' || c_name || '><!f ' || {_KEY} || '><?' || c_name || '?><?f '
+  || {_KEY} || '?>' || ' ' || c_nationkey || ' ' || printf('%g', c_acctbal) || c_mktsegment || 'f ' || {_KEY} || c_mktsegment || ' f-' || {_KEY} || '[' || c_name || ']</all>' AS xml FROM customer""")
+def new_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document built by the constructor of every kind of node, those of strings also in their printf form."""
+    c = table(spark, sf_dir, "customer").withColumn("doc_id", F.col("c_custkey").cast("string"))
+    text, f = F.col("c_name"), lambda kind, pattern="f %d": edit.formatted(kind, pattern, F.col("c_custkey"))
+    made = [edit.new_node(c, kind, value) for kind in ("CDATA", "COMMENT", "DECLARATION", "DIRECTIVE") for value in (text, f(kind))]
+    made += [edit.new_node(c, "INTEGER", F.col("c_nationkey")), edit.new_node(c, "REAL", F.col("c_acctbal"))]
+    made += [edit.new_node(c, "OPAQUE", F.col("c_mktsegment")), edit.new_node(c, "OPAQUE", f("OPAQUE"))]
+    made += [edit.new_node(c, "TEXT", F.col("c_mktsegment")), edit.new_node(c, "TEXT", f("TEXT", "f-%d"), ws=F.lit(True)), edit.new_node(c, "CUSTOM", text)]
+    made += [edit.new_node(c, kind, F.lit(None).cast("string")) for kind in ("COMMENT", "OPAQUE")]  # a null string makes no node
+    root = edit.new_node(c, "ELEMENT", F.lit("all"), attrs=F.array(F.struct(F.lit("key").alias("name"), F.col("doc_id").alias("value"))))
+    top = lambda df: df.select("doc_id", F.lit(0).cast("long").alias("node_id"))
+    whole = edit.append(edit.new_xml(c), edit.append(root, edit.siblings(*made), top(c)), top(c))
+    return to_documents(whole, SaveOptions(0, custom_save=bracketed)).select(doc(), "xml")
+
+
+_WRAPPED = """SELECT c_custkey AS doc, '<c' || g1 || 'a="' || c_name || '"' || g2 || 'b="' || c_mktsegment || '"' || g3 || 'key="' || k || '">' || c_name || g4 || c_mktsegment || g5 || k || '</c>' AS xml FROM (
+  SELECT *, CASE WHEN col4 + len4 > 40 THEN chr(10) ELSE ' ' END AS g5 FROM (SELECT *, length(c_mktsegment) AS len4, CASE WHEN g4 = ' ' THEN col3 + length(c_name) + 1 ELSE 0 END AS col4 FROM (
+  SELECT *, CASE WHEN col3 + length(c_name) > 40 THEN chr(10) ELSE ' ' END AS g4 FROM (SELECT *, CASE WHEN g3 = ' ' THEN col2 + 1 ELSE 0 END + 7 + length(k) AS col3 FROM (
+  SELECT *, CASE WHEN col2 + 6 + length(k) > 40 THEN chr(10) ELSE ' ' END AS g3 FROM (SELECT *, CASE WHEN g2 = ' ' THEN col1 + 1 ELSE 0 END + 4 + length(c_mktsegment) AS col2 FROM (
+  SELECT *, CASE WHEN col1 + 4 + length(c_mktsegment) > 40 THEN chr(10) ELSE ' ' END AS g2 FROM (SELECT *, 3 + 4 + length(c_name) AS col1, ' ' AS g1, c_custkey::VARCHAR AS k FROM customer))))))))"""
+
+
+@query(_WRAPPED)
+def save_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes and words go to a new line after column 40."""
+    c = table(spark, sf_dir, "customer")
+    key, name, segment = F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")
+    xml = F.concat(F.lit('<c a="'), name, F.lit('" b="'), segment, F.lit('" key="'), key, F.lit('">'), name, F.lit(" "), segment, F.lit(" "), key, F.lit("</c>"))
+    return to_documents(shred(c.select(key.alias("doc_id"), xml.alias("xml"))), SaveOptions(40)).select(doc(), "xml")
+
+
+@query(f"""SELECT c_custkey AS doc, '<?xml version="1.0"?>' || chr(10) || '  <!DOCTYPE customer>' || chr(10) || '  <customer id="' || {_KEY} || '" nation="' || c_nationkey || '">' || chr(10) || '    <!-- ' || c_name || ' -->' || chr(10) || '    <![CDATA[' || c_mktsegment || ' <&>]]>'
+  || chr(10) || '    <?seen ' || {_KEY} || '?>' || chr(10) || '    <name>' || c_name || '</name>' || chr(10) || '    <balance>' || {_BALANCE} || '</balance>' || chr(10) || '    <segment>[' || lower(c_mktsegment) || ']</segment>' || chr(10) || '  </customer>' || chr(10) AS xml FROM customer""")
+def save_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White space from a callback at the four places, and custom values from another."""
+    return to_documents(accounts(spark, sf_dir), SaveOptions(72, indented, bracketed)).select(doc(), "xml")
+
+
+_SAVED = "'<?xml version=\"1.0\"?><order id=\"' || o_orderkey || '\" status=\"' || o_orderstatus || '\"/>'"
+
+
+def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' documents without their items."""
+    n = nodes(spark, sf_dir, LoadOptions("IGNORE"))
+    return to_documents(edit.delete(n, n.filter("name = 'item'").select("doc_id", "node_id")))
+
+
+@query(f"SELECT o_orderkey AS doc, CASE WHEN length(xml) < 50 THEN length(xml) ELSE 0 END AS size, left(xml, 49) AS text FROM (SELECT o_orderkey, {_SAVED} AS xml FROM orders)")
+def save_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents into a buffer of 50 bytes: what it takes, and a size of 0 where that isn't all."""
+    return saved_string(_heads(spark, sf_dir), 50).select(doc(), "size", F.decode("buffer", "UTF-8").alias("text"))
+
+
+@query(f"SELECT o_orderkey AS doc, p::INTEGER AS seq, substr(xml, (p * 16)::INTEGER + 1, 16) AS piece FROM (SELECT o_orderkey, {_SAVED} AS xml FROM orders), range(8) r(p) WHERE p * 16 < length(xml)")
+def save_io(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that a write callback of 16 bytes takes."""
+    return to_pieces(_heads(spark, sf_dir), 16).select(doc(), "seq", F.decode("data", "UTF-8").alias("piece"))
+
+
+@query("SELECT doc_id AS doc, coalesce(text, '') AS text FROM documents WHERE length(text) > 0")
+def load_io(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that come in pieces of 1000 bytes, cut anywhere, as a read callback gives them."""
+    n = shred(from_pieces(to_pieces(texts(spark, sf_dir), 1000)), options=OPAQUE)
+    return n.filter("node_type = 'OPAQUE'").select(doc(), F.col("str_value").alias("text"))
+
+
+@query("SELECT s_suppkey AS doc, '€ ' || s_name AS text, '<s key=\"' || s_suppkey || '\">€ ' || s_name || '</s>' || chr(10) AS file FROM supplier")
+def save_load_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a document, written and loaded again, and its bytes."""
+    s = table(spark, sf_dir, "supplier")
+    made = s.select(F.col("s_suppkey").cast("string").alias("doc_id"), F.concat(F.lit('<s key="'), F.col("s_suppkey"), F.lit('">€ '), escape(F.col("s_name")), F.lit("</s>")).alias("xml"))
+    path = scratch(spark)
+    write_files(to_documents(shred(made, options=OPAQUE)), path)
+    n = read_files(spark, path, OPAQUE, "*.xml")
+    key = n.filter("name = 's'").select("doc_id", find.attr("key").cast("long").alias("doc"))
+    said = n.filter("node_type = 'OPAQUE'").select("doc_id", F.col("str_value").alias("text"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path).select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("file"))
+    return key.join(said, "doc_id").join(files, "doc_id").select("doc", "text", "file")
+
+
+@query("SELECT c_custkey AS doc, '€ ' || c_name || CASE c_custkey % 3 WHEN 2 THEN ' é' ELSE ' é😀' END AS text FROM customer")
+def load_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in UTF-16 of either byte order, by their mark, and in UTF-8."""
+    c = table(spark, sf_dir, "customer")
+    xml = F.concat(F.lit("<c>€ "), F.col("c_name"), F.lit(" é"))
+    wide, turn = F.concat(xml, F.lit("😀</c>")), F.col("c_custkey") % 3
+    data = F.when(turn == 0, F.concat(F.unhex(F.lit("FEFF")), F.encode(wide, "UTF-16BE"))).when(turn == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(wide, "UTF-16LE"))).otherwise(F.encode(F.concat(xml, F.lit("</c>")), "UTF-8"))
+    n = shred(c.select(F.col("c_custkey").cast("string").alias("doc_id"), data.alias("xml")), options=OPAQUE)
+    return n.filter("node_type = 'OPAQUE'").select(doc(), F.col("str_value").alias("text"))
+
+
+@query("""SELECT c_custkey AS doc, id::BIGINT AS node_id, up::BIGINT AS parent_id, kind, CASE id WHEN 2 THEN c_custkey WHEN 3 THEN c_nationkey END::BIGINT AS whole, CASE id WHEN 5 THEN c_mktsegment WHEN 8 THEN c_name WHEN 9 THEN 'is' END AS word
+  FROM customer, (VALUES (0, NULL, 'ELEMENT'), (1, 0, 'ELEMENT'), (2, 1, 'INTEGER'), (3, 1, 'INTEGER'), (4, 1, 'ELEMENT'), (5, 4, 'TEXT'), (6, 1, 'COMMENT'), (7, 0, 'ELEMENT'), (8, 7, 'TEXT'), (9, 7, 'TEXT')) k(id, up, kind)""")
+def load_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments under nodes that are there: numbers, an element and a comment under one, words under another. The parent tells the type; the last word, which nothing follows, is lost."""
+    c = table(spark, sf_dir, "customer")
+    key, options = F.col("c_custkey").cast("string").alias("doc_id"), LoadOptions(type_of=named_types)
+    n = stored(shred(c.select(key, F.lit('<c><whole type="integer"/><words/></c>').alias("xml")), options=options))
+    at = lambda name: n.filter(F.col("name") == name).select("doc_id", "node_id")
+    words = c.select(key, F.concat("c_name", F.lit(" is lost")).alias("xml"))
+    numbers = c.select(key, F.concat(F.col("c_custkey"), F.lit(" "), F.col("c_nationkey"), F.lit(" <text>"), "c_mktsegment", F.lit("</text><!--xx-->7")).alias("xml"))
+    n = load_under(load_under(n, at("words"), words, options=options), at("whole"), numbers, options=options)
+    return n.select(doc(), "node_id", "parent_id", F.col("node_type").alias("kind"), F.col("int_value").alias("whole"), F.when(F.col("node_type") == "TEXT", F.col("str_value")).alias("word"))
+
+
+@query("SELECT o_orderkey AS doc, CASE WHEN k IS NULL THEN 4 + 8 * coalesce(n, 0) - 1 ELSE 3 + 8 * k END AS n_events, CASE WHEN k IS NULL THEN 2 + 5 * coalesce(n, 0) ELSE 0 END AS n_nodes FROM orders LEFT JOIN (SELECT doc, any_value(n) AS n, min(k) FILTER (WHERE l_returnflag = 'R') AS k FROM items GROUP BY 1) ON doc = o_orderkey")
+def sax_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A callback that stops each load at the first item with flag R: what it has seen by then, and the nodes that are left, none where it stopped."""
+    e = stored(events(orders(spark, sf_dir), options=TYPED))
+    stop = (F.col("event") == "ELEMENT_OPEN") & (F.col("name") == "item") & (find.attr("flag") == "R")
+    seen = until_stop(e, F.coalesce(stop, F.lit(False))).groupBy("doc_id").agg(F.count("*").alias("n_events"))
+    left = unless_stopped(nodes(spark, sf_dir, columns=["doc_id"]), e, stop).groupBy("doc_id").agg(F.count("*").alias("n_nodes"))
+    return seen.join(left, "doc_id", "left").select(doc(), "n_events", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"))
+
+
+@query("SELECT doc, (2 + 8 * k)::BIGINT AS item, l_partkey::VARCHAR AS part, l_quantity::BIGINT AS qty FROM items")
+def sax_retain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A callback that retains items, their quantities, and those quantities' values, each found by its parent among what is retained."""
+    e = stored(with_parent(events(orders(spark, sf_dir), options=TYPED)))
+    opened = e.filter("event = 'ELEMENT_OPEN'")
+    items = opened.filter("name = 'item'").select("doc_id", F.col("seq").alias("item"), find.attr("part").alias("part"))
+    qty = opened.filter("name = 'qty'").select("doc_id", F.col("seq").alias("at"), F.col("parent_seq").alias("item"))
+    value = e.filter("event = 'DATA'").select("doc_id", F.col("parent_seq").alias("at"), F.col("int_value").alias("qty"))
+    return items.join(qty, ["doc_id", "item"]).join(value, ["doc_id", "at"]).select(doc(), "item", "part", "qty")
+
+
+@query(f"""SELECT c_custkey AS doc, l + CASE WHEN b.lone THEN 0 ELSE c_nationkey END AS line, message, fatal FROM customer JOIN (VALUES {", ".join(f"({i}, 1, FALSE, '{m.replace(chr(39), 2 * chr(39))}', {str(f).upper()})" for i, (_, _, errors) in enumerate(BROKEN) for m, f in errors)}) b(turn, l, lone, message, fatal) ON c_custkey % {len(BROKEN)} = turn""")
+def errors_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors of loads that break one rule each, with their lines."""
+    found = load_errors(broken(spark, sf_dir), options=LoadOptions(type_of=named_types))
+    return found.select(doc(), F.col("line").cast("int").alias("line"), "message", "fatal")
+
+
+@query(f"SELECT c_custkey AS doc, (3 + CASE WHEN c_nationkey > 0 THEN 1 ELSE 0 END)::BIGINT AS n FROM customer WHERE c_custkey % {len(BROKEN)} = {len(BROKEN) - 1}")
+def errors_leave_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the same documents: only those that break no rule have any. Line breaks between tags are a value."""
+    return shred(broken(spark, sf_dir), options=LoadOptions(type_of=named_types)).groupBy(doc()).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS doc, CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) + CASE WHEN regexp_matches(text, '[ \\t\\r\\n]$') THEN 1 ELSE 0 END ELSE 0 END::BIGINT AS by_default, 0::BIGINT AS ignored FROM documents")
+def load_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values loaded without options, which are words, and those that IGNORE leaves."""
+    count = lambda options, name: shred(texts(spark, sf_dir), options=options, columns=["doc_id", "node_type"]).groupBy("doc_id").agg(F.count_if(~F.col("node_type").isin("ELEMENT", "DIRECTIVE")).alias(name))
+    return count(None, "by_default").join(count(LoadOptions("IGNORE"), "ignored"), "doc_id").select(doc(), "by_default", "ignored")
+
+
+@query("SELECT doc, id + 5 AS next_qty, l_returnflag AS flag FROM items WHERE k = 0 AND n > 1")
+def find_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each order's first item on, within the order: the next item, and that a search for a value without an attribute's name finds none."""
+    n = kept(spark, sf_dir)
+    start = n.filter("name = 'item' and ord = 0").select("doc_id", F.col("node_id").alias("cur"), F.col("parent_id").alias("top"))
+    found = find.find(n, start, "item").filter("found is not null").select("doc_id", "cur", F.col("found.node_id").alias("next_qty"))
+    none = find.find(n, start, value="R").filter("found is null").select("doc_id")
+    flag = n.filter("name = 'item' and ord = 0").select("doc_id", find.attr("flag").alias("flag"))
+    return found.join(none, "doc_id").join(flag, "doc_id").select(doc(), "next_qty", "flag")
+
+
+@query("SELECT l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY 1")
+def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that was held and freed again gives the same rows."""
+    ind = index.index(nodes(spark, sf_dir, columns=own(""), elements=["item"]), "item", "flag").persist()
+    held = index.index_count(ind).count()
+    index.index_delete(ind)
+    return ind.groupBy(F.col("value").alias("flag")).agg(F.count("*").alias("n")).filter(F.lit(held > 0))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _registered.items()}
 

@@ -1,18 +1,20 @@
-"""Saving: node tables to text, one row a document, and to files.
+"""Saving: node tables to text, one row a document, to pieces as a write callback would take them, and to files.
 
-A document's open and close tags are made and put in order by Spark, and joined by a small function that keeps the column
+A document's nodes are gathered and put in order by Spark, and joined by a small function that closes tags, keeps the column
 for wrapping and calls the options' functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
+from urllib.parse import quote
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from sylva.functions.schema import SaveOptions, Written
 
@@ -26,14 +28,8 @@ def escape(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf(returnType=StringType())
-def general(values: pd.Series) -> pd.Series:
-    """Numbers with six significant digits, as C's %g writes them; built-in formatting keeps trailing zeros."""
-    return values.map(lambda v: "%g" % v).where(values.notna(), None)
-
-
 def _flow(options: SaveOptions):
-    """Joins a document's tokens (kind, text, attrs, spaced, leaf, depth), keeping the column."""
+    """Joins a document's nodes (NODE_FIELDS, in order), keeping the column."""
 
     def advance(text: str, column: int) -> int:
         cut = max(text.rfind("\n"), text.rfind("\r"))
@@ -48,97 +44,175 @@ def _flow(options: SaveOptions):
     def entity(text: str) -> str:
         return text.replace("&", "&amp;").replace("'", "&apos;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
 
-    def document(tokens: list[dict]) -> str | None:
+    def document(nodes: Iterator[tuple]) -> str | None:
         out, column = [], 0
+        open_: list[tuple] = []
 
-        def put(text: str, width: int | None = None) -> None:
+        def put(text: str) -> None:
             nonlocal column
             out.append(text)
-            column = advance(text, column) if width is None else column + width
+            column = advance(text, column)
 
         def escaped(text: str) -> None:
             nonlocal column
             out.append(entity(text))
             column = advance(text, column)  # an entity is as wide as what it stands for
 
-        def space(t: dict, place: str) -> None:
-            if options.whitespace:
-                element = t["kind"] in ("ELEMENT", "CLOSE")
-                node = Written("ELEMENT" if element else t["kind"], t["text"] if element else None, {a["name"]: a["value"] for a in t["attrs"] or []}, t["depth"], t["leaf"])
-                if s := options.whitespace(node, place):
-                    put(s)
+        def space(place: str, kind: str, name: str | None, attrs: list, depth: int, leaf: bool) -> None:
+            if options.whitespace and (s := options.whitespace(Written(kind, name, dict(attrs), depth, leaf), place)):
+                put(s)
 
         def gap() -> None:
             put("\n" if 0 < options.wrap < column else " ")
 
-        for t in tokens:
-            kind, text, attrs = t["kind"], t["text"], t["attrs"]
-            if kind == "CLOSE":
-                space(t, "before_close")
-                put("</"), escaped(text), put(">")
-                space(t, "after_close")
-            elif kind == "ELEMENT":
-                space(t, "before_open")
-                put("<"), escaped(text)
-                for a in attrs or []:
-                    width = len(a["name"].encode()) + (len(a["value"].encode()) + 3 if a["value"] is not None else 0)
+        def close(name: str, attrs: list, depth: int) -> None:
+            space("before_close", "ELEMENT", name, attrs, depth, False)
+            put("</"), escaped(name), put(">")
+            space("after_close", "ELEMENT", name, attrs, depth, False)
+
+        for at, last, depth, place, kind, name, text, whole, number, custom, ws, attrs in nodes:
+            while open_ and open_[-1][0] < at:
+                close(*open_.pop()[1:])
+            leaf = last == at
+            if kind == "ELEMENT":
+                space("before_open", kind, name, attrs, depth, leaf)
+                put("<"), escaped(name)
+                for key, value in attrs:
+                    width = len(key.encode()) + (len(value.encode()) + 3 if value is not None else 0)
                     put("\n" if 0 < options.wrap < column + width else " ")
-                    escaped(a["name"])
-                    if a["value"] is not None:
-                        put('="'), escaped(a["value"]), put('"')
-                put("/>" if t["leaf"] else ">")
-                space(t, "after_open")
+                    escaped(key)
+                    if value is not None:
+                        put('="'), escaped(value), put('"')
+                put("/>" if leaf else ">")
+                space("after_open", kind, name, attrs, depth, leaf)
+                if not leaf:
+                    open_.append((last, name, attrs, depth))
             elif kind in ("CDATA", "COMMENT", "DECLARATION", "DIRECTIVE"):
                 before, after = {"CDATA": ("<![CDATA[", "]]>"), "COMMENT": ("<!--", "-->"), "DECLARATION": ("<!", ">"), "DIRECTIVE": ("<?", "?>")}[kind]
-                space(t, "before_open")
+                space("before_open", kind, None, attrs, depth, leaf)
                 put(before + text + after)
-                space(t, "after_open")
+                space("after_open", kind, None, attrs, depth, leaf)
+            elif kind in ("INTEGER", "REAL"):
+                if place > 0:
+                    gap()
+                escaped(str(whole) if kind == "INTEGER" else "%g" % number)  # six digits, as C writes them
+            elif kind == "CUSTOM":
+                saved = options.custom_save(custom) if options.custom_save else None
+                if saved is None:
+                    return None
+                escaped(saved)
             else:
-                if kind == "CUSTOM":
-                    text = options.custom_save(text) if options.custom_save else None
-                    if text is None:
-                        return None
-                if t["spaced"] and (kind != "TEXT" or column > 0):
+                if kind == "TEXT" and ws and column > 0:
                     gap()
                 escaped(text)
+        while open_:
+            close(*open_.pop()[1:])
         return "".join(out)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [document(t.as_py()) for t in batch["tokens"]]
+            tokens = batch["tokens"]
+            fields = tokens.flatten()
+            pairs = fields.field("attrs")
+            each = pairs.flatten()
+            attrs = iter(zip(each.field("name").to_pylist(), each.field("value").to_pylist()))
+            attrs = [[next(attrs) for _ in range(n or 0)] for n in pairs.value_lengths().to_pylist()]
+            nodes = zip(*(fields.field(f).to_pylist() for f in NODE_FIELDS), attrs)
+            made = [document(islice(nodes, n)) for n in tokens.value_lengths().to_pylist()]
             yield pa.record_batch([batch["doc_id"], pa.array(made, pa.string())], names=["doc_id", "xml"])
 
     return rows
 
 
+#: What saving looks at, the rank first.
+NODE_FIELDS = ("node_id", "last_desc", "depth", "ord", "node_type", "name", "str_value", "int_value", "real_value", "custom", "ws")
+
+
 def to_documents(nodes: DataFrame, options: SaveOptions | None = None) -> DataFrame:
     """doc_id, xml: each document's text, without a final newline. null if it has a CUSTOM value that can't be saved.
 
     nodes: a node table, or a subtree of it (the least node_id of a doc_id is written with all below). options None: no
-    wrapping. One shuffle by doc_id; a document is a row of the result, so its tokens meet in one task.
+    wrapping. One shuffle by doc_id, a row a node; a document is a row of the result, so its nodes meet in one task.
     """
     options = options or SaveOptions(wrap=0)
-    text = F.coalesce(F.when(F.col("node_type") == "INTEGER", F.col("int_value").cast("string")), F.when(F.col("node_type") == "REAL", general("real_value")), F.when(F.col("node_type") == "ELEMENT", F.col("name")), "custom", "str_value")
-    spaced = F.when(F.col("node_type").isin("INTEGER", "REAL"), F.col("ord") > 0).otherwise(F.coalesce("ws", F.lit(False)))
-    leaf = F.col("last_desc") == F.col("node_id")
-    token = lambda place, kind: F.struct(*place, kind.alias("kind"), text.alias("text"), "attrs", spaced.alias("spaced"), leaf.alias("leaf"), "depth")
-    # A close tag comes after the last descendant, inner ones first.
-    opened = token([F.col("node_id").alias("at"), F.lit(0).alias("after"), F.lit(0).cast("long").alias("inner")], F.col("node_type"))
-    closed = token([F.col("last_desc").alias("at"), F.lit(1).alias("after"), (-F.col("node_id")).alias("inner")], F.lit("CLOSE"))
-    both = F.when((F.col("node_type") == "ELEMENT") & ~leaf, F.array(opened, closed)).otherwise(F.array(opened))
-    tokens = nodes.select("doc_id", F.explode(both).alias("t"))
-    gathered = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list("t")).alias("tokens"))
-    keep = F.transform("tokens", lambda t: F.struct(t["kind"].alias("kind"), t["text"].alias("text"), t["attrs"].alias("attrs"), t["spaced"].alias("spaced"), t["leaf"].alias("leaf"), t["depth"].alias("depth")))
-    return gathered.select("doc_id", keep.alias("tokens")).mapInArrow(_flow(options), "doc_id string, xml string")
+    gathered = nodes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*NODE_FIELDS, "attrs"))).alias("tokens"))
+    return gathered.mapInArrow(_flow(options), "doc_id string, xml string")
+
+
+def saved_string(documents: DataFrame, room: int) -> DataFrame:
+    """doc_id, size, buffer (binary): what a buffer of `room` bytes takes, its last byte kept for the end; size is 0 if that isn't all."""
+    n, data = F.octet_length("xml"), F.encode("xml", "UTF-8")
+    return documents.select("doc_id", F.when(n < room, n).otherwise(0).cast("long").alias("size"), F.substring(data, 1, room - 1).alias("buffer"))
 
 
 def saved_size(documents: DataFrame, room: int) -> DataFrame:
-    """doc_id, size: bytes of each document with its closing null byte's place kept free, 0 if it doesn't fit into `room`."""
-    n = F.octet_length("xml")
-    return documents.select("doc_id", F.when(n < room, n).otherwise(0).cast("long").alias("size"))
+    """doc_id, size: saved_string() without the buffer."""
+    return saved_string(documents, room).drop("buffer")
+
+
+def to_pieces(documents: DataFrame, size: int) -> DataFrame:
+    """doc_id, seq, data (binary): each document's bytes in pieces of a size, numbered from 0, as calls of a write callback take them."""
+    data = F.encode("xml", "UTF-8")
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length("xml"), F.lit(1)) - 1) / size).cast("int"))
+    cut = documents.filter("xml is not null").select("doc_id", data.alias("_data"), F.explode(starts).alias("seq"))
+    return cut.select("doc_id", "seq", F.expr(f"substring(_data, seq * {int(size)} + 1, {int(size)})").alias("data"))
+
+
+def save_io(documents: DataFrame, callback: Callable[[str, bytes], None], size: int = 1 << 16) -> None:
+    """Give every document to a callback (doc_id, piece of bytes), piece after piece, where the document is. A lost task's documents are given again."""
+
+    def each(rows: Iterator) -> None:
+        for row in rows:
+            data = row["xml"].encode()
+            for at in range(0, len(data), size):
+                callback(row["doc_id"], data[at : at + size])
+
+    documents.filter("xml is not null").foreachPartition(each)
+
+
+def file_name(doc_id: str) -> str:
+    """The file that a document goes to: its id with all but letters, digits and _.-~ percent-encoded."""
+    return quote(doc_id, safe="") + ".xml"
+
+
+class XmlSink(DataSource):
+    """df.write.format("sylva_xml_files").save(path): rows (doc_id, xml) to one file a document, each with a final newline.
+
+    The path is any that pyarrow's file systems know; files are written beside their place and then moved there, so a task
+    that runs again leaves whole files. Rows with null xml give none.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "sylva_xml_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _XmlWriter(self.options["path"])
+
+
+class _XmlWriter(DataSourceArrowWriter):
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        from uuid import uuid4
+
+        from pyarrow.fs import FileSystem
+
+        where = self.path.replace("file:/", "file:///", 1) if self.path.startswith("file:/") and not self.path.startswith("file://") else self.path
+        fs, root = FileSystem.from_uri(where)
+        fs.create_dir(root, recursive=True)
+        for batch in iterator:
+            for doc_id, xml in zip(batch["doc_id"].to_pylist(), batch["xml"].to_pylist()):
+                if xml is not None:
+                    part = f"{root}/.{uuid4().hex}"
+                    with fs.open_output_stream(part) as out:
+                        out.write((xml if xml.endswith("\n") else xml + "\n").encode())
+                    fs.move(part, f"{root}/{file_name(doc_id)}")
+        return WriterCommitMessage()
 
 
 def write_files(documents: DataFrame, path: str) -> None:
-    """Each document into files below path/doc_id=..., with a final newline, by Spark's text writer."""
-    ended = F.when(F.col("xml").endswith("\n"), F.expr("left(xml, length(xml) - 1)")).otherwise(F.col("xml"))  # the writer ends each row
-    documents.filter("xml is not null").select("doc_id", ended.alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+    """Each document to a file of its own below path, named by file_name(doc_id), with a final newline."""
+    documents.sparkSession.dataSource.register(XmlSink)
+    documents.select("doc_id", "xml").write.format("sylva_xml_files").mode("append").save(path)

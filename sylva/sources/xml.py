@@ -1,11 +1,13 @@
-"""Loading: documents in string or binary columns, in files, and by the Python data source `sylva_xml`, to nodes, events or errors.
+"""Loading: documents in string or binary columns, in pieces, in files, and by the Python data source `sylva_xml`, to nodes, events or errors.
 
-Each document is scanned within one task; documents are spread as their rows are. Nothing here shuffles.
+Each document is scanned within one task. Documents are first spread by their id, so that the scanning, which costs far more
+than moving the text, has tasks of even size whatever the layout of the table or the plan before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,81 +18,123 @@ from pyspark.sql.types import StructType
 
 from sylva.functions.scan import Scanner, clean, decode, nodes
 from sylva.functions.schema import ERROR, EVENT, NODE, LoadOptions
+from sylva.operators import edit
 
 ROWS = 20_000
+_TYPE, _NAME = NODE.fieldNames().index("node_type"), NODE.fieldNames().index("name")
 
 
-def _scanner(value: str | bytes, options: LoadOptions | None, sax: bool) -> Scanner:
+def _scanner(value: str | bytes, options: LoadOptions | None, sax: bool, top: tuple[str, dict] | None = None) -> Scanner:
     text, wrong = clean(value) if isinstance(value, str) else decode(bytes(value))
-    return Scanner(text, options, wrong, sax)
+    return Scanner(text, options, wrong, sax, top)
 
 
-def node_rows(doc_id: str, value: str | bytes, options: LoadOptions | None) -> Iterator[tuple]:
-    s = _scanner(value, options, False)
-    rows = nodes(s)
+def node_rows(doc_id: str, value: str | bytes, options: LoadOptions | None, top: tuple[str, dict] | None = None) -> Iterator[tuple]:
+    s = _scanner(value, options, False, top)
+    rows = nodes(s, under=top is not None)
     if not any(fatal for _, _, fatal in s.errors):
         for row in rows:
             yield (doc_id, *row, None)
 
 
-def event_rows(doc_id: str, value: str | bytes, options: LoadOptions | None) -> Iterator[tuple]:
+def event_rows(doc_id: str, value: str | bytes, options: LoadOptions | None, top: tuple[str, dict] | None = None) -> Iterator[tuple]:
     depth = 0
-    for seq, e in enumerate(_scanner(value, options, True)):
+    for seq, e in enumerate(_scanner(value, options, True, top)):
         depth -= e.event == "ELEMENT_CLOSE"
         yield (doc_id, seq, e.event, depth, *e[1:])
         depth += e.event == "ELEMENT_OPEN"
 
 
-def error_rows(doc_id: str, value: str | bytes, options: LoadOptions | None) -> Iterator[tuple]:
-    s = _scanner(value, options, False)
+def error_rows(doc_id: str, value: str | bytes, options: LoadOptions | None, top: tuple[str, dict] | None = None) -> Iterator[tuple]:
+    s = _scanner(value, options, False, top)
     for _ in s:
         pass
     for line, message, fatal in s.errors:
         yield doc_id, line, message, fatal
 
 
-def _by_row(make: Callable, schema: StructType, options: LoadOptions | None):
+def _batches(rows: Iterator[tuple], schema: StructType) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of the columns of rows that the schema has; each of its fields tells its place in a row."""
     arrow = to_arrow_schema(schema)
+    places = [f.metadata["place"] if "place" in (f.metadata or {}) else i for i, f in enumerate(schema)]
+    while some := list(islice(rows, ROWS)):
+        columns = list(zip(*some))
+        yield pa.record_batch([pa.array(columns[p], f.type) for p, f in zip(places, arrow)], schema=arrow)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
-            made = pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
-            out.clear()
-            return made
+def _of(schema: StructType, columns: Sequence[str] | None) -> StructType:
+    """The schema with the columns asked for, each with its place among all."""
+    fields = StructType()
+    for name in columns or schema.fieldNames():
+        fields = fields.add(name, schema[name].dataType, True, {"place": schema.fieldNames().index(name)})
+    return fields
+
 
+def _by_row(make: Callable, schema: StructType, options: LoadOptions | None, elements: frozenset[str] | None = None):
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for doc_id, value in zip(batch.column(0), batch.column(1)):
+            under = batch.schema.names[2:]
+            for i, (doc_id, value) in enumerate(zip(batch.column(0), batch.column(1))):
                 value = value.as_py()
-                for row in make(doc_id.as_py(), value, options) if value is not None else ():
-                    out.append(row)
-                    if len(out) >= ROWS:
-                        yield flush()
-        yield flush()
+                if value is None:
+                    continue
+                top = (batch["name"][i].as_py(), {a["name"]: a["value"] for a in batch["attrs"][i].as_py() or []}) if under else None
+                made = make(doc_id.as_py(), value, options, top)
+                yield from made if elements is None else (row for row in made if row[_TYPE] == "ELEMENT" and row[_NAME] in elements)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(scanned(batches), schema)
 
     return rows
 
 
-def _load(docs: DataFrame, column: str | Column, doc_id: str | Column, make: Callable, schema: StructType, options: LoadOptions | None) -> DataFrame:
+def _load(docs: DataFrame, column: str | Column, doc_id: str | Column, make: Callable, schema: StructType, options: LoadOptions | None, columns: Sequence[str] | None = None, elements: Sequence[str] | None = None, spread: bool = True, more: Sequence[str] = ()) -> DataFrame:
     doc, value = (F.col(c) if isinstance(c, str) else c for c in (doc_id, column))
-    return docs.select(doc.cast("string").alias("doc_id"), value.alias("value")).mapInArrow(_by_row(make, schema, options), schema)
+    given = docs.select(doc.cast("string").alias("doc_id"), value.alias("value"), *more)
+    if spread and not docs.isStreaming:
+        given = given.hint("rebalance", "doc_id")
+    schema = _of(schema, columns)
+    plain = StructType([type(f)(f.name, f.dataType) for f in schema])
+    return given.mapInArrow(_by_row(make, schema, options, None if elements is None else frozenset(elements)), plain)
 
 
-def shred(docs: DataFrame, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions()) -> DataFrame:
+def shred(docs: DataFrame, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions(), columns: Sequence[str] | None = None, elements: Sequence[str] | None = None, spread: bool = True) -> DataFrame:
     """The node table of the documents in a string or binary column. Null and empty documents have no nodes, nor has one whose
-    load fails: load_errors() tells why. options None: values are TEXT, but ignored before the first tag."""
-    return _load(docs, column, doc_id, node_rows, NODE, options)
+    load fails: load_errors() tells why. options None: values are TEXT, but ignored before the first tag.
+
+    columns: only these columns of the node table are made. elements: only elements of these names are given out, with the
+    ranks that they have among all nodes. spread: deal the documents out by doc_id first; without it they are scanned where they are.
+    """
+    return _load(docs, column, doc_id, node_rows, NODE, options, columns, elements, spread)
 
 
-def events(docs: DataFrame, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions()) -> DataFrame:
-    """The event table: what an event callback would see, up to the failure of a load that fails. Works on streams, too."""
-    return _load(docs, column, doc_id, event_rows, EVENT, options)
+def events(docs: DataFrame, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions(), columns: Sequence[str] | None = None, spread: bool = True) -> DataFrame:
+    """The event table (or these columns of it): what an event callback would see, up to the failure of a load that fails. Works on streams, too."""
+    return _load(docs, column, doc_id, event_rows, EVENT, options, columns, spread=spread)
 
 
-def load_errors(docs: DataFrame, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions()) -> DataFrame:
+def load_errors(docs: DataFrame, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions(), spread: bool = True) -> DataFrame:
     """doc_id, line, message, fatal; a load may fail with an empty message. Not fatal: the nodes up to there count."""
-    return _load(docs, column, doc_id, error_rows, ERROR, options)
+    return _load(docs, column, doc_id, error_rows, ERROR, options, spread=spread)
+
+
+def load_under(n: DataFrame, parents: DataFrame, fragments: DataFrame, column: str = "xml", options: LoadOptions | None = LoadOptions()) -> DataFrame:
+    """n with each fragment (doc_id, column) loaded as the last children of its document's parent (doc_id, node_id).
+
+    A fragment is scanned as if it stood in its parent: the parent's name and attributes tell the type of its values, it may start with a
+    value and have several roots; a last value that neither white space nor a tag follows is lost. A fragment that fails adds nothing.
+    """
+    of = n.join(parents.select("doc_id", "node_id"), ["doc_id", "node_id"]).select("doc_id", "name", "attrs")
+    given = fragments.select("doc_id", column).join(of, "doc_id")
+    made = _load(given, column, "doc_id", node_rows, NODE, options, more=("name", "attrs"))
+    return edit.append(n, made, parents)
+
+
+def from_pieces(pieces: DataFrame) -> DataFrame:
+    """doc_id, xml (binary) of documents that come in pieces (doc_id, seq, data), as calls of a read callback would give them."""
+    data = F.col("data").cast("binary")
+    each = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.hex(data).alias("x")))).alias("all"))
+    return each.select("doc_id", F.unhex(F.array_join(F.transform("all", lambda p: p["x"]), "")).alias("xml"))
 
 
 def read_files(spark: SparkSession, path: str, options: LoadOptions | None = LoadOptions(), glob: str = "*") -> DataFrame:
@@ -134,10 +178,10 @@ class _XmlReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(i) for i in range(int(self.options.get("parts", 1)))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         from importlib import import_module
 
         module, _, function = self.options["documents"].partition(":")
         options = LoadOptions(self.options.get("value_type", "TEXT"))
-        for doc_id, data in getattr(import_module(module), function)(partition.value, int(self.options.get("parts", 1))):
-            yield from node_rows(doc_id, data, options)
+        documents = getattr(import_module(module), function)(partition.value, int(self.options.get("parts", 1)))
+        yield from _batches((row for doc_id, data in documents for row in node_rows(doc_id, data, options)), NODE)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,6 +30,23 @@ def until_stop(of_events: DataFrame, stop: Column) -> DataFrame:
     return of_events.join(first, "doc_id", "left").filter(F.col("_stop").isNull() | (F.col("seq") <= F.col("_stop"))).drop("_stop")
 
 
+def unless_stopped(of: DataFrame, of_events: DataFrame, stop: Column) -> DataFrame:
+    """A node table (or any table with doc_id) without the documents whose callback stops their load: a stopped load leaves nothing."""
+    return of.join(of_events.filter(stop).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def with_parent(of_events: DataFrame) -> DataFrame:
+    """The events of a table with parent_seq, the seq of the ELEMENT_OPEN that they lie in: what a callback sees as a node's parent.
+
+    An event's parent is the last element opened before it one level up; one running value by document and level tells it.
+    """
+    opened = F.col("event") == "ELEMENT_OPEN"
+    levels = F.array(F.struct(F.col("depth").alias("level"), F.lit(False).alias("up")), F.when(opened, F.struct((F.col("depth") + 1).alias("level"), F.lit(True).alias("up"))))
+    both = of_events.withColumn("_l", F.explode(F.filter(levels, lambda x: x.isNotNull())))
+    before = Window.partitionBy("doc_id", "_l.level").orderBy("seq", F.desc("_l.up")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("parent_seq", F.last(F.when(F.col("_l.up"), F.col("seq")), ignorenulls=True).over(before)).filter("not _l.up").drop("_l")
+
+
 def run(of_events: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Give each arriving batch of events to a function."""
     return of_events.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint).start()

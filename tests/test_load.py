@@ -6,7 +6,7 @@ import pytest
 
 from sylva.functions.scan import Scanner, clean, decode, nodes
 from sylva.functions.schema import LoadOptions, type_by_attribute
-from tests.documents import OPTIONS
+from tests.documents import GARDEN, GARDEN_EVENTS
 
 
 def load(text, options=LoadOptions(), sax=False):
@@ -88,8 +88,17 @@ def test_values():
 
 
 def test_known_counts():
-    s = Scanner(OPTIONS, LoadOptions(type_of=type_by_attribute), sax=True)
-    assert Counter(e.event for e in s) == {"CDATA": 1, "COMMENT": 1, "DATA": 61, "DIRECTIVE": 1, "ELEMENT_OPEN": 20, "ELEMENT_CLOSE": 20} and not s.errors
+    s = Scanner(GARDEN, LoadOptions(type_of=type_by_attribute), sax=True)
+    assert Counter(e.event for e in s) == GARDEN_EVENTS and not s.errors
+
+
+def test_fragments():
+    """Under a node a text may start with a value and have several roots; a directive holds nothing there, and the last open value is lost."""
+    s = Scanner("1 2 <b>x</b><?d?>3 4", LoadOptions(type_of=lambda n, a: "INTEGER" if n == "a" else "TEXT"), top=("a", {}))
+    rows = [(r[0], r[1], r[5]) for r in nodes(s, under=True)]
+    assert rows == [(0, None, "INTEGER"), (1, None, "INTEGER"), (2, None, "ELEMENT"), (3, 2, "TEXT"), (4, None, "DIRECTIVE"), (5, None, "INTEGER")] and not s.errors
+    s = Scanner("<b>", LoadOptions(), top=("a", {}))
+    assert list(nodes(s, under=True)) and s.errors[0][1] == "Close tag </b> is missing"
 
 
 def test_several_roots_for_callbacks():
@@ -102,7 +111,7 @@ def test_mutations_give_rows_or_errors():
 
     rng = random.Random(9)
     for _ in range(3000):
-        t = list(OPTIONS)
+        t = list(GARDEN)
         for _ in range(rng.randint(1, 6)):
             i = rng.randrange(len(t))
             t[i : i + rng.randint(0, 3)] = rng.choice(["<", ">", "&", ";", "/", "'", '"', "=", " ", "]]>", "-->", "?>", "\x00", "<!", "x", ""])

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from sylva.functions.schema import LoadOptions, SaveOptions, type_by_attribute
 from sylva.operators import edit, find, index, nav, values
-from sylva.sources.save import saved_size, to_documents, write_files
-from sylva.sources.xml import XmlSource, events, load_errors, read_files, register_sql, shred
-from sylva.streaming.sax import event_counts, retained, stream_files, until_stop
-from tests.documents import OPTIONS, pretty
+from sylva.sources.save import save_io, saved_size, saved_string, to_documents, to_pieces, write_files
+from sylva.sources.store import stored
+from sylva.sources.xml import XmlSource, events, from_pieces, load_errors, load_under, read_files, register_sql, shred
+from sylva.streaming.sax import event_counts, retained, stream_files, unless_stopped, until_stop, with_parent
+from tests.documents import GARDEN, GARDEN_EVENTS, two_spaces
 
 TYPED = LoadOptions(type_of=type_by_attribute)
 
@@ -28,50 +29,58 @@ def one(df):
 
 
 @pytest.fixture(scope="module")
-def options(spark):
-    return shred(frame(spark, OPTIONS), options=TYPED).cache()
+def garden(spark):
+    return shred(frame(spark, GARDEN), options=TYPED).cache()
 
 
-def test_golden_document(spark, options):
-    assert options.count() == 84
-    assert saved(options, SaveOptions(0, pretty))["d0"] == OPTIONS.replace("\nthirteen", " thirteen")
-    wrapped = saved(options, SaveOptions(72, pretty))["d0"]
-    assert wrapped == OPTIONS and saved(shred(frame(spark, wrapped), options=TYPED), SaveOptions(72, pretty))["d0"] == wrapped
-    plain = shred(frame(spark, OPTIONS))
-    assert one(find.find_path(plain, "group/option/keyword"))["str_value"] == "PaperTray"
+def test_garden(spark, garden):
+    assert garden.count() == 39
+    for wrap in (0, 72):
+        written = saved(garden, SaveOptions(wrap, two_spaces))["d0"]
+        assert written == GARDEN and saved(shred(frame(spark, written), options=TYPED), SaveOptions(wrap, two_spaces))["d0"] == written
+    assert one(find.find_path(garden, "garden/bed/plant"))["str_value"] == "Sweet pea & bean"
 
 
 def test_events(spark):
-    counts = {r["event"]: r["n"] for r in event_counts(events(frame(spark, OPTIONS), options=TYPED)).collect()}
-    assert counts == {"CDATA": 1, "COMMENT": 1, "DATA": 61, "DIRECTIVE": 1, "ELEMENT_OPEN": 20, "ELEMENT_CLOSE": 20}
+    assert {r["event"]: r["n"] for r in event_counts(events(frame(spark, GARDEN), options=TYPED)).collect()} == GARDEN_EVENTS
     e = events(frame(spark, "<a><b>x</b><c/></a>", "<a></b>"))
     assert [r["event"] for r in e.filter("doc_id = 'd0'").orderBy("seq").collect()] == ["ELEMENT_OPEN", "ELEMENT_OPEN", "DATA", "ELEMENT_CLOSE", "ELEMENT_OPEN", "ELEMENT_CLOSE", "ELEMENT_CLOSE"]
     assert e.filter("doc_id = 'd1'").count() == 1 and retained(e, F.col("event") == "DATA").count() == 1
     assert until_stop(e, F.col("name") == "b").filter("doc_id = 'd0'").count() == 2
+    assert [r["doc_id"] for r in unless_stopped(e.select("doc_id").distinct(), e, F.col("name") == "b").collect()] == ["d1"]
+    parents = [r["parent_seq"] for r in with_parent(e).filter("doc_id = 'd0'").orderBy("seq").collect()]
+    assert parents == [None, 0, 1, 0, 0, 0, None]
+    assert [tuple(r) for r in events(frame(spark, "<a/>"), columns=["event", "seq"]).orderBy("seq").collect()] == [("ELEMENT_OPEN", 0), ("ELEMENT_CLOSE", 1)]
 
 
-def test_built_tree(spark):
-    """The tree of twelve children, with its paths and index sizes, and what deleting all children leaves."""
+def test_parts_of_the_node_table(spark):
+    n = shred(frame(spark, "<a><b x='1'>t</b><c/></a>"), columns=["node_id", "name"], elements=["c", "b"])
+    assert sorted(map(tuple, n.collect())) == [(1, "b"), (3, "c")] and n.columns == ["node_id", "name"]
+    assert shred(frame(spark, "<a/>"), spread=False).count() == 1 == stored(shred(frame(spark, "<a/>"))).count()
+
+
+def test_shelf(spark):
+    """Paths and index sizes over nested equal names, and what deleting all children leaves."""
     xml = (
-        "<?xml version='1.0'?><element><value>123</value><value>opaque</value><value>123.4</value><value> text</value>"
-        "<group type='string'>string string string</group><group type='integer'>1 2 3</group><group type='real'>1.0 2.0 3.0</group><group>opaque opaque opaque</group>"
-        "<foo><bar><one><two>value<two>value2</two></two></one></bar></foo><![CDATA[one]]><![CDATA[two\nlines]]><![CDATA[three]]></element>"
+        "<?xml version='1.0'?><shelf><slot>7</slot><box kind='wood'>x<box kind='tin'>y</box></box><box>z</box>"
+        "<row at='2'><slot at='1'/><a><b><c>deep<c>er</c></c></b></a></row><![CDATA[p]]><!-- q --></shelf>"
     )
     n = shred(frame(spark, xml), options=LoadOptions("OPAQUE")).cache()
-    for path in ("element/*/two", "element/foo/*/two", "element/foo/bar/one/two"):
-        assert one(find.find_path(n, path))["str_value"] == "value"
-    top = n.filter("name = 'element'").select("doc_id", F.col("node_id").alias("top"))
-    assert one(find.find_path(n, "*/two", top))["str_value"] == "value" and one(find.find_path(n, "foo/bar/one/two/", top))["str_value"] == "value"
-    for path in ("bar", "/foo", "foo//bar", "", "*/*/two", "foo/*", "x" * 256):
+    for path in ("shelf/*/c", "shelf/row/*/c", "shelf/row/a/b/c"):
+        assert one(find.find_path(n, path))["str_value"] == "deep"
+    top = n.filter("name = 'shelf'").select("doc_id", F.col("node_id").alias("top"))
+    assert one(find.find_path(n, "*/c", top))["str_value"] == "deep" and one(find.find_path(n, "row/a/b/c/", top))["str_value"] == "deep"
+    assert one(find.find_path(n, "box/box", top))["str_value"] == "y" and one(find.find_path(n, "row/a", top))["name"] == "a"
+    for path in ("c", "/row", "row//a", "", "*/*/c", "row/*", "x" * 256):
         assert find.find_path(n, path, top).collect() == []
     count = lambda *a: sum(r["n"] for r in index.index_count(index.index(n, *a)).collect())
-    assert (count("group"), count(None, "type"), count("group", "type"), count()) == (4, 3, 3, 15)
-    ind = index.index(n, "group", "type")
-    assert [r["value"] for r in ind.orderBy("pos").collect()] == ["integer", "real", "string"]
-    assert one(index.index_find(ind, "group", "real"))["pos"] == 2 and index.index_find(ind).count() == 3 and one(index.index_reset(ind))["value"] == "integer"
+    assert (count("box"), count(None, "kind"), count("box", "kind"), count(None, "at"), count()) == (3, 2, 2, 2, 12)
+    ind = index.index(n, "box", "kind")
+    assert [r["value"] for r in ind.orderBy("pos").collect()] == ["tin", "wood"]
+    assert one(index.index_find(ind, "box", "wood"))["pos"] == 2 and index.index_find(ind).count() == 2 and one(index.index_reset(ind))["value"] == "tin"
     rest = edit.delete(n, n.filter("depth = 2")).orderBy("node_id").collect()
-    assert [(r["node_id"], r["last_desc"], r["name"]) for r in rest] == [(0, 1, None), (1, 1, "element")]
-    assert find.find_path(n, "element/value", None).count() == 1 and find.find_path(n, "element/group/none").count() == 0
+    assert [(r["node_id"], r["last_desc"], r["name"]) for r in rest] == [(0, 1, None), (1, 1, "shelf")]
+    assert find.find_path(n, "shelf/slot", None).count() == 1 and find.find_path(n, "shelf/row/none").count() == 0
 
 
 def test_paths_never_go_back(spark):
@@ -79,29 +88,34 @@ def test_paths_never_go_back(spark):
     assert find.find_path(n, "r/a/b").count() == 0 and one(find.find_path(n, "r/*/b"))["name"] == "b"
 
 
-def test_find(spark, options):
-    start = options.filter("name = 'choice'").orderBy("node_id").limit(1).select("doc_id", F.col("node_id").alias("cur"), F.lit(0).cast("long").alias("top"))
+def test_find(spark, garden):
+    start = garden.filter("name = 'bed' and ord = 1").select("doc_id", F.col("node_id").alias("cur"), F.lit(0).cast("long").alias("top"))
     root = start.withColumn("cur", F.lit(0).cast("long"))
-    first = one(find.find(options, root, "choice"))["found"]
+    first = one(find.find(garden, root, "bed"))["found"]
     assert first["node_id"] == one(start)["cur"]
-    second = one(find.find(options, start, "choice", descend="NONE"))["found"]
-    assert second["ord"] > first["ord"] and one(find.find(options, start, "keyword", "type", "opaque", "FIRST"))["found"]["node_id"] > first["node_id"]
-    assert one(find.find(options, root, "choice", descend="NONE"))["found"] is None and one(find.find(options, root, value="opaque"))["found"] is None
-    assert find.find_all(options, attribute="type").count() == 9 and find.find_all(options, attribute="type", value="real").count() == 1
-    leaf = options.filter("name = 'integer'").select("doc_id", (F.col("node_id") + 1).alias("cur"), F.lit(0).cast("long").alias("top"))
-    assert one(find.find(options, leaf, "string", descend="FIRST"))["found"]["name"] == "string"  # a childless start goes on after itself
-
-
-def test_values(spark, options):
-    at = lambda name, kind: one(values.value_of(options, options.filter(F.col("name") == name).limit(1), kind))
-    assert at("order", "REAL")["value"] == 20.25 and at("integer", "INTEGER")["value"] == 321 and at("keyword", "OPAQUE")["value"] == "PaperTray"
-    assert at("order", "INTEGER")["value"] == 0 and at("order", "OPAQUE")["value"] is None
-    text = at("text", "TEXT")
-    assert (text["value"], text["value_ws"]) == ("Paper", False)
-    words = one(values.words_of(options, options.filter("name = 'string'")))["text"]
-    assert words.startswith("one two") and words.endswith("fifteen sixteen.")
-    own = options.select(values.own_value("COMMENT").alias("c"), values.own_value("CDATA").alias("d")).agg(F.max("c"), F.max("d")).first()
-    assert tuple(own) == (" a remark ", "raw <data> & more")
+    second = one(find.find(garden, start, "bed", descend="NONE"))["found"]
+    assert second["ord"] > first["ord"] and one(find.find(garden, start, attribute="type", value="real", descend="FIRST"))["found"]["name"] == "depth"
+    assert one(find.find(garden, root, "bed", descend="NONE"))["found"] is None and one(find.find(garden, root, value="b1"))["found"] is None
+    inner = one(find.find(garden, start.withColumn("top", F.col("cur")), "tool"))
+    assert inner["found"] is None and one(find.find(garden, start, "tool"))["found"]["depth"] == 2
+    assert find.find_all(garden, attribute="type").count() == 3 and find.find_all(garden, attribute="type", value="real").count() == 1
+    leaf = garden.filter("str_value like 'Sweet%'").select("doc_id", F.col("node_id").alias("cur"), F.lit(0).cast("long").alias("top"))
+    assert one(find.find(garden, leaf, "note", descend="FIRST"))["found"]["name"] == "note"  # a childless start goes on after itself
+    every = garden.select("doc_id", F.col("node_id").alias("cur"), F.lit(0).cast("long").alias("top"))
+    found = {r["cur"]: r["found"] and r["found"]["node_id"] for r in find.find(garden, every, "tool").collect()}
+    tools = [r["node_id"] for r in garden.filter("name = 'tool'").orderBy("node_id").collect()]
+    assert found == {i: next((t for t in tools if t > i), None) for i in range(39)}
+
+
+def test_values(spark, garden):
+    at = lambda name, kind: one(values.value_of(garden, garden.filter((F.col("name") == name) & (F.col("depth") > 2)).limit(1), kind))
+    assert at("depth", "REAL")["value"] == 0.25 and at("rows", "INTEGER")["value"] == 3 and at("plant", "OPAQUE")["value"] == "Sweet pea & bean"
+    assert at("depth", "INTEGER")["value"] == 0 and at("depth", "OPAQUE")["value"] is None
+    text = at("note", "TEXT")
+    assert (text["value"], text["value_ws"]) == ("water", False)
+    assert one(values.words_of(garden, garden.filter("name = 'note'")))["text"] == "water at dawn"
+    own = garden.select(values.own_value("COMMENT").alias("c"), values.own_value("CDATA").alias("d")).agg(F.max("c"), F.max("d")).first()
+    assert tuple(own) == (" thin out in May ", "if a < b & c")
 
 
 def test_walks(spark):
@@ -114,7 +128,7 @@ def test_walks(spark):
     assert get(nav.next_sibling(n), "next_sibling") == k(None, 3, None, None) and get(nav.prev_sibling(n), "prev_sibling") == k(None, None, None, 1)
     top = spark.createDataFrame([("d0", 1, 2)], "doc_id string, top long, top_last long")
     assert get(nav.walk_next(n, top=top), "next") == {("d0", 1): 2, ("d0", 2): None}
-    assert nav.ancestors(n).count() == 4
+    assert sorted((r["node_id"], r["ancestor"]) for r in nav.ancestors(n).collect()) == [(1, 0), (2, 0), (2, 1), (3, 0)]
 
 
 def test_edits(spark):
@@ -157,8 +171,30 @@ def test_saving(spark, tmp_path):
     docs = to_documents(n)
     size = len(saved(n)["d0"])
     assert [one(saved_size(docs, room))["size"] for room in (size, size + 1)] == [0, size]
-    write_files(docs, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out"), wholetext=True).first()["value"] == saved(n)["d0"] + "\n"
+    assert bytes(one(saved_string(docs, 10))["buffer"]) == saved(n)["d0"].encode()[:9]
+    write_files(docs.unionByName(docs.select(F.lit("a/b").alias("doc_id"), F.lit("<x/>\n").alias("xml"))).unionByName(docs.select(F.lit("none").alias("doc_id"), F.lit(None).cast("string").alias("xml"))), str(tmp_path / "out"))
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"d0.xml": saved(n)["d0"] + "\n", "a%2Fb.xml": "<x/>\n"}
+    assert from_pieces(to_pieces(docs, 7)).select(F.decode("xml", "UTF-8")).first()[0] == saved(n)["d0"]
+    got = str(tmp_path / "got")
+    save_io(docs, lambda doc_id, data: open(got, "ab").write(data) and None, 5)
+    assert open(got).read() == saved(n)["d0"]
+
+
+def test_edits_pass_other_documents_through(spark):
+    """Documents without a target keep their rows as they are; nested targets and several in one document are one cut each."""
+    n = shred(frame(spark, "<a><b><b/></b><c/><b>x</b></a>", "<a><c/></a>", "<b/>")).withColumn("node_id", F.when(F.col("doc_id") == "d1", F.col("node_id") + 10).otherwise(F.col("node_id")))
+    left = edit.delete(n, n.filter("name = 'b'"))
+    assert sorted((r["doc_id"], r["node_id"], r["name"]) for r in left.collect()) == [("d0", 0, "a"), ("d0", 1, "c"), ("d1", 10, "a"), ("d1", 11, "c")]
+    one_each = edit.siblings(*(edit.new_node(n.select("doc_id").distinct(), "ELEMENT", F.lit(x)) for x in "pq"))
+    assert [(r["node_id"], r["ord"], r["name"]) for r in one_each.filter("doc_id = 'd0'").orderBy("node_id").collect()] == [(0, 0, "p"), (1, 1, "q")]
+
+
+def test_fragments(spark):
+    n = shred(frame(spark, "<a><i type='integer'/><t/></a>", "<a><i type='integer'>9</i></a>"), options=TYPED)
+    at = n.filter("name = 'i'").select("doc_id", "node_id")
+    more = frame(spark, "1 2 <t>x y</t><!--zz-->", "<t>")
+    got = saved(load_under(n, at, more, options=TYPED))
+    assert got == {"d0": '<a><i type="integer">1 2<t>x y</t><!--zz--></i><t/></a>', "d1": '<a><i type="integer">9</i></a>'}
 
 
 def test_sources(spark, tmp_path):
