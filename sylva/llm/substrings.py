@@ -3,7 +3,8 @@
 Windows of `seed` words that repeat in several documents are the first candidates; only they are extended to twice
 that length, and so on, the last time to the length asked for, until no candidates survive. At the first level one window
 is looked at of each `length` words: of the seeds that a longer window holds, the one with the least hash, so
-equal longer windows have equal seeds and none is missed.
+equal longer windows have equal seeds and none is missed. Windows shorter than that are proposed by 64-bit hashes; what is removed is
+decided by 96 bits of two independent hashes, w and v.
 """
 
 from __future__ import annotations
@@ -45,12 +46,46 @@ def window_minima(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def _each(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: its bytes, its words' starts and ends there, and their hashes."""
+    """For each text: its bytes, its words' starts and ends there, and their hashes, independent ones besides."""
     for _, data, bounds in slices(column):
         words = Words(data, bounds)
-        hashes = words.hashes()
+        hashes, checks = words.hashes(), words.hashes(salt=1)
         for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
-            yield data[bounds[i] : bounds[i + 1]], words.start[a:b] - bounds[i], words.end[a:b] - bounds[i], hashes[a:b]
+            yield data[bounds[i] : bounds[i + 1]], words.start[a:b] - bounds[i], words.end[a:b] - bounds[i], hashes[a:b], checks[a:b]
+
+
+def _hashes(column: pa.Array) -> Iterator[np.ndarray]:
+    for _, data, bounds in slices(column):
+        words = Words(data, bounds)
+        yield from np.split(words.hashes(), words.first[1:-1])
+
+
+def _check(words: np.ndarray, length: int) -> np.ndarray:
+    """32 bits for each run of so many words, from their independent hashes."""
+    return (runs(words, length) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _pairs(w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of w and v."""
+    order = np.lexsort((v, w))
+    w, v = w[order], v[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
+    return w[new], v[new]
+
+
+def held(w: np.ndarray, v: np.ndarray, found_w: np.ndarray, found_v: np.ndarray) -> np.ndarray:
+    """Which of the pairs (w, v) are among those found."""
+    order = np.argsort(found_w, kind="stable")
+    found_w, found_v = found_w[order], found_v[order]
+    at, out = np.searchsorted(found_w, w), np.zeros(len(w), bool)
+    while True:  # more than once only where different windows share w
+        near = np.flatnonzero((at < len(found_w)) & ~out)
+        near = near[found_w[at[near]] == w[near]]
+        if not len(near):
+            return out
+        out[near] = found_v[at[near]] == v[near]
+        at[near] += 1
 
 
 def _seeds(hashes: np.ndarray, seed: int, length: int) -> np.ndarray:
@@ -66,7 +101,7 @@ def _emit_seeds(seed: int, length: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                own = [np.unique(_seeds(x[3], seed, length)).view(np.int64) for x in _each(part["text"])]
+                own = [np.unique(_seeds(hashes, seed, length)).view(np.int64) for hashes in _hashes(part["text"])]
                 n = [len(x) for x in own]
                 yield pa.record_batch([np.repeat(part["k"].to_numpy(), n), np.repeat(part["h"].to_numpy(), n), np.concatenate(own) if own else np.zeros(0, np.int64)], schema=schema)
 
@@ -74,17 +109,37 @@ def _emit_seeds(seed: int, length: int):
 
 
 def _emit_windows(seed: int, length: int, low: int, high: int):
-    """The windows of `high` words in windows of `length` whose candidates of `low` words (for the first level: seeds) all repeat."""
-    schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("w", pa.int64())])
+    """The windows of `high` words in windows of `length` whose candidates of `low` words (for the first level: seeds) all repeat; whole windows with v."""
+    last = high == length
+    schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("w", pa.int64())] + [("v", pa.int32())] * last)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part, own = batch.slice(at, 500), []
-                for (_, _, _, hashes), found in zip(_each(part["text"]), part["found"]):
-                    own.append(np.unique(runs(hashes, high)[candidates(hashes, np.array(found.as_py(), np.int64), seed, length, low, high)]).view(np.int64))
-                n = [len(x) for x in own]
-                yield pa.record_batch([np.repeat(part["k"].to_numpy(), n), np.repeat(part["h"].to_numpy(), n), np.concatenate(own) if own else np.zeros(0, np.int64)], schema=schema)
+                part, own, own_v = batch.slice(at, 500), [], []
+                for (_, _, _, hashes, checks), found in zip(_each(part["text"]), part["found"]):
+                    places = candidates(hashes, np.array(found.as_py(), np.int64), seed, length, low, high)
+                    w, v = runs(hashes, high)[places], _check(checks, high)[places] if last else None
+                    w, v = _pairs(w, v) if last else (np.unique(w), v)
+                    own.append(w.view(np.int64)), own_v.append(v)
+                n, none = [len(x) for x in own], [np.zeros(0, np.int64)]
+                made = [np.repeat(part["k"].to_numpy(), n), np.repeat(part["h"].to_numpy(), n), np.concatenate(own or none)]
+                if last:
+                    made.append(np.concatenate(own_v or none).astype(np.int32))
+                yield pa.record_batch(made, schema=schema)
+
+    return rows
+
+
+def _emit_whole(length: int):
+    """All windows of the texts."""
+    schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("w", pa.int64()), ("v", pa.int32())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, h, (_, _, _, hashes, checks) in zip(batch["k"].to_pylist(), batch["h"].to_pylist(), _each(batch["text"])):
+                w, v = _pairs(runs(hashes, length), _check(checks, length))
+                yield pa.record_batch([np.full(len(w), k), np.full(len(w), h), w.view(np.int64), v], schema=schema)
 
     return rows
 
@@ -115,12 +170,13 @@ def _cover(length: int, with_text: bool, carry: tuple[str, ...]):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, out = batch.slice(at, 500), []
-                for k, found, (data, start, end, hashes) in zip(part["k"].to_pylist(), part["found"], _each(part["text"])):
+                for k, found, (data, start, end, hashes, checks) in zip(part["k"].to_pylist(), part["found"], _each(part["text"])):
                     n, text = len(hashes), data.tobytes()
                     words, kept = text.split(), text
                     gone = np.zeros(n + 1, np.int64)
                     if found.is_valid:
-                        hit = np.flatnonzero(np.isin(runs(hashes, length), np.array(found.as_py(), np.int64).view(np.uint64)))
+                        found_w, found_v = (found.values.field(c).to_numpy() for c in "wv")
+                        hit = np.flatnonzero(held(runs(hashes, length), _check(checks, length), found_w.view(np.uint64), found_v))
                         np.add.at(gone, hit, 1)
                         np.add.at(gone, hit + length, -1)
                         gone = np.cumsum(gone)[:n] > 0
@@ -155,18 +211,20 @@ def remove_repeats(docs: DataFrame, length: int = 13, seed: int = 7, with_text:
     texts = whole.select("k", "h", "text")
     kind = "k long, h long, w long"
     found = texts.mapInArrow(_emit_seeds(seed, length), kind)
+    if len(chain) == 1:  # the seeds are whole windows
+        found = texts.mapInArrow(_emit_whole(length), kind + ", v int")
     for i, size in enumerate(chain):
         last = i == len(chain) - 1
         if last:
-            often = found.groupBy("w").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").select("w", "first")
-            again = found.join(often, "w").filter("k > first")
+            often = found.groupBy("w", "v").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").select("w", "v", "first")
+            again = found.join(often, ["w", "v"]).filter("k > first")
         else:
             often = found.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
             again = found.join(often, "w")
-        again = tables.keep(again.groupBy("k", "h").agg(F.collect_set("w").alias("found")), f"level{size}")
+        again = tables.keep(again.groupBy("k", "h").agg(F.collect_set(F.struct("w", "v") if last else "w").alias("found")), f"level{size}")
         if last:
             break
-        higher = texts.join(again, ["k", "h"]).mapInArrow(_emit_windows(seed, length, size, chain[i + 1]), kind)
+        higher = texts.join(again, ["k", "h"]).mapInArrow(_emit_windows(seed, length, size, chain[i + 1]), kind + ", v int" * (i + 2 == len(chain)))
         found = tables.keep(higher, f"windows{chain[i + 1]}")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     out = ", ".join([out, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
