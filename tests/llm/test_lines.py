@@ -30,10 +30,26 @@ def test_apply(spark, docs, corpus):
         assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] for r in got.collect())
 
 
-def test_beyond_the_broadcast_bound(spark, docs, corpus, monkeypatch):
-    monkeypatch.setattr("sylva.llm.lines.BROADCAST_BYTES", -1)
-    lines = LineDedup(spark)
-    assert Counter(map(tuple, lines.apply(lines.insert(lines.empty(), docs), docs).collect())) == expected(corpus, 10)
+def test_shards_follow_the_keys(spark, docs, corpus):
+    """More keys than the shards hold double their number; a change after that goes on with them."""
+    lines = LineDedup(spark, min_docs=2, shards=1, shard_keys=4)
+    half, rest = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 <> 0 or doc_id is null")
+    first = lines.insert(lines.empty(), half)
+    both = lines.insert(first, rest)
+    assert both.shards > 1 and both.n_often == lines._often(both).count() <= 4 * both.shards
+    assert Counter(map(tuple, lines.apply(both, docs).collect())) == expected(corpus, 2)
+    lines = LineDedup(spark, min_docs=2, shards=1)  # its filter gets full and is made anew
+    both = lines.insert(lines.insert(lines.empty(), docs.filter("doc_id < 20")), docs.filter("doc_id >= 20 or doc_id is null"))
+    assert both.shards == 1 and Counter(map(tuple, lines.apply(both, docs).collect())) == expected(corpus, 2)
+
+
+def test_the_log_is_merged(spark, docs, corpus, monkeypatch):
+    monkeypatch.setattr("sylva.llm.lines.MOST_LOGS", 1)
+    lines = LineDedup(spark, min_docs=6)
+    state = lines.empty()
+    for part in ("doc_id < 30", "doc_id >= 30 and doc_id < 505", "doc_id >= 505 or doc_id is null"):
+        state = lines.insert(state, docs.filter(part))
+    assert len(state.logs) == 1 and Counter(map(tuple, lines.apply(state, docs).collect())) == expected(corpus, 6)
 
 
 def test_deletion_reverses_insertion(spark, docs, corpus):
