@@ -18,32 +18,33 @@ def template(role: Column, text: Column) -> Column:
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns of the conversations that no other one continues; of equal ones the smallest conv_id stays.
+    """conv, n_turns of the conversations that no other one continues; of equal ones the smallest conv stays.
 
-    turns: conv_id, place (1..n in a conversation), role, text. The hash of a prefix is the exclusive or of its turns'
+    turns: conv, place (1..n in a conversation), role, text. The hash of a prefix is the exclusive or of its turns'
     hashes, each over place, role and text, in two independent 64-bit halves.
     """
     rolled = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "place", "role", F.col("role").isNull(), "text", F.col("text").isNull()))
-    order = Window.partitionBy("conv_id").orderBy("place")
-    prefix = turns.withColumns({"a": rolled(1).over(order), "b": rolled(2).over(order), "n_turns": F.max("place").over(Window.partitionBy("conv_id"))})
+    order = Window.partitionBy("conv").orderBy("place")
+    prefix = turns.withColumns({"a": rolled(1).over(order), "b": rolled(2).over(order), "n_turns": F.max("place").over(Window.partitionBy("conv"))})
     key = ["place", "a", "b"]
-    whole = prefix.filter("place = n_turns").groupBy(*key).agg(F.min("conv_id").alias("conv_id"))
+    whole = prefix.filter("place = n_turns").groupBy(*key).agg(F.min("conv").alias("conv"))
     inner = prefix.filter("place < n_turns").select(*key).distinct()
-    return whole.join(inner, key, "left_anti").select("conv_id", F.col("place").alias("n_turns"))
+    return whole.join(inner, key, "left_anti").select("conv", F.col("place").alias("n_turns"))
 
 
 def format_chats(log: DataFrame) -> DataFrame:
     """conv_id, n_turns, text (rendered) of the maximal conversations of log (conv_id, turn, role, text).
 
     Turns go by (turn, role, text), nulls first; a row logged twice is one turn. Null roles render as 'user', null texts as empty,
-    though neither is equal to those when conversations are compared. Rows with null conv_id make up one conversation.
+    though neither is equal to those when conversations are compared. A row with null conv_id is a conversation of its own, of one turn.
     A conversation is one row of the result, so its turns meet in one task, as the row they become must.
     """
     tables = Tables(log.sparkSession, "chat")
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    turns = tables.keep(log.select("conv_id", "turn", "role", "text").distinct().withColumn("place", F.row_number().over(order)), "turns")
-    kept = maximal(turns)
-    same = turns["conv_id"].eqNullSafe(kept["conv_id"])
-    said = turns.join(kept, same).select(turns["conv_id"], "n_turns", "place", template(F.coalesce("role", F.lit("user")), F.coalesce("text", F.lit(""))).alias("said"))
-    each = said.groupBy("conv_id", "n_turns").agg(F.sort_array(F.collect_list(F.struct("place", "said"))).alias("all"))
-    return each.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.array_join(F.transform("all", lambda x: x["said"]), "").alias("text"))
+    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
+    # Rows that name no conversation are told apart by what they say, so they don't gather under the null.
+    alone = F.when(F.col("conv_id").isNull(), F.struct("turn", "role", "text"))
+    logged = log.select("conv_id", "turn", "role", "text").distinct().withColumn("conv", F.struct(F.col("conv_id").isNull().alias("loose"), F.col("conv_id").alias("id"), alone.alias("alone")))
+    turns = tables.keep(logged.withColumn("place", F.row_number().over(order)), "turns")
+    said = turns.join(maximal(turns), "conv").select("conv", "n_turns", "place", template(F.coalesce("role", F.lit("user")), F.coalesce("text", F.lit(""))).alias("said"))
+    each = said.groupBy("conv", "n_turns").agg(F.sort_array(F.collect_list(F.struct("place", "said"))).alias("all"))
+    return each.select(F.col("conv.id").alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), F.array_join(F.transform("all", lambda x: x["said"]), "").alias("text"))

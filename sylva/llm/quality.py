@@ -11,10 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.shared import BLANKS
+from sylva.llm.shared import BLANKS, Tables
 
 SYMBOLS = "#*$%&|<>"
 RUN = 5
+BULLETS = ("-", "*", "•")
 
 #: Rules in the order of their bits: name, and the condition on the measurements under which a document fails.
 RULES: dict[str, str] = {
@@ -22,8 +23,16 @@ RULES: dict[str, str] = {
     "repeated_runs": "100 * n_repeat_words > 20 * n_words",
     "symbols": "10 * n_symbols > 3 * word_chars",
     "repeated_lines": "2 * n_dup_lines > n_lines",
+    "short_words": "word_chars < 2 * n_words",
+    "long_words": "word_chars > 20 * n_words",
+    "giant_word": "longest_word > 1000",
+    "few_letters": "2 * n_letters < word_chars",
+    "capitals": "2 * n_upper > n_letters",
+    "bullets": "10 * n_bullet_lines > 9 * n_lines",
+    "ellipses": "10 * n_ellipsis_lines > 3 * n_lines",
+    "repeated_line_chars": "5 * dup_line_chars > 2 * text_chars",
 }
-MEASUREMENTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+MEASUREMENTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "text_chars", "n_letters", "n_upper", "longest_word", "n_bullet_lines", "n_ellipsis_lines", "dup_line_chars"]
 
 
 @dataclass(frozen=True)
@@ -39,7 +48,7 @@ class Policy:
 
 
 BASE = Policy("base", ("few_words", "repeated_runs"))
-PRODUCTION = Policy("production-1", tuple(RULES))
+PRODUCTION = Policy("production-2", tuple(RULES))
 
 
 def measure(docs: DataFrame, *carry: str) -> DataFrame:
@@ -50,6 +59,9 @@ def measure(docs: DataFrame, *carry: str) -> DataFrame:
     """
     less = lambda c, chars: F.translate(c, chars, "")
     text, words, lines = F.col("_text"), F.col("_words"), F.col("_lines")
+    without = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    some = lambda test: F.size(F.filter("_full", lambda x: test(F.btrim(x, F.lit(BLANKS)))))
+    joined = lambda c: F.length(F.array_join(c, ""))
     bare = F.btrim(text, F.lit(BLANKS))
     d = docs.select("doc_id", *carry, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     d = d.withColumns({"_words": F.when(F.length(bare) > 0, F.split(bare, "[ \\t-\\r]+")).otherwise(F.array().cast("array<string>")), "_lines": F.split(text, "\n", -1)})
@@ -70,6 +82,13 @@ def measure(docs: DataFrame, *carry: str) -> DataFrame:
         as_long(F.size(lines)).alias("n_lines"),
         as_long(F.size("_full") - F.size(F.array_distinct("_full"))).alias("n_dup_lines"),
         as_long(F.coalesce(F.aggregate(adds, F.lit(0), lambda a, x: a + x), F.lit(0))).alias("n_repeat_words"),
+        as_long(F.length(text)).alias("text_chars"),
+        as_long(without("\\p{L}+")).alias("n_letters"),
+        as_long(without("\\p{Lu}+")).alias("n_upper"),
+        as_long(F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0))).alias("longest_word"),
+        as_long(some(lambda x: F.substring(x, 1, 1).isin(*BULLETS))).alias("n_bullet_lines"),
+        as_long(some(lambda x: x.endswith("...") | x.endswith("…"))).alias("n_ellipsis_lines"),
+        as_long(joined("_full") - joined(F.array_distinct("_full"))).alias("dup_line_chars"),
     )
 
 
@@ -83,6 +102,11 @@ def ledger(docs: DataFrame, *carry: str) -> DataFrame:
     return measure(docs, *carry).withColumn("failures", F.when(F.monotonically_increasing_id() >= 0, failures))
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The ledger written and read again: policies and ablations of any number then read bits and measurements, and no text."""
+    return Tables(rows.sparkSession, "quality").keep(rows, "ledger")
+
+
 def judge(rows: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
     """The ledger's rows with base_failed, kept and the policy's version."""
     failed = lambda p: F.col("failures").bitwiseAND(F.lit(p.mask).cast("long")) != 0

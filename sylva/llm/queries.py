@@ -14,11 +14,11 @@ from sylva.llm.lines import LineDedup
 from sylva.llm.media import text_media
 from sylva.llm.near import near_duplicates
 from sylva.llm.packing import pack
-from sylva.llm.quality import judge, ledger
+from sylva.llm.quality import BASE, PRODUCTION, RULES, ablations, judge, ledger, stored
 from sylva.llm.scoring import score
 from sylva.llm.shared import table
 from sylva.llm.substrings import remove_repeats
-from sylva.llm.urls import SITES, filter_urls
+from sylva.llm.urls import OFFERS, SITES, TRACES, WARES, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,10 +58,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = judge(ledger(table(spark, sf_dir, "documents")))
+    rows = judge(stored(ledger(table(spark, sf_dir, "documents"))))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policies rejects, in all and alone, from the stored ledger."""
+    return ablations(stored(ledger(table(spark, sf_dir, "documents"))), BASE, PRODUCTION)
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), named=tuple(r.name for r in SITES))
 
@@ -81,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op2_bpe, op3_packing, op4_near_dedup, op5_chat, op6_substring_dedup, op7_quality, op8_urls, op9_lm_scores, op10_media, pipeline]
+    own = [op1_line_dedup, op2_bpe, op3_packing, op4_near_dedup, op5_chat, op6_substring_dedup, op7_quality, op8_urls, op9_lm_scores, op10_media, quality_ablations, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -133,26 +138,33 @@ SELECT d.doc_id, count(each.i)::BIGINT AS n_words, count(gone.i)::BIGINT AS n_re
   sha256(coalesce(string_agg(word, ' ' ORDER BY each.i) FILTER (WHERE gone.i IS NULL AND word IS NOT NULL), '')) AS kept_sha256
 FROM documents d LEFT JOIN each ON each.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = each.doc_id AND gone.i = each.i GROUP BY d.doc_id"""
 
-    quality = f"""
+    ledger_sql = f"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM base WHERE len(w) >= 5)),
 again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM windows) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, i + unnest(range(5)) AS i FROM again) GROUP BY doc_id),
 lined AS (SELECT doc_id, len(l) AS n_lines, list_filter(l, lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS filled FROM base),
+bare AS (SELECT doc_id, list_transform(filled, lambda x: trim(x, {_WS})) AS b FROM lined),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
-  (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, n_lines, (len(filled) - len(list_distinct(filled)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
-  FROM base JOIN lined USING (doc_id) LEFT JOIN covered USING (doc_id)),
-f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
-  + CASE WHEN 10 * n_symbols > 3 * word_chars THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END)::BIGINT AS failures FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 != 0 AS base_failed, failures = 0 AS kept, failures FROM f"""
-
+  (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, n_lines, (len(filled) - len(list_distinct(filled)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+  length(t) - length(regexp_replace(t, '\\p{{L}}+', '', 'g')) AS n_letters, length(t) - length(regexp_replace(t, '\\p{{Lu}}+', '', 'g')) AS n_upper, coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS longest_word,
+  len(list_filter(b, lambda x: x[1] IN ('-', '*', '•'))) AS n_bullet_lines, len(list_filter(b, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) AS n_ellipsis_lines, length(t) AS text_chars,
+  length(array_to_string(filled, '')) - length(array_to_string(list_distinct(filled), '')) AS dup_line_chars
+  FROM base JOIN lined USING (doc_id) JOIN bare USING (doc_id) LEFT JOIN covered USING (doc_id)),
+f AS (SELECT *, ({" + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(RULES.values()))})::BIGINT AS failures FROM m)"""
+    quality = ledger_sql + " SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 != 0 AS base_failed, failures = 0 AS kept, failures FROM f"
+    cases = ", ".join(f"('{p.version}', '{r}', {p.mask}, {1 << list(RULES).index(r)})" for p in (BASE, PRODUCTION) for r in p.rules)
+    ablated = ledger_sql + f""" SELECT version, rule, count(*) FILTER (WHERE failures & mask != 0) AS rejected, count(*) FILTER (WHERE failures & bit != 0) AS by_rule, count(*) FILTER (WHERE failures & mask = bit) AS by_rule_alone
+FROM f, (VALUES {cases}) p(version, rule, mask, bit) GROUP BY 1, 2"""
+
+    spam = "|".join([f"(^|[^0-9a-z])(({'|'.join(OFFERS)})[^0-9a-z]({'|'.join(WARES)})|xxx)([^0-9a-z]|$)", *(p for p, _ in TRACES)])
     urls = f"""
 WITH parts AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 sites AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), {_LOWER}) AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts),
 rules (rule, verdict, h, p) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
 found AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
   FROM sites LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host || path, '(?i)(^|[^0-9a-z])(spam[^0-9a-z]farm|cheap[^0-9a-z]pills|online[^0-9a-z]casino|free[^0-9a-z]viagra|xxx)([^0-9a-z]|$)') THEN 'block' ELSE 'allow' END) AS verdict FROM found"""
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host || path, '(?i){spam}') THEN 'block' ELSE 'allow' END) AS verdict FROM found"""
 
     scores = f"""
 WITH words AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
@@ -164,4 +176,4 @@ scored AS (SELECT doc_id, count(*) AS n, sum(round(1000000 * CASE WHEN q IS NOT
   WHEN r1 > 0 THEN ln(r1 / r0) + more * ln(0.4::DOUBLE) ELSE ln(1 / greatest(r0, 1)) + (more + 1) * ln(0.4::DOUBLE) END)::BIGINT)::BIGINT AS s FROM places GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(s, 0)::BIGINT AS score_micro, s / n / 1000000 AS mean_score FROM documents d LEFT JOIN scored USING (doc_id)"""
 
-    return {"op1_line_dedup": lines, "op4_near_dedup": near, "op5_chat": chat, "op6_substring_dedup": repeats, "op7_quality": quality, "op8_urls": urls, "op9_lm_scores": scores}
+    return {"op1_line_dedup": lines, "op4_near_dedup": near, "op5_chat": chat, "op6_substring_dedup": repeats, "op7_quality": quality, "quality_ablations": ablated, "op8_urls": urls, "op9_lm_scores": scores}

@@ -7,6 +7,7 @@ and only those run their expressions. Built-in functions only.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -43,9 +44,13 @@ def word_rule(action: str, *tokens: str) -> Rule:
     return Rule("-".join(tokens), action, f"(?i)(?:^|[^0-9a-z]){inner}(?:[^0-9a-z]|$)", tokens, len(inner) % 1_000)
 
 
-#: The four site rules that are asked for; those of spam words decide where none of these fits.
+#: The four site rules that are asked for.
 SITES = (site_rule("block", "net/"), site_rule("allow", "example.net/en/"), site_rule("block", "example.com/de/"), site_rule("allow", "org/fr/"))
-SPAM = (word_rule("block", "spam", "farm"), word_rule("block", "cheap", "pills"), word_rule("block", "online", "casino"), word_rule("block", "free", "viagra"), word_rule("block", "xxx"))
+#: The rules that decide where none of those fits: every offer before every ware, one word alone, and traces of what is no page.
+OFFERS = ("adult", "best", "bulk", "buy", "cheap", "discount", "easy", "fast", "free", "hot", "instant", "miracle", "online", "replica", "secret", "spam", "win")
+WARES = ("bitcoin", "casino", "cialis", "dating", "essays", "farm", "followers", "jackpot", "loans", "lottery", "pills", "poker", "prizes", "slots", "viagra", "watches")
+TRACES = (("/wp-login\\.php$", ("wp", "login", "php")), ("/xmlrpc\\.php$", ("xmlrpc", "php")), ("/[0-9]{1,3}x[0-9]{1,3}\\.gif$", ("gif",)), ("/[0-9a-f]{32}/sid(?:/|$)", ("sid",)), ("/cgi-bin/[^/]*\\.exe$", ("cgi", "bin", "exe")))
+SPAM = (*(word_rule("block", a, b) for a in OFFERS for b in WARES), word_rule("block", "xxx"), *(Rule(f"trace:{p}", "block", f"(?i){p}", t, 1) for p, t in TRACES))
 
 
 def host_of(url: Column) -> Column:
@@ -58,8 +63,8 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITES + SPAM, default: str = "allow", named: tuple[str, ...] | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict of every row of pages (page_id, url).
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITES + SPAM, default: str = "allow", named: tuple[str, ...] | None = None, with_tried: bool = False) -> DataFrame:
+    """page_id, host, path, rule, verdict of every row of pages (page_id, url); with_tried: also n_tried, how many rules' expressions ran.
 
     rule: the name of the highest-ranked rule that matches (equal ranks: the first name), verdict: its action; null and
     `default` where none does. named: report only these rules' names, the others just decide. Null url: empty host and
@@ -75,7 +80,8 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITES + SPAM, defaul
     tokens = F.array_distinct(F.filter(F.split(F.translate(text, _UPPER, _LOWER), "[^0-9a-z]+"), lambda t: t != ""))
     held = distinct.select("host", "path", F.explode(tokens).alias("token"))
 
-    listed = spark.createDataFrame([(r.name, r.action, r.pattern, r.rank, list(r.tokens)) for r in rules], "name string, action string, pattern string, rank int, tokens array<string>")
+    as_json = json.dumps([{"name": r.name, "action": r.action, "pattern": r.pattern, "rank": r.rank, "tokens": r.tokens} for r in rules])
+    listed = spark.range(1).select(F.inline(F.from_json(F.lit(as_json), "array<struct<name string, action string, pattern string, rank int, tokens array<string>>>")))
     of_rules = listed.select("name", F.explode("tokens").alias("token"))
     small = len(rules) and sum(len(r.tokens) for r in rules) <= BROADCAST_RULES
     fit = F.broadcast if small else lambda df: df
@@ -83,7 +89,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITES + SPAM, defaul
     ranked = of_rules.join(common, "token", "left").groupBy("name").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     index = listed.drop("tokens").join(ranked, "name")
 
-    found = held.join(fit(index), "token").filter(F.expr("regexp_like(concat(host, path), pattern)"))
-    best = found.groupBy("host", "path").agg(F.min_by(F.struct("name", "action"), F.struct(-F.col("rank"), "name")).alias("best"))
+    tried = held.join(fit(index), "token").withColumn("hit", F.expr("regexp_like(concat(host, path), pattern)"))
+    best = tried.groupBy("host", "path").agg(F.min_by(F.struct("name", "action"), F.when(F.col("hit"), F.struct(-F.col("rank"), "name"))).alias("best"), F.count("*").alias("n_tried"))
     shown = F.col("best.name") if named is None else F.when(F.col("best.name").isin(*named), F.col("best.name"))
-    return sites.join(best, ["host", "path"], "left").select("page_id", "host", "path", shown.alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    return sites.join(best, ["host", "path"], "left").select("page_id", "host", "path", shown.alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"), *([F.coalesce("n_tried", F.lit(0)).alias("n_tried")] if with_tried else []))

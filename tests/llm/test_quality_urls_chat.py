@@ -1,9 +1,10 @@
 import re
+import unicodedata
 from collections import Counter
 
 from sylva.llm.chat import format_chats
-from sylva.llm.quality import BASE, PRODUCTION, RULES, Policy, ablations, judge, ledger
-from sylva.llm.urls import SITES, SPAM, Rule, filter_urls, site_rule
+from sylva.llm.quality import BASE, MEASUREMENTS, PRODUCTION, RULES, Policy, ablations, judge, ledger, stored
+from sylva.llm.urls import OFFERS, SITES, SPAM, TRACES, WARES, Rule, filter_urls, site_rule
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -18,21 +19,44 @@ def measured(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines), len(full) - len(set(full)), len(again)
 
 
+def more_measured(text):
+    t = text or ""
+    full = [x for x in t.split("\n") if WORD.search(x)]
+    bare = [x.strip(" \t\n\x0b\x0c\r") for x in full]
+    letters, upper = (sum(unicodedata.category(c)[: len(k)] == k for c in t) for k in ("L", "Lu"))
+    return len(t), letters, upper, max(map(len, WORD.findall(t)), default=0), sum(x[0] in "-*•" for x in bare), sum(x.endswith(("...", "…")) for x in bare), sum(map(len, full)) - sum(map(len, set(full)))
+
+
+def failures(text):
+    n_words, word_chars, symbols, n_lines, dup, again = measured(text)
+    chars, letters, upper, longest, bullets, ellipses, dup_chars = more_measured(text)
+    failed = [n_words < 10, 5 * again > n_words, 10 * symbols > 3 * word_chars, 2 * dup > n_lines, word_chars < 2 * n_words, word_chars > 20 * n_words, longest > 1000, 2 * letters < word_chars, 2 * upper > letters]
+    failed += [10 * bullets > 9 * n_lines, 10 * ellipses > 3 * n_lines, 5 * dup_chars > 2 * chars]
+    return sum(1 << i for i, f in enumerate(failed) if f)
+
+
 def test_ledger(docs, corpus):
     rows = judge(ledger(docs)).collect()
-    got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_lines"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rows)
-    expected = []
-    for d, t, *_ in corpus:
-        m = measured(t)
-        expected.append((d, *m, m[0] < 10 or 100 * m[5] > 20 * m[0]))
-    assert got == Counter(expected)
+    got = Counter((r["doc_id"], *(r[m] for m in MEASUREMENTS), r["failures"], r["base_failed"]) for r in rows)
+    expected = Counter((d, *measured(t), *more_measured(t), failures(t), failures(t) & 3 != 0) for d, t, *_ in corpus)
+    assert got == expected and len({r["failures"] for r in rows}) > 4
     assert all(r["kept"] == (r["failures"] == 0) for r in rows) and {r["policy"] for r in rows} == {PRODUCTION.version}
     kept = judge(ledger(docs, "text", "k")).filter("kept")
     assert kept.count() == sum(r["kept"] for r in rows) and kept.columns[:3] == ["doc_id", "text", "k"]
 
 
+def test_rules_one_by_one(spark):
+    """A text that fails each rule, alone where that can be, and one that fails none."""
+    say = "some ordinary words that make up a line of text here"
+    lines = [f"{say} {i}" for i in range(10)]
+    cases = ["few words", "a b c d e " * 4, say + " # $ % & | < > * " * 3, "\n".join([*["xy"] * 9, say]), "a b c d e f g h i j k l m", " ".join(c * 25 for c in "abcdefghijkl"), say + " " + "y" * 1001, "12 34 56 78 90 13 35 57 79 91 14 aa", say.upper(), "\n".join(f"- {x}" for x in lines), "\n".join(f"{x}..." for x in lines), "\n".join([*[say] * 2, *lines[:2]]), say]
+    got = {r["doc_id"]: r["failures"] for r in ledger(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    assert all(got[i] == failures(t) for i, t in enumerate(cases)) and got[12] == 0
+    assert all(got[i] >> i & 1 for i in range(11)), got
+
+
 def test_ablations(docs):
-    rows = ledger(docs)
+    rows = stored(ledger(docs))
     bits = [r["failures"] for r in rows.collect()]
     for r in ablations(rows, BASE, PRODUCTION, Policy("one", ("symbols",))).collect():
         mask = {p.version: p.mask for p in (BASE, PRODUCTION, Policy("one", ("symbols",)))}[r["version"]]
@@ -50,6 +74,7 @@ URLS = [
     "http://a.b.net/x", "https://NET/y?z#q", "http://example.net/en/1", "http://www.example.net/en", "http://example.com/de/x", "http://xexample.com/de/x", "https://fr.org/fr/", "http://a.org/fr/?x", "http://a.org/FR/x",
     "http://net", "http://net?x/", "http://net:80/", "ftp://u@a.net/", "no scheme.net/", "", None, "://net/", "http://", "http://spam-farm.example.org/en/", "http://a.org/cheap_pills.html", "http://a.org/cheapxpills", "http://a.com/xxx", "http://a.com/axxx",
     "http://x.example.net/en/spam-farm", "http://a.com/b://c.net/", "http://a.net/x", "http://a.net/x",
+    "http://b.com/best-slots/1", "http://b.com/BEST_Slots", "http://b.com/slots-best", "http://win.lottery.com/", "http://c.com/blog/wp-login.php", "http://c.com/wp-login.phpx", "http://c.com/i/1x1.gif", "http://c.com/i/a1x1.gif", "http://c.com/t/0a1b2c3d4e5f60718293a4b5c6d7e8f9/sid/", "http://c.com/sid/x",
 ]
 
 
@@ -62,7 +87,7 @@ def judged(url):
     if fits:
         _, rule, verdict = max(fits)
     else:
-        spam = re.search("(?:^|[^0-9a-z])(?:spam[^0-9a-z]farm|cheap[^0-9a-z]pills|online[^0-9a-z]casino|free[^0-9a-z]viagra|xxx)(?:[^0-9a-z]|$)", (host + path).lower())
+        spam = re.search("(?:^|[^0-9a-z])(?:(?:%s)[^0-9a-z](?:%s)|xxx)(?:[^0-9a-z]|$)" % ("|".join(OFFERS), "|".join(WARES)), (host + path).lower()) or any(re.search(p, host + path, re.I) for p, _ in TRACES)
         rule, verdict = None, "block" if spam else "allow"
     return host, path, rule, verdict
 
@@ -83,8 +108,10 @@ def test_only_candidates_run(spark):
     r = site_rule("block", "example.net/en/")
     assert r.tokens == ("example", "net", "en") and all(x.tokens for x in SPAM)
     odd = Rule("odd", "block", ".*", ("nowhere",), 9999)
-    pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
+    pages = spark.createDataFrame([(1, "http://a.com/"), (2, "http://a.com/best-slots/"), (3, None)], "page_id long, url string")
     assert filter_urls(pages, (odd,)).first()["verdict"] == "allow"
+    tried = {r["page_id"]: r["n_tried"] for r in filter_urls(pages, with_tried=True).collect()}
+    assert len(SPAM) > 250 and tried[1] == tried[3] == 0 and 0 < tried[2] < 40
 
 
 def test_chats(spark):
@@ -92,7 +119,11 @@ def test_chats(spark):
     logged = {1: [a], 2: [a, b], 3: [a, b, c], 4: [a, c], 5: [a, b, c], 6: [b, a], 7: [c], 8: [("user", None)], 9: [(None, "hi")], 10: [("user", "")], None: [a, ("system", "x")]}
     rows = [(conv, i, role, text, 0, "x") for conv, turns in logged.items() for i, (role, text) in enumerate(turns)]
     rows += [rows[0], rows[4], (11, 5, "user", "tie b", 0, ""), (11, 5, "user", "tie a", 0, ""), (12, None, "user", "hi", 0, "")]
-    got = {r["conv_id"]: (r["n_turns"], r["text"]) for r in format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place int, said string")).collect()}
+    rows += [(None, 7, "user", "alone", 0, ""), (None, 7, "user", "alone", 0, "")]
+    kept = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place int, said string")).collect()
+    got = {r["conv_id"]: (r["n_turns"], r["text"]) for r in kept}
+    # Rows without conv_id are conversations of one turn each; the one that another conversation starts with goes.
+    assert sorted((r["n_turns"], r["text"]) for r in kept if r["conv_id"] is None) == [(1, "<|system|>\nx\n<|end|>\n"), (1, "<|user|>\nalone\n<|end|>\n")]
     assert set(got) == {3, 4, 6, 7, 8, 9, 10, 11, None}
     assert got[3] == (3, "<|user|>\nhi\n<|end|>\n<|assistant|>\nhello\n<|end|>\n<|user|>\nbye\n<|end|>\n")
     assert got[11][1].index("tie a") < got[11][1].index("tie b") and got[9][1] == "<|user|>\nhi\n<|end|>\n"
