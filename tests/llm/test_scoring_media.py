@@ -1,7 +1,9 @@
 import hashlib
 import io
 import math
+import random
 import re
+import struct
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -84,8 +86,6 @@ def test_decode():
     assert decode(b"P3 1 1 255\n1 2 3")[0, 0].tolist() == [1, 2, 3]
     assert decode(b"P1 3 2\n1 0 1\n010")[:, :, 0].tolist() == [[0, 1, 0], [1, 0, 1]]
     assert decode(b"P4 3 2\n\xa0\x40")[:, :, 0].tolist() == [[0, 1, 0], [1, 0, 1]]
-    import struct
-
     pixels = b"\x01\x02\x03\x04\x05\x06\x00\x00" + b"\x07\x08\x09\x0a\x0b\x0c\x00\x00"
     bmp = b"BM" + struct.pack("<IHHI", 54 + 16, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 2, 1, 24, 0, 16, 0, 0, 0, 0) + pixels
     assert decode(bmp).tolist() == [[[9, 8, 7], [12, 11, 10]], [[3, 2, 1], [6, 5, 4]]]
@@ -102,6 +102,48 @@ def test_tiles(spark):
     assert tuple(got[1])[1:] == (None, None, None) and got[2]["media_error"] and got[2]["tile"] is None and len(got) == 4
 
 
+def brute_hash(pixels):
+    """The difference hash of rows of grey values, cell by cell."""
+    sums = cells(np.array(pixels), 8, 9)
+    bits = "".join("1" if row[k] > row[k + 1] else "0" for row in sums for k in range(8))
+    return f"{int(bits, 2):016x}"
+
+
+def bmp(image, bits, top_down=False):
+    """A BMP of rows of (red, green, blue), or of grey values with a palette of inverted greys for 8 bits."""
+    height, width = len(image), len(image[0])
+    pixel = {8: lambda p: bytes([255 - p]), 24: lambda p: bytes(p[::-1]), 32: lambda p: bytes([*p[::-1], 9])}[bits]
+    rows = [b"".join(map(pixel, row)) for row in image]
+    rows = [r + bytes(-len(r) % 4) for r in (rows if top_down else rows[::-1])]
+    palette = b"".join(bytes([255 - i] * 3 + [0]) for i in range(256)) if bits == 8 else b""
+    head = struct.pack("<IiiHHIIiiII", 40, width, -height if top_down else height, 1, bits, 0, sum(map(len, rows)), 0, 0, 0, 0)
+    return b"BM" + struct.pack("<IHHI", 54 + len(palette) + sum(map(len, rows)), 0, 0, 54 + len(palette)) + head + palette + b"".join(rows)
+
+
+def test_bmp_round_trips(spark):
+    """Pixels put into a BMP of each kind come out of it, and their tiles and hashes are those of the same picture as Netpbm."""
+    rng = random.Random(6)
+    for width, height in ((1, 1), (3, 5), (17, 9), (40, 33)):
+        colours = [[tuple(rng.randrange(256) for _ in range(3)) for _ in range(width)] for _ in range(height)]
+        greys = [[rng.randrange(256) for _ in range(width)] for _ in range(height)]
+        for bits in (24, 32):
+            for top_down in (False, True):
+                assert decode(bmp(colours, bits, top_down)).tolist() == [[list(p) for p in row] for row in colours]
+        assert decode(bmp(greys, 8)).tolist() == [[[g] * 3 for g in row] for row in greys]
+        ppm = b"P6 %d %d 255\n" % (width, height) + b"".join(bytes(p) for row in colours for p in row)
+        got = tiles(spark.createDataFrame([(1, bmp(colours, 24)), (2, ppm)], "id long, media binary"), 8, 8).orderBy("id").collect()
+        assert got[0]["tile"] == got[1]["tile"] and got[0]["difference_hash"] == got[1]["difference_hash"] == brute_hash([[sum(p) for p in row] for row in colours])
+
+
+def test_features(docs, corpus):
+    got = {(r["doc_id"], r["media_sha256"]): r["feature"] for r in text_media(docs).collect()}
+    for d, t, *_ in corpus:
+        b = (t or "").encode()
+        if len(b) < 2000:
+            p = b + bytes(-len(b) % 64) or bytes(64)
+            assert got[d, hashlib.sha256(b"P5\n64 %d\n255\n" % (len(p) // 64) + p).hexdigest()] == brute_hash([list(p[i : i + 64]) for i in range(0, len(p), 64)])
+
+
 def test_text_media(docs, corpus, nothing):
     got = text_media(docs, with_media=True).collect()
     expected = []
