@@ -108,8 +108,10 @@ def _emit_seeds(seed: int, length: int):
     return rows
 
 
-def _emit_windows(seed: int, length: int, low: int, high: int):
-    """The windows of `high` words in windows of `length` whose candidates of `low` words (for the first level: seeds) all repeat; whole windows with v."""
+def _emit_windows(seed: int, length: int, low: int, high: int, which: int, parts: int):
+    """The windows of `high` words in windows of `length` whose candidates of `low` words (for the first level: seeds) all repeat; whole windows with v.
+
+    Only those of one part of the hash space."""
     last = high == length
     schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("w", pa.int64())] + [("v", pa.int32())] * last)
 
@@ -120,7 +122,8 @@ def _emit_windows(seed: int, length: int, low: int, high: int):
                 for (_, _, _, hashes, checks), found in zip(_each(part["text"]), part["found"]):
                     places = candidates(hashes, np.array(found.as_py(), np.int64), seed, length, low, high)
                     w, v = runs(hashes, high)[places], _check(checks, high)[places] if last else None
-                    w, v = _pairs(w, v) if last else (np.unique(w), v)
+                    own_part = w % np.uint64(parts) == which
+                    w, v = _pairs(w[own_part], v[own_part]) if last else (np.unique(w[own_part]), v)
                     own.append(w.view(np.int64)), own_v.append(v)
                 n, none = [len(x) for x in own], [np.zeros(0, np.int64)]
                 made = [np.repeat(part["k"].to_numpy(), n), np.repeat(part["h"].to_numpy(), n), np.concatenate(own or none)]
@@ -131,14 +134,16 @@ def _emit_windows(seed: int, length: int, low: int, high: int):
     return rows
 
 
-def _emit_whole(length: int):
-    """All windows of the texts."""
+def _emit_whole(length: int, which: int, parts: int):
+    """All windows of the texts in one part of the hash space."""
     schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("w", pa.int64()), ("v", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, h, (_, _, _, hashes, checks) in zip(batch["k"].to_pylist(), batch["h"].to_pylist(), _each(batch["text"])):
-                w, v = _pairs(runs(hashes, length), _check(checks, length))
+                w, v = runs(hashes, length), _check(checks, length)
+                own_part = w % np.uint64(parts) == which
+                w, v = _pairs(w[own_part], v[own_part])
                 yield pa.record_batch([np.full(len(w), k), np.full(len(w), h), w.view(np.int64), v], schema=schema)
 
     return rows
@@ -174,7 +179,7 @@ def _cover(length: int, with_text: bool, carry: tuple[str, ...]):
                     n, text = len(hashes), data.tobytes()
                     words, kept = text.split(), text
                     gone = np.zeros(n + 1, np.int64)
-                    if found.is_valid:
+                    if len(found):
                         found_w, found_v = (found.values.field(c).to_numpy() for c in "wv")
                         hit = np.flatnonzero(held(runs(hashes, length), _check(checks, length), found_w.view(np.uint64), found_v))
                         np.add.at(gone, hit, 1)
@@ -193,7 +198,7 @@ def _cover(length: int, with_text: bool, carry: tuple[str, ...]):
     return rows
 
 
-def remove_repeats(docs: DataFrame, length: int = 13, seed: int = 7, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 13, seed: int = 7, with_text: bool = False, carry: tuple[str, ...] = (), parts: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs (doc_id, text).
 
     A word goes if it lies in a window of `length` words that also starts in a document with a smaller doc_id;
@@ -202,6 +207,8 @@ def remove_repeats(docs: DataFrame, length: int = 13, seed: int = 7, with_text:
     carry: columns of docs that each row keeps, after the others. Null text has no words. Rows with one doc_id are one document with several texts: they don't make each other's words
     go. A null doc_id counts as smaller than all others. Texts of fewer than `length` words lose nothing; other columns are
     left. The texts are shuffled to their ids once for each level, the first level's hashes twice.
+
+    parts: whole windows are dealt and decided in one part of the hash space after the other, so one part's files are on disk at once.
     """
     if not 0 < seed <= length:
         raise ValueError("seed must lie in 1..length")
@@ -211,21 +218,23 @@ def remove_repeats(docs: DataFrame, length: int = 13, seed: int = 7, with_text:
     texts = whole.select("k", "h", "text")
     kind = "k long, h long, w long"
     found = texts.mapInArrow(_emit_seeds(seed, length), kind)
-    if len(chain) == 1:  # the seeds are whole windows
-        found = texts.mapInArrow(_emit_whole(length), kind + ", v int")
-    for i, size in enumerate(chain):
-        last = i == len(chain) - 1
-        if last:
-            often = found.groupBy("w", "v").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").select("w", "v", "first")
-            again = found.join(often, ["w", "v"]).filter("k > first")
+    emit = lambda part: texts.mapInArrow(_emit_whole(length, part, parts), kind + ", v int")
+    for size, longer in zip(chain, chain[1:]):
+        often = found.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
+        again = tables.keep(found.join(often, "w").groupBy("k", "h").agg(F.collect_set("w").alias("found")), f"level{size}")
+        some = texts.join(again, ["k", "h"])
+        if longer < length:
+            found = tables.keep(some.mapInArrow(_emit_windows(seed, length, size, longer, 0, 1), kind), f"windows{longer}")
         else:
-            often = found.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
-            again = found.join(often, "w")
-        again = tables.keep(again.groupBy("k", "h").agg(F.collect_set(F.struct("w", "v") if last else "w").alias("found")), f"level{size}")
-        if last:
-            break
-        higher = texts.join(again, ["k", "h"]).mapInArrow(_emit_windows(seed, length, size, chain[i + 1]), kind + ", v int" * (i + 2 == len(chain)))
-        found = tables.keep(higher, f"windows{chain[i + 1]}")
+            emit = lambda part, some=some, size=size: some.mapInArrow(_emit_windows(seed, length, size, length, part, parts), kind + ", v int")
+    gone = F.array().cast("array<struct<w:bigint,v:int>>")
+    for part in range(parts):
+        found = tables.keep(emit(part), f"whole{part}")
+        often = found.groupBy("w", "v").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").select("w", "v", "first")
+        again = found.join(often, ["w", "v"]).filter("k > first").groupBy("k", "h").agg(F.collect_set(F.struct("w", "v")).alias(f"found{part}"))
+        whole = whole.join(tables.keep(again, f"gone{part}"), ["k", "h"], "left")
+        gone = F.concat(gone, F.coalesce(f"found{part}", F.array().cast("array<struct<w:bigint,v:int>>")))
+        tables.drop(f"whole{part}")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     out = ", ".join([out, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
-    return whole.join(again, ["k", "h"], "left").select("k", "text", "found", *carry).mapInArrow(_cover(length, with_text, carry), out)
+    return whole.select("k", "text", gone.alias("found"), *carry).mapInArrow(_cover(length, with_text, carry), out)
