@@ -3,9 +3,13 @@
 Documents with one shingle set make up a class, which is a node with a number of its own. Signatures of the classes
 are cut into bands, and a band's bucket proposes pairs with its most central member. A pair's signatures are compared
 batch by batch; it is pruned as soon as the posterior chance that its similarity reaches the threshold is below the miss
-probability, and the survivors are verified exactly on their whole sets. Links make components. Where members of a bucket are
-then still apart, the buckets that share members are a cluster; its members are dealt into blocks, and every two blocks
-meet in a task that compares those of different components in the same way and reports only links that join some.
+probability, and the survivors are verified exactly on their whole sets. Links make components.
+
+Members of a bucket that are then still apart may be linked with each other though not with the central one. Sets as similar as
+asked for share one of their rarest shingles (of so many that the others are too few to reach the threshold), so members of
+open buckets are joined into clusters by those alone: texts that have a common frame in common, and nothing rare, don't meet. The
+members of a cluster are dealt into blocks, and every two blocks meet in a task that compares those of different components in the
+same way and reports only links that join some.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from sylva.llm.kernels import Words, mix, runs, slices
 from sylva.llm.shared import Tables
 
 SHINGLE = 5
-#: Members of a block: a sixteenth of a cluster, within these bounds. Two blocks and their sets meet in one task.
-LEAST_BLOCK, MOST_BLOCK = 64, 1024
+#: Members of a block: a sixteenth of a cluster, within these bounds, and less where they hold more shingles than this together. Two blocks and their sets meet in one task.
+LEAST_BLOCK, MOST_BLOCK, MOST_SHINGLES = 64, 1024, 4_000_000
 
 
 @lru_cache(4)
@@ -204,6 +208,30 @@ def _compare(percent: int, miss: float):
     return block
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets' shingles as rows: node, s, n_shingles."""
+    for batch in batches:
+        for node, data in zip(batch["node"].to_pylist(), batch["set"].to_pylist()):
+            s = np.frombuffer(data, np.int64)
+            yield pa.record_batch([np.full(len(s), node), s, np.full(len(s), len(s), np.int32)], names=["node", "s", "n_shingles"])
+
+
+def rare_edges(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b long) that join the nodes of sets (node, set) with a rare shingle in common, where they are of several components (node, c).
+
+    Shingles are ordered by how many of the sets hold them. A set of n shares percent * n / 100 of its shingles with any it is linked
+    with, so both hold one of its n - that + 1 rarest. Those in one set only come first and join nothing.
+    """
+    each = sets.mapInArrow(_elements, "node long, s long, n_shingles int")
+    often = each.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
+    held = each.join(often, "s").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
+    rarest = F.col("n_shingles") - F.floor((F.col("n_shingles") * percent + 99) / 100) + 1
+    take = F.greatest(F.lit(0), rarest - (F.col("n_shingles") - F.size("all"))).cast("int")
+    keys = held.select("node", F.explode(F.slice("all", F.lit(1), take)).alias("x")).select("node", F.col("x.s").alias("s")).join(component, "node")
+    mixed = keys.groupBy("s").agg(F.min("node").alias("b"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("s", "b")
+    return keys.join(mixed, "s").select(F.col("node").alias("a"), "b").filter("a <> b")
+
+
 def _attach(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """pairs (a, b) with column_a and column_b of values (node, column)."""
     for side in "ab":
@@ -264,10 +292,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, hashes: int = 128, width
     # Buckets with a pair that is not compared yet and not joined by links: three members or more, in several components.
     placed = members.filter("n > 2").join(stars, "node", "left").select("bucket", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
-    open_edges = members.join(mixed, "bucket").join(pivot, "bucket").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    cluster = components(open_edges, tables, "open")
+    apart = members.join(mixed, "bucket").select("node").distinct()
+    apart = tables.keep(apart.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("c")), "apart")
+    cluster = components(rare_edges(sets.join(apart, "node", "left_semi"), apart, percent), tables, "open")
     cluster = tables.keep(cluster.unionByName(cluster.select(F.col("component").alias("node"), "component").distinct()), "clusters")
-    sizes = cluster.groupBy("component").agg(F.ceil(F.count("*") / F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.count("*") / 16)))).alias("blocks"))
+    n = F.count("*")
+    blocks = F.greatest(F.ceil(n / F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(n / 16)))), F.ceil(F.sum("n_shingles") / MOST_SHINGLES))
+    sizes = cluster.join(reps.select("node", "n_shingles"), "node").groupBy("component").agg(blocks.alias("blocks"))
     blocked = cluster.join(sizes, "component").join(stars.withColumnRenamed("component", "c"), "node", "left")
     blocked = blocked.select(F.col("component").alias("cluster"), "node", F.coalesce("c", "node").alias("c"), F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")
     dealt = blocked.join(sigs, "node").join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

@@ -63,6 +63,23 @@ def test_a_bucket_whose_members_chain(spark):
     assert Counter(map(tuple, got)) == components(rows, 85)
 
 
+def test_a_common_frame_joins_nothing(spark):
+    """Texts that share most of their words with many others, but are linked with none, fall into buckets together and are not compared."""
+    from pyspark.sql import functions as F
+
+    from sylva.llm.near import _sets, rare_edges
+
+    frame = [f"f{i}" for i in range(120)]
+    rows = [(i, " ".join([*frame, *(f"w{i}x{j}" for j in range(50))])) for i in range(600)]
+    rows += [(1000 + i, " ".join([*frame, *(f"w{i}x{j}" for j in range(47)), "a", "b", "c"])) for i in range(0, 600, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(docs).select("doc_id", "component_id").collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: d % 1000 for d, _ in rows}
+    sets = docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(_sets, "node long, set binary")
+    edges = rare_edges(sets, docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("c")), 85)
+    assert {tuple(sorted(r)) for r in edges.collect()} == {(i, 1000 + i) for i in range(0, 600, 100)}
+
+
 def test_bounds():
     bounds = least_matches(0.85, 1e-9, 16, 128)
     assert bounds == sorted(bounds) and 0 < bounds[0] < 16 and bounds[-1] < 128
