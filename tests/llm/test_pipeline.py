@@ -6,7 +6,7 @@ import corpus_pipeline
 from tests.llm.test_bpe_packing import best_fit
 from tests.llm.test_lines import PAD, lower
 from tests.llm.test_near_substrings import WORD, components, removed
-from tests.llm.test_quality_urls_chat import measured
+from tests.llm.test_quality_urls_chat import failures
 
 
 def test_stages(spark, corpus, tmp_path):
@@ -20,8 +20,7 @@ def test_stages(spark, corpus, tmp_path):
         assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
         got = {r["doc_id"]: r["text"] for r in out.collect()}
         if name == "quality_rules":
-            m = {d: measured(t) for d, t in kept.items()}
-            expected = {d: t for d, t in kept.items() if not (m[d][0] < 10 or m[d][5] * 5 > m[d][0] or 10 * m[d][2] > 3 * m[d][1] or 2 * m[d][4] > m[d][3])}
+            expected = {d: t for d, t in kept.items() if not failures(t)}
         elif name == "line_dedup":
             n = Counter(k for t in kept.values() for k in {lower(x.strip(PAD)) for x in t.split("\n")} if k)
             expected = {d: "\n".join(x for x in t.split("\n") if n[lower(x.strip(PAD))] < 10) for d, t in kept.items()}
@@ -54,8 +53,7 @@ def test_stages_keep_rows_without_id_and_repeated_ids(spark, corpus, tmp_path):
         out = [tuple(r) for r in stage(spark, docs, str(tmp_path)).collect()]
         texts = {r[3]: r[1] for r in out}
         if name == "quality_rules":
-            m = {r[3]: measured(r[1]) for r in rows}
-            kept = [r for r in rows if not (m[r[3]][0] < 10 or m[r[3]][5] * 5 > m[r[3]][0] or 10 * m[r[3]][2] > 3 * m[r[3]][1] or 2 * m[r[3]][4] > m[r[3]][3])]
+            kept = [r for r in rows if not failures(r[1])]
             expected = {r[3]: r[1] for r in kept}
         elif name == "line_dedup":
             kept = rows
