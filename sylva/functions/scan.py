@@ -20,6 +20,7 @@ _ATTR_NAME = re.compile("[^ \t\r\n=/>?]*")
 _BARE_VALUE = re.compile("[^ \t\r\n=/>]*")
 _ODD_NAME = re.compile("[\"#$%'()*+,]")  # characters below '0' but for ! - . / &
 _PLAIN_ATTR = re.compile("[ \t\r\n]*([^ \t\r\n=/>?<\"'&]+)=(?:\"([^\"&]*)\"|'([^'&]*)')")
+_PLAIN_TAG = re.compile("<(/?)([A-Za-z_][A-Za-z0-9_.:-]*)>")
 _SPLIT = re.compile("[ \t\r\n]+")
 _BLANKS = re.compile("[ \t\r\n]*")
 _COMMENT = re.compile(".*?[^-](?=-->)", re.DOTALL)
@@ -211,35 +212,57 @@ class Scanner:
         stack: list[tuple[str, dict]] = [self.top] if self.top else []  # open elements, and a directive or declaration that holds all
         base, rooted = len(stack), False
         kind = self._type(self.top, "IGNORE", "IGNORE")
+        kinds = [kind] * base  # the value types in what is open
         if text and text[0] != "<" and not self.top:
             raise Failure(f"The text doesn't start with '<' but with '{text[0]}'")
         at = 0
         while at < len(text):
-            # Values up to the next tag; at the end of the text a last one that nothing follows is lost.
             end = text.find("<", at)
-            run, last = (text[at:end], False) if end >= 0 else (text[at:], True)
-            parent = stack[-1][0] if stack else "null"
-            if kind in ("OPAQUE", "CUSTOM"):
-                tokens, trailing = [(run, False)] if run and not last else [], False
-            else:
-                parts = _SPLIT.split(run) if run else []
-                trailing = bool(parts) and not parts[-1]
-                tokens = [(p, i > 0) for i, p in enumerate(parts) if p]
-                tokens = tokens[:-1] if last and tokens and not trailing else tokens
-            if last and "&" in run:
-                unescape(run, options, at)
-            for token, ws in tokens:
-                event, wrong = self._value(kind, unescape(token, options, at), ws, parent, at)
-                if stack or sax:
-                    yield event
-                if wrong:
-                    self.errors.append((text.count("\n", 0, at) + 1, wrong, False))
-                    self._close(stack, base, at)
-                    return
-            if trailing and not last and kind == "TEXT" and stack:
-                yield Event("DATA", "TEXT", str_value="", ws=True)
-            if last:
-                break
+            if end != at:
+                # Values up to the next tag; at the end of the text a last one that nothing follows is lost.
+                run, last = (text[at:end], False) if end >= 0 else (text[at:], True)
+                parent = stack[-1][0] if stack else "null"
+                if kind in ("OPAQUE", "CUSTOM"):
+                    tokens, trailing = [(run, False)] if not last else [], False
+                elif not last and not _SPLIT.search(run):
+                    tokens, trailing = [(run, False)], False
+                else:
+                    parts = _SPLIT.split(run)
+                    trailing = not parts[-1]
+                    tokens = [(p, i > 0) for i, p in enumerate(parts) if p]
+                    tokens = tokens[:-1] if last and tokens and not trailing else tokens
+                if last and "&" in run:
+                    unescape(run, options, at)
+                for token, ws in tokens:
+                    event, wrong = self._value(kind, unescape(token, options, at) if "&" in token else token, ws, parent, at)
+                    if stack or sax:
+                        yield event
+                    if wrong:
+                        self.errors.append((text.count("\n", 0, at) + 1, wrong, False))
+                        self._close(stack, base, at)
+                        return
+                if trailing and not last and kind == "TEXT" and stack:
+                    yield Event("DATA", "TEXT", str_value="", ws=True)
+                if last:
+                    break
+            # Tags without attributes, and those that close what is open.
+            m = _PLAIN_TAG.match(text, end) if stack else None
+            if m:
+                shut, name = m.groups()
+                if not shut:
+                    at = m.end()
+                    yield Event("ELEMENT_OPEN", "ELEMENT", name, [])
+                    stack.append((name, {}))
+                    kind = self._type(stack[-1], kind, "TEXT")
+                    kinds.append(kind)
+                    continue
+                if name == stack[-1][0]:
+                    at = m.end()
+                    stack.pop(), kinds.pop()
+                    yield Event("ELEMENT_CLOSE", "ELEMENT", name)
+                    rooted &= not (sax and not stack)
+                    kind = kinds[-1] if options.type_of and kinds else kind
+                    continue
             at, rootless = end + 1, not stack and rooted
 
             if text.startswith(("?", "!--", "![CDATA["), at):
@@ -261,6 +284,7 @@ class Scanner:
                 if what == "DIRECTIVE" and not stack and stays:
                     stack.append((value, {}))
                     kind = self._type(stack[-1], kind, "TEXT")
+                    kinds.append(kind)
                 continue
 
             end = _TAG_NAME.match(text, at + (text[at : at + 1] == "/")).end()
@@ -283,6 +307,7 @@ class Scanner:
                     if not stack:
                         stack.append((value, {}))
                         kind = self._type(stack[-1], kind, "TEXT")
+                        kinds.append(kind)
                 continue
 
             name = unescape(name, options, at)
@@ -291,10 +316,10 @@ class Scanner:
                     raise Failure(f"Close tag <{name}> doesn't match <{stack[-1][0] if stack else 'null'}>", at)
                 close = text.find(">", end)
                 at = close + 1 if close >= 0 else len(text)
-                gone = stack.pop()
+                gone, _ = stack.pop(), kinds.pop()
                 yield Event("ELEMENT_CLOSE", "ELEMENT", gone[0])
                 rooted &= not (sax and not stack)
-                kind = self._type(stack[-1] if stack else None, kind, kind)
+                kind = kinds[-1] if options.type_of and kinds else kind
                 continue
 
             if rootless:
@@ -314,6 +339,7 @@ class Scanner:
             elif by:
                 stack.append((name, dict(attrs)))
                 kind = self._type(stack[-1], kind, "TEXT")
+                kinds.append(kind)
         self._close(stack, base, len(text))
 
     def _close(self, stack: list, base: int, at: int) -> None:

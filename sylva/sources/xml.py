@@ -58,8 +58,7 @@ def _batches(rows: Iterator[tuple], schema: StructType) -> Iterator[pa.RecordBat
     arrow = to_arrow_schema(schema)
     places = [f.metadata["place"] if "place" in (f.metadata or {}) else i for i, f in enumerate(schema)]
     while some := list(islice(rows, ROWS)):
-        columns = list(zip(*some))
-        yield pa.record_batch([pa.array(columns[p], f.type) for p, f in zip(places, arrow)], schema=arrow)
+        yield pa.record_batch([pa.array([row[p] for row in some], f.type) for p, f in zip(places, arrow)], schema=arrow)
 
 
 def _of(schema: StructType, columns: Sequence[str] | None) -> StructType:
