@@ -10,6 +10,11 @@ from sylva.operators.nav import after_subtree
 NODE_COLUMNS = ("node_id", "parent_id", "last_desc", "depth", "ord", "node_type", "name", "attrs", "str_value", "int_value", "real_value", "ws", "custom")
 
 
+def _own(n: DataFrame) -> list[str]:
+    """What a node found is told by: those of NODE_COLUMNS that n has."""
+    return [c for c in NODE_COLUMNS if c in n.columns]
+
+
 def attr(name: str) -> Column:
     """The value of an element's first attribute of that name."""
     return F.get(F.filter("attrs", lambda a: a["name"] == name), 0)["value"]
@@ -56,7 +61,7 @@ def find(n: DataFrame, start: DataFrame, element: str | None = None, attribute:
         begun = begun.withColumn("s", F.coalesce(child, over) if descend == "FIRST" else over)
         among = n.select("doc_id", F.col("node_id").alias("s"), F.last(hit, ignorenulls=True).over(later.partitionBy("doc_id", "parent_id")).alias("hit"))
         begun = begun.join(among, ["doc_id", "s"], "left")
-    found = n.filter(matches(element, attribute, value)).select("doc_id", F.col("node_id").alias("hit"), F.struct(*NODE_COLUMNS).alias("found"))
+    found = n.filter(matches(element, attribute, value)).select("doc_id", F.col("node_id").alias("hit"), F.struct(*_own(n)).alias("found"))
     return begun.select("doc_id", "cur", "hit").join(found, ["doc_id", "hit"], "left").select("doc_id", "cur", "found")
 
 
@@ -72,17 +77,17 @@ def find_path(n: DataFrame, path: str, top: DataFrame | None = None) -> DataFram
         rest = rest[2:] if deep else rest
         name, _, rest = rest.partition("/")
         if not name or len(name.encode()) >= 256:
-            return n.limit(0).select("doc_id", *NODE_COLUMNS)
+            return n.limit(0).select("doc_id", *_own(n))
         steps.append((name, deep))
     at = n.filter("parent_id is null and ord = 0") if top is None else n.join(top.select("doc_id", F.col("top").alias("node_id")), ["doc_id", "node_id"], "left_semi")
     at = at.select("doc_id", F.col("node_id").alias("cur"), F.col("last_desc").alias("until"))
     if not steps:
-        return n.limit(0).select("doc_id", *NODE_COLUMNS)
+        return n.limit(0).select("doc_id", *_own(n))
     for name, deep in steps:
         named = n.filter((F.col("node_type") == "ELEMENT") & (F.col("name") == name)).select("doc_id", "node_id", "parent_id", "last_desc")
         inside = F.col("node_id").between(F.col("cur") + 1, F.col("until")) if deep else F.col("parent_id") == F.col("cur")
         at = named.join(at, "doc_id").filter(inside).groupBy("doc_id").agg(F.min_by(F.struct("node_id", "last_desc"), "node_id").alias("m"))
         at = at.select("doc_id", F.col("m.node_id").alias("cur"), F.col("m.last_desc").alias("until"))
     near = n.join(at, "doc_id").filter((F.col("node_id") == F.col("cur")) | (F.col("node_id") == F.col("cur") + 1) & (F.col("node_id") <= F.col("until")) & (F.col("node_type") != "ELEMENT"))
-    best = near.groupBy("doc_id").agg(F.max_by(F.struct(*NODE_COLUMNS), "node_id").alias("m"))
+    best = near.groupBy("doc_id").agg(F.max_by(F.struct(*_own(n)), "node_id").alias("m"))
     return best.select("doc_id", "m.*")

@@ -35,7 +35,11 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, xml: `<?xml?><doc lang>text</doc>` of every document."""
-    d = table(spark, sf_dir, "documents")
+    return as_texts(table(spark, sf_dir, "documents"))
+
+
+def as_texts(d: DataFrame) -> DataFrame:
+    """The same of a table or stream of documents."""
     xml = F.concat(F.lit('<?xml version="1.0"?><doc lang="'), escape(F.col("lang")), F.lit('">'), escape(F.coalesce("text", F.lit(""))), F.lit("</doc>"))
     return d.select(F.col("doc_id").cast("string").alias("doc_id"), xml.alias("xml"))
 

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from sylva.functions.schema import LoadOptions, SaveOptions
 from sylva.operators import edit, find, index, nav, values
 from sylva.plans.callbacks import bracketed, customer_types, event_types, indented, load_time, lower, named_types, order_types, whole_types
-from sylva.plans.documents import BROKEN, broken, customers, event_log, long_id, orders, table, texts
+from sylva.plans.documents import BROKEN, as_texts, broken, customers, event_log, long_id, orders, table, texts
 from sylva.sources.save import escape, saved_string, to_documents, to_pieces, write_files
 from sylva.sources.store import scratch, stored
-from sylva.sources.xml import events, from_pieces, load_errors, load_under, read_files, shred
-from sylva.streaming.sax import unless_stopped, until_stop, with_parent
+from sylva.sources.xml import events, from_pieces, load_errors, load_under, read_files, register_sql, shred
+from sylva.streaming.sax import event_counts, unless_stopped, until_stop, with_parent
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,12 +86,12 @@ def load_count_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, id AS node_id, id + 4 AS last_desc, k::INTEGER AS ord FROM items")
 def find_all_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(nodes(spark, sf_dir)).select(doc(), "node_id", "last_desc", "ord")
+    return _items(nodes(spark, sf_dir, columns=own(""))).select(doc(), "node_id", "last_desc", "ord")
 
 
 @query("SELECT doc, id AS node_id FROM items UNION ALL SELECT doc, 1 FROM docs WHERE FALSE")
 def find_by_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find_all(nodes(spark, sf_dir), attribute="flag").select(doc(), "node_id")
+    return find.find_all(nodes(spark, sf_dir, columns=own("")), attribute="flag").select(doc(), "node_id")
 
 
 @query("SELECT doc, id AS node_id FROM items WHERE l_returnflag = 'A'")
@@ -101,30 +101,30 @@ def find_by_attr_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT docs.doc, min(id) AS node_id FROM docs LEFT JOIN items ON items.doc = docs.doc AND l_returnflag = 'R' GROUP BY 1")
 def find_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = kept(spark, sf_dir)
+    n = kept(spark, sf_dir, columns=own(""))
     return find.find(n, _from(n, 0), "item", "flag", "R", "ALL").select(doc(), F.col("found.node_id").alias("node_id"))
 
 
 @query("SELECT f.doc, min(id) AS node_id FROM (SELECT doc FROM docs WHERE n > 0) f LEFT JOIN items ON items.doc = f.doc AND k > 0 AND l_returnflag = 'N' GROUP BY 1")
 def find_next_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = kept(spark, sf_dir)
+    n = kept(spark, sf_dir, columns=own(""))
     return find.find(n, _from(n, 2), "item", "flag", "N", "NONE").select(doc(), F.col("found.node_id").alias("node_id"))
 
 
 @query("SELECT docs.doc, min(id) AS node_id FROM docs LEFT JOIN items ON items.doc = docs.doc AND l_returnflag = 'N' GROUP BY 1")
 def find_first_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = kept(spark, sf_dir)
+    n = kept(spark, sf_dir, columns=own(""))
     return find.find(n, _from(n, 1), "item", "flag", "N", "FIRST").select(doc(), F.col("found.node_id").alias("node_id"))
 
 
 @query("SELECT doc, id + 2 AS node_id, l_quantity::BIGINT AS value FROM items WHERE k = 0")
 def path_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find_path(kept(spark, sf_dir), "order/item/qty").select(doc(), "node_id", F.col("int_value").alias("value"))
+    return find.find_path(kept(spark, sf_dir, columns=own("int_value")), "order/item/qty").select(doc(), "node_id", F.col("int_value").alias("value"))
 
 
 @query("SELECT doc, id + 4 AS node_id, round(l_extendedprice * 100)::BIGINT AS value FROM items WHERE k = 0")
 def path_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.find_path(kept(spark, sf_dir), "*/price").select(doc(), "node_id", F.col("real_value").cast("long").alias("value"))
+    return find.find_path(kept(spark, sf_dir, columns=own("real_value")), "*/price").select(doc(), "node_id", F.col("real_value").cast("long").alias("value"))
 
 
 @query("SELECT doc, CASE WHEN l_returnflag = 'R' THEN id + 5 END AS node_id FROM items WHERE k = 0 AND l_returnflag = 'R'")
@@ -138,38 +138,38 @@ def path_no_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, id AS node_id, up AS parent_id, last AS last_desc, (row_number() OVER (PARTITION BY doc ORDER BY id))::INTEGER AS pos FROM tree")
 def walk_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = kept(spark, sf_dir)
+    n = nodes(spark, sf_dir, columns=["doc_id", "node_id", "parent_id", "last_desc"])
     return n.select(doc(), "node_id", "parent_id", "last_desc", (F.col("node_id") + 1).cast("int").alias("pos"))
 
 
 @query("SELECT doc, id AS node_id, lead(id) OVER (PARTITION BY doc ORDER BY id) AS next FROM tree")
 def walk_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_next(kept(spark, sf_dir)).select(doc(), "node_id", "next")
+    return nav.walk_next(kept(spark, sf_dir, columns=["doc_id", "node_id", "parent_id", "last_desc", "ord"])).select(doc(), "node_id", "next")
 
 
 @query("SELECT tree.doc, id AS node_id, CASE WHEN id > 0 AND last + 1 <= 1 + 5 * n THEN last + 1 END AS next FROM tree JOIN docs ON docs.doc = tree.doc")
 def walk_next_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_next(kept(spark, sf_dir), "NONE").select(doc(), "node_id", "next")
+    return nav.walk_next(kept(spark, sf_dir, columns=["doc_id", "node_id", "parent_id", "last_desc", "ord"]), "NONE").select(doc(), "node_id", "next")
 
 
 @query("SELECT doc, id AS node_id, CASE WHEN id > 1 THEN lag(id) OVER (PARTITION BY doc ORDER BY id) END AS prev FROM tree")
 def walk_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_prev(kept(spark, sf_dir)).select(doc(), "node_id", "prev")
+    return nav.walk_prev(kept(spark, sf_dir, columns=["doc_id", "node_id", "parent_id", "last_desc", "ord"])).select(doc(), "node_id", "prev")
 
 
 @query("SELECT doc, id AS node_id, CASE WHEN id > 0 THEN coalesce(lag(id) OVER (PARTITION BY doc, up ORDER BY id), CASE WHEN up > 0 THEN up END) END AS prev FROM tree")
 def walk_prev_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.walk_prev(kept(spark, sf_dir), "NONE").select(doc(), "node_id", "prev")
+    return nav.walk_prev(kept(spark, sf_dir, columns=["doc_id", "node_id", "parent_id", "last_desc", "ord"]), "NONE").select(doc(), "node_id", "prev")
 
 
 @query("SELECT doc, id AS node_id, up AS parent, CASE WHEN last > id THEN id + 1 END AS first_child FROM tree")
 def nav_parent_first_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.first_child(nav.parent(nodes(spark, sf_dir))).select(doc(), "node_id", "parent", "first_child")
+    return nav.first_child(nav.parent(nodes(spark, sf_dir, columns=["doc_id", "node_id", "parent_id", "last_desc"]))).select(doc(), "node_id", "parent", "first_child")
 
 
 @query("SELECT t.doc, t.id AS node_id, max(c.id) AS last_child FROM tree t LEFT JOIN tree c ON c.doc = t.doc AND c.up = t.id GROUP BY ALL")
 def nav_last_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nav.last_child(kept(spark, sf_dir)).select(doc(), "node_id", "last_child")
+    return nav.last_child(kept(spark, sf_dir, columns=["doc_id", "node_id", "parent_id"])).select(doc(), "node_id", "last_child")
 
 
 @query("SELECT doc, id AS node_id, CASE WHEN up IS NOT NULL THEN lead(id) OVER (PARTITION BY doc, up ORDER BY id) END AS next_sibling, CASE WHEN up IS NOT NULL THEN lag(id) OVER (PARTITION BY doc, up ORDER BY id) END AS prev_sibling FROM tree")
@@ -188,18 +188,18 @@ def nav_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc, id AS node_id, l_linenumber::VARCHAR AS line, l_partkey::VARCHAR AS part, NULL::VARCHAR AS missing FROM items")
 def attr_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = values.attr_value
-    return _items(nodes(spark, sf_dir)).select(doc(), "node_id", at("line").alias("line"), at("part").alias("part"), at("missing").alias("missing"))
+    return _items(nodes(spark, sf_dir, columns=own(""))).select(doc(), "node_id", at("line").alias("line"), at("part").alias("part"), at("missing").alias("missing"))
 
 
 @query("SELECT doc, id AS node_id, 'part' AS name, l_partkey::VARCHAR AS value, NULL::VARCHAR AS beyond FROM items")
 def attr_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, four = values.attr_at(1), values.attr_at(3)
-    return _items(nodes(spark, sf_dir)).select(doc(), "node_id", one["name"].alias("name"), one["value"].alias("value"), four["name"].alias("beyond"))
+    return _items(nodes(spark, sf_dir, columns=own(""))).select(doc(), "node_id", one["name"].alias("name"), one["value"].alias("value"), four["name"].alias("beyond"))
 
 
 @query("SELECT doc, sum(CASE WHEN id = 1 THEN 2 WHEN id % 5 = 2 THEN 3 ELSE 0 END)::BIGINT AS n_attrs FROM tree GROUP BY 1")
 def attr_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).groupBy(doc()).agg(F.sum(values.attr_count()).cast("long").alias("n_attrs"))
+    return nodes(spark, sf_dir, columns=["doc_id", "node_type", "attrs"]).groupBy(doc()).agg(F.sum(values.attr_count()).cast("long").alias("n_attrs"))
 
 
 @query("SELECT doc, CASE id WHEN 0 THEN 'DIRECTIVE' ELSE 'ELEMENT' END AS node_type, CASE id WHEN 0 THEN 'xml version=\"1.0\"' END AS directive, CASE id WHEN 1 THEN 'order' END AS element FROM tree WHERE id < 2")
@@ -210,14 +210,14 @@ def value_own(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, id + 1 AS node_id, l_quantity::BIGINT AS value FROM items UNION ALL SELECT doc, id + 3, 0 FROM items")
 def value_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = kept(spark, sf_dir)
+    n = kept(spark, sf_dir, columns=[*own("int_value"), "ws"])
     of = n.filter(F.col("name").isin("qty", "price"))
     return values.value_of(n, of, "INTEGER").select(doc(), "node_id", "value")
 
 
 @query("SELECT doc, id + 3 AS node_id, round(l_extendedprice * 100)::BIGINT AS cents FROM items")
 def value_real(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = kept(spark, sf_dir)
+    n = kept(spark, sf_dir, columns=[*own("real_value"), "ws"])
     return values.value_of(n, find.find_all(n, "price"), "REAL").select(doc(), "node_id", F.col("value").cast("long").alias("cents"))
 
 
@@ -244,12 +244,12 @@ def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, pos::INTEGER AS pos, id AS node_id FROM (SELECT doc, id, row_number() OVER (PARTITION BY doc ORDER BY s NULLS FIRST, id) AS pos FROM (SELECT doc, id, CASE WHEN id = 0 THEN NULL WHEN id = 1 THEN 'order' WHEN id % 5 = 2 THEN 'item' WHEN id % 5 = 3 THEN 'qty' ELSE 'price' END AS s FROM tree WHERE id < 2 OR id % 5 IN (2, 3, 0)))")
 def index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.index(nodes(spark, sf_dir)).select(doc(), "pos", "node_id")
+    return index.index(nodes(spark, sf_dir, columns=own(""))).select(doc(), "pos", "node_id")
 
 
 @query("SELECT doc, (k + 1)::INTEGER AS pos, id AS node_id FROM items")
 def index_elem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.index_enum(index.index(nodes(spark, sf_dir), "item"), F.col("pos")).select(doc(), "pos", "node_id")
+    return index.index_enum(index.index(nodes(spark, sf_dir, columns=own("")), "item"), F.col("pos")).select(doc(), "pos", "node_id")
 
 
 @query("SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY l_partkey::VARCHAR, id))::INTEGER AS pos, id AS node_id, l_partkey::VARCHAR AS value FROM items")
@@ -259,12 +259,12 @@ def index_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, id AS node_id, (row_number() OVER (PARTITION BY doc ORDER BY id))::INTEGER AS nth FROM items WHERE l_returnflag = 'R'")
 def index_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.index_find(index.index(nodes(spark, sf_dir), "item", "flag"), "item", "R").select(doc(), "node_id", "nth")
+    return index.index_find(index.index(nodes(spark, sf_dir, columns=own("")), "item", "flag"), "item", "R").select(doc(), "node_id", "nth")
 
 
 @query("SELECT doc, n, first FROM (SELECT doc, count(*) AS n, arg_min(id, (l_returnflag, id)) AS first FROM items GROUP BY 1)")
 def index_count_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ind = index.index(nodes(spark, sf_dir), "item", "flag")
+    ind = index.index(nodes(spark, sf_dir, columns=own("")), "item", "flag")
     first = index.index_reset(ind).select("doc_id", F.col("node_id").alias("first"))
     return index.index_count(ind).join(first, "doc_id").select(doc(), "n", "first")
 
@@ -277,14 +277,14 @@ def sax_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc, id AS node_id, l_linenumber::VARCHAR AS line, CASE WHEN l_returnflag = 'R' THEN 'back' ELSE l_returnflag END AS flag, CASE WHEN l_returnflag = 'R' THEN 'yes' END AS late FROM items")
 def set_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = find.matches("item", "flag", "R")
-    n = edit.set_attr(nodes(spark, sf_dir), hit, "late", F.lit("yes"))
+    n = edit.set_attr(nodes(spark, sf_dir, columns=own("")), hit, "late", F.lit("yes"))
     n = edit.set_attr(n, hit, "flag", F.lit("back"))
     return _items(n).select(doc(), "node_id", *(find.attr(a).alias(a) for a in ("line", "flag", "late")))
 
 
 @query("SELECT doc, id AS node_id, NULL::VARCHAR AS part, 2 AS n FROM items")
 def clear_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = edit.clear_attr(nodes(spark, sf_dir), F.col("name") == "item", "part")
+    n = edit.clear_attr(nodes(spark, sf_dir, columns=own("")), F.col("name") == "item", "part")
     return _items(n).select(doc(), "node_id", find.attr("part").alias("part"), values.attr_count().alias("n"))
 
 
@@ -300,7 +300,7 @@ def set_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, id AS node_id, 'line' AS name FROM items")
 def rename_element(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = edit.set_element(nodes(spark, sf_dir), F.col("name") == "item", F.lit("line"))
+    n = edit.set_element(nodes(spark, sf_dir, columns=own("")), F.col("name") == "item", F.lit("line"))
     return find.find_all(n, "line").select(doc(), "node_id", "name")
 
 
@@ -642,7 +642,7 @@ def load_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc, id + 5 AS next_qty, l_returnflag AS flag FROM items WHERE k = 0 AND n > 1")
 def find_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each order's first item on, within the order: the next item, and that a search for a value without an attribute's name finds none."""
-    n = kept(spark, sf_dir)
+    n = kept(spark, sf_dir, columns=own(""))
     start = n.filter("name = 'item' and ord = 0").select("doc_id", F.col("node_id").alias("cur"), F.col("parent_id").alias("top"))
     found = find.find(n, start, "item").filter("found is not null").select("doc_id", "cur", F.col("found.node_id").alias("next_qty"))
     none = find.find(n, start, value="R").filter("found is null").select("doc_id")
@@ -659,6 +659,27 @@ def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ind.groupBy(F.col("value").alias("flag")).agg(F.count("*").alias("n")).filter(F.lit(held > 0))
 
 
+@query("""SELECT 'DIRECTIVE' AS event, count(*) AS n FROM documents UNION ALL SELECT e, count(*) FROM documents, (VALUES ('ELEMENT_OPEN'), ('ELEMENT_CLOSE')) v(e) GROUP BY 1
+  UNION ALL SELECT 'DATA', sum(CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) + CASE WHEN regexp_matches(text, '[ \\t\\r\\n]$') THEN 1 ELSE 0 END ELSE 0 END)::BIGINT FROM documents""")
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of documents that arrive as a stream, written batch by batch and counted."""
+    at = scratch(spark)
+    arriving = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
+    seen = events(as_texts(arriving), columns=["doc_id", "event"])
+    run = seen.writeStream.format("parquet").option("path", f"{at}/events").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return event_counts(spark.read.parquet(f"{at}/events"))
+
+
+@query("SELECT c_custkey AS doc, 12 AS n_nodes, c_acctbal AS balance FROM customer")
+def load_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loading as a table function of SQL."""
+    register_sql(spark, "sylva_shred", KINDS)
+    customers(spark, sf_dir).createOrReplaceTempView("sylva_customers")
+    return spark.sql("""SELECT cast(c.doc_id AS BIGINT) AS doc, cast(count(*) AS INT) AS n_nodes, max(n.real_value) AS balance
+      FROM sylva_customers c, LATERAL sylva_shred(c.doc_id, c.xml) n GROUP BY c.doc_id""")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _registered.items()}
 
