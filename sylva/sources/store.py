@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder for derived tables: spark.checkpoint.dir, or a temporary one where a local session sets none."""
+def folder(spark: SparkSession) -> str:
+    """The folder for derived tables, which driver and executors share: spark.checkpoint.dir, or a temporary one where a local session sets none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -17,7 +17,12 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-sylva-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in that folder."""
+    return f"{folder(spark)}/{uuid.uuid4().hex}"
 
 
 def stored(n: DataFrame, path: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -172,7 +172,15 @@ class XmlSource(DataSource):
 
 class _XmlReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options = options
+        self.options, self.only = options, []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Nodes of one name or type are picked before they become rows (where spark.sql.python.filterPushdown.enabled)."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute in (("name",), ("node_type",)):
+                self.only.append((NODE.fieldNames().index(f.attribute[0]), f.value))
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(i) for i in range(int(self.options.get("parts", 1)))]
@@ -183,4 +191,5 @@ class _XmlReader(DataSourceReader):
         module, _, function = self.options["documents"].partition(":")
         options = LoadOptions(self.options.get("value_type", "TEXT"))
         documents = getattr(import_module(module), function)(partition.value, int(self.options.get("parts", 1)))
-        yield from _batches((row for doc_id, data in documents for row in node_rows(doc_id, data, options)), NODE)
+        rows = (row for doc_id, data in documents for row in node_rows(doc_id, data, options))
+        yield from _batches((row for row in rows if all(row[i] == value for i, value in self.only)), NODE)
