@@ -203,7 +203,7 @@ def repair(encode, text: bytes, parts: list[tuple[int, int, bytes]]) -> bytes:
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """k: doc_id, or NO_ID for null; h: a hash of the text, which parts rows with one doc_id; text: never null; and the columns asked for."""
+    """k: doc_id, or NO_ID for null (so the least long, if given as a doc_id, counts as null); h: a hash of the text, which parts rows with one doc_id; text: never null; and the columns asked for."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"), *more)
 

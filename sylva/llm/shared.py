@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylva.sources.store import folder
+
 #: The characters that end a word or pad a line: space and the range from tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder for tables that cut lineage: spark.checkpoint.dir, or a temporary one where a local session sets none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = tempfile.mkdtemp(prefix="spark-sylva-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 class Tables:
     """Written tables of one run of an operator. They survive lost executors; those no longer needed are dropped."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and read it again; the shuffle files of the write are freed."""
