@@ -156,7 +156,8 @@ def register_sql(spark: SparkSession, name: str = "shred", options: LoadOptions
 class XmlSource(DataSource):
     """spark.read.format("sylva_xml"): the node table of documents given by a function, as a read callback would give them.
 
-    Options: documents, `module:function` of a function (part, parts) that gives (doc_id, bytes) pairs; parts; value_type.
+    Options: documents, `module:function` of a function (part, parts) that gives (doc_id, bytes) pairs; parts; value_type;
+    pushdown, `true` to take filters on name and node_type (spark.sql.python.filterPushdown.enabled must be set, too).
     """
 
     @classmethod
@@ -167,21 +168,13 @@ class XmlSource(DataSource):
         return NODE
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _XmlReader(dict(self.options))
+        return (_FilteringReader if self.options.get("pushdown") == "true" else _XmlReader)(dict(self.options))
 
 
 class _XmlReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options, self.only = options, []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Nodes of one name or type are picked before they become rows (where spark.sql.python.filterPushdown.enabled)."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("name",), ("node_type",)):
-                self.only.append((NODE.fieldNames().index(f.attribute[0]), f.value))
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(i) for i in range(int(self.options.get("parts", 1)))]
 
@@ -193,3 +186,13 @@ class _XmlReader(DataSourceReader):
         documents = getattr(import_module(module), function)(partition.value, int(self.options.get("parts", 1)))
         rows = (row for doc_id, data in documents for row in node_rows(doc_id, data, options))
         yield from _batches((row for row in rows if all(row[i] == value for i, value in self.only)), NODE)
+
+
+class _FilteringReader(_XmlReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Nodes of one name or type are picked before they become rows."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute in (("name",), ("node_type",)):
+                self.only.append((NODE.fieldNames().index(f.attribute[0]), f.value))
+            else:
+                yield f

@@ -207,9 +207,9 @@ def test_sources(spark, tmp_path):
     assert [(r["doc_id"], r["line"], r["fatal"]) for r in errors.collect()] == [("d0", 2, True)]
     assert shred(frame(spark, None, "")).collect() == [] == shred(frame(spark, "<a>").limit(0)).collect()
     spark.dataSource.register(XmlSource)
-    got = spark.read.format("sylva_xml").option("documents", "tests.test_trees:some_documents").option("parts", 3).option("value_type", "INTEGER").load()
     for push in ("false", "true"):
         spark.conf.set("spark.sql.python.filterPushdown.enabled", push)
+        got = spark.read.format("sylva_xml").option("documents", "tests.test_trees:some_documents").option("parts", 3).option("value_type", "INTEGER").option("pushdown", push).load()
         assert sorted((r["doc_id"], r["int_value"]) for r in got.filter("node_type = 'INTEGER'").collect()) == [("p0", 0), ("p1", 1), ("p2", 2)]
         assert got.filter("node_type = 'ELEMENT' and name = 'a' and depth = 0").count() == 3 == got.filter("depth = 1").count()
 
