@@ -4,7 +4,7 @@ Windows of `seed` words that repeat in several documents are the first candidate
 that length, and so on, the last time to the length asked for, until no candidates survive. At the first level one window
 is looked at of each `length` words: of the seeds that a longer window holds, the one with the least hash, so
 equal longer windows have equal seeds and none is missed. Windows shorter than that are proposed by 64-bit hashes; what is removed is
-decided by 96 bits of two independent hashes, w and v.
+decided by 96 bits of two functions of their words' hashes, w and v.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm.bpe import NO_ID, keyed
-from sylva.llm.kernels import Words, runs, slices
+from sylva.llm.kernels import Words, mix, runs, slices
 from sylva.llm.shared import Tables
 
 
@@ -46,12 +46,12 @@ def window_minima(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def _each(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: its bytes, its words' starts and ends there, and their hashes, independent ones besides."""
+    """For each text: its bytes, its words' starts and ends there, and their hashes."""
     for _, data, bounds in slices(column):
         words = Words(data, bounds)
-        hashes, checks = words.hashes(), words.hashes(salt=1)
+        hashes = words.hashes()
         for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
-            yield data[bounds[i] : bounds[i + 1]], words.start[a:b] - bounds[i], words.end[a:b] - bounds[i], hashes[a:b], checks[a:b]
+            yield data[bounds[i] : bounds[i + 1]], words.start[a:b] - bounds[i], words.end[a:b] - bounds[i], hashes[a:b]
 
 
 def _hashes(column: pa.Array) -> Iterator[np.ndarray]:
@@ -60,9 +60,9 @@ def _hashes(column: pa.Array) -> Iterator[np.ndarray]:
         yield from np.split(words.hashes(), words.first[1:-1])
 
 
-def _check(words: np.ndarray, length: int) -> np.ndarray:
-    """32 bits for each run of so many words, from their independent hashes."""
-    return (runs(words, length) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def _check(hashes: np.ndarray, length: int) -> np.ndarray:
+    """32 bits more for each run of so many words, of another function of their hashes than runs(hashes, length)."""
+    return (runs(mix(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), length) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _pairs(w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +119,9 @@ def _emit_windows(seed: int, length: int, low: int, high: int, which: int, parts
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, own, own_v = batch.slice(at, 500), [], []
-                for (_, _, _, hashes, checks), found in zip(_each(part["text"]), part["found"]):
+                for (_, _, _, hashes), found in zip(_each(part["text"]), part["found"]):
                     places = candidates(hashes, np.array(found.as_py(), np.int64), seed, length, low, high)
-                    w, v = runs(hashes, high)[places], _check(checks, high)[places] if last else None
+                    w, v = runs(hashes, high)[places], _check(hashes, high)[places] if last else None
                     own_part = w % np.uint64(parts) == which
                     w, v = _pairs(w[own_part], v[own_part]) if last else (np.unique(w[own_part]), v)
                     own.append(w.view(np.int64)), own_v.append(v)
@@ -140,8 +140,8 @@ def _emit_whole(length: int, which: int, parts: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, h, (_, _, _, hashes, checks) in zip(batch["k"].to_pylist(), batch["h"].to_pylist(), _each(batch["text"])):
-                w, v = runs(hashes, length), _check(checks, length)
+            for k, h, (_, _, _, hashes) in zip(batch["k"].to_pylist(), batch["h"].to_pylist(), _each(batch["text"])):
+                w, v = runs(hashes, length), _check(hashes, length)
                 own_part = w % np.uint64(parts) == which
                 w, v = _pairs(w[own_part], v[own_part])
                 yield pa.record_batch([np.full(len(w), k), np.full(len(w), h), w.view(np.int64), v], schema=schema)
@@ -175,13 +175,13 @@ def _cover(length: int, with_text: bool, carry: tuple[str, ...]):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, out = batch.slice(at, 500), []
-                for k, found, (data, start, end, hashes, checks) in zip(part["k"].to_pylist(), part["found"], _each(part["text"])):
+                for k, found, (data, start, end, hashes) in zip(part["k"].to_pylist(), part["found"], _each(part["text"])):
                     n, text = len(hashes), data.tobytes()
                     words, kept = text.split(), text
                     gone = np.zeros(n + 1, np.int64)
                     if len(found):
                         found_w, found_v = (found.values.field(c).to_numpy() for c in "wv")
-                        hit = np.flatnonzero(held(runs(hashes, length), _check(checks, length), found_w.view(np.uint64), found_v))
+                        hit = np.flatnonzero(held(runs(hashes, length), _check(hashes, length), found_w.view(np.uint64), found_v))
                         np.add.at(gone, hit, 1)
                         np.add.at(gone, hit + length, -1)
                         gone = np.cumsum(gone)[:n] > 0
