@@ -32,6 +32,9 @@ SHINGLE = 5
 #: Members of a block: a sixteenth of a cluster, within these bounds, and less where they hold more shingles than this together. Two blocks and their sets meet in one task.
 LEAST_BLOCK, MOST_BLOCK, MOST_SHINGLES = 64, 1024, 4_000_000
 
+#: A shingle of more than one in so many rows is hot; there can't be more such shingles than this.
+HOT_PART = 500
+
 
 @lru_cache(4)
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,15 +219,20 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([np.full(len(s), node), s, np.full(len(s), len(s), np.int32)], names=["node", "s", "n_shingles"])
 
 
-def rare_edges(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+def rare_edges(sets: DataFrame, component: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """Edges (a, b long) that join the nodes of sets (node, set) with a rare shingle in common, where they are of several components (node, c).
 
     Shingles are ordered by how many of the sets hold them. A set of n shares percent * n / 100 of its shingles with any it is linked
-    with, so both hold one of its n - that + 1 rarest. Those in one set only come first and join nothing.
+    with, so both hold one of its n - that + 1 rarest. Those in one set only come first and join nothing. Those that a
+    HOT_PART of all rows hold are at most HOT_PART, so they are broadcast and their rows don't meet in one task.
     """
     each = sets.mapInArrow(_elements, "node long, s long, n_shingles int")
-    often = each.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
-    held = each.join(often, "s").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
+    often = tables.keep(each.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1"), "often")
+    total = sets.agg(F.coalesce(F.sum(F.length("set")), F.lit(0)).alias("n")).first()["n"] // 8
+    is_hot = F.col("f") * HOT_PART >= total
+    marked = each.join(F.broadcast(often.filter(is_hot)), "s", "left")
+    rows = marked.filter("f is not null").unionByName(marked.filter("f is null").drop("f").join(often.filter(~is_hot), "s"))
+    held = rows.groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
     rarest = F.col("n_shingles") - F.floor((F.col("n_shingles") * percent + 99) / 100) + 1
     take = F.greatest(F.lit(0), rarest - (F.col("n_shingles") - F.size("all"))).cast("int")
     keys = held.select("node", F.explode(F.slice("all", F.lit(1), take)).alias("x")).select("node", F.col("x.s").alias("s")).join(component, "node")
@@ -294,7 +302,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, hashes: int = 128, width
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
     apart = members.join(mixed, "bucket").select("node").distinct()
     apart = tables.keep(apart.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("c")), "apart")
-    cluster = components(rare_edges(sets.join(apart, "node", "left_semi"), apart, percent), tables, "open")
+    cluster = components(rare_edges(sets.join(apart, "node", "left_semi"), apart, percent, tables), tables, "open")
     cluster = tables.keep(cluster.unionByName(cluster.select(F.col("component").alias("node"), "component").distinct()), "clusters")
     n = F.count("*")
     blocks = F.greatest(F.ceil(n / F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(n / 16)))), F.ceil(F.sum("n_shingles") / MOST_SHINGLES))

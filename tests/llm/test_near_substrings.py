@@ -68,6 +68,7 @@ def test_a_common_frame_joins_nothing(spark):
     from pyspark.sql import functions as F
 
     from sylva.llm.near import _sets, rare_edges
+    from sylva.llm.shared import Tables
 
     frame = [f"f{i}" for i in range(120)]
     rows = [(i, " ".join([*frame, *(f"w{i}x{j}" for j in range(50))])) for i in range(600)]
@@ -76,7 +77,7 @@ def test_a_common_frame_joins_nothing(spark):
     got = near_duplicates(docs).select("doc_id", "component_id").collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: d % 1000 for d, _ in rows}
     sets = docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(_sets, "node long, set binary")
-    edges = rare_edges(sets, docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("c")), 85)
+    edges = rare_edges(sets, docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("c")), 85, Tables(spark, "test"))
     assert {tuple(sorted(r)) for r in edges.collect()} == {(i, 1000 + i) for i in range(0, 600, 100)}
 
 
