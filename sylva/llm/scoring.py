@@ -58,9 +58,9 @@ class _Grams:
         return np.concatenate([i[w] for i, w in zip(self.ids, self.whole)])
 
 
-def edges(ranges: int) -> np.ndarray:
-    """The least hash of each of so many ranges of the hash space, which follow each other."""
-    return np.array([-(-(k << 64) // ranges) for k in range(ranges)], np.uint64)
+def range_of(ids: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of so many ranges of the hash space, which follow each other, each hash lies in."""
+    return ((ids >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def _counts(values: np.ndarray) -> bytes:
@@ -73,16 +73,14 @@ def _explode(order: int, low: int, high: int, ranges: int):
     schema = pa.schema([("range", pa.int64()), ("slice", pa.int64()), ("ids", pa.binary()), ("tf", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_edges = edges(ranges)
         for batch in batches:
             for s, bounds, data in zip(batch["slice"].to_pylist(), batch["bounds"], batch["data"]):
                 ids = _Grams(bounds.as_py(), data.as_py(), order).all_ids()
-                inside = ids >= all_edges[low]
-                if high < ranges:
-                    inside &= ids < all_edges[high]
-                ids, tf = np.unique(ids[inside], return_counts=True)
-                cuts = np.append(np.searchsorted(ids, all_edges[low:high]), len(ids)).tolist()
-                made = [(low + k, s, ids[a:b].tobytes(), _counts(tf[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+                of = range_of(ids, ranges)
+                ids, tf = np.unique(ids[(of >= low) & (of < high)], return_counts=True)
+                own, starts = np.unique(range_of(ids, ranges), return_index=True)
+                ends = [*starts.tolist()[1:], len(ids)]
+                made = [(r, s, ids[a:b].tobytes(), _counts(tf[a:b])) for r, a, b in zip(own.tolist(), starts.tolist(), ends)]
                 yield pa.record_batch([list(c) for c in zip(*made)] if made else [[], [], [], []], schema=schema)
 
     return rows
@@ -118,16 +116,16 @@ def _score(order: int, ranges: int, total: int, factor: float):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score_micro", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_edges, unpack = edges(ranges), zstandard.ZstdDecompressor().decompress
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for docs, bounds, data, seen in zip(batch["doc_ids"].to_pylist(), batch["bounds"], batch["data"], batch["seen"]):
                 g = _Grams(bounds.as_py(), data.as_py(), order)
                 length = np.diff(g.first)
                 if g.n:
                     gram, place = np.unique(g.all_ids(), return_inverse=True)
-                    size = np.diff(np.append(np.searchsorted(gram, all_edges), len(gram)))
+                    _, size = np.unique(range_of(gram, ranges), return_counts=True)
                     held = [unpack(x["counts"]) for x in sorted(seen.as_py(), key=lambda x: x["range"])]
-                    held = np.concatenate([np.frombuffer(x, f"<u{len(x) // n}").astype(np.int64) for x, n in zip(held, size[size > 0].tolist())])
+                    held = np.concatenate([np.frombuffer(x, f"<u{len(x) // n}").astype(np.int64) for x, n in zip(held, size.tolist())])
                     rest, at = [], 0
                     for ids, whole in zip(g.ids, g.whole):
                         m = int(whole.sum())
