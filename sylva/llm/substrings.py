@@ -66,8 +66,8 @@ def _check(hashes: np.ndarray, length: int) -> np.ndarray:
 
 
 def _pairs(w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs of w and v."""
-    order = np.lexsort((v, w))
+    """The distinct pairs of w and v; where different windows share w, one may come again."""
+    order = np.argsort(w)
     w, v = w[order], v[order]
     new = np.ones(len(w), bool)
     new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
@@ -108,10 +108,8 @@ def _emit_seeds(seed: int, length: int):
     return rows
 
 
-def _emit_windows(seed: int, length: int, low: int, high: int, which: int, parts: int):
-    """The windows of `high` words in windows of `length` whose candidates of `low` words (for the first level: seeds) all repeat; whole windows with v.
-
-    Only those of one part of the hash space."""
+def _emit_windows(seed: int, length: int, low: int, high: int):
+    """The windows of `high` words in windows of `length` whose candidates of `low` words (for the first level: seeds) all repeat; whole windows with v."""
     last = high == length
     schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("w", pa.int64())] + [("v", pa.int32())] * last)
 
@@ -122,8 +120,7 @@ def _emit_windows(seed: int, length: int, low: int, high: int, which: int, parts
                 for (_, _, _, hashes), found in zip(_each(part["text"]), part["found"]):
                     places = candidates(hashes, np.array(found.as_py(), np.int64), seed, length, low, high)
                     w, v = runs(hashes, high)[places], _check(hashes, high)[places] if last else None
-                    own_part = w % np.uint64(parts) == which
-                    w, v = _pairs(w[own_part], v[own_part]) if last else (np.unique(w[own_part]), v)
+                    w, v = _pairs(w, v) if last else (np.unique(w), v)
                     own.append(w.view(np.int64)), own_v.append(v)
                 n, none = [len(x) for x in own], [np.zeros(0, np.int64)]
                 made = [np.repeat(part["k"].to_numpy(), n), np.repeat(part["h"].to_numpy(), n), np.concatenate(own or none)]
@@ -134,16 +131,14 @@ def _emit_windows(seed: int, length: int, low: int, high: int, which: int, parts
     return rows
 
 
-def _emit_whole(length: int, which: int, parts: int):
-    """All windows of the texts in one part of the hash space."""
+def _emit_whole(length: int):
+    """All windows of the texts."""
     schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("w", pa.int64()), ("v", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, h, (_, _, _, hashes) in zip(batch["k"].to_pylist(), batch["h"].to_pylist(), _each(batch["text"])):
-                w, v = runs(hashes, length), _check(hashes, length)
-                own_part = w % np.uint64(parts) == which
-                w, v = _pairs(w[own_part], v[own_part])
+                w, v = _pairs(runs(hashes, length), _check(hashes, length))
                 yield pa.record_batch([np.full(len(w), k), np.full(len(w), h), w.view(np.int64), v], schema=schema)
 
     return rows
@@ -208,7 +203,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, seed: int = 7, with_text:
     go. A null doc_id counts as smaller than all others. Texts of fewer than `length` words lose nothing; other columns are
     left. The texts are shuffled to their ids once for each level, the first level's hashes twice.
 
-    parts: whole windows are dealt and decided in one part of the hash space after the other, so one part's files are on disk at once.
+    parts: whole windows are dealt and decided in one part of the hash space after the other, so one part's shuffle files are on disk at once.
     """
     if not 0 < seed <= length:
         raise ValueError("seed must lie in 1..length")
@@ -218,23 +213,24 @@ def remove_repeats(docs: DataFrame, length: int = 13, seed: int = 7, with_text:
     texts = whole.select("k", "h", "text")
     kind = "k long, h long, w long"
     found = texts.mapInArrow(_emit_seeds(seed, length), kind)
-    emit = lambda part: texts.mapInArrow(_emit_whole(length, part, parts), kind + ", v int")
+    whole_windows = texts.mapInArrow(_emit_whole(length), kind + ", v int")
     for size, longer in zip(chain, chain[1:]):
         often = found.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
         again = tables.keep(found.join(often, "w").groupBy("k", "h").agg(F.collect_set("w").alias("found")), f"level{size}")
         some = texts.join(again, ["k", "h"])
         if longer < length:
-            found = tables.keep(some.mapInArrow(_emit_windows(seed, length, size, longer, 0, 1), kind), f"windows{longer}")
+            found = tables.keep(some.mapInArrow(_emit_windows(seed, length, size, longer), kind), f"windows{longer}")
         else:
-            emit = lambda part, some=some, size=size: some.mapInArrow(_emit_windows(seed, length, size, length, part, parts), kind + ", v int")
+            whole_windows = some.mapInArrow(_emit_windows(seed, length, size, length), kind + ", v int")
+    whole_windows = tables.keep(whole_windows, "whole")
     gone = F.array().cast("array<struct<w:bigint,v:int>>")
     for part in range(parts):
-        found = tables.keep(emit(part), f"whole{part}")
+        found = whole_windows.filter(F.pmod("w", F.lit(parts)) == part)
         often = found.groupBy("w", "v").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").select("w", "v", "first")
         again = found.join(often, ["w", "v"]).filter("k > first").groupBy("k", "h").agg(F.collect_set(F.struct("w", "v")).alias(f"found{part}"))
         whole = whole.join(tables.keep(again, f"gone{part}"), ["k", "h"], "left")
         gone = F.concat(gone, F.coalesce(f"found{part}", F.array().cast("array<struct<w:bigint,v:int>>")))
-        tables.drop(f"whole{part}")
+    tables.drop("whole")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     out = ", ".join([out, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
     return whole.select("k", "text", gone.alias("found"), *carry).mapInArrow(_cover(length, with_text, carry), out)
