@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm.bpe import encode_decode
 from sylva.llm.chat import format_chats
+from sylva.llm.decontamination import decontaminate, near_items
 from sylva.llm.lines import LineDedup
 from sylva.llm.media import text_media
 from sylva.llm.near import near_duplicates
@@ -79,6 +80,15 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"), with_digest=True)
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with items of which ten consecutive words stand there, each at most two words from its place."""
+    return near_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op2_bpe, op3_packing, op4_near_dedup, op5_chat, op6_substring_dedup, op7_quality, op8_urls, op9_lm_scores, op10_media, quality_ablations, pipeline]
+    own = [op1_line_dedup, op2_bpe, op3_packing, op4_near_dedup, op5_chat, op6_substring_dedup, op7_quality, op8_urls, op9_lm_scores, op10_media, op13_decontamination, quality_ablations, proximity_matches, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -94,6 +104,7 @@ def queries() -> dict[str, Query]:
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_LETTERS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')"
 
 
@@ -176,4 +187,26 @@ scored AS (SELECT doc_id, count(*) AS n, sum(round(1000000 * CASE WHEN q IS NOT
   WHEN r1 > 0 THEN ln(r1 / r0) + more * ln(0.4::DOUBLE) ELSE ln(1 / greatest(r0, 1)) + (more + 1) * ln(0.4::DOUBLE) END)::BIGINT)::BIGINT AS s FROM places GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(s, 0)::BIGINT AS score_micro, s / n / 1000000 AS mean_score FROM documents d LEFT JOIN scored USING (doc_id)"""
 
-    return {"op1_line_dedup": lines, "op4_near_dedup": near, "op5_chat": chat, "op6_substring_dedup": repeats, "op7_quality": quality, "quality_ablations": ablated, "op8_urls": urls, "op9_lm_scores": scores}
+    passages = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_LETTERS}') AS w FROM documents),
+windows AS (SELECT DISTINCT item_id::VARCHAR AS item, array_to_string(w[i:i+9], ' ') AS s, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_LETTERS}') AS w FROM benchmark) WHERE len(w) > 0)),
+grams AS (SELECT r, n, i, array_to_string(w[i:i+n-1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows))),
+"""
+    exact = passages + """found AS (SELECT r, i, grams.n, item FROM grams JOIN windows USING (n, s)),
+hit AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, i + unnest(range(n)) AS i FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+held AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM found WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(held.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN held USING (r)"""
+
+    near_sql = passages + """posts AS (SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+df AS (SELECT t, count(*) AS df FROM posts GROUP BY t),
+words AS (SELECT s, n, unnest(string_split(s, ' ')) AS t, generate_subscripts(string_split(s, ' '), 1) AS o FROM (SELECT DISTINCT s, n FROM windows)),
+ranked AS (SELECT s, n, t, o, row_number() OVER (PARTITION BY s ORDER BY df, t, o) AS place FROM words JOIN df USING (t)),
+begun AS (SELECT s, n, r, p, ranked.o FROM ranked JOIN posts USING (t) WHERE place = 1),
+pairs AS (SELECT begun.s, begun.n, r, begun.p - begun.o AS z FROM begun WHERE n = 1 OR EXISTS (SELECT 1 FROM ranked x JOIN posts q ON q.t = x.t WHERE x.place = 2 AND x.s = begun.s AND q.r = begun.r AND abs(q.p - (begun.p - begun.o + x.o)) <= 2)),
+each AS (SELECT pairs.s, pairs.n, pairs.r, z, x.place, min(abs(q.p - (z + x.o))) AS off_by FROM pairs JOIN ranked x ON x.s = pairs.s JOIN posts q ON q.r = pairs.r AND q.t = x.t AND abs(q.p - (z + x.o)) <= CASE place WHEN 1 THEN 0 ELSE 2 END GROUP BY ALL),
+whole AS (SELECT s, r, z, sum(off_by) AS off_by FROM each GROUP BY s, n, r, z HAVING count(*) = any_value(n))
+SELECT doc_id, item AS item_id, count(*) AS n_places, min(off_by)::BIGINT AS off_by FROM whole JOIN windows USING (s) JOIN d USING (r) WHERE item IS NOT NULL GROUP BY r, doc_id, item"""
+
+    return {"op1_line_dedup": lines, "op4_near_dedup": near, "op5_chat": chat, "op6_substring_dedup": repeats, "op7_quality": quality, "quality_ablations": ablated, "op8_urls": urls, "op9_lm_scores": scores, "op13_decontamination": exact, "proximity_matches": near_sql}
