@@ -15,6 +15,7 @@ from sylva.llm.lines import LineDedup
 from sylva.llm.media import text_media
 from sylva.llm.near import near_duplicates
 from sylva.llm.packing import pack
+from sylva.llm.periods import find_runs, planted
 from sylva.llm.quality import BASE, PRODUCTION, RULES, ablations, judge, ledger, stored
 from sylva.llm.scoring import score
 from sylva.llm.shared import table
@@ -80,6 +81,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"), with_digest=True)
 
 
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_runs(table(spark, sf_dir, "documents"), planted)
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -96,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op2_bpe, op3_packing, op4_near_dedup, op5_chat, op6_substring_dedup, op7_quality, op8_urls, op9_lm_scores, op10_media, op13_decontamination, quality_ablations, proximity_matches, pipeline]
+    own = [op1_line_dedup, op2_bpe, op3_packing, op4_near_dedup, op5_chat, op6_substring_dedup, op7_quality, op8_urls, op9_lm_scores, op10_media, op12_periods, op13_decontamination, quality_ablations, proximity_matches, pipeline]
     return {f.__name__: f for f in own}
 
 
