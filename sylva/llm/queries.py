@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm.bpe import encode_decode
 from sylva.llm.chat import format_chats
+from sylva.llm.collocations import collocations
 from sylva.llm.decontamination import decontaminate, near_items
 from sylva.llm.lines import LineDedup
 from sylva.llm.media import text_media
@@ -81,6 +82,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"), with_digest=True)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_runs(table(spark, sf_dir, "documents"), planted)
 
@@ -101,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op2_bpe, op3_packing, op4_near_dedup, op5_chat, op6_substring_dedup, op7_quality, op8_urls, op9_lm_scores, op10_media, op12_periods, op13_decontamination, quality_ablations, proximity_matches, pipeline]
+    own = [op1_line_dedup, op2_bpe, op3_packing, op4_near_dedup, op5_chat, op6_substring_dedup, op7_quality, op8_urls, op9_lm_scores, op10_media, op11_collocations, op12_periods, op13_decontamination, quality_ablations, proximity_matches, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -192,6 +197,18 @@ scored AS (SELECT doc_id, count(*) AS n, sum(round(1000000 * CASE WHEN q IS NOT
   WHEN r1 > 0 THEN ln(r1 / r0) + more * ln(0.4::DOUBLE) ELSE ln(1 / greatest(r0, 1)) + (more + 1) * ln(0.4::DOUBLE) END)::BIGINT)::BIGINT AS s FROM places GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(s, 0)::BIGINT AS score_micro, s / n / 1000000 AS mean_score FROM documents d LEFT JOIN scored USING (doc_id)"""
 
+    mined = f"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_LOWER}) AS t FROM documents),
+pieces AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\n\\x0B\\x0C\\r]')) AS piece FROM docs)),
+totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+grams AS (SELECT lang, m, w[i:i+m-1] AS g, count(*) AS f FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, range(1, 6) r(m)) GROUP BY ALL HAVING count(*) >= 100),
+inner_grams AS (SELECT DISTINCT lang, g[i:i+k-1] AS g, f FROM (SELECT lang, g, f, k, unnest(range(1, m - k + 2)) AS i FROM grams, range(2, 5) r(k) WHERE k < m)),
+free AS (SELECT * FROM grams a WHERE m > 1 AND NOT EXISTS (SELECT 1 FROM inner_grams b WHERE b.lang = a.lang AND b.g = a.g AND b.f >= a.f)),
+cuts AS (SELECT lang, free.g, free.f AS a, x.f AS l, y.f AS r, n, k, (1000::HUGEINT * free.f * n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT lang, g, f, unnest(range(1, m)) AS k FROM free) free JOIN grams x USING (lang) JOIN grams y USING (lang) JOIN totals USING (lang) WHERE x.g = free.g[1:k] AND y.g = free.g[k+1:]),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM least QUALIFY rank <= 2000"""
+
     passages = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_LETTERS}') AS w FROM documents),
 windows AS (SELECT DISTINCT item_id::VARCHAR AS item, array_to_string(w[i:i+9], ' ') AS s, least(len(w), 10) AS n
@@ -214,4 +231,4 @@ each AS (SELECT pairs.s, pairs.n, pairs.r, z, x.place, min(abs(q.p - (z + x.o)))
 whole AS (SELECT s, r, z, sum(off_by) AS off_by FROM each GROUP BY s, n, r, z HAVING count(*) = any_value(n))
 SELECT doc_id, item AS item_id, count(*) AS n_places, min(off_by)::BIGINT AS off_by FROM whole JOIN windows USING (s) JOIN d USING (r) WHERE item IS NOT NULL GROUP BY r, doc_id, item"""
 
-    return {"op1_line_dedup": lines, "op4_near_dedup": near, "op5_chat": chat, "op6_substring_dedup": repeats, "op7_quality": quality, "quality_ablations": ablated, "op8_urls": urls, "op9_lm_scores": scores, "op13_decontamination": exact, "proximity_matches": near_sql}
+    return {"op1_line_dedup": lines, "op4_near_dedup": near, "op5_chat": chat, "op6_substring_dedup": repeats, "op7_quality": quality, "quality_ablations": ablated, "op8_urls": urls, "op9_lm_scores": scores, "op11_collocations": mined, "op13_decontamination": exact, "proximity_matches": near_sql}
