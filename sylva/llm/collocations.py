@@ -5,6 +5,9 @@ words that follow each other are a cell (left, right) of a table whose head is d
 ids, are counted by bincount; the sparse rest is counted as sorted COO lists, dealt by the cell. A frequent
 cell gets an id by frequency again, and the units are written with these ids: a phrase of m words at a place is the pair of the phrases of m - 1
 words there and at the next place. What isn't frequent breaks a sequence, as no longer phrase with it can be frequent.
+
+A unit sends each cell once, with its count, so a cell has no more entries than there are units. Tiles are cut in
+stripes of so many cells that a group of entries stays small, and the sparse rest in buckets, so each group has all of its cells' entries and is bounded.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,19 +26,20 @@ from pyspark.sql import functions as F
 from sylva.llm.kernels import mix
 from sylva.llm.shared import Tables, text_bytes
 
-#: Words of a unit, ids of a tile's side, tiles of the head's side, units of a group that adds up a tile, cells of a sparse group.
-UNIT, SIDE, HEAD, TOGETHER, CELLS = 1 << 19, 1 << 10, 4, 32, 1 << 21
+#: Words of a unit, ids of a tile's side, tiles of the head's side, entries of a group that adds up.
+UNIT, SIDE, HEAD, ENTRIES = 1 << 19, 1 << 10, 4, 1 << 20
 _END = 10
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else _END if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 _BLANK = np.array([c in (_END, 9, 32) for c in range(256)])
 
-UNITS = "unit long, lang string, ids binary, words array<string>, counts array<long>"
+UNITS = "unit long, lang string, n long, ids binary, words array<string>, counts binary"
 SEQUENCE = "unit long, lang string, n long, ids binary"
-BLOCK = "unit long, lang string, tile int, salt int, codes binary, counts binary"
+WORDS = "unit long, lang string, part long, at binary, words array<string>, counts binary"
+BLOCK = "unit long, lang string, part long, codes binary, counts binary"
 
 
 def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
 
 
@@ -67,7 +73,8 @@ class _Unit:
         dense = np.full(numbers.max(initial=-1) + 2, -1, np.int32)  # the last one, for -1
         dense[numbers] = np.arange(len(numbers))
         ids = dense[np.concatenate(self.parts)]
-        return unit, lang, ids.tobytes(), [w.decode() for w in self.numbers], np.bincount(ids[ids >= 0], minlength=len(numbers)).tolist()
+        counts = np.bincount(ids[ids >= 0], minlength=len(numbers))
+        return unit, lang, self.size, ids.tobytes(), [w.decode() for w in self.numbers], counts.astype(np.int32).tobytes()
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,22 +99,67 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ranked(df: DataFrame, tables: Tables, name: str, *ties: str) -> DataFrame:
     """df (lang, f, ..) with `id`: the place by falling f within the language, from 0. Sorted in ranges; their sizes, a row a range and language, give each its first id."""
-    placed = tables.keep(df.orderBy("lang", F.desc("f"), *ties).withColumn("row", F.monotonically_increasing_id()), f"{name}-sorted")
-    placed = placed.withColumn("part", F.shiftright("row", 33))
-    before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy("lang", "part").agg(F.min("row").alias("first"), F.count("*").alias("n"))
-    sizes = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return tables.keep(placed.join(sizes, ["lang", "part"]).withColumn("id", F.col("row") - F.col("first") + F.col("base")).drop("row", "part", "first", "base"), name)
+    placed = tables.keep(df.orderBy("lang", F.desc("f"), *ties).withColumn("_row", F.monotonically_increasing_id()), f"{name}-sorted")
+    placed = placed.withColumn("_range", F.shiftright("_row", 33))
+    before = Window.partitionBy("lang").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("lang", "_range").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return tables.keep(placed.join(sizes, ["lang", "_range"]).withColumn("id", F.col("_row") - F.col("_first") + F.col("_base")).drop("_row", "_range", "_first", "_base"), name)
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units with the ids of their frequent words; the others are breaks."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            own, known = np.frombuffer(batch["ids"][i].as_buffer(), np.int32), batch["known"][i].values
-            to = np.full(int(own.max(initial=-1)) + 2, -1, np.int64)
-            to[known.field("at").to_numpy()] = known.field("id").to_numpy()
-            yield _batch([_sequence(batch["unit"][i].as_py(), batch["lang"][i].as_py(), to[own])], SEQUENCE)
+def _parts(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part with the places where it stands."""
+    order = np.argsort(parts, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1) if len(parts) else ():
+        yield int(parts[some[0]]), some
+
+
+def _word_blocks(buckets: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit, lang, words, counts in zip(batch["unit"].to_pylist(), batch["lang"].to_pylist(), batch["words"], batch["counts"]):
+                words, counts = words.values, np.frombuffer(counts.as_buffer(), np.int32)
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, text_bytes(words)), np.uint64, len(words))
+                out = [(unit, lang, part, at.astype(np.int32).tobytes(), words.take(pa.array(at)), counts[at].tobytes()) for part, at in _parts((hashes % np.uint64(buckets)).astype(np.int64))]
+                yield _batch(out, WORDS)
+
+    return rows
+
+
+def _word_sums(least: int):
+    def of_group(rows: pa.Table) -> pa.Table:
+        words, counts = rows["words"].combine_chunks().flatten(), _joined(rows["counts"], np.int32)
+        sums = pa.table({"word": words, "f": counts.astype(np.int64)}).group_by("word").aggregate([("f", "sum")]).filter(pc.field("f_sum") >= least)
+        return pa.table({"lang": pa.array([rows["lang"][0].as_py()] * len(sums), pa.string()), "part": pa.array([rows["part"][0].as_py()] * len(sums), pa.int64()), "word": sums["word"], "f": sums["f_sum"]})
+
+    return of_group
+
+
+_ANSWER = "unit long, codes binary, ids binary"
+
+
+def _word_answers(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
+    """For each unit the numbers of its frequent words, and their ids."""
+    out = []
+    if len(frequent):
+        known, ids = frequent["word"].combine_chunks(), frequent["id"].to_numpy()
+        for unit, at, words in zip(blocks["unit"].to_pylist(), blocks["at"].to_pylist(), blocks["words"]):
+            found = pc.index_in(words.values, known).fill_null(-1).to_numpy(zero_copy_only=False)
+            if (found >= 0).any():
+                out.append((unit, np.frombuffer(at, np.int32)[found >= 0].astype(np.int64).tobytes(), ids[found[found >= 0]].tobytes()))
+    return pa.Table.from_batches([_batch(out, _ANSWER)])
+
+
+def _named(answers: pa.Table, units: pa.Table) -> pa.Table:
+    """The unit with the ids of its frequent words; the others are breaks."""
+    at, ids, out = _joined(answers["codes"], np.int64), _joined(answers["ids"], np.int64), []
+    if len(at):
+        for unit, lang, held in zip(units["unit"].to_pylist(), units["lang"].to_pylist(), units["ids"].to_pylist()):
+            own = np.frombuffer(held, np.int32)
+            to = np.full(int(own.max()) + 2, -1, np.int64)  # the last one, for -1
+            to[at] = ids
+            out.append(_sequence(unit, lang, to[own]))
+    return pa.Table.from_batches([_batch(out, SEQUENCE)])
 
 
 def _sequence(unit: int, lang: str, ids: np.ndarray) -> tuple:
@@ -124,40 +176,46 @@ def _codes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[at].astype(np.int64) << 32 | ids[at + 1], at
 
 
-def tile_of(codes: np.ndarray, buckets: int) -> np.ndarray:
-    """The head's tile of a cell, or a bucket of the sparse rest after these."""
-    left, right = codes >> 32, codes & 0xFFFFFFFF
-    rest = HEAD * HEAD + (mix(codes.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    return np.where((left < HEAD * SIDE) & (right < HEAD * SIDE), left // SIDE * HEAD + right // SIDE, rest)
-
-
-def add_up(codes: np.ndarray, counts: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct cells of one tile or bucket, sorted, and their sums: by bincount in a tile that is filled enough, else by sorting."""
-    if tile < HEAD * HEAD and 16 * len(codes) >= SIDE * SIDE:
-        left, right = tile // HEAD * SIDE, tile % HEAD * SIDE
-        sums = np.bincount(((codes >> 32) - left) * SIDE + (codes & 0xFFFFFFFF) - right, counts, SIDE * SIDE)
-        cells = np.flatnonzero(sums)
-        return (cells // SIDE + left) << 32 | (cells % SIDE + right), sums[cells].astype(np.int64)
-    order = np.argsort(codes)
-    codes, counts = codes[order], counts[order]
-    new = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
-    return codes[new], np.add.reduceat(counts, new).astype(np.int64) if len(codes) else counts
-
-
-def _blocks(buckets: int, salts: int):
+class Deal:
+    """How cells are dealt into parts: stripes of the head's tiles, each of `cells` cells, then buckets of the rest."""
+
+    def __init__(self, units: int, words: int):
+        self.cells = 1 << max(0, min(20, (ENTRIES // max(units, 1)).bit_length() - 1))
+        self.stripes, self.buckets = SIDE * SIDE // self.cells, 1 + words // ENTRIES
+        self.head = HEAD * HEAD * self.stripes
+
+    def part(self, codes: np.ndarray) -> np.ndarray:
+        left, right = codes >> 32, codes & 0xFFFFFFFF
+        rest = self.head + (mix(codes.view(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
+        stripe = (left % SIDE * SIDE + right % SIDE) // self.cells
+        return np.where((left < HEAD * SIDE) & (right < HEAD * SIDE), (left // SIDE * HEAD + right // SIDE) * self.stripes + stripe, rest)
+
+    def add_up(self, codes: np.ndarray, counts: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct cells of one part, sorted, and their sums: by bincount in a stripe that is filled enough, else by sorting."""
+        if part < self.head and 16 * len(codes) >= self.cells:
+            tile, first = part // self.stripes, part % self.stripes * self.cells
+            left, right = tile // HEAD * SIDE, tile % HEAD * SIDE
+            sums = np.bincount(((codes >> 32) - left) * SIDE + (codes & 0xFFFFFFFF) - right - first, counts, self.cells)
+            cells = np.flatnonzero(sums)
+            sums, cells = sums[cells].astype(np.int64), cells + first
+            return (cells // SIDE + left) << 32 | (cells % SIDE + right), sums
+        order = np.argsort(codes)
+        codes, counts = codes[order], counts[order]
+        if not len(codes):
+            return codes, counts
+        new = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        return codes[new], np.add.reduceat(counts, new).astype(np.int64)
+
+
+def _blocks(deal: Deal):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for unit, lang, ids in zip(batch["unit"].to_pylist(), batch["lang"].to_pylist(), batch["ids"]):
                 codes, _ = _codes(np.frombuffer(ids.as_buffer(), np.int32))
-                tiles = tile_of(codes, buckets)
-                order, out = np.argsort(tiles, kind="stable"), []
-                tiles, codes = tiles[order], codes[order]
-                at = np.flatnonzero(np.append(True, tiles[1:] != tiles[:-1])) if len(tiles) else []
-                salt = int(mix(np.array([unit], np.uint64))[0] % np.uint64(salts))
-                for a, b in zip(at, [*at[1:], len(tiles)]):
-                    tile = int(tiles[a])
-                    own, n = add_up(codes[a:b], np.ones(b - a, np.int64), tile)
-                    out.append((unit, lang, tile, salt if tile < HEAD * HEAD else 0, own.tobytes(), n.astype(np.int32).tobytes()))
+                out = []
+                for part, at in _parts(deal.part(codes)):
+                    own, n = deal.add_up(codes[at], np.ones(len(at), np.int64), part)
+                    out.append((unit, lang, part, own.tobytes(), n.astype(np.int32).tobytes()))
                 yield _batch(out, BLOCK)
 
     return rows
@@ -167,22 +225,20 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _sums(least: int):
-    def of_group(key: tuple, rows: pa.Table) -> pa.Table:
-        lang, tile, _ = (x.as_py() for x in key)
-        codes, sums = add_up(_joined(rows["codes"], np.int64), _joined(rows["counts"], np.int32).astype(np.int64), tile)
-        if tile >= HEAD * HEAD:  # all of the cell's counts are here
-            codes, sums = codes[sums >= least], sums[sums >= least]
-        return pa.table({"lang": pa.array([lang] * len(codes), pa.string()), "l": codes >> 32, "r": codes & 0xFFFFFFFF, "f": sums})
+def _sums(deal: Deal, least: int):
+    def of_group(rows: pa.Table) -> pa.Table:
+        codes, sums = deal.add_up(_joined(rows["codes"], np.int64), _joined(rows["counts"], np.int32).astype(np.int64), rows["part"][0].as_py())
+        codes, sums = codes[sums >= least], sums[sums >= least]
+        return pa.table({"lang": pa.array([rows["lang"][0].as_py()] * len(codes), pa.string()), "l": codes >> 32, "r": codes & 0xFFFFFFFF, "f": sums})
 
     return of_group
 
 
-def _placed(buckets: int):
+def _placed(deal: Deal):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch["l"].to_numpy() << 32 | batch["r"].to_numpy()
-            yield pa.record_batch([batch["lang"], tile_of(codes, buckets).astype(np.int32), codes, batch["id"]], names=["lang", "tile", "code", "id"])
+            yield pa.record_batch([batch["lang"], deal.part(codes), codes, batch["id"]], names=["lang", "part", "code", "id"])
 
     return rows
 
@@ -195,9 +251,6 @@ def _look_up(codes: np.ndarray, known: np.ndarray, ids: np.ndarray) -> np.ndarra
     return np.where(known[at] == codes, ids[at], -1)
 
 
-_ANSWER = "unit long, codes binary, ids binary"
-
-
 def _answers(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
     order = np.argsort(frequent["code"].to_numpy())
     known, ids, out = frequent["code"].to_numpy()[order], frequent["id"].to_numpy()[order], []
@@ -230,27 +283,23 @@ def mine(docs: DataFrame, tables: Tables, least: int = 100, longest: int = 5) ->
     A table has lang, id (place by falling frequency), f, and word, or l and r: the ids of the phrases without the last and without the first word.
     """
     given = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    units = tables.keep(given.mapInArrow(_units, UNITS), "units")
-    each = units.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"))
-    each = tables.keep(each, "words")
-    totals = each.groupBy("lang").agg(F.sum("f").alias("n"))
-    levels = [ranked(each.filter(F.col("f") >= least), tables, "level1", "word")]
-    known = units.select("unit", "lang", F.posexplode("words").alias("at", "word")).join(levels[0].select("lang", "word", "id"), ["lang", "word"])
-    known = known.groupBy("unit").agg(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), "id")).alias("known"))
-    sequence = tables.keep(units.select("unit", "lang", "ids").join(known, "unit").mapInArrow(_named, SEQUENCE), "sequence1")
-    tables.drop("units")
+    units, dealt = tables.keep(given.mapInArrow(_units, UNITS), "units"), ("lang", "part")
+    totals = tables.keep(units.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    buckets = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // ENTRIES
+    blocks = tables.keep(units.mapInArrow(_word_blocks(buckets), WORDS), "blocks1")
+    frequent = blocks.groupBy(*dealt).applyInArrow(_word_sums(least), "lang string, part long, word string, f long")
+    levels = [ranked(frequent, tables, "level1", "word")]
+    answers = blocks.select(*dealt, "unit", "at", "words").groupBy(*dealt).cogroup(levels[0].groupBy(*dealt)).applyInArrow(_word_answers, _ANSWER)
+    sequence = tables.keep(answers.groupBy("unit").cogroup(units.select("unit", "lang", "ids").groupBy("unit")).applyInArrow(_named, SEQUENCE), "sequence1")
+    tables.drop("units", "blocks1")
     for m in range(2, longest + 1):
         size = sequence.agg(F.count("*").alias("units"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        buckets, salts = 1 + size["n"] // CELLS, 1 + size["units"] // TOGETHER
-        blocks = tables.keep(sequence.mapInArrow(_blocks(buckets, salts), BLOCK), f"blocks{m}")
-        dealt = ("lang", "tile", "salt")
-        cells = blocks.groupBy(*dealt).applyInArrow(_sums(least), "lang string, l long, r long, f long")
-        frequent = cells.groupBy("lang", "l", "r").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-        levels.append(ranked(frequent, tables, f"level{m}", "l", "r"))
+        deal = Deal(size["units"], size["n"])
+        blocks = tables.keep(sequence.mapInArrow(_blocks(deal), BLOCK), f"blocks{m}")
+        cells = blocks.groupBy(*dealt).applyInArrow(_sums(deal, least), "lang string, l long, r long, f long")
+        levels.append(ranked(cells, tables, f"level{m}", "l", "r"))
         if m < longest:
-            placed = levels[-1].select("lang", "l", "r", "id").mapInArrow(_placed(buckets), "lang string, tile int, code long, id long")
-            copies = F.when(F.col("tile") < HEAD * HEAD, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-            placed = placed.withColumn("salt", F.explode(copies))
+            placed = levels[-1].select("lang", "l", "r", "id").mapInArrow(_placed(deal), "lang string, part long, code long, id long")
             answers = blocks.select(*dealt, "unit", "codes").groupBy(*dealt).cogroup(placed.groupBy(*dealt)).applyInArrow(_answers, _ANSWER)
             longer = tables.keep(answers.groupBy("unit").cogroup(sequence.groupBy("unit")).applyInArrow(_longer, SEQUENCE), f"sequence{m}")
             sequence = longer

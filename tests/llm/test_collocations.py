@@ -56,8 +56,7 @@ def texts():
 
 @pytest.mark.parametrize("least,longest,top", [(5, 5, 2000), (3, 5, 20), (20, 2, 50), (1, 3, 100000)])
 def test_brute(spark, monkeypatch, least, longest, top):
-    monkeypatch.setattr(c, "CELLS", 500)
-    monkeypatch.setattr(c, "TOGETHER", 2)
+    monkeypatch.setattr(c, "ENTRIES", 500)
     rows = texts()
     docs = spark.createDataFrame([(*r, i, 1) for i, r in enumerate(rows)], "text string, lang string, n long, unit long").repartition(6)
     got = sorted(tuple(r) for r in c.collocations(docs, least, longest, top).collect())
@@ -71,16 +70,21 @@ def test_long_text(spark):
     assert [tuple(r) for r in c.collocations(docs, 100, 3, 40).orderBy("rank").collect()] == brute(rows, 100, 3, 40)
 
 
-def test_counting():
-    rng = np.random.default_rng(5)
+@pytest.mark.parametrize("units", [1, 300, 1 << 21])
+def test_counting(units):
+    rng, deal = np.random.default_rng(5), c.Deal(units, 10 * c.ENTRIES)
+    assert deal.cells * deal.stripes == c.SIDE**2 and deal.cells * units <= max(c.ENTRIES, units)
     left, right = rng.integers(0, c.SIDE, 200_000), rng.integers(3 * c.SIDE, 4 * c.SIDE, 200_000)
-    for some in (left[:50], left):  # by sorting, and by bincount
-        codes = some << 32 | right[: len(some)]
-        assert set(c.tile_of(codes, 7).tolist()) == {3}
-        cells, sums = c.add_up(codes, np.full(len(codes), 3), 3)
-        assert dict(zip(cells.tolist(), sums.tolist())) == {k: 3 * v for k, v in Counter(codes.tolist()).items()} and (np.diff(cells) > 0).all()
-    sparse = c.tile_of(np.arange(5000, 9000) << 32, 7)
-    assert set(sparse.tolist()) == set(range(16, 23))
+    for some in (50, len(left)):  # by sorting, and by bincount
+        codes = (left << 32 | right)[:some]
+        parts, got = deal.part(codes), {}
+        assert set((parts // deal.stripes).tolist()) == {3}
+        for part in np.unique(parts).tolist()[:500]:
+            own = codes[parts == part]
+            cells, sums = deal.add_up(own, np.full(len(own), 3), part)
+            assert dict(zip(cells.tolist(), sums.tolist())) == {k: 3 * v for k, v in Counter(own.tolist()).items()} and (np.diff(cells) > 0).all()
+    sparse = deal.part(np.arange(5000, 9000) << 32) - deal.head
+    assert set(sparse.tolist()) == set(range(11))
 
 
 def test_exact_scores(spark):
