@@ -64,9 +64,3 @@ class SaveOptions:
     wrap: int = 72
     whitespace: Callable[[Written, str], str | None] | None = None
     custom_save: Callable[[str], str | None] | None = None
-
-
-def type_by_attribute(name: str, attrs: Mapping[str, str]) -> str:
-    """The value type that an element's `type` attribute names, or else its own name."""
-    said = attrs.get("type") or name
-    return {"integer": "INTEGER", "opaque": "OPAQUE", "pre": "OPAQUE", "real": "REAL"}.get(said, "TEXT")

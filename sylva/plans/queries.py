@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.functions.schema import LoadOptions, SaveOptions
-from sylva.operators import edit, find, index, nav, values
+from sylva.operators import batch, edit, find, index, nav, values
 from sylva.plans.callbacks import bracketed, customer_types, event_types, indented, load_time, lower, named_types, order_types, whole_types
 from sylva.plans.documents import BROKEN, as_texts, broken, customers, event_log, long_id, orders, table, texts
 from sylva.sources.save import escape, saved_string, to_documents, to_pieces, write_files
@@ -323,14 +323,41 @@ def add_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc, 7 AS note_id, 8 AS word_id, n::INTEGER AS n_items, 3 + 5 * n AS root_last, CASE WHEN n > 1 THEN 9 END AS second FROM docs WHERE n > 0")
 def add_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A note after the order's first item."""
+    """A note with a word in it after the order's first item: two entries of an edit log."""
     n = kept(spark, sf_dir)
-    at = n.filter("node_id = 2").select("doc_id", F.lit(1).cast("long").alias("parent"), F.lit(2).cast("long").alias("child"))
-    m = edit.add(n, _notes(n), at).join(at.select("doc_id"), "doc_id")
+    at = n.filter("node_id = 2").select("doc_id")
+    no = F.lit(None).cast("string")
+    note = F.struct(F.lit(0).alias("seq"), F.lit(-1).alias("node"), F.lit(1).alias("parent"), F.lit(2).alias("child"), F.lit("ELEMENT").alias("node_type"), F.lit("note").alias("name"), no.alias("str_value"))
+    word = F.struct(F.lit(1).alias("seq"), F.lit(-2).alias("node"), F.lit(-1).alias("parent"), F.lit(None).cast("int").alias("child"), F.lit("TEXT").alias("node_type"), no.alias("name"), edit.formatted("TEXT", "n%s", F.col("doc_id")).alias("str_value"))
+    log = at.select("doc_id", F.lit("NEW").alias("op"), F.lit("AFTER").alias("where"), F.explode(F.array(note, word)).alias("e")).select("doc_id", "op", "where", "e.*")
+    m = batch.apply_edits(n, log, values=False).join(at, "doc_id")
     first = lambda test: F.min(F.when(test, F.col("node_id")))
     return m.groupBy(doc()).agg(first(F.col("name") == "note").cast("int").alias("note_id"), first(F.col("node_type") == "TEXT").cast("int").alias("word_id"), F.count_if(F.col("name") == "item").cast("int").alias("n_items"), F.max(F.when(F.col("node_id") == 1, F.col("last_desc"))).alias("root_last"), first((F.col("name") == "item") & (F.col("ord") == 2)).cast("int").alias("second"))
 
 
+@query("""SELECT doc, 3 - (n > 0)::INTEGER::BIGINT AS node_id, 'third' AS name, 1::BIGINT AS parent_id, 3 - (n > 0)::INTEGER::BIGINT AS last_desc, 2 AS depth, 1 - (n > 0)::INTEGER AS ord, NULL::VARCHAR AS by FROM docs
+  UNION ALL SELECT doc, 4 - (n > 0)::INTEGER::BIGINT, 'second', 1, 4 - (n > 0)::INTEGER::BIGINT, 2, 2 - (n > 0)::INTEGER, 'us' FROM docs
+  UNION ALL SELECT doc, CASE WHEN n = 0 THEN 2 ELSE p + 5 END, 'first', CASE WHEN n = 0 THEN 1 ELSE p END, CASE WHEN n = 0 THEN 2 ELSE p + 5 END, CASE WHEN n = 0 THEN 2 ELSE 3 END, CASE WHEN n = 0 THEN 0 ELSE 2 END, NULL FROM (SELECT *, 4 + 5 * (n - 1 - (n > 1)::INTEGER) AS p FROM docs)
+  UNION ALL SELECT doc, 4 + 5 * (k - 1), 'item', 1, 8 + 5 * (k - 1), 2, (k + 1)::INTEGER, NULL FROM items WHERE k > 0 AND k < n - 1
+  UNION ALL SELECT doc, p, 'item', 1, p + 5, 2, (1 + n - (n > 1)::INTEGER)::INTEGER, NULL FROM (SELECT *, 4 + 5 * (n - 1 - (n > 1)::INTEGER) AS p FROM docs WHERE n > 0)""")
+def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven edits a document, each on what those before it left: new nodes beside new ones, a move to the end, a new node moved below the moved one, a deletion."""
+    n = kept(spark, sf_dir)
+    kids = n.filter("node_id = 1").select("doc_id", (1 + F.col("last_desc") - 5).alias("last"))
+    no = F.lit(None).cast("long")
+    entry = lambda seq, op, node, parent=no, child=no, where="AFTER", name=None, attr=None, value=None: F.struct(
+        F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), (F.lit(node) if isinstance(node, int) else node).cast("long").alias("node"), (F.lit(parent) if isinstance(parent, int) else parent).cast("long").alias("parent"),
+        (F.lit(child) if isinstance(child, int) else child).cast("long").alias("child"), F.lit(where).alias("where"), F.lit("ELEMENT" if name else None).cast("string").alias("node_type"), F.lit(name).cast("string").alias("name"), F.lit(attr).cast("string").alias("attr"), F.lit(value).cast("string").alias("value"))
+    last = F.when(F.col("last") > 2, F.col("last"))
+    entries = [
+        entry(0, "NEW", -1, 1, where="BEFORE", name="first"), entry(1, "NEW", -2, 1, -1, name="second"), entry(2, "ADD", 2, 1), entry(3, "ADD", -1, 2),
+        entry(4, "NEW", -3, 1, -2, "BEFORE", name="third"), entry(5, "DELETE", last), entry(6, "ATTR", -2, attr="by", value="us"),
+    ]
+    log = kids.select("doc_id", F.explode(F.array(*entries)).alias("e")).select("doc_id", "e.*")
+    m = batch.apply_edits(n, log)
+    return find.find_all(m, None).filter(F.col("name").isin("first", "second", "third", "item")).select(doc(), "node_id", "name", "parent_id", "last_desc", "depth", "ord", find.attr("by").alias("by"))
+
+
 @query("SELECT doc, (2 + 5 * (row_number() OVER (PARTITION BY doc ORDER BY id) - 1))::BIGINT AS node_id, (row_number() OVER (PARTITION BY doc ORDER BY id) - 1)::INTEGER AS ord, l_partkey::VARCHAR AS part FROM items WHERE l_returnflag <> 'R'")
 def delete_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = kept(spark, sf_dir)

@@ -5,7 +5,8 @@ from collections import Counter
 import pytest
 
 from sylva.functions.scan import Scanner, clean, decode, nodes
-from sylva.functions.schema import LoadOptions, type_by_attribute
+from sylva.functions.schema import LoadOptions
+from sylva.plans.callbacks import named_types
 from tests.documents import GARDEN, GARDEN_EVENTS
 
 
@@ -88,7 +89,7 @@ def test_values():
 
 
 def test_known_counts():
-    s = Scanner(GARDEN, LoadOptions(type_of=type_by_attribute), sax=True)
+    s = Scanner(GARDEN, LoadOptions(type_of=named_types), sax=True)
     assert Counter(e.event for e in s) == GARDEN_EVENTS and not s.errors
 
 
@@ -115,5 +116,5 @@ def test_mutations_give_rows_or_errors():
         for _ in range(rng.randint(1, 6)):
             i = rng.randrange(len(t))
             t[i : i + rng.randint(0, 3)] = rng.choice(["<", ">", "&", ";", "/", "'", '"', "=", " ", "]]>", "-->", "?>", "\x00", "<!", "x", ""])
-        rows, errors = load("".join(t), LoadOptions(type_of=type_by_attribute))
+        rows, errors = load("".join(t), LoadOptions(type_of=named_types))
         assert rows or errors

@@ -3,15 +3,16 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sylva.functions.schema import LoadOptions, SaveOptions, type_by_attribute
+from sylva.functions.schema import LoadOptions, SaveOptions
 from sylva.operators import edit, find, index, nav, values
+from sylva.plans.callbacks import named_types
 from sylva.sources.save import save_io, saved_size, saved_string, to_documents, to_pieces, write_files
 from sylva.sources.store import stored
 from sylva.sources.xml import XmlSource, events, from_pieces, load_errors, load_under, read_files, register_sql, shred
 from sylva.streaming.sax import event_counts, retained, stream_files, unless_stopped, until_stop, with_parent
 from tests.documents import GARDEN, GARDEN_EVENTS, two_spaces
 
-TYPED = LoadOptions(type_of=type_by_attribute)
+TYPED = LoadOptions(type_of=named_types)
 
 
 def frame(spark, *texts):
@@ -59,28 +60,29 @@ def test_parts_of_the_node_table(spark):
     assert shred(frame(spark, "<a/>"), spread=False).count() == 1 == stored(shred(frame(spark, "<a/>"))).count()
 
 
-def test_shelf(spark):
-    """Paths and index sizes over nested equal names, and what deleting all children leaves."""
+def test_atlas(spark):
+    """Paths to names that occur at several depths, index sizes, and what deleting all grandchildren leaves."""
     xml = (
-        "<?xml version='1.0'?><shelf><slot>7</slot><box kind='wood'>x<box kind='tin'>y</box></box><box>z</box>"
-        "<row at='2'><slot at='1'/><a><b><c>deep<c>er</c></c></b></a></row><![CDATA[p]]><!-- q --></shelf>"
+        "<atlas lang='pt'><!-- north first --><sheet no='1'><name>Minho</name><legend><name>Signs</name></legend></sheet>"
+        "<sheet no='2'><legend scale='10'/><town><name>Tavira</name></town><town port='no'>Loulé</town></sheet><name>Index</name></atlas>"
     )
     n = shred(frame(spark, xml), options=LoadOptions("OPAQUE")).cache()
-    for path in ("shelf/*/c", "shelf/row/*/c", "shelf/row/a/b/c"):
-        assert one(find.find_path(n, path))["str_value"] == "deep"
-    top = n.filter("name = 'shelf'").select("doc_id", F.col("node_id").alias("top"))
-    assert one(find.find_path(n, "*/c", top))["str_value"] == "deep" and one(find.find_path(n, "row/a/b/c/", top))["str_value"] == "deep"
-    assert one(find.find_path(n, "box/box", top))["str_value"] == "y" and one(find.find_path(n, "row/a", top))["name"] == "a"
-    for path in ("c", "/row", "row//a", "", "*/*/c", "row/*", "x" * 256):
-        assert find.find_path(n, path, top).collect() == []
+    text = lambda path, top=None: one(find.find_path(n, path, top))["str_value"]
+    root = n.filter("name = 'atlas'").select("doc_id", F.col("node_id").alias("top"))
+    assert (text("name", root), text("*/name", root), text("*/legend/name", root), text("sheet/name/", root)) == ("Index", "Minho", "Signs", "Minho")
+    assert one(find.find_path(n, "*/legend", root))["str_value"] is None and one(find.find_path(n, "*/legend", root))["name"] == "legend"
+    second = n.filter("name = 'sheet' and ord = 2").select("doc_id", F.col("node_id").alias("top"))
+    assert text("*/name", second) == text("town/name", second) == "Tavira" and one(find.find_path(n, "legend", second))["name"] == "legend"
+    # The first sheet is taken and never left, though only the second has a town.
+    for path in ("sheet/town", "sheet/*/town", "town", "atlas", "/name", "sheet//name", "", "*/*/name", "sheet/*", "é" * 128):
+        assert find.find_path(n, path, root).collect() == []
     count = lambda *a: sum(r["n"] for r in index.index_count(index.index(n, *a)).collect())
-    assert (count("box"), count(None, "kind"), count("box", "kind"), count(None, "at"), count()) == (3, 2, 2, 2, 12)
-    ind = index.index(n, "box", "kind")
-    assert [r["value"] for r in ind.orderBy("pos").collect()] == ["tin", "wood"]
-    assert one(index.index_find(ind, "box", "wood"))["pos"] == 2 and index.index_find(ind).count() == 2 and one(index.index_reset(ind))["value"] == "tin"
+    assert (count("name"), count("sheet", "no"), count(None, "scale"), count("town", "port"), count("river"), count()) == (4, 2, 1, 1, 0, 11)
+    ind = index.index(n, "sheet", "no")
+    assert [r["value"] for r in ind.orderBy("pos").collect()] == ["1", "2"] and index.index_find(ind).count() == 2
+    assert one(index.index_find(ind, "sheet", "2"))["pos"] == 2 and one(index.index_reset(ind))["value"] == "1"
     rest = edit.delete(n, n.filter("depth = 2")).orderBy("node_id").collect()
-    assert [(r["node_id"], r["last_desc"], r["name"]) for r in rest] == [(0, 1, None), (1, 1, "shelf")]
-    assert find.find_path(n, "shelf/slot", None).count() == 1 and find.find_path(n, "shelf/row/none").count() == 0
+    assert [(r["node_id"], r["last_desc"], r["ord"], r["name"]) for r in rest] == [(0, 4, 0, "atlas"), (1, 1, 0, None), (2, 2, 1, "sheet"), (3, 3, 2, "sheet"), (4, 4, 3, "name")]
 
 
 def test_paths_never_go_back(spark):
