@@ -6,8 +6,8 @@ ids, are counted by bincount; the sparse rest is counted as sorted COO lists, de
 cell gets an id by frequency again, and the units are written with these ids: a phrase of m words at a place is the pair of the phrases of m - 1
 words there and at the next place. What isn't frequent breaks a sequence, as no longer phrase with it can be frequent.
 
-A unit sends each cell once, with its count, so a cell has no more entries than there are units. Tiles are cut in
-stripes of so many cells that a group of entries stays small, and the sparse rest in buckets, so each group has all of its cells' entries and is bounded.
+A unit sends each cell once, with its count. The cells of a tile are dealt in turn to so many stripes that a group of entries stays
+small, and those of the sparse rest to buckets, so each group has all of its cells' entries and is bounded. Entries travel as compressed differences.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from sylva.llm.kernels import mix
 from sylva.llm.shared import Tables, text_bytes
 
 #: Words of a unit, ids of a tile's side, tiles of the head's side, entries of a group that adds up.
-UNIT, SIDE, HEAD, ENTRIES = 1 << 19, 1 << 10, 4, 1 << 20
+UNIT, SIDE, HEAD, ENTRIES = 1 << 19, 1 << 10, 4, 1 << 22
 _END = 10
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else _END if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 _BLANK = np.array([c in (_END, 9, 32) for c in range(256)])
@@ -120,7 +121,7 @@ def _word_blocks(buckets: int):
             for unit, lang, words, counts in zip(batch["unit"].to_pylist(), batch["lang"].to_pylist(), batch["words"], batch["counts"]):
                 words, counts = words.values, np.frombuffer(counts.as_buffer(), np.int32)
                 hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, text_bytes(words)), np.uint64, len(words))
-                out = [(unit, lang, part, at.astype(np.int32).tobytes(), words.take(pa.array(at)), counts[at].tobytes()) for part, at in _parts((hashes % np.uint64(buckets)).astype(np.int64))]
+                out = [(unit, lang, part, packed(at), words.take(pa.array(at)), packed(counts[at])) for part, at in _parts((hashes % np.uint64(buckets)).astype(np.int64))]
                 yield _batch(out, WORDS)
 
     return rows
@@ -128,8 +129,8 @@ def _word_blocks(buckets: int):
 
 def _word_sums(least: int):
     def of_group(rows: pa.Table) -> pa.Table:
-        words, counts = rows["words"].combine_chunks().flatten(), _joined(rows["counts"], np.int32)
-        sums = pa.table({"word": words, "f": counts.astype(np.int64)}).group_by("word").aggregate([("f", "sum")]).filter(pc.field("f_sum") >= least)
+        words, counts = rows["words"].combine_chunks().flatten(), _joined(rows["counts"])
+        sums = pa.table({"word": words, "f": counts}).group_by("word").aggregate([("f", "sum")]).filter(pc.field("f_sum") >= least)
         return pa.table({"lang": pa.array([rows["lang"][0].as_py()] * len(sums), pa.string()), "part": pa.array([rows["part"][0].as_py()] * len(sums), pa.int64()), "word": sums["word"], "f": sums["f_sum"]})
 
     return of_group
@@ -146,13 +147,13 @@ def _word_answers(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
         for unit, at, words in zip(blocks["unit"].to_pylist(), blocks["at"].to_pylist(), blocks["words"]):
             found = pc.index_in(words.values, known).fill_null(-1).to_numpy(zero_copy_only=False)
             if (found >= 0).any():
-                out.append((unit, np.frombuffer(at, np.int32)[found >= 0].astype(np.int64).tobytes(), ids[found[found >= 0]].tobytes()))
+                out.append((unit, packed(unpacked(at)[found >= 0]), packed(ids[found[found >= 0]])))
     return pa.Table.from_batches([_batch(out, _ANSWER)])
 
 
 def _named(answers: pa.Table, units: pa.Table) -> pa.Table:
     """The unit with the ids of its frequent words; the others are breaks."""
-    at, ids, out = _joined(answers["codes"], np.int64), _joined(answers["ids"], np.int64), []
+    at, ids, out = _joined(answers["codes"]), _joined(answers["ids"]), []
     if len(at):
         for unit, lang, held in zip(units["unit"].to_pylist(), units["lang"].to_pylist(), units["ids"].to_pylist()):
             own = np.frombuffer(held, np.int32)
@@ -177,27 +178,26 @@ def _codes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Deal:
-    """How cells are dealt into parts: stripes of the head's tiles, each of `cells` cells, then buckets of the rest."""
+    """How cells are dealt into parts: every so-manyth cell of a tile of the head to one stripe of it, and the rest to buckets."""
 
-    def __init__(self, units: int, words: int):
-        self.cells = 1 << max(0, min(20, (ENTRIES // max(units, 1)).bit_length() - 1))
-        self.stripes, self.buckets = SIDE * SIDE // self.cells, 1 + words // ENTRIES
-        self.head = HEAD * HEAD * self.stripes
+    def __init__(self, words: int):
+        self.stripes, self.buckets = min(SIDE * SIDE, max(4, 1 << (words // ENTRIES).bit_length())), 4 + words // ENTRIES
+        self.cells, self.head = SIDE * SIDE // self.stripes, HEAD * HEAD * self.stripes
 
     def part(self, codes: np.ndarray) -> np.ndarray:
         left, right = codes >> 32, codes & 0xFFFFFFFF
         rest = self.head + (mix(codes.view(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
-        stripe = (left % SIDE * SIDE + right % SIDE) // self.cells
+        stripe = (left % SIDE * SIDE + right % SIDE) % self.stripes
         return np.where((left < HEAD * SIDE) & (right < HEAD * SIDE), (left // SIDE * HEAD + right // SIDE) * self.stripes + stripe, rest)
 
     def add_up(self, codes: np.ndarray, counts: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct cells of one part, sorted, and their sums: by bincount in a stripe that is filled enough, else by sorting."""
         if part < self.head and 16 * len(codes) >= self.cells:
-            tile, first = part // self.stripes, part % self.stripes * self.cells
+            tile, stripe = part // self.stripes, part % self.stripes
             left, right = tile // HEAD * SIDE, tile % HEAD * SIDE
-            sums = np.bincount(((codes >> 32) - left) * SIDE + (codes & 0xFFFFFFFF) - right - first, counts, self.cells)
+            sums = np.bincount((((codes >> 32) - left) * SIDE + (codes & 0xFFFFFFFF) - right) // self.stripes, counts, self.cells)
             cells = np.flatnonzero(sums)
-            sums, cells = sums[cells].astype(np.int64), cells + first
+            sums, cells = sums[cells].astype(np.int64), cells * self.stripes + stripe
             return (cells // SIDE + left) << 32 | (cells % SIDE + right), sums
         order = np.argsort(codes)
         codes, counts = codes[order], counts[order]
@@ -207,6 +207,15 @@ class Deal:
         return codes[new], np.add.reduceat(counts, new).astype(np.int64)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed differences."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(values.astype(np.int64), prepend=0).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64))
+
+
 def _blocks(deal: Deal):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,19 +224,19 @@ def _blocks(deal: Deal):
                 out = []
                 for part, at in _parts(deal.part(codes)):
                     own, n = deal.add_up(codes[at], np.ones(len(at), np.int64), part)
-                    out.append((unit, lang, part, own.tobytes(), n.astype(np.int32).tobytes()))
+                    out.append((unit, lang, part, packed(own), packed(n)))
                 yield _batch(out, BLOCK)
 
     return rows
 
 
-def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([unpacked(x) for x in column.to_pylist()] or [np.zeros(0, np.int64)])
 
 
 def _sums(deal: Deal, least: int):
     def of_group(rows: pa.Table) -> pa.Table:
-        codes, sums = deal.add_up(_joined(rows["codes"], np.int64), _joined(rows["counts"], np.int32).astype(np.int64), rows["part"][0].as_py())
+        codes, sums = deal.add_up(_joined(rows["codes"]), _joined(rows["counts"]), rows["part"][0].as_py())
         codes, sums = codes[sums >= least], sums[sums >= least]
         return pa.table({"lang": pa.array([rows["lang"][0].as_py()] * len(codes), pa.string()), "l": codes >> 32, "r": codes & 0xFFFFFFFF, "f": sums})
 
@@ -256,16 +265,16 @@ def _answers(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
     known, ids, out = frequent["code"].to_numpy()[order], frequent["id"].to_numpy()[order], []
     if len(known):
         for unit, held in zip(blocks["unit"].to_pylist(), blocks["codes"].to_pylist()):
-            codes = np.frombuffer(held, np.int64)
+            codes = unpacked(held)
             found = _look_up(codes, known, ids)
             if (found >= 0).any():
-                out.append((unit, codes[found >= 0].tobytes(), found[found >= 0].tobytes()))
+                out.append((unit, packed(codes[found >= 0]), packed(found[found >= 0])))
     return pa.Table.from_batches([_batch(out, _ANSWER)])
 
 
 def _longer(answers: pa.Table, units: pa.Table) -> pa.Table:
     """The unit's sequence of phrases one word longer."""
-    codes, new, out = _joined(answers["codes"], np.int64), _joined(answers["ids"], np.int64), []
+    codes, new, out = _joined(answers["codes"]), _joined(answers["ids"]), []
     order = np.argsort(codes)
     if len(codes):
         for unit, lang, held in zip(units["unit"].to_pylist(), units["lang"].to_pylist(), units["ids"].to_pylist()):
@@ -285,7 +294,7 @@ def mine(docs: DataFrame, tables: Tables, least: int = 100, longest: int = 5) ->
     given = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     units, dealt = tables.keep(given.mapInArrow(_units, UNITS), "units"), ("lang", "part")
     totals = tables.keep(units.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    buckets = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // ENTRIES
+    buckets = 4 + (totals.agg(F.sum("n")).first()[0] or 0) // ENTRIES
     blocks = tables.keep(units.mapInArrow(_word_blocks(buckets), WORDS), "blocks1")
     frequent = blocks.groupBy(*dealt).applyInArrow(_word_sums(least), "lang string, part long, word string, f long")
     levels = [ranked(frequent, tables, "level1", "word")]
@@ -293,8 +302,7 @@ def mine(docs: DataFrame, tables: Tables, least: int = 100, longest: int = 5) ->
     sequence = tables.keep(answers.groupBy("unit").cogroup(units.select("unit", "lang", "ids").groupBy("unit")).applyInArrow(_named, SEQUENCE), "sequence1")
     tables.drop("units", "blocks1")
     for m in range(2, longest + 1):
-        size = sequence.agg(F.count("*").alias("units"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        deal = Deal(size["units"], size["n"])
+        deal = Deal(sequence.agg(F.sum("n")).first()[0] or 0)
         blocks = tables.keep(sequence.mapInArrow(_blocks(deal), BLOCK), f"blocks{m}")
         cells = blocks.groupBy(*dealt).applyInArrow(_sums(deal, least), "lang string, l long, r long, f long")
         levels.append(ranked(cells, tables, f"level{m}", "l", "r"))

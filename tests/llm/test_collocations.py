@@ -70,10 +70,10 @@ def test_long_text(spark):
     assert [tuple(r) for r in c.collocations(docs, 100, 3, 40).orderBy("rank").collect()] == brute(rows, 100, 3, 40)
 
 
-@pytest.mark.parametrize("units", [1, 300, 1 << 21])
-def test_counting(units):
-    rng, deal = np.random.default_rng(5), c.Deal(units, 10 * c.ENTRIES)
-    assert deal.cells * deal.stripes == c.SIDE**2 and deal.cells * units <= max(c.ENTRIES, units)
+@pytest.mark.parametrize("times", [0, 10, 1 << 21])
+def test_counting(times):
+    rng, deal = np.random.default_rng(5), c.Deal(times * c.ENTRIES)
+    assert deal.cells * deal.stripes == c.SIDE**2
     left, right = rng.integers(0, c.SIDE, 200_000), rng.integers(3 * c.SIDE, 4 * c.SIDE, 200_000)
     for some in (50, len(left)):  # by sorting, and by bincount
         codes = (left << 32 | right)[:some]
@@ -84,7 +84,8 @@ def test_counting(units):
             cells, sums = deal.add_up(own, np.full(len(own), 3), part)
             assert dict(zip(cells.tolist(), sums.tolist())) == {k: 3 * v for k, v in Counter(own.tolist()).items()} and (np.diff(cells) > 0).all()
     sparse = deal.part(np.arange(5000, 9000) << 32) - deal.head
-    assert set(sparse.tolist()) == set(range(11))
+    assert sparse.min() >= 0 and (set(sparse.tolist()) == set(range(4 + times)) or times > 100)
+    assert c.unpacked(c.packed(codes)).tolist() == codes.tolist() and c.unpacked(c.packed(codes[:0])).tolist() == []
 
 
 def test_exact_scores(spark):
