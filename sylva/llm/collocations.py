@@ -75,7 +75,7 @@ class _Unit:
         dense[numbers] = np.arange(len(numbers))
         ids = dense[np.concatenate(self.parts)]
         counts = np.bincount(ids[ids >= 0], minlength=len(numbers))
-        return unit, lang, self.size, ids.tobytes(), [w.decode() for w in self.numbers], counts.astype(np.int32).tobytes()
+        return unit, lang, self.size, zstandard.ZstdCompressor(level=1).compress(ids.tobytes()), [w.decode() for w in self.numbers], counts.astype(np.int32).tobytes()
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def _named(answers: pa.Table, units: pa.Table) -> pa.Table:
     at, ids, out = _joined(answers["codes"]), _joined(answers["ids"]), []
     if len(at):
         for unit, lang, held in zip(units["unit"].to_pylist(), units["lang"].to_pylist(), units["ids"].to_pylist()):
-            own = np.frombuffer(held, np.int32)
+            own = _held(held)
             to = np.full(int(own.max()) + 2, -1, np.int64)  # the last one, for -1
             to[at] = ids
             out.append(_sequence(unit, lang, to[own]))
@@ -168,7 +168,11 @@ def _sequence(unit: int, lang: str, ids: np.ndarray) -> tuple:
     if ids.max(initial=0) >= 1 << 31:
         raise ValueError("more than 2**31 frequent phrases of one length and language")
     ids = ids[(ids >= 0) | (np.append(-1, ids[:-1]) >= 0)]
-    return unit, lang, len(ids), ids.astype(np.int32).tobytes()
+    return unit, lang, len(ids), zstandard.ZstdCompressor(level=1).compress(ids.astype(np.int32).tobytes())
+
+
+def _held(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int32)
 
 
 def _codes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +223,8 @@ def unpacked(data: bytes) -> np.ndarray:
 def _blocks(deal: Deal):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for unit, lang, ids in zip(batch["unit"].to_pylist(), batch["lang"].to_pylist(), batch["ids"]):
-                codes, _ = _codes(np.frombuffer(ids.as_buffer(), np.int32))
+            for unit, lang, ids in zip(batch["unit"].to_pylist(), batch["lang"].to_pylist(), batch["ids"].to_pylist()):
+                codes, _ = _codes(_held(ids))
                 out = []
                 for part, at in _parts(deal.part(codes)):
                     own, n = deal.add_up(codes[at], np.ones(len(at), np.int64), part)
@@ -278,7 +282,7 @@ def _longer(answers: pa.Table, units: pa.Table) -> pa.Table:
     order = np.argsort(codes)
     if len(codes):
         for unit, lang, held in zip(units["unit"].to_pylist(), units["lang"].to_pylist(), units["ids"].to_pylist()):
-            ids = np.frombuffer(held, np.int32)
+            ids = _held(held)
             cells, at = _codes(ids)
             made = np.full(len(ids), -1, np.int64)
             made[at] = _look_up(cells, codes[order], new[order])
@@ -322,7 +326,7 @@ def cut_score(a: Column, n: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", top.cast("decimal(38,0)"), (wide(left) * wide(right)).cast("decimal(38,0)"))
 
 
-def phrases(levels: list[DataFrame], totals: DataFrame) -> DataFrame:
+def phrases(levels: list[DataFrame], totals: DataFrame, tables: Tables) -> DataFrame:
     """lang, phrase, words (how many), a, l, r, n, score of all frequent phrases of two words and more that lie in no longer phrase as frequent as they are."""
     none = F.array().cast("array<bigint>")
     own = levels[0].select("lang", "id", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("pre"), none.alias("suf"))
@@ -331,6 +335,7 @@ def phrases(levels: list[DataFrame], totals: DataFrame) -> DataFrame:
         a = own.select("lang", F.col("id").alias("l"), F.col("phrase").alias("head"), F.array_append("pre", F.col("f")).alias("pre"))
         b = own.select("lang", F.col("id").alias("r"), "last", F.array_append("suf", F.col("f")).alias("suf"))
         own = level.join(a, ["lang", "l"]).join(b, ["lang", "r"]).select("lang", "id", "f", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "pre", "suf")
+        own = tables.keep(own, f"phrases{m}")
         free = own
         if m < len(levels):
             longer = levels[m].select("lang", F.explode(F.array("l", "r")).alias("id"), "f").distinct()
@@ -352,7 +357,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     Null texts are empty; a null lang is `und`; repeated rows count each time; doc_id isn't looked at, and other columns are left. An empty table has no rows.
     """
     tables = Tables(docs.sparkSession, "collocations")
-    found = tables.keep(phrases(*mine(docs, tables, least, longest)), "phrases")
+    found = tables.keep(phrases(*mine(docs, tables, least, longest), tables), "phrases")
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     # First within shares of a language, so that none is sorted whole in one task.
     share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(256))).orderBy(*order)
