@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.operators.nav import after_subtree
+from sylva.operators.running import nearest
 
 NODE_COLUMNS = ("node_id", "parent_id", "last_desc", "depth", "ord", "node_type", "name", "attrs", "str_value", "int_value", "real_value", "ws", "custom")
 
@@ -42,27 +43,24 @@ def find(n: DataFrame, start: DataFrame, element: str | None = None, attribute:
 
     ALL: anywhere later in pre-order. FIRST: among cur's children; a childless cur goes on as with NONE, unless it is top.
     NONE: the node after cur's subtree and its later siblings. One running value over the nodes of a document, however many
-    starts it has; n is read several times, so store it (sources.store) if loading it is dear.
+    starts it has, in runs of ranks, so no task has all nodes of a large one; n is read several times, so store it (sources.store) if loading it is dear.
     """
-    of = n.select("doc_id", F.col("node_id").alias("top"), F.col("last_desc").alias("top_last"))
     begun = start.select("doc_id", "cur", "top").distinct()
-    hit = F.when(matches(element, attribute, value), F.col("node_id"))
-    later = Window.orderBy(F.desc("node_id")).rowsBetween(Window.unboundedPreceding, 0)
-    # Backwards in pre-order, the last hit met is the next one to come.
+    place = n.select("doc_id", F.col("node_id").alias("cur"), F.col("last_desc").alias("cur_last"))
+    tops = begun.select("doc_id", "top").distinct().join(n.select("doc_id", F.col("node_id").alias("top"), F.col("last_desc").alias("top_last")), ["doc_id", "top"])
+    begun = begun.join(place, ["doc_id", "cur"]).join(tops, ["doc_id", "top"])
+    slim = n.select("doc_id", "node_id", F.coalesce("parent_id", F.lit(-1)).alias("_up"), F.when(matches(element, attribute, value), F.struct(*_own(n))).alias("_hit"))
+    # The next match: over all nodes in pre-order, or over siblings.
     if descend == "ALL":
-        ahead = F.last(hit, ignorenulls=True).over(later.partitionBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-        at = n.select("doc_id", F.col("node_id").alias("cur"), ahead.alias("hit"))
-        begun = begun.join(at, ["doc_id", "cur"]).join(of, ["doc_id", "top"]).withColumn("hit", F.when(F.col("hit") <= F.col("top_last"), F.col("hit")))
+        ahead = nearest(slim, F.col("_hit"), "found", later=True, own=False).select("doc_id", F.col("node_id").alias("s"), "found")
+        begun = begun.withColumn("s", F.col("cur"))
     else:
-        at = n.select("doc_id", F.col("node_id").alias("cur"), F.col("last_desc").alias("cur_last"))
-        begun = begun.join(at, ["doc_id", "cur"]).join(of, ["doc_id", "top"])
+        ahead = nearest(slim, F.col("_hit"), "found", by={"_of": F.col("_up")}, later=True).select("doc_id", F.col("node_id").alias("s"), "found")
         over = after_subtree(F.col("cur"), F.col("cur_last"), F.col("top"), F.col("top_last"))
         child = F.when(F.col("cur_last") > F.col("cur"), F.col("cur") + 1)
         begun = begun.withColumn("s", F.coalesce(child, over) if descend == "FIRST" else over)
-        among = n.select("doc_id", F.col("node_id").alias("s"), F.last(hit, ignorenulls=True).over(later.partitionBy("doc_id", "parent_id")).alias("hit"))
-        begun = begun.join(among, ["doc_id", "s"], "left")
-    found = n.filter(matches(element, attribute, value)).select("doc_id", F.col("node_id").alias("hit"), F.struct(*_own(n)).alias("found"))
-    return begun.select("doc_id", "cur", "hit").join(found, ["doc_id", "hit"], "left").select("doc_id", "cur", "found")
+    found = F.when(F.col("found.node_id") <= F.col("top_last"), F.col("found")) if descend == "ALL" else F.col("found")
+    return begun.join(ahead.filter("found is not null"), ["doc_id", "s"], "left").select("doc_id", "cur", found.alias("found"))
 
 
 def find_path(n: DataFrame, path: str, top: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from sylva.operators.running import nearest
+
 
 def _siblings() -> WindowSpec:
     return Window.partitionBy("doc_id", "parent_id").orderBy("ord")
@@ -37,12 +39,11 @@ def ancestors(n: DataFrame) -> DataFrame:
     """doc_id, node_id, ancestor: every node with each node above it.
 
     A node's ancestor on a level is the last node of that level before it in pre-order. So each node is put down once for each level above
-    it, and one running value by document and level gives the ancestor: as many rows as the result has, and one for each node.
+    it, and one running value by document and level gives the ancestor: as many rows as the result has, and one for each node. n is read twice.
     """
     by_level = n.select("doc_id", "node_id", "depth", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("level"))
-    before = Window.partitionBy("doc_id", "level").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("level") == F.col("depth"), F.col("node_id")), ignorenulls=True).over(before)
-    return by_level.withColumn("ancestor", last).filter("level < depth").select("doc_id", "node_id", "ancestor")
+    last = nearest(by_level, F.when(F.col("level") == F.col("depth"), F.col("node_id")), "ancestor", by={"_level": F.col("level")})
+    return last.filter("level < depth").select("doc_id", "node_id", "ancestor")
 
 
 def _top(n: DataFrame, top: DataFrame | None) -> DataFrame:

@@ -12,6 +12,11 @@ def order_types(name: str, attrs: Mapping[str, str]) -> str:
     return {"qty": "INTEGER", "price": "REAL"}.get(name, "TEXT")
 
 
+def journal_types(name: str, attrs: Mapping[str, str]) -> str:
+    """As order_types(), but what lies between the records isn't kept."""
+    return "IGNORE" if name in ("orders", "order", "item") else order_types(name, attrs)
+
+
 def event_types(name: str, attrs: Mapping[str, str]) -> str:
     return {"at": "CUSTOM", "note": "OPAQUE"}.get(name, "TEXT")
 

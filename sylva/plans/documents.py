@@ -33,6 +33,16 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(held.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").cast("string").alias("doc_id"), head.alias("xml"))
 
 
+def journal(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """One file of all orders' documents, by their keys, as records of one element: `<?xml?><orders>`, an order a line, `</orders>`. Its path."""
+    lines = orders(spark, sf_dir).select(F.col("doc_id").cast("long").alias("key"), F.substring_index("xml", "?>", -1).alias("value"))
+    lines = lines.withColumn("value", F.when(F.col("value").endswith("/>"), F.concat(F.expr("substring(value, 1, length(value) - 2)"), F.lit("></order>"))).otherwise(F.col("value")))
+    ends = spark.createDataFrame([(-(2**63), '<?xml version="1.0"?><orders>'), (2**63 - 1, "</orders>")], "key long, value string")
+    # One file has one writer; the sort before it has as many tasks as it likes.
+    lines.unionByName(ends).orderBy("key").select("value").coalesce(1).write.text(path)
+    return path
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, xml: `<?xml?><doc lang>text</doc>` of every document."""
     return as_texts(table(spark, sf_dir, "documents"))

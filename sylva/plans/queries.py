@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from sylva.functions.schema import LoadOptions, SaveOptions
 from sylva.operators import batch, edit, find, index, nav, values
-from sylva.plans.callbacks import bracketed, customer_types, event_types, indented, load_time, lower, named_types, order_types, whole_types
-from sylva.plans.documents import BROKEN, as_texts, broken, customers, event_log, long_id, orders, table, texts
+from sylva.plans.callbacks import bracketed, customer_types, event_types, indented, journal_types, load_time, lower, named_types, order_types, whole_types
+from sylva.plans.documents import BROKEN, as_texts, broken, customers, event_log, journal, long_id, orders, table, texts
 from sylva.sources.save import escape, saved_string, to_documents, to_pieces, write_files
+from sylva.sources.split import read_records
 from sylva.sources.store import scratch, stored
 from sylva.sources.xml import events, from_pieces, load_errors, load_under, read_files, register_sql, shred
 from sylva.streaming.sax import event_counts, unless_stopped, until_stop, with_parent
@@ -426,6 +427,49 @@ def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_errors(pages).filter("fatal").select(doc(), "fatal")
 
 
+# --- All orders as one large document -----------------------------------------------------------------------
+
+#: Where each order begins in the journal: after the directive, the root and the orders before it; ord counts them.
+_JOURNAL = "journal AS (SELECT doc, n, (2 + sum(1 + 5 * n) OVER (ORDER BY doc) - 1 - 5 * n)::BIGINT AS b, (row_number() OVER (ORDER BY doc) - 1)::INTEGER AS ord FROM docs)"
+
+
+def journal_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal's node table, read in ranges of its one file."""
+    return stored(read_records(spark, journal(spark, sf_dir, scratch(spark)), "order", "journal", LoadOptions(type_of=journal_types))[0])
+
+
+@query(f""", {_JOURNAL} SELECT 'directive' AS name, 0::BIGINT AS node_id, NULL::BIGINT AS parent_id, (1 + sum(1 + 5 * n))::BIGINT AS last_desc, 0 AS depth, 0 AS ord, NULL::VARCHAR AS value FROM journal
+  UNION ALL SELECT 'orders', 1, 0, (1 + sum(1 + 5 * n))::BIGINT, 1, 0, NULL FROM journal UNION ALL SELECT 'order', b, 1, b + 5 * n, 2, ord, NULL FROM journal
+  UNION ALL SELECT 'item', b + 1 + 5 * k, b, b + 5 + 5 * k, 3, k::INTEGER, NULL FROM journal JOIN items USING (doc) UNION ALL SELECT 'qty', b + 2 + 5 * k, b + 1 + 5 * k, b + 3 + 5 * k, 4, 0, (l_quantity::BIGINT)::VARCHAR FROM journal JOIN items USING (doc)""")
+def split_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file, loaded in as many tasks as ranges: the ranks are those of the whole document."""
+    n = journal_nodes(spark, sf_dir)
+    value = n.filter("int_value is not null").select("doc_id", F.col("parent_id").alias("node_id"), F.col("int_value").cast("string").alias("value"))
+    seen = n.filter("node_type = 'DIRECTIVE' or name in ('orders', 'order', 'item', 'qty')").join(value, ["doc_id", "node_id"], "left")
+    return seen.select(F.coalesce("name", F.lit("directive")).alias("name"), "node_id", "parent_id", "last_desc", "depth", "ord", "value")
+
+
+@query(f""", {_JOURNAL}, flags AS (SELECT b + 1 + 5 * k AS back FROM journal JOIN items USING (doc) WHERE l_returnflag = 'R')
+  SELECT b AS node_id, back AS next_back, CASE WHEN back <= b + 5 * n THEN back END AS own_back, lead(b) OVER (ORDER BY b) AS next_order FROM journal ASOF LEFT JOIN flags ON b < back""")
+def large_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches from every order of one large document: the next returned item, the next within the order, and the next order after it."""
+    n = journal_nodes(spark, sf_dir)
+    starts = n.filter("name = 'order'").select("doc_id", F.col("node_id").alias("cur"), F.lit(0).cast("long").alias("top"))
+    get = lambda begun, c, *what: find.find(n, begun, *what).select(F.col("cur").alias("node_id"), F.col("found.node_id").alias(c))
+    own_top = starts.withColumn("top", F.col("cur"))
+    return get(starts, "next_back", "item", "flag", "R", "ALL").join(get(own_top, "own_back", "item", "flag", "R", "ALL"), "node_id").join(get(starts, "next_order", "order", None, None, "NONE"), "node_id")
+
+
+@query(f""", {_JOURNAL}, left_over AS (SELECT doc, k, row_number() OVER (PARTITION BY doc ORDER BY k) - 1 AS j, l_partkey FROM items WHERE l_returnflag <> 'R'),
+  after AS (SELECT doc, ord, m, (2 + sum(1 + 5 * m) OVER (ORDER BY doc) - 1 - 5 * m)::BIGINT AS b FROM (SELECT journal.doc, ord, count(k) AS m FROM journal LEFT JOIN left_over USING (doc) GROUP BY ALL))
+  SELECT b AS node_id, 1::BIGINT AS parent_id, b + 5 * m AS last_desc, ord, NULL::VARCHAR AS part FROM after UNION ALL SELECT b + 1 + 5 * j, b, b + 5 + 5 * j, j::INTEGER, l_partkey::VARCHAR FROM after JOIN left_over USING (doc)""")
+def large_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All returned items deleted from one large document by one log."""
+    n = journal_nodes(spark, sf_dir)
+    left = edit.delete(n, find.find_all(n, "item", "flag", "R"))
+    return left.filter("name in ('order', 'item')").select("node_id", "parent_id", "last_desc", "ord", find.attr("part").alias("part"))
+
+
 # --- Documents of the customers: every kind of node -----------------------------------------------------------
 
 KINDS = LoadOptions(type_of=customer_types, custom_load=lower)

@@ -132,7 +132,8 @@ def to_documents(nodes: DataFrame, options: SaveOptions | None = None) -> DataFr
     """doc_id, xml: each document's text, without a final newline. null if it has a CUSTOM value that can't be saved.
 
     nodes: a node table, or a subtree of it (the least node_id of a doc_id is written with all below). options None: no
-    wrapping. One shuffle by doc_id, a row a node; a document is a row of the result, so its nodes meet in one task.
+    wrapping. One shuffle by doc_id, a row a node; a document is a row of the result, so its nodes meet in one task. Nodes of one
+    doc_id are one document: where ids may repeat, load with ids="number" (sources.xml).
     """
     options = options or SaveOptions(wrap=0)
     gathered = nodes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*NODE_FIELDS, "attrs"))).alias("tokens"))

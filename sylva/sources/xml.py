@@ -87,9 +87,43 @@ def _by_row(make: Callable, schema: StructType, options: LoadOptions | None, ele
     return rows
 
 
-def _load(docs: DataFrame, column: str | Column, doc_id: str | Column, make: Callable, schema: StructType, options: LoadOptions | None, columns: Sequence[str] | None = None, elements: Sequence[str] | None = None, spread: bool = True, more: Sequence[str] = ()) -> DataFrame:
+#: Parts a repeated id from its number. Within ids it is doubled, so no made id is also a given one.
+SEPARATOR = "\x1f"
+IDS = ("unique", "number", "reject")
+
+
+def _repeated(given: DataFrame) -> DataFrame:
+    """The ids that several rows have, each once. Only ids are shuffled, counted before that."""
+    return given.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id", F.lit(True).alias("_again"))
+
+
+def _told_apart(given: DataFrame) -> DataFrame:
+    again = given.join(_repeated(given), "doc_id", "left")
+    number = F.concat(F.lit(SEPARATOR), F.monotonically_increasing_id().cast("string"))
+    own = F.replace(F.coalesce("doc_id", F.lit("")), F.lit(SEPARATOR), F.lit(2 * SEPARATOR))
+    return again.withColumn("doc_id", F.when(F.col("_again") | F.col("doc_id").isNull(), F.concat(own, number)).otherwise(own)).drop("_again")
+
+
+def with_unique_ids(docs: DataFrame, doc_id: str | Column = "doc_id") -> DataFrame:
+    """docs with a doc_id (string) of its own for each row: what it was, or, for null and repeated ones, that, SEPARATOR and a number.
+
+    The numbers follow the rows' places in the partitions of docs and mean nothing else; write the table if they are to last. SEPARATOR within
+    an id is doubled. A repeated id with a third of all rows is shuffled once, already counted; no rows of one id meet.
+    """
+    given = docs.withColumn("doc_id", (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"))
+    return _told_apart(given).select(*given.columns)
+
+
+def _load(docs: DataFrame, column: str | Column, doc_id: str | Column, make: Callable, schema: StructType, options: LoadOptions | None, columns: Sequence[str] | None = None, elements: Sequence[str] | None = None, spread: bool = True, more: Sequence[str] = (), ids: str = "unique") -> DataFrame:
     doc, value = (F.col(c) if isinstance(c, str) else c for c in (doc_id, column))
     given = docs.select(doc.cast("string").alias("doc_id"), value.alias("value"), *more)
+    if ids not in IDS:
+        raise ValueError(f"ids: one of {IDS}")
+    if ids == "number":
+        given = _told_apart(given)
+    elif ids == "reject":
+        given = given.join(_repeated(given), "doc_id", "left_anti")
+    given = given.filter("doc_id is not null")
     if spread and not docs.isStreaming:
         given = given.hint("rebalance", "doc_id")
     schema = _of(schema, columns)
@@ -97,24 +131,39 @@ def _load(docs: DataFrame, column: str | Column, doc_id: str | Column, make: Cal
     return given.mapInArrow(_by_row(make, schema, options, None if elements is None else frozenset(elements)), plain)
 
 
-def shred(docs: DataFrame, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions(), columns: Sequence[str] | None = None, elements: Sequence[str] | None = None, spread: bool = True) -> DataFrame:
+def shred(docs: DataFrame, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions(), columns: Sequence[str] | None = None, elements: Sequence[str] | None = None, spread: bool = True, ids: str = "unique") -> DataFrame:
     """The node table of the documents in a string or binary column. Null and empty documents have no nodes, nor has one whose
     load fails: load_errors() tells why. options None: values are TEXT, but ignored before the first tag.
 
+    Everything on node tables goes by doc_id, so rows must not share one. ids: `unique`, the default, takes them as they are: the caller knows that
+    none is repeated. `number` gives rows of a null or repeated doc_id ids of their own (with_unique_ids()), so each row is a document; `reject` leaves
+    out all rows of a repeated one. Without `number`, rows without doc_id are left out, too; load_errors() lists what is left out. Both read docs twice.
+
     columns: only these columns of the node table are made. elements: only elements of these names are given out, with the
     ranks that they have among all nodes. spread: deal the documents out by doc_id first; without it they are scanned where they are.
     """
-    return _load(docs, column, doc_id, node_rows, NODE, options, columns, elements, spread)
+    return _load(docs, column, doc_id, node_rows, NODE, options, columns, elements, spread, ids=ids)
+
 
+def events(docs: DataFrame, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions(), columns: Sequence[str] | None = None, spread: bool = True, ids: str = "unique") -> DataFrame:
+    """The event table (or these columns of it): what an event callback would see, up to the failure of a load that fails. Works on streams, too.
+    Null and repeated doc_ids as in shred()."""
+    return _load(docs, column, doc_id, event_rows, EVENT, options, columns, spread=spread, ids=ids)
 
-def events(docs: DataFrame, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions(), columns: Sequence[str] | None = None, spread: bool = True) -> DataFrame:
-    """The event table (or these columns of it): what an event callback would see, up to the failure of a load that fails. Works on streams, too."""
-    return _load(docs, column, doc_id, event_rows, EVENT, options, columns, spread=spread)
 
+def load_errors(docs: DataFrame, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions(), spread: bool = True, ids: str = "unique") -> DataFrame:
+    """doc_id, line, message, fatal; a load may fail with an empty message. Not fatal: the nodes up to there count.
 
-def load_errors(docs: DataFrame, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions(), spread: bool = True) -> DataFrame:
-    """doc_id, line, message, fatal; a load may fail with an empty message. Not fatal: the nodes up to there count."""
-    return _load(docs, column, doc_id, error_rows, ERROR, options, spread=spread)
+    Rows that shred() leaves out for their doc_id have line 0: each of a null one, and with ids `reject` each of a repeated one.
+    """
+    errors = _load(docs, column, doc_id, error_rows, ERROR, options, spread=spread, ids=ids)
+    given = docs.select((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").alias("doc_id"))
+    left_out = lambda rows, message: rows.select("doc_id", F.lit(0).cast("long").alias("line"), F.lit(message).alias("message"), F.lit(True).alias("fatal"))
+    if ids != "number":
+        errors = errors.unionByName(left_out(given.filter("doc_id is null"), "A document without id"))
+    if ids == "reject":
+        errors = errors.unionByName(left_out(given.join(_repeated(given), "doc_id", "left_semi"), "Several documents with this id"))
+    return errors
 
 
 def load_under(n: DataFrame, parents: DataFrame, fragments: DataFrame, column: str = "xml", options: LoadOptions | None = LoadOptions()) -> DataFrame:

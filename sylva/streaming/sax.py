@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sylva.functions.schema import LoadOptions
+from sylva.operators.running import nearest
 from sylva.sources.xml import events, shred
 
 
@@ -43,8 +44,9 @@ def with_parent(of_events: DataFrame) -> DataFrame:
     opened = F.col("event") == "ELEMENT_OPEN"
     levels = F.array(F.struct(F.col("depth").alias("level"), F.lit(False).alias("up")), F.when(opened, F.struct((F.col("depth") + 1).alias("level"), F.lit(True).alias("up"))))
     both = of_events.withColumn("_l", F.explode(F.filter(levels, lambda x: x.isNotNull())))
-    before = Window.partitionBy("doc_id", "_l.level").orderBy("seq", F.desc("_l.up")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("parent_seq", F.last(F.when(F.col("_l.up"), F.col("seq")), ignorenulls=True).over(before)).filter("not _l.up").drop("_l")
+    flat = both.withColumns({"_level": F.col("_l.level"), "_up": F.col("_l.up")}).drop("_l")
+    within = nearest(flat, F.when(F.col("_up"), F.col("seq")), "parent_seq", at="seq", by={"_of": F.col("_level")})
+    return within.filter("not _up").drop("_level", "_up")
 
 
 def run(of_events: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

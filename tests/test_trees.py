@@ -236,3 +236,30 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["event"]: r["n"] for r in spark.table("counted").collect()} == {"ELEMENT_OPEN": 6, "ELEMENT_CLOSE": 6, "DATA": 3}
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows without id, or of one id, are documents of their own, or are left out and listed: for loads, searches, edits and saving."""
+    from sylva.operators.batch import apply_edits
+    from sylva.sources.xml import SEPARATOR, with_unique_ids
+
+    given = [(None, "<a><x/></a>"), (None, "<b/>"), ("k", "<c/>"), ("k", "<d><y/></d>"), ("k", "<c/>"), ("m", "<e>t</e>"), ("m" + SEPARATOR, "<f/>"), ("", "<g/>"), ("n", None), ("o", "<h></i>"), (None, None)]
+    docs = spark.createDataFrame(given, "doc_id string, xml string").repartition(3)
+    n = stored(shred(docs, ids="number"))
+    assert sorted(r["xml"] for r in to_documents(n).collect()) == sorted(x for _, x in given if x and x != "<h></i>")
+    names = {r["name"]: r["doc_id"] for r in n.filter("parent_id is null").collect()}
+    assert names["e"] == "m" and names["f"] == "m" + 2 * SEPARATOR and names["g"] == "" and names["d"].startswith("k" + SEPARATOR) and names["a"].startswith(SEPARATOR)
+    roots = n.filter("node_id = 0").select("doc_id", F.col("node_id").alias("cur"), F.col("node_id").alias("top"))
+    found = find.find(n, roots).filter("found is not null").collect()
+    assert {r["doc_id"]: r["found"]["name"] for r in found} == {names["a"]: "x", names["d"]: "y"}
+    log = roots.select("doc_id", F.lit(0).alias("seq"), F.lit("NEW").alias("op"), F.lit(-1).alias("node"), F.lit(0).alias("parent"), F.lit("ELEMENT").alias("node_type"), F.lit("new").alias("name"))
+    edited = apply_edits(n, log, values=False)
+    assert sorted(r["xml"] for r in to_documents(edited).collect()) == sorted(["<a><x/><new/></a>", "<d><y/><new/></d>", "<e>t<new/></e>", *(f"<{x}><new/></{x}>" for x in "bccfg")])
+    left = shred(docs, ids="reject")
+    assert sorted(r["name"] for r in left.filter("parent_id is null").collect()) == ["e", "f", "g"]
+    errors = lambda ids: sorted((r["doc_id"], r["line"]) for r in load_errors(docs, ids=ids).filter("doc_id is not null").collect())
+    assert errors("reject") == [("k", 0)] * 3 + [("o", 1)] and errors("unique") == [("o", 1)] and errors("number") == [("o", 1)]
+    assert load_errors(docs).filter("doc_id is null and fatal and line = 0").count() == 3 and load_errors(docs, ids="number").count() == 1
+    assert events(docs, ids="number").filter("event = 'ELEMENT_OPEN'").count() == 11 and with_unique_ids(docs).select("doc_id").distinct().count() == len(given)
+    with pytest.raises(ValueError):
+        shred(docs, ids="any")
