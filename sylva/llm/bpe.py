@@ -261,7 +261,7 @@ def _finish(path: str, with_ids: bool):
         for batch in batches:
             out = []
             for k, text, reused in zip(batch["k"].to_pylist(), map(zlib.decompress, batch["text"].to_pylist()), batch["reused"].to_pylist()):
-                at = {x["start"] + x["lead"]: x for x in reused or [] if x["bytes"]}  # repeated rows give a part several times
+                at = {x["start"] + x["lead"]: x for x in reused or [] if x["bytes"]}
                 parts = [(start, start + x["bytes"], zlib.decompress(x["ids"])) for start, x in at.items()]
                 ids = repair(e.encode, text, parts) if parts else e.encode(text)
                 decoded = e.decode(ids)
@@ -277,11 +277,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, bits: int = 10, with_ids: boo
 
     tokenizer: a tokenizers JSON file that all executors can open. bits: chunks average 2**bits bytes. Null text
     counts as empty (0 tokens), null doc_id stays null, repeated rows give repeated rows, other columns are left.
-    The texts are shuffled once, compressed; chunk hashes and reused chunks' ids besides.
+    The texts are shuffled once, compressed; chunk hashes (twice) and reused chunks' ids besides. Work is in proportion to the rows, repeated ones too.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "bpe")
-    chunks = tables.keep(keyed(docs).mapInArrow(_cut(bits), "k long, h long, start int, size int, hash binary"), "chunks")
+    # Equal rows are one row here, else each of them would get the chunks of all.
+    chunks = tables.keep(keyed(docs).mapInArrow(_cut(bits), "k long, h long, start int, size int, hash binary").distinct(), "chunks")
     holder = chunks.groupBy("hash", "size").agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "start")).alias("at")).filter("n > 1")
     own = holder.groupBy("at.k", "at.h").agg(F.collect_list(F.struct("at.start", "size", "hash")).alias("own"))
     # Both joins shuffle the same rows, so one exchange serves them; the filter that the inner join needs is given to both.

@@ -3,6 +3,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
@@ -65,6 +66,20 @@ def test_encode_decode(docs, corpus, library):
     assert sum(r["n_chunks_reused"] for r in got) > 20
 
 
+def test_repeated_rows_are_linear(spark, library):
+    """Many equal rows get their chunks once each, as do rows of one text under ids of their own; and a text of some MB among them is whole."""
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 3000, 8000))
+    long = " ".join(f"w{x}" for x in rng.integers(0, 3000, 600_000))
+    for ids in ([1] * 400, range(400)):
+        rows = spark.createDataFrame([*((i, text) for i in ids), (1000, long)], "doc_id long, text string").repartition(8)
+        got = encode_decode(rows, tokenizer_path()).groupBy("n_tokens", "ids_sha256", "n_chunks_reused").count().collect()
+        expected = [ids_of(library, t) for t in (text, long)]
+        assert sorted((r["n_tokens"], r["ids_sha256"]) for r in got) == sorted((len(x), hashlib.sha256(raw(x)).hexdigest()) for x in expected)
+        assert sorted(r["count"] for r in got) == [1, 400]
+        assert max(r["n_chunks_reused"] for r in got) <= len(long) // 100  # no chunk comes several times
+
+
 def test_pack(docs, corpus, library):
     for room in (4096, 100):
         got = pack(docs, tokenizer_path(), room).collect()
