@@ -7,13 +7,17 @@ for wrapping and calls the options' functions.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from itertools import islice
 from urllib.parse import quote
+from uuid import uuid4
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from sylva.functions.schema import SaveOptions, Written
@@ -177,10 +181,11 @@ def file_name(doc_id: str) -> str:
 
 
 class XmlSink(DataSource):
-    """df.write.format("sylva_xml_files").save(path): rows (doc_id, xml) to one file a document, each with a final newline.
+    """df.write.format("sylva_xml_files").save(path): rows (doc_id, xml) to one file a document, each with a final newline; df.writeStream, too.
 
-    The path is any that pyarrow's file systems know; files are written beside their place and then moved there, so a task
-    that runs again leaves whole files. Rows with null xml give none.
+    The path is any that pyarrow's file systems know. Tasks write into a hidden folder of the write and leave a list of their files there; the commit
+    moves the listed files to their places, so nothing is seen of a write that fails, nor of tasks that ran twice, and an abort removes
+    the folder. A stream's epoch leaves a mark; an epoch that is given again is dropped. Rows with null xml give no file.
     """
 
     @classmethod
@@ -190,27 +195,86 @@ class XmlSink(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _XmlWriter(self.options["path"])
 
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamArrowWriter:
+        # The process that commits makes a writer of its own, so the folder's name must follow from the query.
+        return _XmlStreamWriter(self.options["path"], xxhash.xxh3_128_hexdigest(self.options.get("checkpointLocation", "")))
 
-class _XmlWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        from uuid import uuid4
+@dataclass
+class _Staged(WriterCommitMessage):
+    """The name of a task's list of files, a line `staged name`, tab between."""
+
+    listed: str
+
+
+class _Staging:
+    """A hidden folder below the path that one write's tasks fill."""
+
+    def __init__(self, path: str, name: str | None = None):
+        self.path, self.name = path, f".staging-{name or uuid4().hex}"
 
+    def _open(self):  # noqa: ANN202
         from pyarrow.fs import FileSystem
 
         where = self.path.replace("file:/", "file:///", 1) if self.path.startswith("file:/") and not self.path.startswith("file://") else self.path
-        fs, root = FileSystem.from_uri(where)
-        fs.create_dir(root, recursive=True)
+        return FileSystem.from_uri(where)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        fs, root = self._open()
+        fs.create_dir(f"{root}/{self.name}", recursive=True)
+        files, listed = [], uuid4().hex
         for batch in iterator:
             for doc_id, xml in zip(batch["doc_id"].to_pylist(), batch["xml"].to_pylist()):
                 if xml is not None:
-                    part = f"{root}/.{uuid4().hex}"
-                    with fs.open_output_stream(part) as out:
+                    files.append(f"{uuid4().hex}\t{file_name(doc_id)}\n")
+                    with fs.open_output_stream(f"{root}/{self.name}/{files[-1][:32]}") as out:
                         out.write((xml if xml.endswith("\n") else xml + "\n").encode())
-                    fs.move(part, f"{root}/{file_name(doc_id)}")
-        return WriterCommitMessage()
+        with fs.open_output_stream(f"{root}/{self.name}/{listed}") as out:
+            out.write("".join(files).encode())
+        return _Staged(listed)
+
+    def publish(self, messages: list[WriterCommitMessage | None]) -> None:
+        """Move the listed files to their places, several at a time, list after list."""
+        fs, root = self._open()
+        fs.create_dir(root, recursive=True)
+        with ThreadPoolExecutor(16) as pool:
+            for message in filter(None, messages):
+                with fs.open_input_stream(f"{root}/{self.name}/{message.listed}") as f:
+                    pairs = [line.split("\t") for line in f.read().decode().splitlines()]
+                list(pool.map(lambda pair: fs.move(f"{root}/{self.name}/{pair[0]}", f"{root}/{pair[1]}"), pairs))
+        self.clear()
+
+    def clear(self) -> None:
+        from pyarrow.fs import FileType
+
+        fs, root = self._open()
+        if fs.get_file_info(f"{root}/{self.name}").type != FileType.NotFound:
+            fs.delete_dir(f"{root}/{self.name}")
+
+
+class _XmlWriter(_Staging, DataSourceArrowWriter):
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.publish(messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.clear()
+
+
+class _XmlStreamWriter(_Staging, DataSourceStreamArrowWriter):
+    def commit(self, messages: list[WriterCommitMessage | None], batchId: int) -> None:
+        from pyarrow.fs import FileType
+
+        fs, root = self._open()
+        mark = f"{root}/.epochs/{batchId}"
+        if fs.get_file_info(mark).type != FileType.NotFound:
+            return self.clear()
+        self.publish(messages)
+        fs.create_dir(f"{root}/.epochs", recursive=True)
+        with fs.open_output_stream(mark):
+            pass
+
+    def abort(self, messages: list[WriterCommitMessage | None], batchId: int) -> None:
+        self.clear()
 
 
 def write_files(documents: DataFrame, path: str) -> None:
