@@ -130,11 +130,13 @@ class Scanner:
     """Iterating gives a document's events; `errors` then has (line, message, fatal). Nodes of a fatally failed load don't count.
 
     sax: as if every node were given up after its event, so a second root may follow the first. top: names of the open
-    elements that the text is a fragment of (it may then start with a value).
+    elements that the text is a fragment of (it may then start with a value). `at` is where the value or tag begins that is being
+    scanned, or a value before that tag.
     """
 
     def __init__(self, text: str, options: LoadOptions | None, wrong: str | None = None, sax: bool = False, top: tuple[str, dict] | None = None):
         self.text, self.options, self.sax, self.top = text, options or LoadOptions(None), sax, top
+        self.at = 0
         self.errors: list[tuple[int, str, bool]] = [(text.count("\n") + 1, wrong, False)] if wrong else []
 
     def __iter__(self) -> Iterator[Event]:
@@ -217,6 +219,7 @@ class Scanner:
             raise Failure(f"The text doesn't start with '<' but with '{text[0]}'")
         at = 0
         while at < len(text):
+            self.at = at
             end = text.find("<", at)
             if end != at:
                 # Values up to the next tag; at the end of the text a last one that nothing follows is lost.

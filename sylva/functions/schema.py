@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -27,6 +27,15 @@ EVENT = T.StructType([
     T.StructField("int_value", T.LongType()), T.StructField("real_value", T.DoubleType()), T.StructField("ws", T.BooleanType()), T.StructField("custom", T.StringType()),
 ])
 
+#: What a watched scan keeps: events, and the seq of the kept element that each lies directly in.
+KEPT = T.StructType([*EVENT.fields[:2], T.StructField("parent_seq", T.LongType()), *EVENT.fields[2:]])
+
+#: How far a watched scan went: one row a document.
+SCANNED = T.StructType([
+    T.StructField("doc_id", T.StringType()), T.StructField("n_events", T.LongType()), T.StructField("n_nodes", T.LongType()), T.StructField("n_kept", T.LongType()),
+    T.StructField("at", T.LongType()), T.StructField("size", T.LongType()), T.StructField("stopped", T.BooleanType()), T.StructField("failed", T.BooleanType()),
+])
+
 ERROR = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("line", T.LongType()), T.StructField("message", T.StringType()), T.StructField("fatal", T.BooleanType())])
 
 VALUE_TYPES = ("CUSTOM", "IGNORE", "INTEGER", "OPAQUE", "REAL", "TEXT")
@@ -45,6 +54,28 @@ class LoadOptions:
     custom_load: Callable[[str], str | None] | None = None
 
 
+class Seen(NamedTuple):
+    """What a watching function is told of an event: its kind, node type and name, attributes, value (of its type), the names and attributes
+    of the elements it lies in, outermost first, and whether the innermost of these is kept."""
+
+    event: str
+    node_type: str | None
+    name: str | None
+    attrs: Mapping[str, str]
+    value: str | int | float | None
+    parents: Sequence[tuple[str, Mapping[str, str]]]
+    parent_kept: bool
+
+
+@dataclass(frozen=True)
+class Watch:
+    """keep: which events are kept; None keeps all. stop: at which event the scan ends; that event still counts, and is kept if keep says so.
+    Both run in the scanner, on open elements only, so neither sees more than one document's path."""
+
+    keep: Callable[[Seen], bool] | None = None
+    stop: Callable[[Seen], bool] | None = None
+
+
 class Written(NamedTuple):
     """What a white space function is told of a node: its type, name (elements only), attributes, depth, and whether it has no children."""
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sylva.operators.nav import after_subtree
 from sylva.operators.running import nearest
@@ -63,24 +68,135 @@ def find(n: DataFrame, start: DataFrame, element: str | None = None, attribute:
     return begun.join(ahead.filter("found is not null"), ["doc_id", "s"], "left").select("doc_id", "cur", found.alias("found"))
 
 
-def find_path(n: DataFrame, path: str, top: DataFrame | None = None) -> DataFrame:
-    """doc_id and the node that a path leads to, of each document with such a node.
-
-    Each segment takes the first match and never goes back: a plain one among the children, one after `*/` at any depth below. The
-    last element's first child is the result unless that is an element; then, or without children, the element is.
+class _Automaton:
+    """The trie of all paths' segments over one document in pre-order. State 0 is the top; a state is a prefix, which has at most one match a document."""
+
+    def __init__(self, paths: dict[str, list[tuple[str, bool]]]):
+        self.next: list[dict[tuple[str, bool], int]] = [{}]
+        self.ends: list[list[str]] = [[]]
+        for path, steps in paths.items():
+            at = 0
+            for step in steps:
+                if step not in self.next[at]:
+                    self.next[at][step] = len(self.next)
+                    self.next.append({})
+                    self.ends.append([])
+                at = self.next[at][step]
+            self.ends[at].append(path)
+        self.doc: str | None = None
+
+    def begin(self, doc: str | None) -> None:
+        """A new document: nothing is matched. waits: of a name, the steps that wait for it (state, deep, parent, its last descendant)."""
+        self.doc = doc
+        self.waits: dict[str, list[tuple[int, bool, int, int]]] = {}
+
+    def _enter(self, state: int, node: int, last: int) -> None:
+        for (name, deep), after in self.next[state].items():
+            self.waits.setdefault(name, []).append((after, deep, node, last))
+
+    def top(self, node: int, last: int) -> None:
+        self._enter(0, node, last)
+
+    def element(self, name: str, node: int, parent: int | None, last: int) -> list[str]:
+        """The paths that end at this element. Each waiting step takes its first match only, and one that can't come any more waits no longer."""
+        waiting = self.waits.get(name)
+        if not waiting:
+            return []
+        met = [w for w in waiting if w[2] < node <= w[3] and (w[1] or w[2] == parent)]
+        self.waits[name] = [w for w in waiting if w not in met and node <= w[3]]
+        for after, _, _, _ in met:
+            self._enter(after, node, last)
+        return [path for after, _, _, _ in met for path in self.ends[after]]
+
+
+def _paths_in_order(paths: dict[str, list[tuple[str, bool]]], schema: pa.Schema):
+    """Batches sorted by document and node to those of (path, node), each the element that a path leads to or its first child, if that is a value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _Automaton(paths)
+        # What a path led to in the last row, which a value in the next one may take the place of.
+        pending: tuple[pa.RecordBatch, int, str | None, int, int, list[str]] | None = None
+        for batch in batches:
+            rows: list[tuple[int, str]] = []
+            columns = (batch[c].to_pylist() for c in ("doc_id", "node_id", "parent_id", "last_desc", "_named", "_top"))
+            for i, (doc, node, parent, last, name, top) in enumerate(zip(*columns)):
+                if pending:
+                    of, j, doc_before, before, until, ends = pending
+                    value = doc == doc_before and node == before + 1 <= until and name is None
+                    if value or of is batch:
+                        rows += [(i if value else j, path) for path in ends]
+                    else:
+                        yield _with_path(of, [(j, path) for path in ends], schema)
+                    pending = None
+                if doc != automaton.doc:
+                    automaton.begin(doc)
+                if name is not None and (ends := automaton.element(name, node, parent, last)):
+                    pending = (batch, i, doc, node, last, ends)
+                if top:
+                    automaton.top(node, last)
+            if rows:
+                yield _with_path(batch, rows, schema)
+            if pending:
+                pending = (pending[0].slice(pending[1], 1), 0, *pending[2:])
+        if pending:
+            yield _with_path(pending[0], [(pending[1], path) for path in pending[5]], schema)
+
+    return run
+
+
+def _with_path(batch: pa.RecordBatch, rows: list[tuple[int, str]], schema: pa.Schema) -> pa.RecordBatch:
+    taken = batch.take(pa.array([i for i, _ in rows], pa.int64()))
+    return pa.record_batch([pa.array([p for _, p in rows], pa.string()) if f.name == "path" else taken[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+def find_paths(n: DataFrame, paths: Sequence[str], top: DataFrame | None = None) -> DataFrame:
+    """doc_id, path and the node that it leads to, of each document and each of the paths that leads to one: find_path() of all in one pass.
+
+    The segments of all paths form a trie, run as an automaton over a document's nodes in pre-order: of each prefix the first match counts. Only elements of
+    names in the paths, values that are first children, and the top are shuffled, once, and sorted; a document streams through one task, which holds a place for
+    each segment and no nodes. top: (doc_id, top), one a document, in place of the root. A path given twice counts once; a wrong one leads nowhere.
     """
+    given = {path: steps for path in paths if (steps := path_steps(path))}
+    made = StructType([n.schema["doc_id"], StructField("path", StringType()), *(n.schema[c] for c in _own(n))])
+    if not given:
+        return n.limit(0).select("doc_id", F.lit("").alias("path"), *_own(n))
+    names = sorted({name for steps in given.values() for name, _ in steps})
+    element = F.col("node_type") == "ELEMENT"
+    if top is None:
+        marked = n.withColumn("_top", F.col("parent_id").isNull() & (F.col("ord") == 0))
+    else:
+        tops = top.select("doc_id", F.col("top").alias("node_id"), F.lit(True).alias("_top")).distinct()
+        marked = n.join(tops, ["doc_id", "node_id"], "left")
+    # Elements that no path names are of use only as a top; their name is then one that no step waits for.
+    slim = marked.filter((element & F.col("name").isin(names)) | (~element & (F.col("ord") == 0)) | F.coalesce("_top", F.lit(False)))
+    slim = slim.select("doc_id", *_own(n), F.when(element, F.coalesce("name", F.lit(""))).alias("_named"), F.coalesce("_top", F.lit(False)).alias("_top"))
+    return slim.repartition("doc_id").sortWithinPartitions("doc_id", "node_id").mapInArrow(_paths_in_order(given, to_arrow_schema(made)), made)
+
+
+def path_steps(path: str) -> list[tuple[str, bool]]:
+    """The segments (name, at any depth) of a slash path; none if it is empty or wrong."""
     steps, rest = [], path
     while rest:
         deep = rest.startswith("*/")
         rest = rest[2:] if deep else rest
         name, _, rest = rest.partition("/")
         if not name or len(name.encode()) >= 256:
-            return n.limit(0).select("doc_id", *_own(n))
+            return []
         steps.append((name, deep))
-    at = n.filter("parent_id is null and ord = 0") if top is None else n.join(top.select("doc_id", F.col("top").alias("node_id")), ["doc_id", "node_id"], "left_semi")
-    at = at.select("doc_id", F.col("node_id").alias("cur"), F.col("last_desc").alias("until"))
+    return steps
+
+
+def find_path(n: DataFrame, path: str, top: DataFrame | None = None) -> DataFrame:
+    """doc_id and the node that a path leads to, of each document with such a node.
+
+    Each segment takes the first match and never goes back: a plain one among the children, one after `*/` at any depth below. The
+    last element's first child is the result unless that is an element; then, or without children, the element is.
+    """
+    steps = path_steps(path)
     if not steps:
         return n.limit(0).select("doc_id", *_own(n))
+    at = n.filter("parent_id is null and ord = 0") if top is None else n.join(top.select("doc_id", F.col("top").alias("node_id")), ["doc_id", "node_id"], "left_semi")
+    at = at.select("doc_id", F.col("node_id").alias("cur"), F.col("last_desc").alias("until"))
     for name, deep in steps:
         named = n.filter((F.col("node_type") == "ELEMENT") & (F.col("name") == name)).select("doc_id", "node_id", "parent_id", "last_desc")
         inside = F.col("node_id").between(F.col("cur") + 1, F.col("until")) if deep else F.col("parent_id") == F.col("cur")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime, timezone
 
-from sylva.functions.schema import Written
+from sylva.functions.schema import Seen, Written
 
 
 def order_types(name: str, attrs: Mapping[str, str]) -> str:
@@ -43,6 +43,18 @@ def named_types(name: str, attrs: Mapping[str, str]) -> str:
     return said if said in ("INTEGER", "REAL", "OPAQUE", "CUSTOM", "IGNORE") else "TEXT"
 
 
+def returned(seen: Seen) -> bool:
+    """An item with flag R begins."""
+    return seen.event == "ELEMENT_OPEN" and seen.name == "item" and seen.attrs.get("flag") == "R"
+
+
+def items_with_quantities(seen: Seen) -> bool:
+    """Items, quantities of kept items, and the values of kept quantities."""
+    if seen.event == "ELEMENT_OPEN":
+        return seen.name == "item" or seen.name == "qty" and seen.parent_kept
+    return seen.event == "DATA" and seen.parent_kept and seen.parents[-1][0] == "qty"
+
+
 def lower(text: str) -> str | None:
     return text.lower()
 

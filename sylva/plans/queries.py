@@ -11,15 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.functions.schema import LoadOptions, SaveOptions
+from sylva.functions.schema import LoadOptions, SaveOptions, Watch
 from sylva.operators import batch, edit, find, index, nav, values
-from sylva.plans.callbacks import bracketed, customer_types, event_types, indented, journal_types, load_time, lower, named_types, order_types, whole_types
+from sylva.plans.callbacks import bracketed, customer_types, event_types, indented, items_with_quantities, journal_types, load_time, lower, named_types, order_types, returned, whole_types
 from sylva.plans.documents import BROKEN, as_texts, broken, customers, event_log, journal, long_id, orders, table, texts
 from sylva.sources.save import escape, saved_string, to_documents, to_pieces, write_files
 from sylva.sources.split import read_records
 from sylva.sources.store import scratch, stored
-from sylva.sources.xml import events, from_pieces, load_errors, load_under, read_files, register_sql, shred
-from sylva.streaming.sax import event_counts, unless_stopped, until_stop, with_parent
+from sylva.sources.xml import events, from_pieces, kept_events, load_errors, load_under, read_files, register_sql, scanned, shred
+from sylva.streaming.sax import event_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -128,6 +128,19 @@ def path_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find.find_path(kept(spark, sf_dir, columns=own("real_value")), "*/price").select(doc(), "node_id", F.col("real_value").cast("long").alias("value"))
 
 
+#: What each leads to in an order with items; only the first two do in one without.
+PATHS = {"order": 1, "*/order": 1, "order/item": 2, "*/item": 2, "order/*/item": 2, "*/order/item": 2, "*/order/*/item": 2, "order/item/qty": 4, "*/qty": 4, "order/*/qty": 4, "*/item/qty": 4,
+         "*/item/*/qty": 4, "*/order/*/qty": 4, "order/item/price": 6, "*/price": 6, "order/*/price": 6, "*/item/price": 6, "*/order/item/*/price": 6, "item": None, "order/qty": None, "order/item/item": None, "*/qty/price": None}
+
+
+@query(f"""SELECT doc, path, node::BIGINT AS node_id, CASE node WHEN 4 THEN qty WHEN 6 THEN price END AS value FROM docs LEFT JOIN (SELECT doc AS of, l_quantity::BIGINT AS qty, round(l_extendedprice * 100)::BIGINT AS price FROM items WHERE k = 0) ON of = doc,
+  (VALUES {", ".join(f"('{p}', {at})" for p, at in PATHS.items() if at)}) p(path, node) WHERE n > 0 OR node = 1""")
+def paths_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many paths in one pass; four of them lead nowhere."""
+    n = nodes(spark, sf_dir, columns=["doc_id", "node_id", "parent_id", "last_desc", "ord", "node_type", "name", "int_value", "real_value"])
+    return find.find_paths(n, list(PATHS)).select(doc(), "path", "node_id", F.coalesce(F.col("int_value"), F.col("real_value").cast("long")).alias("value"))
+
+
 @query("SELECT doc, CASE WHEN l_returnflag = 'R' THEN id + 5 END AS node_id FROM items WHERE k = 0 AND l_returnflag = 'R'")
 def path_no_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mark under the items with flag R is found only if the first item has it: the first match of a segment is never left again."""
@@ -672,21 +685,28 @@ def load_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS doc, CASE WHEN k IS NULL THEN 4 + 8 * coalesce(n, 0) - 1 ELSE 3 + 8 * k END AS n_events, CASE WHEN k IS NULL THEN 2 + 5 * coalesce(n, 0) ELSE 0 END AS n_nodes FROM orders LEFT JOIN (SELECT doc, any_value(n) AS n, min(k) FILTER (WHERE l_returnflag = 'R') AS k FROM items GROUP BY 1) ON doc = o_orderkey")
 def sax_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A callback that stops each load at the first item with flag R: what it has seen by then, and the nodes that are left, none where it stopped."""
-    e = stored(events(orders(spark, sf_dir), options=TYPED))
-    stop = (F.col("event") == "ELEMENT_OPEN") & (F.col("name") == "item") & (find.attr("flag") == "R")
-    seen = until_stop(e, F.coalesce(stop, F.lit(False))).groupBy("doc_id").agg(F.count("*").alias("n_events"))
-    left = unless_stopped(nodes(spark, sf_dir, columns=["doc_id"]), e, stop).groupBy("doc_id").agg(F.count("*").alias("n_nodes"))
-    return seen.join(left, "doc_id", "left").select(doc(), "n_events", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"))
+    seen = scanned(orders(spark, sf_dir), Watch(stop=returned), options=TYPED, columns=["doc_id", "n_events", "n_nodes", "stopped"])
+    return seen.select(doc(), "n_events", F.when(F.col("stopped"), 0).otherwise(F.col("n_nodes")).alias("n_nodes"))
+
+
+_ITEM_SIZE = "length('<item line=\"\" part=\"\" flag=\"\"><qty></qty><price></price></item>' || l_linenumber || l_partkey || l_returnflag || l_quantity::BIGINT || round(l_extendedprice * 100)::BIGINT)"
+
+
+@query(f"""SELECT o_orderkey AS doc, head + CASE WHEN stop IS NULL THEN coalesce(size, 0) + 8 ELSE stop END AS at, head + coalesce(size, 0) + 8 AS size, stop IS NOT NULL AS stopped
+  FROM (SELECT o_orderkey, length('<?xml version="1.0"?><order id="" status="">' || o_orderkey || o_orderstatus) AS head FROM orders) LEFT JOIN (SELECT doc, sum(own)::BIGINT AS size, min(before) FILTER (WHERE l_returnflag = 'R') AS stop FROM
+  (SELECT doc, l_returnflag, {_ITEM_SIZE} AS own, coalesce(sum({_ITEM_SIZE}) OVER (PARTITION BY doc ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM items) GROUP BY 1) ON doc = o_orderkey""")
+def sax_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each text such a load reads: up to the tag that stops it."""
+    return scanned(orders(spark, sf_dir), Watch(stop=returned), options=TYPED, columns=["doc_id", "at", "size", "stopped"]).select(doc(), "at", "size", "stopped")
 
 
 @query("SELECT doc, (2 + 8 * k)::BIGINT AS item, l_partkey::VARCHAR AS part, l_quantity::BIGINT AS qty FROM items")
 def sax_retain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A callback that retains items, their quantities, and those quantities' values, each found by its parent among what is retained."""
-    e = stored(with_parent(events(orders(spark, sf_dir), options=TYPED)))
-    opened = e.filter("event = 'ELEMENT_OPEN'")
-    items = opened.filter("name = 'item'").select("doc_id", F.col("seq").alias("item"), find.attr("part").alias("part"))
-    qty = opened.filter("name = 'qty'").select("doc_id", F.col("seq").alias("at"), F.col("parent_seq").alias("item"))
-    value = e.filter("event = 'DATA'").select("doc_id", F.col("parent_seq").alias("at"), F.col("int_value").alias("qty"))
+    e = stored(kept_events(orders(spark, sf_dir), Watch(keep=items_with_quantities), options=TYPED, columns=["doc_id", "seq", "parent_seq", "name", "attrs", "int_value"]))
+    items = e.filter("name = 'item'").select("doc_id", F.col("seq").alias("item"), find.attr("part").alias("part"))
+    qty = e.filter("name = 'qty'").select("doc_id", F.col("seq").alias("at"), F.col("parent_seq").alias("item"))
+    value = e.filter("name is null").select("doc_id", F.col("parent_seq").alias("at"), F.col("int_value").alias("qty"))
     return items.join(qty, ["doc_id", "item"]).join(value, ["doc_id", "at"]).select(doc(), "item", "part", "qty")
 
 

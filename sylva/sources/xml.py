@@ -16,8 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from sylva.functions.scan import Scanner, clean, decode, nodes
-from sylva.functions.schema import ERROR, EVENT, NODE, LoadOptions
+from sylva.functions.scan import Event, Scanner, clean, decode, nodes
+from sylva.functions.schema import ERROR, EVENT, KEPT, NODE, SCANNED, LoadOptions, Seen, Watch
 from sylva.operators import edit
 
 ROWS = 20_000
@@ -45,6 +45,57 @@ def event_rows(doc_id: str, value: str | bytes, options: LoadOptions | None, top
         depth += e.event == "ELEMENT_OPEN"
 
 
+def _watched(s: Scanner, watch: Watch) -> Iterator[tuple[Event, int, int, int | None, bool]]:
+    """Event, seq, depth, the kept parent's seq and whether the event is kept, up to the stop."""
+    open_: list[tuple[str, dict]] = []
+    kept: list[int | None] = []
+    none: dict[str, str] = {}
+    for seq, e in enumerate(s):
+        close = e.event == "ELEMENT_CLOSE"
+        own = kept.pop() if close else None
+        if close:
+            open_.pop()
+        value = e.str_value if e.str_value is not None else e.int_value if e.int_value is not None else e.real_value if e.real_value is not None else e.custom
+        seen = Seen(e.event, e.node_type, e.name, dict(e.attrs) if e.attrs else none, value, open_, bool(kept) and kept[-1] is not None)
+        keep = watch.keep is None or watch.keep(seen)
+        yield e, seq, len(open_), own if close else kept[-1] if kept else None, keep
+        if watch.stop and watch.stop(seen):
+            return
+        if e.event == "ELEMENT_OPEN":
+            open_.append((e.name, seen.attrs))
+            kept.append(seq if keep else None)
+
+
+def kept_rows(watch: Watch):
+    def rows(doc_id: str, value: str | bytes, options: LoadOptions | None, top: tuple[str, dict] | None = None) -> Iterator[tuple]:
+        for e, seq, depth, parent, keep in _watched(_scanner(value, options, True, top), watch):
+            if keep:
+                yield (doc_id, seq, parent, e.event, depth, *e[1:])
+
+    return rows
+
+
+def scanned_rows(watch: Watch):
+    def rows(doc_id: str, value: str | bytes, options: LoadOptions | None, top: tuple[str, dict] | None = None) -> Iterator[tuple]:
+        s = _scanner(value, options, True, top)
+        n_events = n_nodes = n_kept = 0
+        stopped = False
+
+        def stop(seen: Seen) -> bool:
+            nonlocal stopped
+            stopped = bool(watch.stop and watch.stop(seen))
+            return stopped
+
+        for e, _, _, _, keep in _watched(s, Watch(watch.keep, stop)):
+            n_events += 1
+            n_nodes += e.node_type is not None and e.event != "ELEMENT_CLOSE"
+            n_kept += keep
+        failed = any(fatal for _, _, fatal in s.errors)
+        yield doc_id, n_events, n_nodes, n_kept, s.at if stopped or failed else len(s.text), len(s.text), stopped, failed
+
+    return rows
+
+
 def error_rows(doc_id: str, value: str | bytes, options: LoadOptions | None, top: tuple[str, dict] | None = None) -> Iterator[tuple]:
     s = _scanner(value, options, False, top)
     for _ in s:
@@ -151,6 +202,19 @@ def events(docs: DataFrame, column: str | Column = "xml", doc_id: str | Column =
     return _load(docs, column, doc_id, event_rows, EVENT, options, columns, spread=spread, ids=ids)
 
 
+def kept_events(docs: DataFrame, watch: Watch, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions(), columns: Sequence[str] | None = None, spread: bool = True, ids: str = "unique") -> DataFrame:
+    """What callbacks retain of a load: the events that watch keeps, with the seq of the kept element that each lies directly in (null if that isn't
+    kept; of a closing tag, its own element's). Nothing else leaves the scanner, and a document is scanned no further than to its stop, so what would be
+    wrong after that isn't noticed. A failed load gives what it kept before. Null and empty documents keep nothing; null and repeated doc_ids as in shred(). Streams, too."""
+    return _load(docs, column, doc_id, kept_rows(watch), KEPT, options, columns, spread=spread, ids=ids)
+
+
+def scanned(docs: DataFrame, watch: Watch, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions(), columns: Sequence[str] | None = None, spread: bool = True, ids: str = "unique") -> DataFrame:
+    """One row a document that isn't null: the events and nodes seen and the events kept, where the scan ended (at; characters, up to the value or tag that ended it)
+    and how long the text is up to its first broken character, and whether it was stopped or failed. Null and repeated doc_ids as in shred()."""
+    return _load(docs, column, doc_id, scanned_rows(watch), SCANNED, options, columns, spread=spread, ids=ids)
+
+
 def load_errors(docs: DataFrame, column: str | Column = "xml", doc_id: str | Column = "doc_id", options: LoadOptions | None = LoadOptions(), spread: bool = True, ids: str = "unique") -> DataFrame:
     """doc_id, line, message, fatal; a load may fail with an empty message. Not fatal: the nodes up to there count.
 
