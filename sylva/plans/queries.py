@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions.schema import LoadOptions, SaveOptions, Watch
 from sylva.operators import batch, edit, find, index, nav, values
+from sylva.operators.stored_index import StoredIndex
 from sylva.plans.callbacks import bracketed, customer_types, event_types, indented, items_with_quantities, journal_types, load_time, lower, named_types, order_types, returned, whole_types
 from sylva.plans.documents import BROKEN, as_texts, broken, customers, event_log, journal, long_id, orders, table, texts
 from sylva.sources.save import escape, saved_string, to_documents, to_pieces, write_files
@@ -283,6 +284,25 @@ def index_count_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.index_count(ind).join(first, "doc_id").select(doc(), "n", "first")
 
 
+@query("""SELECT doc, 2 + 5 * kk AS node_id, (row_number() OVER (PARTITION BY doc ORDER BY kk))::INTEGER AS nth, up.status AS status FROM (SELECT items.doc, l_returnflag, docs.status, k - CASE WHEN docs.status = 'F' THEN 1 ELSE 0 END AS kk
+  FROM items JOIN docs ON docs.doc = items.doc) up WHERE l_returnflag = 'N' AND kk >= 0 AND status <> 'P' UNION ALL SELECT doc, 2 + 5 * kk, (row_number() OVER (PARTITION BY doc ORDER BY kk))::INTEGER, status
+  FROM (SELECT items.doc, l_returnflag, docs.status, k - CASE WHEN docs.status = 'F' THEN 1 ELSE 0 END AS kk FROM items JOIN docs ON docs.doc = items.doc) up WHERE l_returnflag = 'R' AND kk >= 0 AND status <> 'P'""")
+def index_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index by flag, stored, kept up while orders with status F lose their first item and those with P go altogether, then merged; asked for one flag before that and for another after."""
+    n = kept(spark, sf_dir)
+    ind = StoredIndex(spark, scratch(spark)).build(n, "item", "flag")
+    top = n.filter("name = 'order'").select("doc_id", find.attr("status").alias("status"))
+    some = lambda status: top.filter(F.col("status") == status).select("doc_id")
+    # Deleting the first item moves the others' ranks by 5; the entries of these orders are made anew, no others are.
+    of = n.join(some("F"), "doc_id", "left_semi")
+    left = stored(edit.delete(of, of.filter("name = 'item' and ord = 0").select("doc_id", "node_id")))
+    ind.update(left, some("F"))
+    ind.update(n.limit(0), some("P"))
+    deltas = StoredIndex(spark, ind.path, 2).find("item", "N")
+    merged = ind.merge().find("item", "R")
+    return deltas.unionByName(merged).join(top, "doc_id").select(doc(), "node_id", "nth", "status")
+
+
 @query("SELECT 'DIRECTIVE' AS event, count(*) AS n FROM docs UNION ALL SELECT e, sum(1 + 3 * n)::BIGINT FROM docs, (VALUES ('ELEMENT_OPEN'), ('ELEMENT_CLOSE')) v(e) GROUP BY 1 UNION ALL SELECT 'DATA', sum(2 * n)::BIGINT FROM docs")
 def sax_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(orders(spark, sf_dir), options=TYPED, columns=["event"]).groupBy("event").agg(F.count("*").alias("n"))
