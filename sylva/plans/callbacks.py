@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from datetime import datetime, timezone
 
 from sylva.functions.schema import Seen, Written
@@ -68,3 +68,35 @@ def indented(node: Written, place: str) -> str | None:
     if place == "before_open" or place == "before_close" and node.name == "customer":
         return "\n" + "  " * node.depth if node.depth else None
     return "\n" if place == "after_close" and node.depth == 1 else None
+
+
+def _files(options: Mapping[str, str]):  # noqa: ANN202
+    """The Parquet files of a folder of numbered folders, in their order, with their numbers of rows."""
+    from pyarrow import parquet
+    from pyarrow.fs import FileSelector, FileSystem
+
+    where = options["folder"]
+    fs, root = FileSystem.from_uri(where.replace("file:/", "file:///", 1) if where.startswith("file:/") and not where.startswith("file://") else where)
+    paths = sorted(f.path for f in fs.get_file_info(FileSelector(root, recursive=True)) if f.path.endswith(".parquet"))
+    for path in paths:
+        f = parquet.ParquetFile(path, filesystem=fs)
+        yield f, f.metadata.num_rows
+
+
+def rows_by_now(options: Mapping[str, str]) -> int:
+    return sum(n for _, n in _files(options))
+
+
+def rows_between(begin: int, end: int, options: Mapping[str, str]) -> Iterator[tuple[str, str]]:
+    """doc_id and xml of rows by their places in such a folder; files outside of the range are opened for their footers only."""
+    at = 0
+    for f, n in _files(options):
+        if at < end and at + n > begin:
+            place = at
+            for batch in f.iter_batches(columns=["doc_id", "xml"]):
+                first, last = max(begin - place, 0), min(end - place, batch.num_rows)
+                if first < last:
+                    part = batch.slice(first, last - first)
+                    yield from zip(part["doc_id"].to_pylist(), part["xml"].to_pylist())
+                place += batch.num_rows
+        at += n

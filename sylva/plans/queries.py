@@ -19,7 +19,7 @@ from sylva.plans.documents import BROKEN, as_texts, broken, customers, event_log
 from sylva.sources.save import escape, saved_string, to_documents, to_pieces, write_files
 from sylva.sources.split import read_records
 from sylva.sources.store import scratch, stored
-from sylva.sources.xml import events, from_pieces, kept_events, load_errors, load_under, read_files, register_sql, scanned, shred
+from sylva.sources.xml import XmlSource, events, from_pieces, kept_events, load_errors, load_under, read_files, register_sql, scanned, shred
 from sylva.streaming.sax import event_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -782,6 +782,23 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_counts(spark.read.parquet(f"{at}/events"))
 
 
+@query("SELECT c_custkey AS doc, 12 AS n_nodes, printf('%.2f', c_acctbal) AS balance, c_custkey % 3 AS batch FROM customer")
+def stream_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a function gives, as a stream: they arrive in three lots, each read by a query that is started again from its checkpoint."""
+    at = scratch(spark)
+    spark.dataSource.register(XmlSource)
+    for lot in range(3):
+        customers(spark, sf_dir).filter(long_id() % 3 == lot).write.parquet(f"{at}/lots/{lot}")
+        n = spark.readStream.format("sylva_xml").option("documents", "sylva.plans.callbacks:rows_between").option("latest", "sylva.plans.callbacks:rows_by_now")
+        n = n.option("folder", f"{at}/lots").option("parts", 4).option("value_type", "OPAQUE").load().withColumn("lot", F.lit(lot))
+        run = n.writeStream.format("parquet").option("path", f"{at}/nodes").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+        run.awaitTermination()
+    seen = spark.read.parquet(f"{at}/nodes")
+    value = values.value_of(seen, seen.filter("name = 'balance'"), "OPAQUE").select("doc_id", F.col("value").cast("decimal(12,2)").cast("string").alias("balance"))
+    count = seen.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_nodes"), F.max("lot").alias("batch"))
+    return count.join(value, "doc_id").select(doc(), "n_nodes", "balance", F.col("batch").cast("long").alias("batch"))
+
+
 @query("SELECT c_custkey AS doc, 12 AS n_nodes, c_acctbal AS balance FROM customer")
 def load_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loading as a table function of SQL."""

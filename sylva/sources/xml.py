@@ -7,12 +7,13 @@ than moving the text, has tasks of even size whatever the layout of the table or
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from importlib import import_module
 from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -267,10 +268,14 @@ def register_sql(spark: SparkSession, name: str = "shred", options: LoadOptions
 
 
 class XmlSource(DataSource):
-    """spark.read.format("sylva_xml"): the node table of documents given by a function, as a read callback would give them.
+    """spark.read.format("sylva_xml"), and spark.readStream: the node table of documents given by a function, as a read callback would give them.
 
     Options: documents, `module:function` of a function (part, parts) that gives (doc_id, bytes) pairs; parts; value_type;
     pushdown, `true` to take filters on name and node_type (spark.sql.python.filterPushdown.enabled must be set, too).
+
+    As a stream, documents come in a fixed order and only ever get more. documents is a function (begin, end, options) of places in that order, called on
+    executors and perhaps again after a failure; latest, `module:function` of (options), tells how many there are by now; done, optional, is
+    told (end, options) when a batch's progress has been recorded, so that what lies before can go. start: the first place. A batch is cut into `parts` ranges of even length.
     """
 
     @classmethod
@@ -283,6 +288,14 @@ class XmlSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return (_FilteringReader if self.options.get("pushdown") == "true" else _XmlReader)(dict(self.options))
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _XmlStreamReader(dict(self.options))
+
+
+def _function(name: str) -> Callable:
+    module, _, function = name.partition(":")
+    return getattr(import_module(module), function)
+
 
 class _XmlReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -292,11 +305,8 @@ class _XmlReader(DataSourceReader):
         return [InputPartition(i) for i in range(int(self.options.get("parts", 1)))]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        from importlib import import_module
-
-        module, _, function = self.options["documents"].partition(":")
         options = LoadOptions(self.options.get("value_type", "TEXT"))
-        documents = getattr(import_module(module), function)(partition.value, int(self.options.get("parts", 1)))
+        documents = _function(self.options["documents"])(partition.value, int(self.options.get("parts", 1)))
         rows = (row for doc_id, data in documents for row in node_rows(doc_id, data, options))
         yield from _batches((row for row in rows if all(row[i] == value for i, value in self.only)), NODE)
 
@@ -309,3 +319,37 @@ class _FilteringReader(_XmlReader):
                 self.only.append((NODE.fieldNames().index(f.attribute[0]), f.value))
             else:
                 yield f
+
+
+class _Range(InputPartition):
+    """Documents from one place up to another."""
+
+    def __init__(self, begin: int, end: int):
+        self.begin, self.end = begin, end
+
+
+class _XmlStreamReader(DataSourceStreamReader):
+    """An offset is the number of documents before it, so a batch is a range of places, the same ones whenever it is read again."""
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def initialOffset(self) -> dict:
+        return {"at": int(self.options.get("start", 0))}
+
+    def latestOffset(self) -> dict:
+        return {"at": max(int(self.options.get("start", 0)), _function(self.options["latest"])(self.options))}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        begin, n = start["at"], end["at"] - start["at"]
+        parts = min(n, int(self.options.get("parts", 1)))
+        return [_Range(begin + n * i // parts, begin + n * (i + 1) // parts) for i in range(parts)]
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        options = LoadOptions(self.options.get("value_type", "TEXT"))
+        documents = _function(self.options["documents"])(partition.begin, partition.end, self.options)
+        yield from _batches((row for doc_id, data in documents if data is not None for row in node_rows(doc_id, data, options)), NODE)
+
+    def commit(self, end: dict) -> None:
+        if "done" in self.options:
+            _function(self.options["done"])(end["at"], self.options)
