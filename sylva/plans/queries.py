@@ -804,8 +804,8 @@ def load_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loading as a table function of SQL."""
     register_sql(spark, "sylva_shred", KINDS)
     customers(spark, sf_dir).createOrReplaceTempView("sylva_customers")
-    return spark.sql("""SELECT cast(c.doc_id AS BIGINT) AS doc, cast(count(*) AS INT) AS n_nodes, max(n.real_value) AS balance
-      FROM sylva_customers c, LATERAL sylva_shred(c.doc_id, c.xml) n GROUP BY c.doc_id""")
+    return spark.sql("""SELECT cast(doc_id AS BIGINT) AS doc, cast(count(*) AS INT) AS n_nodes, max(real_value) AS balance
+      FROM sylva_shred_table(TABLE(SELECT doc_id, xml FROM sylva_customers)) GROUP BY doc_id""")
 
 
 def queries() -> dict[str, Query]:

@@ -257,14 +257,24 @@ def read_files(spark: SparkSession, path: str, options: LoadOptions | None = Loa
 
 
 def register_sql(spark: SparkSession, name: str = "shred", options: LoadOptions | None = LoadOptions()) -> None:
-    """Make shredding a table function of SQL: SELECT d.*, n.* FROM d, LATERAL shred(d.doc_id, d.xml) n."""
+    """Make shredding two table functions of SQL. Rows of a null document or doc_id have no nodes.
+
+    SELECT n.* FROM shred_table(TABLE(SELECT doc_id, xml FROM d)) n: whole tables, of two columns, by Arrow batches in both directions, as shred() does
+    it. SELECT d.*, n.* FROM d, LATERAL shred(d.doc_id, d.xml) n: beside each row's other columns; row by row, as lateral joins take no Arrow functions.
+    """
 
     class Shred:
         def eval(self, doc_id, xml):  # noqa: ANN001, ANN202
-            if xml is not None:
+            if doc_id is not None and xml is not None:
                 yield from node_rows(str(doc_id), xml, options)
 
+    class ShredTable:
+        def eval(self, docs: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            given = zip(docs.column(0).to_pylist(), docs.column(1).to_pylist())
+            yield from _batches((row for doc_id, xml in given if doc_id is not None and xml is not None for row in node_rows(str(doc_id), xml, options)), NODE)
+
     spark.udtf.register(name, F.udtf(Shred, returnType=NODE))
+    spark.udtf.register(f"{name}_table", F.arrow_udtf(ShredTable, returnType=NODE))
 
 
 class XmlSource(DataSource):

@@ -223,6 +223,17 @@ def test_sql_function(spark):
     assert [tuple(r) for r in got] == [("d0", 0, "a", None), ("d0", 1, "b", None), ("d0", 2, None, "one")]
 
 
+def test_sql_function_of_tables(spark):
+    """Whole tables by batches: rows of a null id or text have no nodes, a failed load none, repeated rows theirs each; tasks stay as they are."""
+    register_sql(spark, "nodes_of")
+    rows = [("d0", "<a x='1'><b>one</b></a>"), ("d0", "<a x='1'><b>one</b></a>"), (None, "<a/>"), ("d1", None), ("d2", "<a></b>"), ("d3", "")]
+    spark.createDataFrame(rows, "doc_id string, xml string").repartition(3).createOrReplaceTempView("held_rows")
+    got = spark.sql("SELECT doc_id, node_id, name, str_value FROM nodes_of_table(TABLE(SELECT doc_id, xml FROM held_rows))")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(2 * [("d0", 0, "a", None), ("d0", 1, "b", None), ("d0", 2, None, "one")], key=str)
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert spark.sql("SELECT * FROM nodes_of_table(TABLE(SELECT doc_id, xml FROM held_rows WHERE false))").count() == 0
+
+
 def some_documents(part, parts):
     yield f"p{part}", b"<a>%d</a>" % part
 
