@@ -6,6 +6,7 @@ for wrapping and calls the options' functions.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -244,12 +245,20 @@ class _Staging:
                 list(pool.map(lambda pair: fs.move(f"{root}/{self.name}/{pair[0]}", f"{root}/{pair[1]}"), pairs))
         self.clear()
 
-    def clear(self) -> None:
+    def clear(self, tries: int = 8) -> None:
+        """Delete the folder. Tasks of a failed write may still put files there while they are being killed, so it is looked at again a while."""
         from pyarrow.fs import FileType
 
         fs, root = self._open()
-        if fs.get_file_info(f"{root}/{self.name}").type != FileType.NotFound:
-            fs.delete_dir(f"{root}/{self.name}")
+        for i in range(tries):
+            if fs.get_file_info(f"{root}/{self.name}").type == FileType.NotFound:
+                return
+            try:
+                fs.delete_dir(f"{root}/{self.name}")
+            except OSError:
+                if i == tries - 1:
+                    raise
+            time.sleep(0.1 * 2**i if i else 0)
 
 
 class _XmlWriter(_Staging, DataSourceArrowWriter):
