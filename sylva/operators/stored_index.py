@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from sylva.operators.find import attr, matches
+from sylva.sources.store import sized
 
 #: Folders of names.
 BUCKETS = 32
@@ -89,7 +90,7 @@ class StoredIndex:
         gen, element, attribute = parts[-1]["gen"] + 1, parts[0]["element"], parts[0]["attribute"]
         changes = f"changed-{uuid.uuid4().hex}"
         docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(gen).cast("int").alias("gen")).filter("doc_id is not null").distinct().write.parquet(f"{self.path}/{changes}")
-        changed = self.spark.read.schema(_CHANGED).parquet(f"{self.path}/{changes}")
+        changed = sized(self.spark.read.schema(_CHANGED).parquet(f"{self.path}/{changes}"))
         folder = self._write(entries(n, element, attribute).join(changed.select("doc_id"), "doc_id", "left_semi"), gen)
         self._list([(parts[0]["version"] + 1, *p[1:]) for p in map(tuple, parts)] + [(parts[0]["version"] + 1, gen, folder, changes, element, attribute)])
         return self
@@ -110,7 +111,7 @@ class StoredIndex:
             held = rows if held is None else held.unionByName(rows)
         changes = [p["changes"] for p in parts if p["changes"]]
         if changes:
-            latest = self.spark.read.schema(_CHANGED).parquet(*(f"{self.path}/{c}" for c in changes)).groupBy("doc_id").agg(F.max("gen").alias("_latest"))
+            latest = sized(self.spark.read.schema(_CHANGED).parquet(*(f"{self.path}/{c}" for c in changes))).groupBy("doc_id").agg(F.max("gen").alias("_latest"))
             held = held.join(latest, "doc_id", "left").filter(F.col("_latest").isNull() | (F.col("gen") >= F.col("_latest")))
         return held.select(*_NODE)
 

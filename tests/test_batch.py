@@ -187,3 +187,25 @@ def test_nothing_to_do(spark):
     n = batch.stored(shred(spark.createDataFrame([("d", "<a><b/></a>")], "doc_id string, xml string")))
     empty = spark.createDataFrame([], LOG)
     assert seen(apply_edits(n, empty).collect()) == seen(n.collect()) and apply_edits(n.limit(0), empty).count() == 0
+
+
+def test_values_of_documents_without_other_edits(spark):
+    """SET and ATTR rows hold also where nothing is added, moved or deleted."""
+    n = shred(spark.createDataFrame([("x", "<a><b/></a>"), ("y", "<a><b/></a>")], "doc_id string, xml string"))
+    log = spark.createDataFrame([("x", 0, "SET", 1, None, None, None, None, "c", None, None, None), ("y", 0, "DELETE", 1, None, None, None, None, None, None, None, None)], LOG)
+    assert sorted((r["doc_id"], r["name"]) for r in apply_edits(n, log).collect()) == [("x", "a"), ("x", "c"), ("y", "a")]
+
+
+def test_many_logs_are_never_broadcast(spark, monkeypatch):
+    """A table that is small as files and large as rows is joined by sorting."""
+    from sylva.operators import edit
+    from sylva.sources import store
+
+    monkeypatch.setattr(store, "LITTLE", 10)
+    monkeypatch.setattr(batch, "LITTLE", 10)
+    docs = spark.range(40).selectExpr("cast(id as string) as doc_id", "'<a><b/><b/></a>' as xml")
+    n = store.stored(shred(docs))
+    left = edit.delete(n, n.filter("name = 'b' and ord = 0"))
+    assert left.count() == 80
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
