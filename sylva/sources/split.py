@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from sylva.functions.scan import clean, plain_rows
 from sylva.functions.schema import ERROR, NODE, LoadOptions
 from sylva.sources.store import stored
 from sylva.sources.xml import _batches, _scanner, node_rows
@@ -87,10 +88,12 @@ def _scan(doc_id: str, head: _Head, record: str, options: LoadOptions | None):
             text = text[len(head.text) :]
         if head.record.search(text):
             text = f"{text}</{record}>"
-            s = _scanner(text, options, False, head.top)
-            for _ in s:
-                pass
-            errors, made = s.errors, node_rows(doc_id, text, options, head.top) if not s.errors else ()
+            errors, made = [], plain_rows(doc_id, text, options or LoadOptions(None), head.top) if clean(text) == (text, None) else None
+            if made is None:
+                s = _scanner(text, options, False, head.top)
+                for _ in s:
+                    pass
+                errors, made = s.errors, node_rows(doc_id, text, options, head.top) if not s.errors else ()
         else:
             errors, made, after = head.tail(doc_id, text, options)
             yield from _ends(block, row, after)
@@ -131,6 +134,8 @@ def read_records(spark: SparkSession, path: str, record: str, doc_id: str | None
         errors, _, ends = head.tail(doc_id, "", options)
         after = dict(enumerate(ends))
         wrong = wrong.unionByName(spark.createDataFrame([(doc_id, line, message) for line, message, _ in errors], "doc_id string, line long, message string"))
+    # Looked up here: joined by doc_id, all nodes would meet in the one document's task.
+    failed = not wrong.isEmpty()
     errors = wrong.withColumn("fatal", F.lit(True))
     local = made.filter("doc_id is not null").drop("message", "line")
     size = local.groupBy("block", "row").agg(F.count("*").alias("n"), F.count_if(F.col("parent_id").isNull()).alias("tops"))
@@ -151,4 +156,4 @@ def read_records(spark: SparkSession, path: str, record: str, doc_id: str | None
     ends = F.coalesce(*(F.when(F.col("node_id") == node, last - after.get(i, 0)) for i, node in enumerate(open_ids)), F.col("last_desc"))
     above = spark.createDataFrame(head.rows, NODE).crossJoin(F.broadcast(total)).withColumn("last_desc", ends)
     nodes = above.select(*NODE.fieldNames()).unionByName(shifted.select(*NODE.fieldNames()))
-    return nodes.join(errors.select("doc_id").distinct(), "doc_id", "left_anti"), errors.select(*ERROR.fieldNames())
+    return nodes.limit(0) if failed else nodes, errors.select(*ERROR.fieldNames())

@@ -59,3 +59,23 @@ def test_no_records(spark, tmp_path, text):
     (tmp_path / "f.xml").write_text(text)
     with pytest.raises(ValueError):
         read_records(spark, str(tmp_path / "f.xml"), "rec")
+
+
+def test_one_file_from_sorted_parts(spark, tmp_path):
+    """The parts follow each other by their names, and the result is one file."""
+    from sylva.plans.callbacks import joined_files
+
+    (tmp_path / "parts").mkdir()
+    for i in (2, 0, 1):
+        (tmp_path / "parts" / f"part-0000{i}.txt").write_text(f"line {i}\n")
+    spark.range(1).coalesce(1).mapInArrow(joined_files(str(tmp_path / "parts"), str(tmp_path / "whole" / "part-00000.txt")), "id long").count()
+    assert (tmp_path / "whole" / "part-00000.txt").read_text() == "line 0\nline 1\nline 2\n"
+
+
+def test_nodes_of_a_split_file_are_not_joined_by_their_document(spark, tmp_path):
+    """Such a join brings all nodes into one task."""
+    from sylva.sources.split import read_records
+
+    (tmp_path / "f.txt").write_text("<r>" + "".join(f"<x>{i}</x>" for i in range(9)) + "</r>")
+    n, _ = read_records(spark, str(tmp_path / "f.txt"), "x")
+    assert n.count() == 19 and "LeftAnti" not in n._jdf.queryExecution().optimizedPlan().toString()
