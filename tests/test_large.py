@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sylva.operators import find, nav, running
+from sylva.operators import batch, edit, find, nav, running
 from sylva.sources.store import stored
 from sylva.sources.xml import events, shred
 from sylva.streaming.sax import with_parent
@@ -80,3 +80,17 @@ def test_searches_look_at_matches_and_starts_only(spark, monkeypatch):
     for how in ("ALL", "NONE"):
         assert find.find(n, start, "hit", descend=how).first()["found"]["node_id"] == 151
     assert seen == [6, 6]
+
+
+def test_deletions_of_large_documents(spark, docs, monkeypatch):
+    """Runs of 16 ranks give what one log gives; the log's own function never sees a large document."""
+    n = stored(shred(docs))
+    one_in = lambda k: n.filter(F.pmod(F.xxhash64("doc_id", "node_id"), F.lit(k)) == 0).select("doc_id", "node_id")
+    many = [one_in(9), one_in(3).unionByName(one_in(5)), n.filter("doc_id = 'flat' and node_id > 1 or node_id = 100000").select("doc_id", "node_id"), n.filter("node_id = 0").select("doc_id", "node_id"), n.filter("node_id = 1 and doc_id = 'large'").select("doc_id", "node_id")]
+    rows = lambda d: sorted(map(repr, d.drop("user_data").collect()))
+    want = [rows(edit.delete(n, t)) for t in many]
+    monkeypatch.setattr(batch, "LARGE_NODES", 16)
+    logged, plan = [], batch.edit_plan
+    monkeypatch.setattr(batch, "edit_plan", lambda of, log, made=None: logged.append(of.agg(F.max("node_id")).first()[0]) or plan(of, log, made))
+    assert [rows(edit.delete(n, t)) for t in many] == want
+    assert max(logged) < 16
