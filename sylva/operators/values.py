@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 from sylva.operators.find import attr
 
@@ -61,9 +68,38 @@ def value_of(nodes: DataFrame, of: DataFrame, kind: str, name: str = "value") ->
     return joined.drop("_d", "_n", "_v", "_w", "_p")
 
 
-def words_of(nodes: DataFrame, of: DataFrame, name: str = "text") -> DataFrame:
-    """doc_id, node_id, text: the TEXT children of each element of `of` joined, with a space where there was white space."""
-    words = nodes.filter(F.col("node_type") == "TEXT").select("doc_id", F.col("parent_id").alias("node_id"), F.struct("ord", "ws", "str_value").alias("w"))
-    each = of.select("doc_id", "node_id").join(words, ["doc_id", "node_id"], "left").groupBy("doc_id", "node_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
-    said = F.transform("w", lambda w: F.concat(F.when(w["ws"], " ").otherwise(""), w["str_value"]))
-    return each.select("doc_id", "node_id", F.array_join(said, "").alias(name))
+_RUN = StructType().add("doc_id", StringType()).add("node_id", LongType()).add("ord", IntegerType()).add("text", StringType()).add("n", LongType())
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words (doc_id, node_id, ord, ws, str_value) that follow each other in a batch, joined: the first one's place, their text, and how many aren't empty."""
+    schema = to_arrow_schema(_RUN)
+    for batch in batches:
+        if not (size := batch.num_rows):
+            continue
+        ids, node, at = batch["doc_id"], batch["node_id"].to_numpy(), batch["ord"].to_numpy()
+        begins = np.append(True, pc.not_equal(ids.slice(1), ids.slice(0, size - 1)).to_numpy(zero_copy_only=False))
+        begins[1:] |= (node[1:] != node[:-1]) | (at[1:] != at[:-1] + 1)
+        first = np.flatnonzero(begins)
+        words = pc.fill_null(batch["str_value"], "")
+        said = pc.binary_join_element_wise(pc.if_else(pc.fill_null(batch["ws"], False), " ", ""), words, "")
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, size).astype(np.int32)), said), "")
+        n = np.add.reduceat(pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64), first)
+        yield pa.record_batch([ids.take(pa.array(first)), pa.array(node[first]), pa.array(at[first]), text, pa.array(n)], schema=schema)
+
+
+def words_of(nodes: DataFrame, of: DataFrame | Column, name: str = "text", count: str | None = None) -> DataFrame:
+    """doc_id, node_id, text: the TEXT children of each element of `of` joined, with a space where there was white space.
+
+    `of` is rows of nodes, or a condition, with which nodes are read once. count: a column for how many of these children aren't empty. Words are joined where they
+    follow each other, within tasks; what is shuffled, once, are these runs, not words.
+    """
+    word = F.col("node_type") == "TEXT"
+    asked = nodes.filter(word | of) if isinstance(of, Column) else nodes.filter(word)
+    slim = asked.select("doc_id", F.when(word, F.col("parent_id")).otherwise(F.col("node_id")).alias("node_id"), F.when(word, F.col("ord")).otherwise(-1).cast("int").alias("ord"), *(F.when(word, F.col(c)).alias(c) for c in ("ws", "str_value")))
+    if not isinstance(of, Column):
+        # An element of `of` is a run before its first word.
+        slim = slim.unionByName(of.select("doc_id", "node_id", F.lit(-1).alias("ord"), F.lit(False).alias("ws"), F.lit("").alias("str_value")))
+    runs = slim.filter("doc_id is not null and node_id is not null").mapInArrow(_runs, _RUN)
+    each = runs.groupBy("doc_id", "node_id").agg(F.min("ord").alias("_first"), F.sum("n").alias("_n"), F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("_w")).filter("_first < 0")
+    return each.select("doc_id", "node_id", *([F.col("_n").alias(count)] if count else []), F.array_join(F.col("_w.text"), "").alias(name))
