@@ -53,12 +53,13 @@ def attr_count() -> Column:
 def value_of(nodes: DataFrame, of: DataFrame, kind: str, name: str = "value") -> DataFrame:
     """`of` (rows of nodes) with the value of a kind: the node's own if it has that type, for an element its first child's, else the default.
 
-    The default is 0 for numbers, null for others. TEXT also gives {name}_ws. One equi-join on the child's place.
+    The default is 0 for numbers, null for others. TEXT also gives {name}_ws. One equi-join on the child's place, of first children only; it is one by sorting, as
+    the files that documents are made from tell nothing of their values' size, and a broadcast would hold all of these.
     """
     column, default = OR_CHILD[kind]
-    child = nodes.filter(F.col("node_type") == kind).select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col(column).alias("_v"), F.col("ws").alias("_w"), F.col("parent_id").alias("_p"))
+    child = nodes.filter((F.col("node_type") == kind) & (F.col("node_id") == F.col("parent_id") + 1)).select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col(column).alias("_v"), F.col("ws").alias("_w"), F.col("parent_id").alias("_p"))
     near = (F.col("doc_id") == F.col("_d")) & (F.col("node_id") + 1 == F.col("_n")) & (F.col("node_id") == F.col("_p"))
-    joined = of.join(child, near, "left")
+    joined = of.join(child.hint("merge"), near, "left")
     own = F.col("node_type") == kind
     from_child = F.col("node_type") == "ELEMENT"
     value = F.when(own, F.col(column)).when(from_child, F.col("_v"))

@@ -40,6 +40,17 @@ def test_words(spark, table, rows):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_first_children(spark, table):
+    """Of values only first children are joined, and not by a broadcast, whatever size the files have."""
+    got = values.value_of(table, table.filter("name = 'p'"), "TEXT")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    nodes = {(r["doc_id"], r["node_id"]): r for r in table.collect()}
+    first = {at: nodes.get((at[0], at[1] + 1)) for at, r in nodes.items() if r["name"] == "p"}
+    said = {at: c["str_value"] if c and c["node_type"] == "TEXT" and c["parent_id"] == at[1] else None for at, c in first.items()}
+    assert {(r["doc_id"], r["node_id"]): r["value"] for r in got.collect()} == said
+
+
 def test_one_reading(spark):
     """text_words loads its documents once, and joins nothing."""
     plan = queries.queries()["text_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
