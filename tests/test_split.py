@@ -79,3 +79,21 @@ def test_nodes_of_a_split_file_are_not_joined_by_their_document(spark, tmp_path)
     (tmp_path / "f.txt").write_text("<r>" + "".join(f"<x>{i}</x>" for i in range(9)) + "</r>")
     n, _ = read_records(spark, str(tmp_path / "f.txt"), "x")
     assert n.count() == 19 and "LeftAnti" not in n._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("options", [LoadOptions(), LoadOptions("IGNORE"), LoadOptions(type_of=lambda name, attrs: "IGNORE" if name == "sub" else named_types(name, attrs))])
+def test_columns_and_elements(spark, tmp_path, options):
+    """Of some columns and elements the same as of all, with plain records by arrays, too; nodes are neither shuffled nor stored twice."""
+    (tmp_path / "f.xml").write_text(HEAD + records(6, 300) + TAIL, encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        columns = ["doc_id", "node_id", "parent_id", "last_desc", "ord", "name"]
+        every, some = (read_records(spark, str(tmp_path / "f.xml"), "rec", "d", options, columns, elements)[0] for elements in (None, ["rec", "p", "last"]))
+        rows = lambda d: sorted(map(tuple, d.collect()), key=lambda r: r[1])
+        got, want = rows(some), rows(shred(spark.createDataFrame([("d", HEAD + records(6, 300) + TAIL)], "doc_id string, xml string"), options=options).select(columns))
+        begin = min(r[1] for r in want if r[5] == "rec")
+        assert rows(every) == want and got == [r for r in want if r[1] < begin or r[5] in ("rec", "p", "last")]
+        assert "Exchange hashpartitioning" not in some._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
