@@ -18,15 +18,15 @@ def cell(at: str | Column) -> Column:
     return F.shiftright((F.col(at) if isinstance(at, str) else at).cast("long"), CELL.bit_length() - 1)
 
 
-def nearest(df: DataFrame, value: Column, name: str, at: str = "node_id", by: dict[str, Column] | None = None, later: bool = False, own: bool = True) -> DataFrame:
+def nearest(df: DataFrame, value: Column, name: str, at: str = "node_id", by: dict[str, Column] | None = None, later: bool = False, own: bool = True, then: Column | None = None) -> DataFrame:
     """df with `name`: the last value that isn't null at or before each row in the order of `at` within doc_id and by; later: the first at or after it.
 
-    own False: strictly before or after. `at` is a rank, unique within doc_id and by; doc_id and by are never null. df is read twice, so store it if it is dear.
+    own False: strictly before or after. `at` is a rank, unique within doc_id and by, or with rows of one rank in the order of `then`; doc_id and by are never null. df is read twice, so store it if it is dear.
     """
     keys = ["doc_id", *(by or {}), "_cell"]
     marked = df.withColumns({**(by or {}), "_value": value, "_cell": cell(at)})
     place, pick = (F.desc(at), F.min_by) if later else (F.asc(at), F.max_by)
-    here = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+    here = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(place, *([] if then is None else [then])).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
     ends = marked.groupBy(*keys).agg(pick("_value", F.when(F.col("_value").isNotNull(), F.col(at))).alias("_value"))
     runs = Window.partitionBy(*keys[:-1]).orderBy(F.desc("_cell") if later else F.asc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("_carried", F.last("_value", ignorenulls=True).over(runs)).filter("_carried is not null").drop("_value")

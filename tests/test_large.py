@@ -94,3 +94,29 @@ def test_deletions_of_large_documents(spark, docs, monkeypatch):
     monkeypatch.setattr(batch, "edit_plan", lambda of, log, made=None: logged.append(of.agg(F.max("node_id")).first()[0]) or plan(of, log, made))
     assert [rows(edit.delete(n, t)) for t in many] == want
     assert max(logged) < 16
+
+
+@pytest.mark.parametrize("how", ["ALL", "FIRST", "NONE"])
+def test_searches_told_where_subtrees_end(docs, how):
+    """The same answers, without a look at any node but matches and places; one that begins at a match doesn't find it."""
+    n = stored(shred(docs))
+    asked = n.select("doc_id", F.col("node_id").alias("cur"), F.col("last_desc").alias("cur_last"))
+    asked = stored(asked.join(n.filter("parent_id is null").select("doc_id", F.col("last_desc").alias("top_last")), "doc_id")).withColumn("top", F.lit(0).cast("long"))
+    rows = lambda d: sorted(map(repr, d.select("doc_id", "cur", F.col("found.node_id").alias("found")).collect()))
+    short = find.find(n, asked, "b", descend=how, columns=["node_id"])
+    whole = find.find(n, asked.select("doc_id", "cur", "top"), "b", descend=how)
+    joins = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert rows(short) == rows(whole) and joins(short) < joins(whole) and (how != "ALL" or joins(short) == 1)
+
+
+@pytest.mark.parametrize("large", [1 << 16, 16])
+def test_deletions_move_what_is_given(docs, monkeypatch, large):
+    """A table with some nodes and columns gives what the whole one does of these; targets given twice and with their places count once."""
+    n = stored(shred(docs))
+    monkeypatch.setattr(batch, "LARGE_NODES", large)
+    hit = find.find_all(n, "b", "k", "1")
+    columns = ["doc_id", "node_id", "parent_id", "last_desc", "depth", "ord", "name"]
+    some = n.filter("parent_id is null or name = 'b'").select(columns)
+    rows = lambda d: sorted(map(repr, d.select(columns).collect()))
+    want = rows(edit.delete(n, hit.select("doc_id", "node_id")).filter("parent_id is null or name = 'b'"))
+    assert rows(edit.delete(some, hit.unionByName(hit) if large == 16 else hit)) == want
